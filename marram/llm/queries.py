@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marram.llm import minhash
+from marram.llm import embeddings, licenses, lines, minhash, packing, pieces, quality, secrets, tokens
+from marram.llm.common import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -19,7 +21,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the box keeps a public tokenizer; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the chunks of lines that stand elsewhere, and what was taken out."""
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "chunks_removed", "lines_removed", "words_removed")
+
+
+@_query
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit-packed shards of all texts, written and read back."""
+    path = scratch_path(spark, "shards")
+    tokens.write(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return tokens.documents(tokens.read(spark, path))
+
+
+@_query
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links inside a label at cosine 0.98."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+@_query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence identifiers and licenses of every text."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses", "unmatched")]
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), *joined)
+
+
+ORACLES["op4_license_scan"] = licenses.oracle()
+
+
+@_query
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded and decoded texts."""
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@_query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32(doc_id) mod 4 is not 2; scores all."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4) == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    scored = quality.score(documents, quality.train(documents, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query
+def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen buckets, batches of 16384 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), budget=16384, buckets=16)
+
+
 @_query
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, Jaccard 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@_query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new ledger over all texts, joined back to every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secrets.count(F.col("found"), rule).alias(f"n_{rule.kind}") for rule in secrets.BASE]
+    base = F.sha2(secrets.digest(F.col("found"), secrets.BASE), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, secrets.digest(F.col("found"), secrets.RULES).alias("spans"))
