@@ -57,14 +57,22 @@ class PrefixTable:
         if any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
             raise ValueError("a piece holds a space mark after another character")
         self.rank = {piece: -score for piece, score in scores.items() if len(piece) > 1}
-        self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
+        if not {c for piece in self.ids for c in piece} <= self.ids.keys():
+            raise ValueError("a character of a piece is no piece")
+        #: The two tokens that a piece's last merge joins, of all pieces that merging makes whole.
+        self.halves: dict[str, tuple[str, str]] = {}
+        for piece in self.rank:
             if SPACE not in piece[1:]:
-                self.automaton.add_word(piece, piece)
+                self.merged(piece)
+        self.piece = {i: piece for piece, i in self.ids.items()}
+        self.automaton = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            if len(piece) == 1 or piece in self.halves:
+                self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.halves: dict[str, tuple[str, str] | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Step-by-step merging: best rank first, leftmost of equals."""
@@ -77,6 +85,8 @@ class PrefixTable:
             k2 = after[k]
             if not parts[k] or k2 >= n or parts[k] + parts[k2] != piece:
                 continue  # one of the two has merged with another meanwhile
+            if len(piece) == n:
+                self.halves[piece] = (parts[k], parts[k2])
             parts[k], parts[k2] = piece, ""
             after[k] = after[k2]
             if after[k] < n:
@@ -86,27 +96,11 @@ class PrefixTable:
                     heappush(agenda, (rank[longer], i, longer))
         return [p for p in parts if p]
 
-    def split(self, piece: str) -> tuple[str, str] | None:
-        """The two tokens that the piece's last merge joins; None if merging never makes it whole."""
-        if piece not in self.halves:
-            parts, before = list(piece), None
-            while len(parts) > 1:
-                best, at = min(((self.rank.get(a + b, float("inf")), k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-                if best == float("inf"):
-                    break
-                before = (parts[at], parts[at + 1])
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            self.halves[piece] = before if len(parts) == 1 else None
-        return self.halves[piece]
-
-    def beside(self, left: str, right: str) -> bool:
-        """Whether merging can leave ``left`` and ``right`` as neighbours."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._beside(left, right)
+    def beside(self, left: int, right: int) -> bool:
+        """Whether merging can leave the tokens ``left`` and ``right`` as neighbours."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 32 | right] = self._beside(self.piece[left], self.piece[right])
         return known
 
     def _beside(self, left: str, right: str) -> bool:
@@ -124,50 +118,56 @@ class PrefixTable:
                 return True
             # The later of the two is undone; of equals the right one was made later.
             if made_left > made_right:
-                left, limit, ties = self.split(left)[1], made_left, False
-            else:
-                right, limit, ties = self.split(right)[0], made_right, True
-
-    def table(self, word: str) -> list[str]:
-        """The last token of every prefix of ``word``."""
-        ending: list[list[str]] = [[] for _ in word]
-        for end, piece in self.automaton.iter(word):
-            ending[end].append(piece)
-        last: list[str] = []
-        for end, pieces in enumerate(ending):
-            for piece in pieces:
-                start = end + 1 - len(piece)
-                if (len(piece) == 1 or self.split(piece)) and (not start or self.beside(last[start - 1], piece)):
-                    last.append(piece)
-                    break
+                left, limit, ties = self.halves[left][1], made_left, False
             else:
-                last.append(word[end])  # a character by itself, known to the model or not
+                right, limit, ties = self.halves[right][0], made_right, True
+
+    def table(self, word: str) -> list[int]:
+        """The last token of every prefix of ``word``; -1 for a character that the model lacks."""
+        pairs, last, filled = self.pairs, [-1] * len(word), -1
+        for end, (token, n) in self.automaton.iter(word):
+            if end == filled:
+                continue
+            if n <= end:
+                before = last[end - n]
+                if before >= 0:
+                    fits = pairs.get(before << 32 | token)
+                    if fits is None:
+                        fits = self.beside(before, token)
+                    if not fits:
+                        continue
+            last[end] = token
+            filled = end
         return last
 
-    def tokens(self, word: str) -> list[str]:
-        if SPACE in word[1:]:
-            return self.merged(word)
-        last, at, out = self.table(word), len(word), []
-        while at:
-            out.append(last[at - 1])
-            at -= len(out[-1])
-        return out[::-1]
-
     def word(self, word: str) -> tuple[tuple[int, ...], str]:
         """ids of a word, and the same in decimal, joined by spaces."""
         ids: list[int] = []
-        for token in self.tokens(word):
-            i = self.ids.get(token)
-            ids += [i] if i is not None else [self.bytes[b] for b in token.encode("utf-8")]
+        if SPACE in word[1:]:
+            for token in self.merged(word):
+                i = self.ids.get(token)
+                ids += [i] if i is not None else [self.bytes[b] for b in token.encode("utf-8")]
+        else:
+            last, at, piece = self.table(word), len(word), self.piece
+            while at:
+                token = last[at - 1]
+                if token < 0:
+                    ids += [self.bytes[b] for b in reversed(word[at - 1].encode("utf-8"))]
+                    at -= 1
+                else:
+                    ids.append(token)
+                    at -= len(piece[token])
+            ids.reverse()
         return tuple(ids), " ".join(map(str, ids))
 
     def encode(self, text: str) -> tuple[list[tuple[int, ...]], list[str]]:
         """ids of ``text`` word by word, and their decimal forms."""
-        words, known = _WORDS.findall(self.processor.normalize(text)), self.words
-        if len(known) > MEMORY:
-            known.clear()
+        words = _WORDS.findall(self.processor.normalize(text))
+        if len(self.words) > MEMORY:  # the words of the last stretch stay known, older ones go
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
         for w in set(words).difference(known):
-            known[w] = self.word(w)
+            known[w] = older.get(w) or self.word(w)
         got = [known[w] for w in words]
         return [g[0] for g in got], [g[1] for g in got]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import embeddings, licenses, lines, minhash, packing, pieces, quality, secrets, tokens
+from marram.llm import embeddings, flac, licenses, lines, minhash, packing, pieces, quality, secrets, tokens
 from marram.llm.common import scratch_path
 
 QUERIES: dict = {}
@@ -60,6 +60,14 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_license_scan"] = licenses.oracle()
 
 
+@_query
+def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of all texts, written as a media column and read back."""
+    path = scratch_path(spark, "media")
+    flac.to_media(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    return flac.digests(spark.read.parquet(path))
+
+
 @_query
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded and decoded texts."""
