@@ -13,7 +13,7 @@ of the chunk that stays. Only hashes of all chunks are counted; bytes move for r
 Defined cases: null and empty texts have no chunks and stay as they are; a text without a removed
 chunk stays the same to the byte; a text all of whose chunks go is empty; rows that repeat both id
 and text are one document and get the same result; a null id is an id, before all others; further
-columns are kept.
+columns are kept, but for those named like the three new ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -95,12 +95,12 @@ def _chunks(docs: DataFrame, parameters: dict, bodies: bool) -> DataFrame:
 
 
 def _without(docs: DataFrame, parameters: dict) -> DataFrame:
-    """docs (doc_id, row_hash, text, gone: array<int>, ...) with the chunks ``gone`` taken out."""
+    """docs (doc_id, text, _m_gone: array<int>, ...) with the chunks ``_m_gone`` taken out."""
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts, gone = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("gone")).to_pylist()
+            texts, gone = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("_m_gone")).to_pylist()
             some = [k for k, g in enumerate(gone) if g]
             lines_gone, words_gone = [0] * len(texts), [0] * len(texts)
             encoded = [(texts[k] or "").encode("utf-8", "replace") for k in some]
@@ -126,8 +126,8 @@ def dedup(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2
     chunks_removed, lines_removed and words_removed."""
     small_batches(docs.sparkSession)
     parameters = {"window": window, "divisor": divisor, "min_lines": min_lines, "long_words": long_words}
-    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row_hash", F.xxhash64("text"))
-    narrow = keyed.select("doc_id", "row_hash", "text")
+    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("chunks_removed", "lines_removed", "words_removed").withColumn("_m_hash", F.xxhash64("text"))
+    narrow = keyed.select("doc_id", F.col("_m_hash").alias("row_hash"), "text")
 
     heads = _chunks(narrow, parameters, bodies=False)
     place = F.struct("doc_id", "row_hash", "chunk")
@@ -137,7 +137,7 @@ def dedup(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2
 
     stay = found.where("stays").dropDuplicates(["chunk_hash"]).select("chunk_hash", F.col("body").alias("kept_body"))
     gone = found.where("not stays").join(stay, "chunk_hash").where("body = kept_body")
-    lists = gone.groupBy("doc_id", "row_hash").agg(F.collect_set("chunk").alias("gone")).select(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash"), "gone")
-    joined = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("row_hash") == F.col("gone_hash")), "left").drop("gone_id", "gone_hash")
+    lists = gone.groupBy("doc_id", "row_hash").agg(F.collect_set("chunk").alias("_m_gone")).select(F.col("doc_id").alias("_m_id"), F.col("row_hash").alias("_m_row"), "_m_gone")
+    joined = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("_m_id")) & (F.col("_m_hash") == F.col("_m_row")), "left").drop("_m_id", "_m_row", "_m_hash")
     done = _without(joined, parameters)
-    return done.withColumn("chunks_removed", F.coalesce(F.size("gone"), F.lit(0))).withColumn("chunks_removed", F.greatest("chunks_removed", F.lit(0))).drop("gone", "row_hash")
+    return done.withColumn("chunks_removed", F.coalesce(F.array_size("_m_gone"), F.lit(0))).drop("_m_gone")

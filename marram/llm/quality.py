@@ -11,7 +11,7 @@ rows: those with the smallest hash of their id, so the choice is the same at any
 That bound is the only one; every row of every table is scored, whole.
 
 Defined cases: null and empty texts are scored by their structure alone; a null label is not
-learned from; null metadata has a bin of its own; without any row of either label every score is
+learned from; a column score of the input is replaced; null metadata has a bin of its own; without any row of either label every score is
 the constant 0.5; rows that repeat an id are each scored.
 """
 
@@ -155,12 +155,12 @@ def _columns(batch: pa.RecordBatch, metadata: list[str]) -> tuple[list[bytes], n
     texts = [(t or "").encode("utf-8", "replace") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
     if not metadata:
         return texts, None
-    parts = [batch.column(batch.schema.get_field_index(f"m_{k}")).to_numpy(zero_copy_only=False).astype(float) for k in range(len(metadata))]
+    parts = [batch.column(batch.schema.get_field_index(f"_m_{k}")).to_numpy(zero_copy_only=False).astype(float) for k in range(len(metadata))]
     return texts, np.stack(parts, axis=1)
 
 
 def _inputs(docs: DataFrame, metadata: list[str], *more: Column) -> DataFrame:
-    return docs.select(*more, "text", *[F.col(m).cast("double").alias(f"m_{k}") for k, m in enumerate(metadata)])
+    return docs.select(*more, "text", *[F.col(m).cast("double").alias(f"_m_{k}") for k, m in enumerate(metadata)])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: list[str] | None = None, max_rows: int = 8192) -> Machine:
@@ -193,8 +193,9 @@ def score(docs: DataFrame, machine: Machine, metadata: list[str] | None = None)
     """``docs`` with ``score`` (0 to 1) for each row."""
     metadata = list(metadata or [])
     small_batches(docs.sparkSession)
-    kept = [name for name in docs.columns]
-    rows = docs.select("*", *[F.col(m).cast("double").alias(f"m_{k}") for k, m in enumerate(metadata)])
+    docs = docs.drop("score")
+    kept = docs.columns
+    rows = docs.select("*", *[F.col(m).cast("double").alias(f"_m_{k}") for k, m in enumerate(metadata)])
 
     def run(batches):
         for batch in batches:

@@ -10,7 +10,7 @@ A row of the ledger is written with its findings in one append: after a crash ei
 there or neither, and the update can run again.
 
 Defined cases: a null text is the empty text; a null id keeps its row; repeated rows each get the
-findings; very long texts are scanned whole; columns other than the id and the text pass through.
+findings; very long texts are scanned whole; columns other than the id and the text pass through, but for one named found, which is replaced.
 Spans count code points, the end exclusive.
 """
 
@@ -121,8 +121,9 @@ class Ledger:
 
     def join_back(self, paths: DataFrame) -> DataFrame:
         """``paths`` (with a column text) with ``found``, empty where nothing was."""
-        out = paths.withColumn("blob", blob_id(F.col("text"))).join(self.findings(), "blob", "left").drop("blob")
-        return out.withColumn("found", F.coalesce("found", F.array().cast(T.ArrayType(SPAN))))
+        found = self.findings().select(F.col("blob").alias("_m_blob"), F.col("found").alias("_m_found"))
+        out = paths.drop("found").withColumn("_m_blob", blob_id(F.col("text"))).join(found, "_m_blob", "left").drop("_m_blob")
+        return out.withColumn("found", F.coalesce("_m_found", F.array().cast(T.ArrayType(SPAN)))).drop("_m_found")
 
 
 def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
