@@ -29,6 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ HEAD = struct.Struct("<4sIIIQ")
 BLOCK_IDS = 4096
 #: A shard is closed once it holds so many ids.
 SHARD_IDS = 1 << 20
-#: Units remembered by a worker; beyond that the memory starts anew.
-MEMORY = 400_000
+#: Units, and pieces of units, remembered by a worker; beyond that the memory starts anew.
+MEMORY = 700_000
 
 
 # ---------------------------------------------------------------- bit packing
@@ -116,10 +117,20 @@ class Shard:
 # ---------------------------------------------------------------- encoding
 
 _CUT = re.compile(r" (?=\S)")
+_LOOSE = re.compile(r" (?:\s|$)")
+# Fixed value: the pattern by which byte-level tokenizers of this family cut a text before merging.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Words that go to the tokenizer as one text.
+_TOGETHER = 256
 
 
 class Encoder:
-    """ids of whole texts by the tokenizers library, as little-endian u32 bytes."""
+    """ids of whole texts by the tokenizers library, as little-endian integers of ``kind``.
+
+    New units are cut into pieces by the tokenizer's own pattern, which never merges across them; new
+    words of letters go to the library many at a time, as one text, and each id that begins with a space
+    begins a word.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -127,26 +138,88 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    @property
-    def vocabulary(self) -> int:
-        return self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.vocabulary: int = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
+        #: Whether an id's text begins with a space: letters after a space hold none but the first.
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.vocabulary)])
+        #: Units without their leading space; a piece that is a space and letters is the unit of those letters.
+        self.units: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        #: Whether the pattern is the tokenizer's; another kind of tokenizer gets whole units.
+        before = self.tokenizer.pre_tokenizer
+        probe = " It's 12 odd,  words...\n\n x"
+        self.cuts = before is not None and [probe[a:b] for _, (a, b) in before.pre_tokenize_str(probe)] == _PIECES.findall(probe)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.kind).tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Units of letters only, many at a time."""
+        size = np.dtype(self.kind).itemsize
+        groups = [words[at : at + _TOGETHER] for at in range(0, len(words), _TOGETHER)]
+        encoded = self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)
+        for group, got in zip(groups, encoded, strict=True):
+            ids = np.array(got.ids, dtype=self.kind)
+            starts = np.flatnonzero(self.opens[ids]) * size
+            if len(starts) == len(group):
+                data, cuts = ids.tobytes(), [*starts.tolist(), len(ids) * size]
+                self.units.update(zip(group, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            else:
+                self._learn_each(self.units, group, " ")
+
+    def _learn_each(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
+        for p, got in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False), strict=True):
+            known[p] = self._bytes(got.ids)
+
+    def _learn(self, new: set[str]) -> None:
+        """Units that are not known yet."""
+        if not self.cuts:
+            self._learn_each(self.units, list(new), " ")
+            return
+        units, pieces = self.units, self.pieces
+        words, marks, composed = [], set(), []
+        for u in new:
+            if u.isalpha():
+                words.append(u)
+            elif u[:-1].isalpha() and u[-1] in ".,;:!?":
+                composed.append((u, [u[:-1], u[-1]]))
+            else:
+                first, *rest = _PIECES.findall(f" {u}")
+                composed.append((u, [first[1:], *rest] if first[1:].isalpha() else ["", first, *rest]))
+        for _, (first, *rest) in composed:
+            if first and first not in units and first not in new:
+                words.append(first)
+            marks.update(rest)
+        self._learn_words(list(dict.fromkeys(words)))
+        marks.difference_update(pieces)
+        if marks:
+            self._learn_each(pieces, list(marks), "")
+        for u, (first, *rest) in composed:
+            units[u] = b"".join([units[first] if first else b"", *[pieces[p] for p in rest]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_CUT.split(text) for text in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known = self.known
-        new: set[str] = set()
+        split = [_CUT.split(text) if _LOOSE.search(text) else text.split(" ") for text in texts]
+        heads = [e.ids for e in self.tokenizer.encode_batch_fast([units[0] for units in split], add_special_tokens=False)]
+        if len(self.units) > MEMORY:
+            self.units.clear()
+        if len(self.pieces) > MEMORY:
+            self.pieces.clear()
+        get, found, new = self.units.get, [], set()
         for units in split:
-            new.update(set(units[1:]).difference(known))
+            units[0] = ""
+            got = list(map(get, units))
+            got[0] = b""
+            found.append(got)
+            if None in got:
+                new.update([u for u, g in zip(units, got, strict=True) if g is None])
         if new:
-            ordered = list(new)
-            for unit, got in zip(ordered, self.tokenizer.encode_batch_fast([f" {u}" for u in ordered], add_special_tokens=False), strict=True):
-                known[unit] = np.array(got.ids, dtype="<u4").tobytes()
-        heads = [e.ids for e in self.tokenizer.encode_batch_fast([units[0] for units in split], add_special_tokens=False)]
-        return [np.array(head, dtype="<u4").tobytes() + b"".join([known[u] for u in units[1:]]) for head, units in zip(heads, split, strict=True)]
+            self._learn(new)
+        out = []
+        for head, units, got in zip(heads, split, found, strict=True):
+            if None in got:
+                got = [self.units[u] if g is None else g for u, g in zip(units, got, strict=True)]
+            out.append(self._bytes(head) + b"".join(got))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -168,8 +241,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode ``docs`` (doc_id, text), end each document with ``end_id`` and write shards to ``path``."""
     spark = docs.sparkSession
     small_batches(spark)
-    bits = bits_for(encoder(tokenizer).vocabulary)
-    end = np.array([end_id], dtype="<u4").tobytes()
+    bits, kind = bits_for(encoder(tokenizer).vocabulary), encoder(tokenizer).kind
+    end = np.array([end_id], dtype=kind).tobytes()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
@@ -186,7 +259,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
             encoded = encoder(tokenizer).encode(batch.column(1).to_pylist())
             for doc_id, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids.append(doc_id)
-                documents.append(np.frombuffer(data + end, dtype="<u4"))
+                documents.append(np.frombuffer(data + end, dtype=kind))
                 total += len(documents[-1])
                 if total >= SHARD_IDS:
                     yield shard()
