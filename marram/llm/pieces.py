@@ -32,7 +32,7 @@ from marram.llm.common import small_batches
 
 SPACE = "▁"
 #: Words, and pairs of tokens, remembered by a worker.
-MEMORY = 300_000
+MEMORY = 400_000
 PAIRS = 1_000_000
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -161,16 +161,27 @@ class PrefixTable:
         return tuple(ids), " ".join(map(str, ids))
 
     def encode(self, text: str) -> tuple[list[tuple[int, ...]], list[str]]:
-        """ids of ``text`` word by word, and their decimal forms."""
-        words = _WORDS.findall(self.processor.normalize(text))
+        """ids of ``text`` word by word, and their decimal forms. Words are known without their space mark."""
+        normal = self.processor.normalize(text)
+        if not normal:
+            return [], []
         if len(self.words) > MEMORY:  # the words of the last stretch stay known, older ones go
             self.older, self.words = self.words, {}
-        known, older = self.words, self.older
-        for w in set(words).difference(known):
-            known[w] = older.get(w) or self.word(w)
-        got = [known[w] for w in words]
+        if normal[0] == SPACE and SPACE + SPACE not in normal:
+            words = normal.split(SPACE)
+            del words[0]
+            got = list(map(self.words.get, words))
+            if None in got:
+                got = [self._known(w, SPACE + w) if g is None else g for w, g in zip(words, got, strict=True)]
+        else:
+            got = [self.word(w) for w in _WORDS.findall(normal)]
         return [g[0] for g in got], [g[1] for g in got]
 
+    def _known(self, key: str, word: str) -> tuple[tuple[int, ...], str]:
+        found = self.words.get(key) or self.older.get(key) or self.word(word)
+        self.words[key] = found
+        return found
+
 
 _tables: dict[str, PrefixTable] = {}
 
