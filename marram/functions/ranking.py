@@ -18,15 +18,15 @@ def positions(df: DataFrame, group: str, order: Sequence[Column | str], name: st
     table is stored, so that both uses of it see the same ranges.
     """
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
-    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    sort = [group, *(f"_k{i}" for i in range(len(keys)))]
-    laid = stored(df.select("*", *named).repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()), "positions")
-    part = F.shiftright("_at", 33)
-    spans = laid.groupBy(F.col(group).alias("_g"), part.alias("_p")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.select("_g", "_p", (F.coalesce(earlier, F.lit(0)) - F.col("_first")).alias("_shift"))
-    joined = laid.withColumn("_p", part).join(spans, F.col(group).eqNullSafe(F.col("_g")) & laid["_at"].isNotNull() & (F.shiftright("_at", 33) == spans["_p"]))
-    return joined.select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))
+    named = [k.alias(f"_pos_k{i}") for i, k in enumerate(keys)]
+    sort = [group, *(f"_pos_k{i}" for i in range(len(keys)))]
+    laid = stored(df.select("*", *named).repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_pos_at", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_pos_at", 33)
+    spans = laid.groupBy(F.col(group).alias("_pos_group"), part.alias("_pos_part")).agg(F.min("_pos_at").alias("_pos_first"), F.count(F.lit(1)).alias("_pos_n"))
+    earlier = F.sum("_pos_n").over(Window.partitionBy("_pos_group").orderBy("_pos_part").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.select("_pos_group", "_pos_part", (F.coalesce(earlier, F.lit(0)) - F.col("_pos_first")).alias("_pos_shift"))
+    joined = laid.withColumn("_pos_own", part).join(spans, F.col(group).eqNullSafe(F.col("_pos_group")) & (F.col("_pos_own") == F.col("_pos_part")))
+    return joined.select(*df.columns, (F.col("_pos_at") + F.col("_pos_shift")).alias(name))
 
 
 def top_k(df: DataFrame, k: int, by: Sequence[Column], per: Sequence[str] = (), name: str = "rank") -> DataFrame:

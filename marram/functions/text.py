@@ -131,7 +131,7 @@ def page_label(pages: Column) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / 1e6
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
 
 
 def backed_ratio(backed: Column, overall: Column) -> Column:

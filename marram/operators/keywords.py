@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marram.functions.text import dash_key
 from marram.operators.rank import distinct_strings
@@ -124,7 +125,7 @@ def without_subphrases(phrases: DataFrame) -> DataFrame:
     return phrases.withColumn("_m", size).join(longer, (F.col("id") == F.col("_id")) & bigger & inside, "left_anti").drop("_m")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def without_near_repeats(documents: pd.Series, threshold: pd.Series) -> pd.Series:
     """Each text that is not too like one kept before it."""
     out = []

@@ -34,9 +34,9 @@ class WorkflowError(ValueError):
 
 
 def slot(name: str) -> str:
-    """Column of a reference: query.text or text stay plain columns, others are component outputs."""
+    """Column of a reference: plain names stay, item.x is a field of a list's item, others are component outputs."""
     head, *rest = name.split(".")
-    return head if not rest else "__".join([head, *rest])
+    return name if not rest or head == "item" else "__".join([head, *rest])
 
 
 def template(text: str) -> Column:
@@ -54,7 +54,7 @@ def expression(text: str) -> Column:
     calls = {c.lower() for c in _CALL.findall(plain)} - {"and", "or", "not", "in", "case", "when", "then", "else"}
     if not calls <= ALLOWED or re.search(r"\b(select|from|java_method|reflect)\b|;|--|/\*", plain, re.I):
         raise WorkflowError(f"not allowed in an expression: {sorted(calls - ALLOWED) or text}")
-    return F.expr(_SLOT.sub(lambda m: f"`{slot(m[1])}`", text))
+    return F.expr(_SLOT.sub(lambda m: "`" + slot(m[1]).replace(".", "`.`") + "`", text))
 
 
 Component = Callable[["Node", DataFrame, "Context"], DataFrame]

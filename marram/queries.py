@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from marram.plans import graph_queries, review_queries, search_queries, text_queries  # noqa: F401
+from marram.plans.registry import ORACLES, QUERIES
+
+ORACLES["worker_stream"] = review_queries.ORACLE_STREAM
+FLAGSHIP = graph_queries.graph_search_ranked
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
