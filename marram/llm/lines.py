@@ -3,9 +3,10 @@
 A text is cut into lines. After a line, a rolling hash over the last ``window`` line hashes says
 whether a chunk ends there, once the chunk has ``min_lines`` lines; a line of ``long_words`` words
 or more is a chunk by itself, and so ends the one before. Boundaries thus depend on nearby content
-alone: what is inserted or removed elsewhere in a text leaves them where they are. A chunk counts
-if it has several lines, or is one long line. Of all chunks in the corpus with the same bytes the
-first (smallest id, then position) stays and the others go.
+alone: what is inserted or removed elsewhere in a text leaves them where they are. Of all chunks in
+the corpus with the same bytes the first (smallest id, then position) stays. The others go if they
+have several lines or are one long line; a single short line that stands elsewhere goes only if a
+chunk beside it does, that is, as part of a repeated passage of several lines.
 
 Hashes only choose what is compared: a chunk is removed after its bytes were found equal to those
 of the chunk that stays. Only hashes of all chunks are counted; bytes move for repeated ones.
@@ -71,7 +72,7 @@ def _cut(texts: list[bytes | None], parameters: dict) -> list[list[tuple[int, in
 
 
 def _chunks(docs: DataFrame, parameters: dict, bodies: bool) -> DataFrame:
-    """The chunks that count, of docs (doc_id, row_hash, text)."""
+    """The chunks of docs (doc_id, row_hash, text) that hold words; ``solid`` ones go by themselves."""
     long_words = parameters["long_words"]
 
     def run(batches):
@@ -81,44 +82,60 @@ def _chunks(docs: DataFrame, parameters: dict, bodies: bool) -> DataFrame:
             for k, (text, chunks) in enumerate(zip(texts, _cut(texts, parameters), strict=True)):
                 lines = text.split(b"\n") if text and bodies else []
                 for number, (begin, end, words, h) in enumerate(chunks):
-                    if words and (end - begin > 1 or words >= long_words):
-                        rows.append((k, number, h, b"\n".join(lines[begin:end])))
+                    if words:
+                        rows.append((k, number, h, end - begin > 1 or words >= long_words, b"\n".join(lines[begin:end])))
             at = pa.array([r[0] for r in rows], pa.int32())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())]
-            names = ["doc_id", "row_hash", "chunk", "chunk_hash"]
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.bool_())]
+            names = ["doc_id", "row_hash", "chunk", "chunk_hash", "solid"]
             if bodies:
-                columns.append(pa.array([r[3] for r in rows], pa.binary()))
+                columns.append(pa.array([r[4] for r in rows], pa.binary()))
                 names.append("body")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, chunk int, chunk_hash long" + ", body binary" * bodies)
+    return docs.mapInArrow(run, "doc_id long, row_hash long, chunk int, chunk_hash long, solid boolean" + ", body binary" * bodies)
+
+
+def _spread(solid: set[int], weak: set[int]) -> set[int]:
+    """``solid`` chunks and the ``weak`` ones that lie in a row with them."""
+    drop, edge = set(solid), list(solid)
+    while edge:
+        at = edge.pop()
+        for beside in (at - 1, at + 1):
+            if beside in weak and beside not in drop:
+                drop.add(beside)
+                edge.append(beside)
+    return drop
 
 
 def _without(docs: DataFrame, parameters: dict) -> DataFrame:
-    """docs (doc_id, text, _m_gone: array<int>, ...) with the chunks ``_m_gone`` taken out."""
+    """docs (doc_id, text, _m_gone: array of chunk and solid, ...) with the chunks ``_m_gone`` taken out."""
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts, gone = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("_m_gone")).to_pylist()
             some = [k for k, g in enumerate(gone) if g]
-            lines_gone, words_gone = [0] * len(texts), [0] * len(texts)
+            chunks_gone, lines_gone, words_gone = ([0] * len(texts) for _ in range(3))
             encoded = [(texts[k] or "").encode("utf-8", "replace") for k in some]
             for k, text, chunks in zip(some, encoded, _cut(encoded, parameters), strict=True):
-                lines, drop, kept = text.split(b"\n"), set(gone[k]), []
+                lines, kept = text.split(b"\n"), []
+                drop = _spread({g["chunk"] for g in gone[k] if g["solid"]}, {g["chunk"] for g in gone[k] if not g["solid"]})
                 for number, (begin, end, words, _) in enumerate(chunks):
                     if number in drop:
+                        chunks_gone[k] += 1
                         lines_gone[k] += end - begin
                         words_gone[k] += words
                     else:
                         kept += lines[begin:end]
-                texts[k] = b"\n".join(kept).decode("utf-8")
+                if drop:
+                    left = b"\n".join(kept)
+                    texts[k] = left.decode("utf-8") if left.strip() else ""
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines_gone, pa.int32()), pa.array(words_gone, pa.int64())], names=[*batch.schema.names, "lines_removed", "words_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(chunks_gone, pa.int32()), pa.array(lines_gone, pa.int32()), pa.array(words_gone, pa.int64())], names=[*batch.schema.names, "chunks_removed", "lines_removed", "words_removed"])
 
     ddl = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
-    return docs.mapInArrow(run, ddl + ", lines_removed int, words_removed long")
+    return docs.mapInArrow(run, ddl + ", chunks_removed int, lines_removed int, words_removed long")
 
 
 def dedup(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, long_words: int = 50) -> DataFrame:
@@ -137,7 +154,6 @@ def dedup(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2
 
     stay = found.where("stays").dropDuplicates(["chunk_hash"]).select("chunk_hash", F.col("body").alias("kept_body"))
     gone = found.where("not stays").join(stay, "chunk_hash").where("body = kept_body")
-    lists = gone.groupBy("doc_id", "row_hash").agg(F.collect_set("chunk").alias("_m_gone")).select(F.col("doc_id").alias("_m_id"), F.col("row_hash").alias("_m_row"), "_m_gone")
+    lists = gone.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("chunk", "solid")).alias("_m_gone")).select(F.col("doc_id").alias("_m_id"), F.col("row_hash").alias("_m_row"), "_m_gone")
     joined = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("_m_id")) & (F.col("_m_hash") == F.col("_m_row")), "left").drop("_m_id", "_m_row", "_m_hash")
-    done = _without(joined, parameters)
-    return done.withColumn("chunks_removed", F.coalesce(F.array_size("_m_gone"), F.lit(0))).drop("_m_gone")
+    return _without(joined, parameters).drop("_m_gone")
