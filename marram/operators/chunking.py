@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marram.functions.ranking import positions
 from marram.functions.references import chunk_order
 from marram.functions.text import paragraphs, sentences, strip
 
@@ -72,12 +73,13 @@ def local_index(rows: DataFrame, group: str, order: list[Column | str], name: st
 
 def reindex(refs: DataFrame, boxes: str = "bboxs", text: str = "text") -> DataFrame:
     """``refs`` with the last hierarchy level's order counted from 0 among siblings: rows whose parent
-    path, depth and last level are equal (W3)."""
+    path, depth and last level are equal (W3). Siblings may be any share of the table: see positions()."""
     h = F.col("hierarchy")
-    siblings = Window.partitionBy(F.expr("slice(hierarchy, 1, greatest(size(hierarchy) - 1, 0))"), F.size(h), F.element_at(h, -1)["heading_level"]).orderBy(*chunk_order(h, F.col(boxes), F.col(text)), "reference_id")
+    siblings = F.sha2(F.to_json(F.struct(F.expr("slice(hierarchy, 1, greatest(size(hierarchy) - 1, 0))").alias("parents"), F.size(h).alias("depth"), F.try_element_at(h, F.lit(-1))["heading_level"].alias("level"))), 256)
     last = F.element_at(h, -1)
     renumbered = F.struct(last["title"].alias("title"), last["heading_level"].alias("heading_level"), last["heading_number"].alias("heading_number"), F.col("_order").alias("order"))
-    numbered = refs.withColumn("_order", F.row_number().over(siblings) - 1)
+    order = [*chunk_order(h, F.col(boxes), F.col(text)), F.col("reference_id")]
+    numbered = positions(refs.withColumn("_siblings", siblings), "_siblings", order, "_order").drop("_siblings")
     return numbered.withColumn("hierarchy", F.when(F.size(h) > 0, F.concat(F.expr("slice(hierarchy, 1, size(hierarchy) - 1)"), F.array(renumbered))).otherwise(h)).drop("_order")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.functions.ranking import firsts
+from marram.functions.ranking import firsts, positions
 from marram.functions.text import keyword_key
 from marram.operators.search import at_least
 
@@ -16,8 +16,8 @@ def decide(items: DataFrame, minimum: float | None = None, top: int | None = Non
     beyond ``top`` an item is dropped with a note."""
     passing = F.col("kept") & at_least("score", minimum)
     marked = items.withColumn("_pass", passing)
-    order = [F.col("_pass").desc(), *([F.col("score").desc_nulls_last()] if sort_by_score else []), F.col("idx")]
-    placed = marked.withColumn("_place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    score = [F.col("score").isNull().cast("int"), -F.col("score").cast("double")] if sort_by_score else []
+    placed = positions(marked, "query_id", [(~F.col("_pass")).cast("int"), *score, F.col("idx")], "_at").withColumn("_place", F.col("_at") + 1).drop("_at")
     keep = F.col("_pass") & (F.col("_place") <= top if top is not None else F.lit(True))
     reason = F.when(F.col("_pass") & ~keep, F.concat(F.coalesce("reason", F.lit("")), F.lit(" Cut by top-k."))).otherwise(F.col("reason"))
     return placed.withColumn("kept", keep).withColumn("reason", reason).withColumn("place", F.when(F.col("kept"), F.col("_place"))).drop("_pass", "_place")
