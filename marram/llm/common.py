@@ -35,7 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/marram-{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/marram-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that are still lazy read them."""
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/marram-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -53,9 +63,7 @@ def release(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` that nothing lazy reads any more."""
     path = getattr(df, "marram_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+        _delete(df.sparkSession, path)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

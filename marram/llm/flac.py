@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.llm.common import small_batches
@@ -39,7 +39,7 @@ PRECISION = 12
 PARTITIONS = 1
 RATE = 8000
 #: Samples handled in one numpy step.
-STEP = 1 << 20
+STEP = 1 << 22
 
 
 class CorruptStream(ValueError):
@@ -110,17 +110,20 @@ def _predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     top = np.frexp(np.abs(a).max(axis=1))[1]
     shift = np.clip(PRECISION - 1 - top, 0, 15)
     limit = 1 << (PRECISION - 1)
-    return np.clip(np.rint(a * np.exp2(shift)[:, None]), -limit, limit - 1).astype(np.int64), shift.astype(np.int64)
+    return np.clip(np.rint(a * np.exp2(shift)[:, None]), -limit, limit - 1).astype(np.int32), shift.astype(np.int32)
 
 
 def _bytes_of(values: np.ndarray, widths: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """``values`` of up to 16 significant bits, each ending before bit ``ends``, in ``size`` bytes."""
-    significant = np.minimum(widths, 16)
-    first = (ends - significant) >> 3
-    wide = values << (24 - significant - ((ends - significant) & 7))
-    out = np.zeros(size + 3)
-    for k in range(3):
-        out += np.bincount(first + k, weights=(wide >> (16 - 8 * k)) & 255, minlength=size + 3)
+    """``values`` of ``widths`` (at most 15) significant bits, each ending before bit ``ends``, in ``size`` bytes."""
+    starts = ends - widths
+    first = starts >> 3
+    shift = 24 - widths - (starts & 7)
+    wide = values << shift
+    out = np.bincount(first, weights=wide >> 16, minlength=size + 3)
+    second = (wide >> 8) & 255
+    out[1:] += np.bincount(first, weights=second, minlength=size + 3)[: size + 2]
+    third = np.flatnonzero(wide & 255)
+    np.add.at(out, first[third] + 2, wide[third] & 255)
     return out[:size].astype(np.uint8)
 
 
@@ -128,38 +131,45 @@ def _bodies(x: np.ndarray) -> list[bytes]:
     """Subframes of equally long frames (frames, samples)."""
     n, size = x.shape
     coefficients, shift = _predictors(x)
-    guess = np.zeros((n, size - ORDER), dtype=np.int64)
+    guess = np.zeros((n, size - ORDER), dtype=np.int32)
     for k in range(ORDER):
         guess += coefficients[:, k : k + 1] * x[:, ORDER - 1 - k : size - 1 - k]
-    residual = x[:, ORDER:] - (guess >> shift[:, None])
-    folded = np.where(residual < 0, -2 * residual - 1, 2 * residual)
+    guess >>= shift[:, None]
+    residual = np.subtract(x[:, ORDER:], guess, out=guess)
+    folded = (residual << 1) ^ (residual >> 31)
     part = size >> PARTITIONS
-    values, widths = [], []
-
-    def field(value, width) -> None:
-        value = np.broadcast_to(np.asarray(value, dtype=np.int64).reshape(-1, 1) if np.ndim(value) < 2 else value, (n, 1 if np.ndim(value) < 2 else value.shape[1]))
-        values.append(value)
-        widths.append(np.broadcast_to(width, value.shape) if np.ndim(width) < 2 else width)
-
-    field((0x20 | (ORDER - 1)) << 1, 8)
-    field(x[:, :ORDER] & 255, 8)
-    field(PRECISION - 1, 4)
-    field(shift, 5)
-    field(coefficients & ((1 << PRECISION) - 1), PRECISION)
-    field(PARTITIONS, 6)
+    heads = 1 + ORDER + 2 + ORDER + 1
+    columns = heads + (1 << PARTITIONS) + size - ORDER
+    value, width = np.empty((n, columns), dtype=np.int32), np.empty((n, columns), dtype=np.int32)
+    at = 0
+
+    def fields(values, bits) -> None:
+        nonlocal at
+        values = np.asarray(values, dtype=np.int32)
+        count = values.shape[1] if values.ndim == 2 else 1
+        value[:, at : at + count] = values if values.ndim != 1 else values[:, None]
+        width[:, at : at + count] = bits
+        at += count
+
+    fields((0x20 | (ORDER - 1)) << 1, 8)
+    fields(x[:, :ORDER] & 255, 8)
+    fields(PRECISION - 1, 4)
+    fields(shift, 5)
+    fields(coefficients & ((1 << PRECISION) - 1), PRECISION)
+    fields(PARTITIONS, 6)
     for p in range(1 << PARTITIONS):
         u = folded[:, max(0, p * part - ORDER) : (p + 1) * part - ORDER]
-        mean = u.mean(axis=1)
-        k = np.clip(np.floor(np.log2(0.6931 * mean + 0.35)) + 1, 0, 14).astype(np.int64)[:, None]
-        field(k, 4)
-        field((u & ((1 << k) - 1)) | (1 << k), (u >> k) + 1 + k)
-    value, width = np.concatenate(values, axis=1), np.concatenate(widths, axis=1).astype(np.int64)
-    bits = width.sum(axis=1)
+        k = np.clip(np.floor(np.log2(0.6931 * u.mean(axis=1) + 0.35)) + 1, 0, 14).astype(np.int32)[:, None]
+        fields(k, 4)
+        fields((u & ((1 << k) - 1)) | (1 << k), (u >> k) + 1 + k)
+    bits = width.sum(axis=1, dtype=np.int64)
     sizes = (bits + 7) >> 3
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    ends = np.cumsum(width, axis=1) + 8 * starts[:-1, None]
-    # A Rice code's leading zeros need no writing: only its stop bit and remainder are significant.
-    data = _bytes_of(value.reshape(-1), np.minimum(width, 15).reshape(-1), ends.reshape(-1), int(starts[-1])).tobytes()
+    ends = np.cumsum(width, axis=1, dtype=np.int64)
+    ends += 8 * starts[:-1, None]
+    # A Rice code's leading zeros need no writing: its stop bit and remainder are the last 15 bits at most.
+    np.minimum(width, 15, out=width)
+    data = _bytes_of(value.reshape(-1), width.reshape(-1), ends.reshape(-1), int(starts[-1])).tobytes()
     constant = (x == x[:, :1]).all(axis=1).tolist()
     raw = (x & 255).astype(np.uint8)
     out = []
@@ -214,7 +224,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     numbers, samples, frames = [], [], []
     waiting = 0
     for payload in payloads:
-        signed = np.frombuffer(payload, dtype=np.uint8).astype(np.int64) - 128
+        signed = np.frombuffer(payload, dtype=np.uint8).astype(np.int32) - 128
         for number, at in enumerate(range(0, len(signed), BLOCK)):
             numbers.append(number)
             samples.append(signed[at : at + BLOCK])
@@ -286,7 +296,7 @@ class _Bits:
 
     def window(self, at: np.ndarray) -> np.ndarray:
         """At least 57 bits from bit ``at`` on, left-aligned."""
-        return self.words[at >> 3] << (at & 7).astype(np.uint64)
+        return self.words[at >> 3] << (at & 7).view(np.uint64)
 
     def take(self, at: np.ndarray, width: np.ndarray | int) -> np.ndarray:
         width = np.asarray(width)
@@ -356,35 +366,40 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbe
     at = at + 6
     k = np.zeros(len(coded), dtype=np.int64)
     running = np.searchsorted(-size, -np.arange(longest), side="left").tolist()
+    begins = {i for p, o in {*zip(part.tolist(), order.tolist(), strict=True)} for i in (o, *range(p, longest, p)) if i >= o}
     for i, n in enumerate(running):
-        first = (i % part[:n] == 0) & (i >= order[:n]) | (i == order[:n]) if i <= most or (i % part[:n] == 0).any() else None
-        if first is not None and first.any():
-            on = np.flatnonzero(first)
-            k[on] = bits.take(at[on], 4)
-            at[on] += 4
-            if (k[on] == 15).any():
+        here, low = at[:n], k[:n]
+        if i in begins:
+            on = np.flatnonzero((i % part[:n] == 0) & (i >= order[:n]) | (i == order[:n]))
+            low[on] = bits.take(here[on], 4)
+            here[on] += 4
+            if (low[on] == 15).any():
                 raise CorruptStream("an escaped partition")
-        here = at[:n]
         window = bits.window(here)
-        zeros = _CLZ16[(window >> np.uint64(48)).astype(np.int64)]
-        more = np.flatnonzero(zeros == 16)
-        place = here[more] + 16
-        while len(more):
-            again = _CLZ16[(bits.window(place) >> np.uint64(48)).astype(np.int64)]
-            zeros[more] += again
-            place = place[again == 16] + 16
-            more = more[again == 16]
-        low = k[:n]
-        rest = bits.take(here + zeros + 1, low)
+        zeros = _CLZ16[(window >> np.uint64(48)).view(np.int64)]
+        if int(zeros.max(initial=0)) < 16:
+            # Stop bit and remainder are in the window: the bits after the stop bit, then one more shift for width 0.
+            rest = ((window << (zeros + 1).view(np.uint64)) >> np.uint64(1) >> (63 - low).view(np.uint64)).view(np.int64)
+        else:
+            more = np.flatnonzero(zeros == 16)
+            place = here[more] + 16
+            while len(more):
+                again = _CLZ16[(bits.window(place) >> np.uint64(48)).view(np.int64)]
+                zeros[more] += again
+                place = place[again == 16] + 16
+                more = more[again == 16]
+            rest = bits.take(here + zeros + 1, low)
         folded = zeros << low | rest
         value = folded >> 1 ^ -(folded & 1)
+        used = zeros + low
+        used += 1
         if i < most:
             on = order[:n] <= i
             x[i, :n] = np.where(on, value, x[i, :n])
-            at[:n] += np.where(on, zeros + 1 + low, 0)
+            here += np.where(on, used, 0)
         else:
             x[i, :n] = value
-            at[:n] += zeros + 1 + low
+            here += used
     for i, n in enumerate(running):
         if i < most:
             guess = np.zeros(n, dtype=np.int64)
@@ -452,9 +467,15 @@ def read_samples(media: bytes, first: int, count: int) -> bytes:
 # ---------------------------------------------------------------- columns
 
 
+def _batches(spark: SparkSession) -> None:
+    """Many texts to a batch, as frames are handled side by side, but a bounded number of bytes."""
+    small_batches(spark, 2048)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a stream."""
-    small_batches(docs.sparkSession)
+    _batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -489,7 +510,7 @@ def feature(payload: bytes) -> str:
 
 def digests(media: DataFrame) -> DataFrame:
     """Per stream, from its stored bytes: sizes, sums and features of payload and stream."""
-    small_batches(media.sparkSession)
+    _batches(media.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -70,6 +70,8 @@ class PrefixTable:
             if len(piece) == 1 or piece in self.halves:
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
+        self.holds_line_ends = any("\n" in piece for piece in self.ids)
+        self.line_end = (self.bytes[10],), str(self.bytes[10])
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[tuple[int, ...], str]] = {}
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
@@ -178,10 +180,30 @@ class PrefixTable:
         return [g[0] for g in got], [g[1] for g in got]
 
     def _known(self, key: str, word: str) -> tuple[tuple[int, ...], str]:
-        found = self.words.get(key) or self.older.get(key) or self.word(word)
+        """ids of ``word``, from ``self.words`` or worked out and put there under ``key``."""
+        found = self.words.get(key) or self.older.get(key) or self._extended(key, word) or self.word(word)
         self.words[key] = found
         return found
 
+    def _extended(self, key: str, word: str) -> tuple[tuple[int, ...], str] | None:
+        """ids of a word that is a known one and more: after a line end, which no piece holds, a new word
+        begins; a mark that may stand beside the last token of what is before it is the last token."""
+        if "\n" in word and not self.holds_line_ends:
+            head, *rest = word.split("\n")
+            parts = [self._known(head[1:], head) if head else ((), "")]
+            for line in rest:
+                parts += [self.line_end, self._known(SPACE + line, line) if line else ((), "")]  # no other key holds a space mark
+            return tuple(chain.from_iterable(p[0] for p in parts)), " ".join(p[1] for p in parts if p[1])
+        if len(key) > 1 and word[-1] in ".,;:!?":
+            mark = self.ids.get(word[-1])
+            before = self._known(key[:-1], word[:-1]) if mark is not None and len(word) > 2 else None
+            if before is not None:
+                last = before[0][-1]
+                fits = last not in self.piece or (known if (known := self.pairs.get(last << 32 | mark)) is not None else self.beside(last, mark))
+                if fits:
+                    return (*before[0], mark), f"{before[1]} {mark}"
+        return None
+
 
 _tables: dict[str, PrefixTable] = {}
 
