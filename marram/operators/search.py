@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marram.functions.ranking import top_k
 from marram.functions.text import all_tokens, query_tokens
+from marram.plans.scratch import stored
 
 K1, B = 1.2, 0.75
 #: Bytes of query vectors sent to the executors at once.
@@ -22,11 +23,12 @@ def rounded(x: Column | str) -> Column:
 def bm25(refs: DataFrame, queries: DataFrame, text: Column | None = None) -> DataFrame:
     """query_id, reference_id, score for every document that shares a word with a query.
 
-    Only words of queries are kept from the documents, so what is shuffled follows the hits; counts
-    of a word in a document are made before its document frequency joins.
+    Texts are tokenised once, into a stored table whose lengths give the mean. Only words of queries
+    are kept from it, so what is shuffled follows the hits; counts of a word in a document are made
+    before its document frequency joins.
     """
     text = text if text is not None else F.col("text")
-    words = refs.select("reference_id", all_tokens(text, 1).alias("words")).withColumn("length", F.size("words"))
+    words = stored(refs.select("reference_id", all_tokens(text, 1).alias("words")).withColumn("length", F.size("words")), "words")
     total, mean = words.agg(F.count(F.lit(1)), F.avg("length")).first()
     wanted = queries.select("query_id", F.explode(query_tokens(F.col("text"), 3)).alias("term"))
     postings = words.select("reference_id", "length", F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")

@@ -21,8 +21,21 @@ HIERARCHY = (
 )
 
 
+#: Tables whose rows cost much work each.
+TEXTS = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has hardly more splits than there are cores: a small file can be one
+    row group, which one task would tokenise alone. A large scan stays as it is; filters and columns still
+    reach it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= 2 * cores else df
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
