@@ -19,6 +19,6 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written there as Parquet and read back: evaluated once, with known sizes."""
-    path = f"{shared_folder(df.sparkSession)}/marram-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/marram-{df.sparkSession.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
