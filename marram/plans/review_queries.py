@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions.text import metric_text
-from marram.operators import evaluation, rank, search, tables
+from marram.operators import catalog, evaluation, rank, search, tables
 from marram.plans.registry import WORDS, query
 from marram.plans.search_queries import BM25
 from marram.plans.workflow import Context, Workflow
@@ -282,4 +282,73 @@ def worker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").groupBy("run_id").agg(F.count(F.lit(1)).alias("taken"))
 
 
+KINDS = "CASE event_id % 4 WHEN 0 THEN 'Simple' WHEN 1 THEN 'complex ' WHEN 2 THEN 'NEGATIVE' ELSE 'other' END AS c, CASE event_id % 5 WHEN 0 THEN 'Recommendatoin' WHEN 1 THEN 'multi-step  reasoning' WHEN 2 THEN 'Mal/formed' WHEN 3 THEN 'Table' ELSE 'unknown' END AS s"
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, {KINDS} FROM events), n AS (SELECT event_id, lower(trim(c)) AS c, CASE s WHEN 'Recommendatoin' THEN 'recommendation' WHEN 'multi-step  reasoning' THEN 'multi_step_reasoning' WHEN 'Mal/formed' THEN 'malformed' WHEN 'Table' THEN 'table' END AS s FROM e)
+SELECT event_id, CASE WHEN (c = 'simple' AND s IN ('recommendation', 'table')) OR (c = 'complex' AND s = 'multi_step_reasoning') OR (c = 'negative' AND s = 'malformed') THEN c || '/' || s END AS class FROM n"""
+)
+def classification_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", KINDS.split(", CASE event_id % 5")[0], "CASE event_id % 5" + KINDS.split(", CASE event_id % 5")[1])
+    found = rows.select("event_id", catalog.classification(F.col("c"), F.col("s")).alias("k"))
+    return found.select("event_id", F.when(F.col("k").isNotNull(), F.concat_ws("/", "k.super_class", "k.sub_class")).alias("class"))
+
+
+@query(
+    """WITH g AS (SELECT 'c' || conv_id AS question_group_id, 'c' || conv_id || '-' || turn AS question_id, text AS question FROM conversations WHERE role = 'user')
+SELECT 'run' AS run_id, question_id, 'queued' AS status, length(question) AS n_chars FROM g"""
+)
+def run_creation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    questions = turns.select(F.concat(F.lit("c"), F.col("conv_id")).alias("question_group_id"), F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("question_id"), F.col("text").alias("question"), F.lit("").alias("expected_answer"))
+    return catalog.create_run(questions, "run").select("run_id", "question_id", "status", F.length("question").cast(LONG).alias("n_chars"))
+
+
+@query(f"WITH {SAMPLES} SELECT run_id, sample_id, CASE WHEN run_id = 7 THEN 'queued' ELSE status END AS status, CASE WHEN run_id <> 7 THEN event_type END AS answer FROM s")
+def run_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _samples(spark, sf_dir).withColumnRenamed("event_type", "answer")
+    return catalog.rerun(samples, _tasks(spark, sf_dir), 7)[0].select("run_id", "sample_id", "status", "answer")
+
+
+@query(
+    """WITH g AS (SELECT conv_id, turn, length(text) % 3 AS rating FROM conversations WHERE length(text) % 2 = 0), u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant')
+SELECT g.conv_id, g.turn, rating, sha256(u.text) AS question_sha, sha256(a.text) AS answer_sha FROM g JOIN u USING (conv_id, turn) LEFT JOIN a USING (conv_id, turn)"""
+)
+def feedback_denormalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations")
+    given = chats.where("length(text) % 2 = 0").select("conv_id", "turn", (F.length("text") % 3).cast(LONG).alias("rating"))
+    return catalog.feedback(chats, given).select("conv_id", "turn", "rating", F.sha2("question", 256).alias("question_sha"), F.sha2("answer", 256).alias("answer_sha"))
+
+
+@query(
+    """WITH r AS (SELECT doc_id AS reference_id, source AS guideline_id, lang, least(n_chars // 1000, 5) AS bucket, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS content FROM documents),
+k AS (SELECT * FROM r WHERE content <> '')
+SELECT reference_id, guideline_id, row_number() OVER (PARTITION BY guideline_id ORDER BY lang, bucket, reference_id) - 1 AS chunk_index, sha256(content) AS content_sha, '1 ' || lang || ' / 1.' || bucket || ' B' || bucket AS headers FROM k"""
+)
+def vector_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = references(spark, sf_dir)
+    blank = {c: F.lit(None).cast("string") for c in ("caption", "describing_text", "plain_text", "title", "content", "metadata_type", "metadata_content")}
+    rows = catalog.ingest(refs.withColumn("contained_text", F.col("text")).withColumns(blank).drop("content").withColumn("content", F.lit(None).cast("string")))
+    return rows.select("reference_id", "guideline_id", "chunk_index", F.sha2("content", 256).alias("content_sha"), "headers")
+
+
+@query("SELECT source AS guideline_id, lang AS reference_group_id, count(*) AS n_references, max(doc_id) AS newest, bool_or(n_chars > 5000) AS has_long FROM documents GROUP BY 1, 2")
+def guideline_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("guideline_id"), F.col("lang").alias("reference_group_id"))
+    return groups.agg(F.count(F.lit(1)).alias("n_references"), F.max("doc_id").alias("newest"), F.bool_or(F.col("n_chars") > 5000).alias("has_long"))
+
+
+@query(f"WITH {SAMPLES} SELECT run_id, bool_or(status IN ('queued', 'running')) AS active, count(DISTINCT event_type) AS n_workflows FROM s GROUP BY 1")
+def active_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _samples(spark, sf_dir).groupBy("run_id").agg(F.bool_or(F.col("status").isin("queued", "running")).alias("active"), F.count_distinct("event_type").alias("n_workflows"))
+
+
+@query(f"WITH {SAMPLES} SELECT DISTINCT event_type AS workflow_id FROM s WHERE event_type NOT IN (SELECT event_type FROM s WHERE run_id = 7 AND status = 'failed')")
+def unknown_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _samples(spark, sf_dir)
+    known = samples.where("run_id = 7 and status = 'failed'").select(F.col("event_type").alias("workflow_id")).distinct()
+    return samples.select(F.col("event_type").alias("workflow_id")).distinct().join(known, "workflow_id", "left_anti")
+
+
 ORACLE_STREAM = f"WITH {SAMPLES} SELECT run_id, count(*) AS taken FROM s WHERE status IN ('queued', 'running') GROUP BY 1"

@@ -145,3 +145,31 @@ def test_worker_and_sessions(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("sessions").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.turns, r.last_text) for r in spark.sql("select * from sessions").collect()] == [(2, "ho")]
+
+
+def test_collections_and_classes(spark):
+    from marram.operators import catalog
+
+    made = catalog.Collection("Refs", {"title": "text", "tags": "text[]", "n": "int"}, {"text": "cosine"})
+    assert made.create(spark).columns == ["uuid", "title", "tags", "n", "text"]
+    for name, properties, vectors in (("refs", {}, {"v": "dot"}), ("Refs", {"a": "nothing"}, {"v": "dot"}), ("Refs", {}, {}), ("Refs", {"v": "int"}, {"v": "dot"})):
+        with pytest.raises(ValueError):
+            catalog.Collection(name, properties, vectors)
+    rows = spark.createDataFrame([("Simple", "recommendatoin"), ("complex", "multi-step reasoning"), ("negative", "table"), (None, "text")], "a string, b string")
+    got = [r[0] for r in rows.select(catalog.classification(F.col("a"), F.col("b"))).collect()]
+    assert [tuple(g) if g else None for g in got] == [("simple", "recommendation"), ("complex", "multi_step_reasoning"), None, None]
+    judged = spark.createDataFrame([('ok {"similarity": 0.5, "reasoning": "r"}',), ("none",)], "x string").select(catalog.judge_score(F.col("x"))).collect()
+    assert [tuple(j[0]) for j in judged] == [(0.5, "r", "ok"), (None, None, "unavailable")]
+
+
+def test_chats(spark):
+    from marram.operators import catalog
+
+    chats = spark.createDataFrame([(1, "old")], "conv_id long, title string")
+    assert catalog.renamed(chats, 1, "  new " + "x" * 200).first().title == ("new " + "x" * 200)[:120]
+    log = spark.createDataFrame([], "conv_id long, turn int, question string, answer string")
+    asked = spark.createDataFrame([(1, 0, "q"), (1, 2, "r")], "conv_id long, turn int, question string")
+    out = catalog.ask(log, asked, spark.createDataFrame([(1, 0, "a")], "conv_id long, turn int, answer string"))
+    assert {(r.turn, r.answer) for r in out.collect()} == {(0, "a"), (2, None)}
+    nodes = spark.createDataFrame([("g", 1), ("h", 2)], "graph_name string, id long")
+    assert catalog.without_graph(nodes, "g").count() == 1
