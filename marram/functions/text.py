@@ -125,6 +125,13 @@ def history_block(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit('<turn role="'), t["role"], F.lit('">'), t["text"], F.lit("</turn>"))), "\n")
 
 
+def previous_answer(output: Column, trace: Column) -> Column:
+    """A turn's output, white space collapsed; where it is blank, the last response of an end in its
+    trace, array<struct<component,response>> (P16)."""
+    ends = F.filter(trace, lambda t: t["component"].startswith("end") & (F.coalesce(collapse(t["response"]), F.lit("")) != ""))
+    return F.coalesce(empty_as_null(collapse(output)), collapse(F.try_element_at(ends, F.lit(-1))["response"]))
+
+
 def page_label(pages: Column) -> Column:
     """Distinct pages, ascending, comma-separated."""
     return F.array_join(F.transform(F.array_sort(F.array_distinct(pages)), lambda p: p.cast("string")), ", ")

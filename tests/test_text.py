@@ -42,6 +42,12 @@ def test_model_answers(spark):
     assert one(spark, X.yes_no(F.col("x")), "x string", ("Yes, because",), ("no",), ("?",)) == [True, False, None]
 
 
+def test_previous_answer(spark):
+    rows = [(" a  b ", None), (" ", [("end", "x"), ("end", " y "), ("filter", "z")]), (None, [])]
+    df = spark.createDataFrame(rows, "o string, t array<struct<component:string,response:string>>")
+    assert [r[0] for r in df.select(X.previous_answer(F.col("o"), F.col("t"))).collect()] == ["a b", "y", None]
+
+
 def test_contents_by_type(spark):
     schema = "type string, contained_text string, caption string, describing_text string, plain_text string, table_markdown string, title string, content string, grade string, metadata_type string, metadata_content string"
     rows = [
