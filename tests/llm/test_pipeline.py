@@ -1,0 +1,67 @@
+"""Stages of the pipeline: what goes, what stays, and which columns come out."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline as pipeline
+from marram.llm.common import materialise
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """A small corpus: clean texts, junk, copies, near copies, a shared passage and a secret."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice(["an", "er", "in", "th", "on", "re", "st", "ou"]) for _ in range(rng.randrange(1, 4)))
+    line = lambda n: (" ".join(word() for _ in range(n)) + ".").capitalize()
+    clean = ["\n".join(line(rng.randrange(8, 30)) for _ in range(rng.randrange(3, 8))) for _ in range(60)]
+    junk = [" ".join(f"{word().upper()}!!" for _ in range(rng.randrange(60, 120))) for _ in range(30)]
+    passage = line(70)
+    rows = [(i, t) for i, t in enumerate(clean)]
+    rows += [(100 + i, t) for i, t in enumerate(junk)]
+    rows += [(200, clean[0]), (201, clean[1]), (300, f"{line(20)}\n{passage}\n{line(22)}"), (301, f"{line(25)}\n{passage}\n{line(21)}"), (302, f"{line(20)}\n{line(22)}\nHere is password=abcd1234efgh too."), (400, None), (401, "")]
+    near = line(200).split(" ")
+    rows += [(500, " ".join(near)), (501, " ".join(near[:-1] + ["else."]))]
+    data = [(i, t, "en", "src0", len(t or "")) for i, t in rows]
+    base = tmp_path_factory.mktemp("corpus")
+    spark.createDataFrame(data, SCHEMA).withColumn("score", F.lit(3)).withColumn("kept", F.lit("k")).write.parquet(f"file://{base}/documents.parquet")
+    labels = [(i, 1 if i < 100 else 0, 0) for i in [*range(60), *range(100, 130)]]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{base}/labels.parquet")
+    return f"file://{base}", dict(rows), passage
+
+
+def test_stages_one_by_one(spark, folder):
+    base, texts, passage = folder
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, base), "test")
+        assert docs.columns == columns and docs.schema["n_chars"].dataType.simpleString() == "bigint"
+        seen[name] = {r.doc_id: r for r in docs.collect()}
+    quality, lines, near, clean = (seen[k] for k in ("quality", "line_dedup", "near_dedup", "secrets"))
+    assert not any(100 <= i < 130 for i in quality) and all(i in quality and quality[i].text == texts[i] for i in range(60))
+    assert 200 not in lines and 201 not in lines and lines[0].text == texts[0]
+    assert passage in lines[300].text and passage not in lines[301].text and lines[301].n_chars == len(lines[301].text)
+    assert 500 in near and 501 not in near
+    assert "[secret]" in clean[302].text and "abcd1234efgh" not in clean[302].text and clean[302].n_chars == len(clean[302].text)
+    assert all(clean[i].score == 3 and clean[i].kept == "k" for i in clean)
+    packed = pipeline.STAGES[-1][1](spark, docs, base).collect()
+    assert {r.doc_id for r in packed} == set(clean)
+    assert {r.doc_id: r.n_tokens for r in packed} == {i: len((r.text or "").split()) for i, r in clean.items()}
+
+
+def test_stages_of_nothing(spark, folder):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in pipeline.STAGES[1:]:
+        assert stage(spark, docs, folder[0]).collect() == []
+
+
+def test_run_is_the_stages_in_order(spark, folder):
+    assert [name for name, _ in pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "secrets", "packing"] and pipeline.ORACLE_SQL is None
+    got = pipeline.run(spark, folder[0]).collect()
+    assert len({r.doc_id for r in got}) == len(got) > 50
