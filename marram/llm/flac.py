@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from marram.llm.common import small_batches
 
 UNIT = 192
-BLOCK = 2304
-ORDER = 8
-PRECISION = 12
+BLOCK = 4608
+ORDER = 12
+PRECISION = 8
 #: Partitions of a frame are 2 ** this.
 PARTITIONS = 1
 RATE = 8000

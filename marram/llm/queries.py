@@ -64,7 +64,7 @@ ORACLES["op4_license_scan"] = licenses.oracle()
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams of all texts, written as a media column and read back."""
     path = scratch_path(spark, "media")
-    flac.to_media(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(path)
+    flac.to_media(table(spark, sf_dir, "documents")).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
     return flac.digests(spark.read.parquet(path))
 
 
