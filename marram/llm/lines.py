@@ -3,16 +3,19 @@
 A text is cut into lines. After a line, a rolling hash over the last ``window`` line hashes says
 whether a chunk ends there, once the chunk has ``min_lines`` lines; a line of ``long_words`` words
 or more is a chunk by itself, and so ends the one before. Boundaries thus depend on nearby content
-alone: what is inserted or removed elsewhere in a text leaves them where they are. Of all chunks in
-the corpus with the same bytes the first (smallest id, then position) stays. The others go if they
-have several lines or are one long line; a single short line that stands elsewhere goes only if a
-chunk beside it does, that is, as part of a repeated passage of several lines.
+alone: what is inserted or removed elsewhere in a text leaves them where they are.
 
-Hashes only choose what is compared: a chunk is removed after its bytes were found equal to those
-of the chunk that stays. Only hashes of all chunks are counted; bytes move for repeated ones.
+Where a repeated passage begins or ends inside a chunk, no chunk there is repeated. So that it goes
+up to its first and last line, each line and the next one with words are a unit of their own beside
+the chunks. Of all units in the corpus with the same bytes the first (smallest id, then position)
+stays; the lines of the others go. A single short line that stands elsewhere goes only with a line
+beside it, that is, as part of a repeated passage. The first place of a line is never taken out.
+
+Hashes only choose what is compared: a unit is removed after its bytes were found equal to those
+of the unit that stays. Only hashes of all units are counted; bytes move for repeated ones.
 
 Defined cases: null and empty texts have no chunks and stay as they are; a text without a removed
-chunk stays the same to the byte; a text all of whose chunks go is empty; rows that repeat both id
+unit stays the same to the byte; a text all of whose lines go is empty; rows that repeat both id
 and text are one document and get the same result; a null id is an id, before all others; further
 columns are kept, but for those named like the three new ones, which are replaced.
 """
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import hash_lines, materialise, mix64, small_batches
+from marram.llm.common import hash_lines, materialise, mix64, release, small_batches
 
 _U = np.uint64
 
@@ -51,8 +54,8 @@ def chunk_starts(hashes: np.ndarray, words: list[int], window: int, divisor: int
     return starts
 
 
-def _cut(texts: list[bytes | None], parameters: dict) -> list[list[tuple[int, int, int, int]]]:
-    """For each text its chunks: first line, end line, words, hash."""
+def _cut(texts: list[bytes | None], parameters: dict) -> list[tuple[np.ndarray, list[int], list[int]]]:
+    """For each text its line hashes, the words of its lines and the first line of each chunk."""
     split = [t.split(b"\n") if t else [] for t in texts]
     hashes = hash_lines([line for lines in split for line in lines])
     out, at = [], 0
@@ -60,55 +63,73 @@ def _cut(texts: list[bytes | None], parameters: dict) -> list[list[tuple[int, in
         own = hashes[at : at + len(lines)]
         at += len(lines)
         words = [len(line.split()) for line in lines]
-        starts = chunk_starts(own, words, **parameters) if lines else []
-        chunks = []
-        if starts:
-            place = np.arange(len(own)) - np.repeat(starts, np.diff([*starts, len(own)]))
-            sums = np.add.reduceat(mix64(own + place.astype(_U) * _U(0x9E3779B97F4A7C15)), starts)
-            for begin, end, h in zip(starts, [*starts[1:], len(own)], sums.view(np.int64).tolist(), strict=True):
-                chunks.append((begin, end, sum(words[begin:end]), h))
-        out.append(chunks)
+        out.append((own, words, chunk_starts(own, words, **parameters) if lines else []))
+    return out
+
+
+def _units(own: np.ndarray, words: list[int], starts: list[int], long_words: int) -> list[tuple[int, int, bool, int]]:
+    """What can go from a text: first line, end line, pair or chunk, hash.
+
+    A pair is a line with words and the next one with words. A chunk of one short line can't go by
+    itself; one of two lines with words is a pair already.
+    """
+    if not starts:
+        return []
+    full = np.flatnonzero(words)
+    hashes = mix64(mix64(own[full[:-1]]) + own[full[1:]] * _U(0x9E3779B97F4A7C15)).view(np.int64).tolist()
+    full = full.tolist()
+    out = [(a, b + 1, True, h) for a, b, h in zip(full, full[1:], hashes, strict=False)]
+    place = np.arange(len(own)) - np.repeat(starts, np.diff([*starts, len(own)]))
+    sums = np.add.reduceat(mix64(own + place.astype(_U) * _U(0x9E3779B97F4A7C15)), starts)
+    for begin, end, h in zip(starts, [*starts[1:], len(own)], sums.view(np.int64).tolist(), strict=True):
+        some = sum(n > 0 for n in words[begin:end])
+        if some > 2 or some == 1 and (end - begin > 1 or words[begin] >= long_words):
+            out.append((begin, end, False, h))
     return out
 
 
-def _chunks(docs: DataFrame, parameters: dict, bodies: bool) -> DataFrame:
-    """The chunks of docs (doc_id, row_hash, text) that hold words; ``solid`` ones go by themselves."""
-    long_words = parameters["long_words"]
+def _heads(docs: DataFrame, parameters: dict) -> DataFrame:
+    """The units of docs (doc_id, row_hash, text)."""
 
     def run(batches):
         for batch in batches:
             texts = [t.encode("utf-8", "replace") if t else None for t in batch.column(2).to_pylist()]
+            rows = [(k, *unit) for k, cut in enumerate(_cut(texts, parameters)) for unit in _units(*cut, parameters["long_words"])]
+            at = pa.array([r[0] for r in rows], pa.int32())
+            kinds = pa.int32(), pa.int32(), pa.bool_(), pa.int64()
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc_id", "row_hash", "begin", "end", "pair", "unit_hash"])
+
+    return docs.mapInArrow(run, "doc_id long, row_hash long, begin int, end int, pair boolean, unit_hash long")
+
+
+def _bodies(docs: DataFrame) -> DataFrame:
+    """The bytes of the units that docs (doc_id, row_hash, text, units) name; of a pair, those of its two lines with words."""
+
+    def run(batches):
+        for batch in batches:
             rows = []
-            for k, (text, chunks) in enumerate(zip(texts, _cut(texts, parameters), strict=True)):
-                lines = text.split(b"\n") if text and bodies else []
-                for number, (begin, end, words, h) in enumerate(chunks):
-                    if words:
-                        rows.append((k, number, h, end - begin > 1 or words >= long_words, b"\n".join(lines[begin:end])))
+            for k, (text, units) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                lines = text.encode("utf-8", "replace").split(b"\n")
+                for u in units:
+                    own = [lines[u["begin"]], lines[u["end"] - 1]] if u["pair"] else lines[u["begin"] : u["end"]]
+                    rows.append((k, u["begin"], u["end"], u["pair"], u["unit_hash"], u["stays"], b"\n".join(own)))
             at = pa.array([r[0] for r in rows], pa.int32())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.bool_())]
-            names = ["doc_id", "row_hash", "chunk", "chunk_hash", "solid"]
-            if bodies:
-                columns.append(pa.array([r[4] for r in rows], pa.binary()))
-                names.append("body")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            kinds = pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary()
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc_id", "row_hash", "begin", "end", "pair", "unit_hash", "stays", "body"])
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, chunk int, chunk_hash long, solid boolean" + ", body binary" * bodies)
+    return docs.mapInArrow(run, "doc_id long, row_hash long, begin int, end int, pair boolean, unit_hash long, stays boolean, body binary")
 
 
-def _spread(solid: set[int], weak: set[int]) -> set[int]:
-    """``solid`` chunks and the ``weak`` ones that lie in a row with them."""
-    drop, edge = set(solid), list(solid)
-    while edge:
-        at = edge.pop()
-        for beside in (at - 1, at + 1):
-            if beside in weak and beside not in drop:
-                drop.add(beside)
-                edge.append(beside)
-    return drop
+def _with_lists(docs: DataFrame, units: DataFrame, columns: list[str], name: str, how: str) -> DataFrame:
+    """docs (doc_id, _m_hash, ...) with the ``columns`` of their units as the array ``name``."""
+    lists = units.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct(*columns)).alias(name)).select(F.col("doc_id").alias("_m_id"), F.col("row_hash").alias("_m_row"), name)
+    return docs.join(lists, F.col("doc_id").eqNullSafe(F.col("_m_id")) & F.col("_m_hash").eqNullSafe(F.col("_m_row")), how).drop("_m_id", "_m_row")
 
 
 def _without(docs: DataFrame, parameters: dict) -> DataFrame:
-    """docs (doc_id, text, _m_gone: array of chunk and solid, ...) with the chunks ``_m_gone`` taken out."""
+    """docs (doc_id, text, _m_gone: array of begin and end, ...) with the lines of ``_m_gone`` taken out."""
 
     def run(batches):
         for batch in batches:
@@ -117,19 +138,13 @@ def _without(docs: DataFrame, parameters: dict) -> DataFrame:
             some = [k for k, g in enumerate(gone) if g]
             chunks_gone, lines_gone, words_gone = ([0] * len(texts) for _ in range(3))
             encoded = [(texts[k] or "").encode("utf-8", "replace") for k in some]
-            for k, text, chunks in zip(some, encoded, _cut(encoded, parameters), strict=True):
-                lines, kept = text.split(b"\n"), []
-                drop = _spread({g["chunk"] for g in gone[k] if g["solid"]}, {g["chunk"] for g in gone[k] if not g["solid"]})
-                for number, (begin, end, words, _) in enumerate(chunks):
-                    if number in drop:
-                        chunks_gone[k] += 1
-                        lines_gone[k] += end - begin
-                        words_gone[k] += words
-                    else:
-                        kept += lines[begin:end]
-                if drop:
-                    left = b"\n".join(kept)
-                    texts[k] = left.decode("utf-8") if left.strip() else ""
+            for k, text, (_, words, starts) in zip(some, encoded, _cut(encoded, parameters), strict=True):
+                drop = sorted({i for g in gone[k] for i in range(g["begin"], g["end"])})
+                chunks_gone[k] = len(set(np.searchsorted(starts, drop, side="right").tolist()))
+                lines_gone[k], words_gone[k] = len(drop), sum(words[i] for i in drop)
+                out = set(drop)
+                left = b"\n".join(line for i, line in enumerate(text.split(b"\n")) if i not in out)
+                texts[k] = left.decode("utf-8") if left.strip() else ""
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(chunks_gone, pa.int32()), pa.array(lines_gone, pa.int32()), pa.array(words_gone, pa.int64())], names=[*batch.schema.names, "chunks_removed", "lines_removed", "words_removed"])
@@ -139,21 +154,22 @@ def _without(docs: DataFrame, parameters: dict) -> DataFrame:
 
 
 def dedup(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, long_words: int = 50) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with repeated chunks removed from ``text``, and the new columns
-    chunks_removed, lines_removed and words_removed."""
+    """``docs`` (doc_id, text, ...) with the lines of repeated units removed from ``text``, and the new columns
+    chunks_removed (those that lost lines), lines_removed and words_removed."""
     small_batches(docs.sparkSession)
     parameters = {"window": window, "divisor": divisor, "min_lines": min_lines, "long_words": long_words}
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("chunks_removed", "lines_removed", "words_removed").withColumn("_m_hash", F.xxhash64("text"))
-    narrow = keyed.select("doc_id", F.col("_m_hash").alias("row_hash"), "text")
-
-    heads = _chunks(narrow, parameters, bodies=False)
-    place = F.struct("doc_id", "row_hash", "chunk")
-    repeated = heads.groupBy("chunk_hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("chunk_hash", "first")
-    found = _chunks(narrow, parameters, bodies=True).join(repeated, "chunk_hash").withColumn("stays", place.eqNullSafe(F.col("first"))).drop("first")
-    found = materialise(found, "chunks")
-
-    stay = found.where("stays").dropDuplicates(["chunk_hash"]).select("chunk_hash", F.col("body").alias("kept_body"))
-    gone = found.where("not stays").join(stay, "chunk_hash").where("body = kept_body")
-    lists = gone.groupBy("doc_id", "row_hash").agg(F.collect_set(F.struct("chunk", "solid")).alias("_m_gone")).select(F.col("doc_id").alias("_m_id"), F.col("row_hash").alias("_m_row"), "_m_gone")
-    joined = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("_m_id")) & (F.col("_m_hash") == F.col("_m_row")), "left").drop("_m_id", "_m_row", "_m_hash")
+    narrow = keyed.select("doc_id", "_m_hash", "text")
+
+    heads = materialise(_heads(narrow, parameters), "units")
+    place, key = F.struct("doc_id", "row_hash", "begin"), ["unit_hash", "pair"]
+    repeated = heads.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(*key, "first")
+    places = heads.join(repeated, key).withColumn("stays", place.eqNullSafe(F.col("first"))).drop("first")
+    found = _with_lists(narrow, places, ["begin", "end", "pair", "unit_hash", "stays"], "_m_units", "inner")
+    found = materialise(_bodies(found.select("doc_id", "_m_hash", "text", "_m_units")), "bodies")
+    release(heads)
+
+    stay = found.where("stays").dropDuplicates(key).select(*key, F.col("body").alias("kept_body"))
+    gone = found.where("not stays").join(stay, key).where("body = kept_body")
+    joined = _with_lists(keyed, gone, ["begin", "end"], "_m_gone", "left").drop("_m_hash")
     return _without(joined, parameters).drop("_m_gone")

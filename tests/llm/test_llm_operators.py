@@ -193,6 +193,24 @@ def test_repeated_chunks_go_and_the_first_stays(spark):
     assert lines.dedup(empty(spark)).collect() == []
 
 
+def test_passages_over_short_lines_go_whole(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        size = 2 + k % 3
+        passage = [line(-(-51 // size)) for _ in range(size)]
+        for doc in (2 * k, 2 * k + 1):
+            head, tail = [line(rng.randrange(3, 30)) for _ in range(rng.randrange(4))], [line(rng.randrange(3, 30)) for _ in range(rng.randrange(1, 4))]
+            rows.append((doc, "\n".join(head + passage + tail)))
+            want[doc] = (rows[-1][1], 0, 0) if doc % 2 == 0 else ("\n".join(head + tail), size, len(" ".join(passage).split()))
+    got = {r.doc_id: (r.text, r.lines_removed, r.words_removed) for r in lines.dedup(frame(spark, rows)).collect()}
+    assert got == want
+    # Lines with another line between in each text, and a short line by itself, are no passage; blank lines don't part one.
+    apart = [(1, "one here\nfirst own\ntwo here"), (2, "two here\nsecond own\none here"), (3, "alpha a\n\nbeta b\nown c"), (4, "own d\nalpha a\n \nbeta b\nown e")]
+    assert {r.doc_id: r.text for r in lines.dedup(frame(spark, apart)).collect()} == dict(apart) | {4: "own d\nown e"}
+
+
 def test_boundaries_resist_shifts():
     from marram.llm.common import hash_lines
 
