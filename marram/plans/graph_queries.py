@@ -24,7 +24,7 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def _similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.similarity_edges(vectors(spark, sf_dir), threshold=0.3, k=8, group="label")
+    return search.similarity_edges(vectors(spark, sf_dir), threshold=0.3, k=8)
 
 
 @query(

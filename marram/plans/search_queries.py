@@ -46,7 +46,7 @@ for _kind in V.DISTANCES:
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM p WHERE score >= 0.2) SELECT src, dst, score FROM r WHERE r <= 8"""
 )
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.similarity_edges(vectors(spark, sf_dir), threshold=0.2, k=8, group="label")
+    return search.similarity_edges(vectors(spark, sf_dir), threshold=0.2, k=8)
 
 
 BM25 = f"""docs AS (SELECT doc_id, {WORDS} AS ws0 FROM documents), d AS (SELECT doc_id, list_filter(ws0, lambda x: length(x) >= 1) AS ws FROM docs), st AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)) AS m FROM d),

@@ -33,6 +33,27 @@ def test_similarity_edges_unit_case(spark):
     assert got == {(1, 2), (2, 1)}
 
 
+def test_similarity_edges_know_no_label(spark, sf):
+    import numpy as np
+
+    from marram.plans import graph_queries, search_queries
+    from marram.sources.views import vectors
+
+    rows = vectors(spark, sf).collect()
+    x = np.array([r.embedding for r in rows], dtype=np.float64)
+    norm = np.sqrt((x * x).sum(axis=1))
+    scores = np.round(x @ x.T / norm[:, None] / norm[None], 6)
+    np.fill_diagonal(scores, -1)
+    label = {r.vec_id: r.label for r in rows}
+    for run, threshold in ((search_queries.similarity_edges, 0.2), (graph_queries._similarity, 0.3)):
+        want = set()
+        for i, r in enumerate(rows):
+            best = sorted((-scores[i, j], o.vec_id) for j, o in enumerate(rows) if scores[i, j] >= threshold)[:8]
+            want |= {(r.vec_id, dst) for _, dst in best}
+        got = {(r.src, r.dst) for r in run(spark, sf).collect()}
+        assert got == want and any(label[a] != label[b] for a, b in got)
+
+
 def test_fusion_without_scores_uses_ranks(spark):
     hits = spark.createDataFrame([(1, 1, 1.0, 7, 1, 0.8), (1, 2, 0.5, 7, 1, None), (1, 2, 0.5, 8, 3, None)], "query_id long, subquery int, weight double, reference_id long, rank int, score double")
     assert {r.reference_id: r.score for r in search.fuse(hits, 10).collect()} == {7: 1.3, 8: 0.4}
