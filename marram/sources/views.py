@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marram.functions.ranking import positions
 
 #: Shortest keyword, in characters.
-KEYWORD_LENGTH = 12
+KEYWORD_LENGTH = 6
 
 HIERARCHY = (
     "array(named_struct('title', lang, 'heading_level', 1, 'heading_number', '1', 'order', 0L),"

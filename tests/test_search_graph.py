@@ -54,6 +54,28 @@ def test_similarity_edges_know_no_label(spark, sf):
         assert got == want and any(label[a] != label[b] for a, b in got)
 
 
+def test_keywords_have_six_characters(spark, sf):
+    import re
+    from collections import Counter
+
+    from marram.plans import graph_queries
+    from marram.sources.views import keywords
+
+    refs = spark.createDataFrame([(1, "Short words, sixsix and sevenn_ Sixsix"), (2, None), (3, "fives only here")], "reference_id long, text string")
+    assert {(r.reference_id, r.keyword) for r in keywords(refs).collect()} == {(1, "sixsix"), (1, "sevenn_")}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    words = {r.doc_id: {w for w in re.split(r"\W+", (r.text or "").lower()) if len(w) >= 6} for r in rows}
+    counts = {r.kind: r.n for r in graph_queries.graph_nodes_edges_summary(spark, sf).collect()}
+    assert counts["keyword_edges"] == sum(map(len, words.values())) and counts["keywords"] == len(set().union(*words.values()))
+    want = Counter()
+    for s in rows:
+        for r in rows if s.doc_id % 50 == 0 else []:
+            shared = len(words[s.doc_id] & words[r.doc_id])
+            if shared >= 2 and r.doc_id != s.doc_id:
+                want[s.source, s.doc_id, r.doc_id, shared, round(shared / min(len(words[s.doc_id]), len(words[r.doc_id])), 6)] += 1
+    assert Counter((r.query_id, r.seed_id, r.reference_id, r.shared, r.ratio) for r in graph_queries.graph_expand_keyword(spark, sf).collect()) == want
+
+
 def test_fusion_without_scores_uses_ranks(spark):
     hits = spark.createDataFrame([(1, 1, 1.0, 7, 1, 0.8), (1, 2, 0.5, 7, 1, None), (1, 2, 0.5, 8, 3, None)], "query_id long, subquery int, weight double, reference_id long, rank int, score double")
     assert {r.reference_id: r.score for r in search.fuse(hits, 10).collect()} == {7: 1.3, 8: 0.4}
