@@ -4,7 +4,10 @@ Each text is cut into sentences; a sentence that mentions a licensing word is no
 case, punctuation to spaces, white space collapsed) and mapped to the identifier of the known
 sentence that it is. A sentence of the kind that is not known keeps the identifier "unknown". The
 identifiers of a text, in order, are then matched against ordered license rules; a rule consumes
-the identifiers it matches, so that a later, weaker rule does not count them again.
+the identifiers it matches, and no others, so that a later, weaker rule does not count them again.
+Between two sentences of a rule there may be others, but not the rule's first sentence again (of
+two notices, each is matched by itself), nor another license that "or later" may belong to. What
+stands between stays for later rules.
 
 No shuffle: all is done in the scan, row by row, on whole texts.
 
@@ -73,6 +76,8 @@ RULES = (
     ("public-domain", ("PublicDomain",)),
     ("proprietary", ("RightsReserved",)),
 )
+#: Sentences that a following OrLater may belong to; it belongs to the nearest.
+VERSIONED = ("AgplRef", "LgplRef", "Gpl3Ref", "Gpl2Ref", "GplRef")
 #: A sentence ends at a line end, or at . ! ? ; before white space; a version's dot doesn't end one.
 SENTENCE_END = r"([.!?;])[ \t]+"
 
@@ -98,12 +103,16 @@ def sentence_ids(text: Column) -> Column:
 
 
 def _rule(name: str, needs: tuple[str, ...]):
-    """One rule's step on a struct(rest, names)."""
-    pattern = ",(" + ",(?:[A-Za-z0-9]+,)*?".join(needs) + "),"
+    """One rule's step on a struct(rest, names). The gaps between its sentences go back in place; the closing comma
+    is only looked at, so that the next match can begin there."""
+    stops = "|".join(VERSIONED if "OrLater" in needs else needs[:1])
+    gap = f"((?:,(?!(?:{stops}),)[A-Za-z0-9]+)*?),"
+    pattern = "," + gap.join(needs) + "(?=,)"
+    gaps = "".join(f"${i}" for i in range(1, len(needs)))
 
     def step(s: Column) -> Column:
         hit = s["rest"].rlike(pattern)
-        rest = F.when(hit, F.regexp_replace(s["rest"], pattern, ",")).otherwise(s["rest"])
+        rest = F.when(hit, F.regexp_replace(s["rest"], pattern, gaps)).otherwise(s["rest"])
         return F.struct(rest.alias("rest"), F.when(hit, F.concat(s["names"], F.array(F.lit(name)))).otherwise(s["names"]).alias("names"))
 
     return step

@@ -296,6 +296,21 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).collect() == []
 
 
+def test_rules_leave_what_stands_between(spark):
+    cases = {
+        "ApacheRef,CcBy4,MitRef,ApacheNoUse,ApacheAsIs": (["Apache-2.0", "MIT", "CC-BY-4.0"], ""),
+        "Gpl3Ref,CcByNc4,Gpl2Ref,OrLater": (["GPL-3.0", "GPL-2.0-or-later", "CC-BY-NC-4.0"], ""),
+        "Gpl3Ref,OrLater,Gpl3Ref,OrLater": (["GPL-3.0-or-later"], ""),
+        "Gpl3Ref,Gpl3Ref,unknown,OrLater": (["GPL-3.0-or-later", "GPL-3.0"], "unknown"),
+        "MitGrant,AsIs,MitNotice,unknown,MitGrant,MitNotice": (["MIT"], "AsIs,unknown"),
+        "ApacheRef,unknown,ApacheNoUse,Cc0,ApacheAsIs,ApacheRef": (["Apache-2.0", "Apache-2.0", "CC0-1.0"], "unknown"),
+        "MitRef,MitRef,AsIs,MitRef": (["MIT"], "AsIs"),
+        "": ([], ""),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "ids string").select("ids", licenses.matched(F.split("ids", ",")).alias("m"))
+    assert {r.ids: (r.m.names, ",".join(x for x in r.m.rest.split(",") if x)) for r in df.collect()} == cases
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
