@@ -9,6 +9,9 @@ Between two sentences of a rule there may be others, but not the rule's first se
 two notices, each is matched by itself), nor another license that "or later" may belong to. What
 stands between stays for later rules.
 
+A known sentence may be wrapped: line ends inside it, with comment marks beside them, are white space.
+A line end after . ! ? ; : or beside a blank line is none of these.
+
 No shuffle: all is done in the scan, row by row, on whole texts.
 
 Defined cases: null, empty and blank texts have no sentences and no licenses; every row of repeated
@@ -80,6 +83,21 @@ RULES = (
 VERSIONED = ("AgplRef", "LgplRef", "Gpl3Ref", "Gpl2Ref", "GplRef")
 #: A sentence ends at a line end, or at . ! ? ; before white space; a version's dot doesn't end one.
 SENTENCE_END = r"([.!?;])[ \t]+"
+#: What may stand between two words of a wrapped sentence.
+GAP = r"(?:(?![.!?;:][ \t\r]*\n|\n[^\p{L}\p{N}\n]*\n)[^\p{L}\p{N}])+"
+#: Known sentences over raw text; a tag, a copyright line and a reservation have a line of their own.
+WRAPPED = "(?i)" + "|".join(rf"(?:\b(?:{p.removeprefix('^').replace(' ', GAP)}))" for k, p in SENTENCES if k not in ("SpdxTag", "RightsReserved", "CopyrightLine"))
+#: MENTION over any white space, and a sentence that it needs one more character for.
+MENTIONED = MENTION.replace("[ -]", "[\\s-]").replace(" ", r"[^\p{L}\p{N}]+") + r"|provided[^\p{L}\p{N}]+as[^\p{L}\p{N}]+is\b"
+
+
+def unwrapped(text: Column) -> Column:
+    """``text`` without the line ends inside known sentences. That of a wrapped "or later" goes before it, as
+    it is a sentence beside that of its license."""
+    one = lambda h: F.regexp_replace(h, r"[^\p{L}\p{N}]*\n[^\p{L}\p{N}]*", " ")
+    hits = F.transform(F.regexp_extract_all(text, F.lit(WRAPPED), F.lit(0)), lambda h: F.when(~h.contains("\n"), h).when(h.rlike(r"(?i)^or\b"), F.concat(F.lit("\n"), one(h))).otherwise(one(h)))
+    parts = F.zip_with(F.split(text, WRAPPED, -1), hits, lambda p, h: F.concat(p, F.coalesce(h, F.lit(""))))
+    return F.when(text.contains("\n"), F.array_join(parts, "")).otherwise(text)
 
 
 def normalised(sentence: Column) -> Column:
@@ -97,7 +115,7 @@ def sentence_id(sentence: Column) -> Column:
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the licensing sentences of a text, in order."""
-    mentioned = F.filter(F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n"), lambda s: s.rlike(MENTION))
+    mentioned = F.filter(F.split(F.regexp_replace(unwrapped(text), SENTENCE_END, "$1\n"), "\n"), lambda s: s.rlike(MENTIONED))
     # The normalised sentence is bound once, not repeated in each pattern.
     return F.transform(F.transform(mentioned, normalised), sentence_id)
 
@@ -129,7 +147,7 @@ def matched(ids: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids, licenses (in rule order, each once), unmatched (identifiers no rule took)."""
     text = F.coalesce("text", F.lit(""))
-    ids = F.when(text.rlike(MENTION), sentence_ids(text)).otherwise(F.array().cast("array<string>"))
+    ids = F.when(text.rlike(MENTIONED), sentence_ids(text)).otherwise(F.array().cast("array<string>"))
     out = docs.select("doc_id", ids.alias("sentence_ids"))
     none = F.array().cast("array<string>")
     state = F.when(F.size("sentence_ids") > 0, matched(F.col("sentence_ids"))).alias("m")

@@ -311,6 +311,29 @@ def test_rules_leave_what_stands_between(spark):
     assert {r.ids: (r.m.names, ",".join(x for x in r.m.rest.split(",") if x)) for r in df.collect()} == cases
 
 
+def test_wrapped_headers(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Neither the name of the holder nor the names of its contributors may be used to endorse
+  or promote products derived from this software."""
+    mit = """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software.
+
+The above copyright notice and this permission
+notice shall be included in all copies."""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    rows = [(1, bsd), (2, "\n".join(f" * {x}" for x in bsd.split("\n"))), (3, mit), (4, gpl), (5, "under the GNU General Public\n# License, version 3, or\n# (at your option) any later version."), (6, "Provided as is.")]
+    rows += [(7, "Licensed under CC BY 4.0\nReleased under the MIT License\nAll rights reserved"), (8, "under the Apache\n\nLicense 2.0 Licensed under the\n\nMIT License"), (9, "(at your option)\nor any\nlater\nversion")]
+    got = {r.doc_id: (r.licenses, r.sentence_ids) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got[1][0] == got[2][0] == ["BSD-3-Clause"] and got[3][0] == ["MIT"]
+    assert got[4][0] == ["GPL"] and got[4][1][-1] == "OrLater" and got[5][0] == ["GPL-3.0-or-later"] and got[6][1] == ["AsIs"]
+    assert got[7][0] == ["MIT", "CC-BY-4.0", "proprietary"] and got[8][0] == [] and got[9][1] == ["OrLater"]
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
