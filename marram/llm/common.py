@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts can be long, so batches are kept short.
+#: Rows and bytes that a task works on at once. Texts can be long, so both are kept small.
 ARROW_ROWS = 256
+ARROW_BYTES = 8 << 20
 
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
@@ -24,9 +27,12 @@ _GOLD = 0x9E3779B97F4A7C15
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; where none is set, a temporary one (single node)."""
+    """The folder that the session names in spark.checkpoint.dir. Where none is named, a local master gets
+    one of this machine; a cluster has to name one that all its machines see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="marram-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -66,9 +72,13 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
+    """Spark's batches in parts of at most ``rows`` rows and about ``size`` bytes, so that what a step
+    holds is bounded whatever the session says."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 # ---------------------------------------------------------------- hashing in numpy

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm.common import small_batches
+from marram.llm.common import slices
 
 UNIT = 192
 BLOCK = 4608
@@ -467,18 +467,11 @@ def read_samples(media: bytes, first: int, count: int) -> bytes:
 # ---------------------------------------------------------------- columns
 
 
-def _batches(spark: SparkSession) -> None:
-    """Many texts to a batch, as frames are handled side by side, but a bounded number of bytes."""
-    small_batches(spark, 2048)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a stream."""
-    _batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             media = encode([pad(t) for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -488,10 +481,9 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, block, sample_offset, n_samples, pcm (unsigned 8-bit) of each frame of each stream."""
-    small_batches(media.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             ids, streams = batch.column(0).to_pylist(), [Stream(m) for m in batch.column(1).to_pylist()]
             for s, first, block in decode_blocks(streams):
                 columns = [pa.array([ids[s]], pa.int64()), pa.array([first // streams[s].block], pa.int32()), pa.array([first], pa.int64()), pa.array([len(block)], pa.int32()), pa.array([block], pa.binary())]
@@ -510,10 +502,9 @@ def feature(payload: bytes) -> str:
 
 def digests(media: DataFrame) -> DataFrame:
     """Per stream, from its stored bytes: sizes, sums and features of payload and stream."""
-    _batches(media.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 2048):
             stored = batch.column(2).to_pylist()
             payloads = decode(stored)
             columns = [

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import hash_lines, materialise, mix64, release, small_batches
+from marram.llm.common import hash_lines, materialise, mix64, release, slices
 
 _U = np.uint64
 
@@ -92,7 +92,7 @@ def _heads(docs: DataFrame, parameters: dict) -> DataFrame:
     """The units of docs (doc_id, row_hash, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode("utf-8", "replace") if t else None for t in batch.column(2).to_pylist()]
             rows = [(k, *unit) for k, cut in enumerate(_cut(texts, parameters)) for unit in _units(*cut, parameters["long_words"])]
             at = pa.array([r[0] for r in rows], pa.int32())
@@ -107,7 +107,7 @@ def _bodies(docs: DataFrame) -> DataFrame:
     """The bytes of the units that docs (doc_id, row_hash, text, units) name; of a pair, those of its two lines with words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for k, (text, units) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 lines = text.encode("utf-8", "replace").split(b"\n")
@@ -132,7 +132,7 @@ def _without(docs: DataFrame, parameters: dict) -> DataFrame:
     """docs (doc_id, text, _m_gone: array of begin and end, ...) with the lines of ``_m_gone`` taken out."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             texts, gone = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("_m_gone")).to_pylist()
             some = [k for k, g in enumerate(gone) if g]
@@ -156,7 +156,6 @@ def _without(docs: DataFrame, parameters: dict) -> DataFrame:
 def dedup(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, long_words: int = 50) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the lines of repeated units removed from ``text``, and the new columns
     chunks_removed (those that lost lines), lines_removed and words_removed."""
-    small_batches(docs.sparkSession)
     parameters = {"window": window, "divisor": divisor, "min_lines": min_lines, "long_words": long_words}
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("chunks_removed", "lines_removed", "words_removed").withColumn("_m_hash", F.xxhash64("text"))
     narrow = keyed.select("doc_id", "_m_hash", "text")

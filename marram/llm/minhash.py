@@ -1,15 +1,25 @@
 """MinHash near-duplicates by min-max hashing.
 
 Every permutation of the shingle hashes gives two signature values, its minimum and its
-maximum, so ``bands * rows`` values cost half as many hash evaluations; banding them picks the
-documents that may have a partner. Among those, links are confirmed on full shingle sets:
-candidate pairs come from the rarest shingles of each set (a set and its partner at similarity t
-share one of the ``n - ceil(t n) + 1`` rarest of either), so crowded buckets of documents that
-are alike, but not alike enough, need neither a cap nor all their pairs.
+maximum, so ``bands * rows`` values cost half as many hash evaluations. Bands of these values
+choose the candidate pairs; each candidate pair is confirmed on full shingle sets.
+
+Three things keep crowds of alike documents linear, without a cap:
+
+* Equal sets are one set, whatever their number.
+* A shingle that only one of the banded sets has is in no intersection. Without these, sets that are
+  left equal and were of equal size are one *class*: its members link with the same others. A class
+  that is left with too few shingles to reach the threshold with anything is out at once, so variants
+  that are each a little too far from the rest of a crowd are never compared.
+* In each bucket of a band the classes meet the first class there; only what that did not join meets
+  the others: all but the largest component of a bucket against the classes of other components there.
+
+The class pairs compared are at most those of one bucket that are in different components although
+they share four fifths of their shingles with something. None is dropped.
 
 Defined cases: a null or blank text has the empty set and links with nothing; a null id is never
-linked (component null, kept); equal sets are one class whatever their number; rows that repeat an
-id share its component; columns other than the id and the text are not read.
+linked (component null, kept); rows that repeat an id are one document, which has the links of all its
+texts; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -18,12 +28,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import connected_components, materialise, mix64, shingle_sets, small_batches
+from marram.llm.common import connected_components, materialise, mix64, release, shingle_sets, slices
 
 _U = np.uint64
+_PRINT_A, _PRINT_B = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 SIGNATURE = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>"
 
 
@@ -34,18 +45,29 @@ def permutations(count: int, seed: int = 20011) -> tuple[np.ndarray, np.ndarray]
 
 
 def min_max_signatures(flat: np.ndarray, sizes: np.ndarray, count: int) -> np.ndarray:
-    """(sets, 2 * count): minimum and maximum of each permuted set; no set may be empty."""
+    """(sets, 2 * count): the minima of all permuted sets, then the maxima; no set may be empty.
+
+    A minimum and a maximum of one permutation are in different bands: a band's values are then
+    independent, and of the two bands at most one more often than not fails.
+    """
     a, b = permutations(count)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     out = np.empty((len(sizes), 2 * count), dtype=_U)
+    value = np.empty_like(flat)
     for p in range(count):
-        value = flat * a[p] + b[p]
-        out[:, 2 * p] = np.minimum.reduceat(value, starts)
-        out[:, 2 * p + 1] = np.maximum.reduceat(value, starts)
+        np.multiply(flat, a[p], out=value)
+        np.add(value, b[p], out=value)
+        out[:, p] = np.minimum.reduceat(value, starts)
+        out[:, count + p] = np.maximum.reduceat(value, starts)
     return out
 
 
-def bands_needed(threshold: float, rows: int = 4, miss: float = 5e-8) -> int:
+def estimated_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Unbiased estimate of the Jaccard similarity from two signatures: the share of equal values."""
+    return float((a == b).mean())
+
+
+def bands_needed(threshold: float, rows: int, miss: float = 5e-8) -> int:
     """Bands that leave a pair at the threshold without a common band no oftener than ``miss``;
     even, so that each permutation gives both its values."""
     n = math.ceil(math.log(miss) / math.log1p(-(threshold**rows)))
@@ -56,7 +78,7 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFram
     """One row per document: set size, 128-bit set fingerprint, one key per band."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             flat, sizes = shingle_sets(texts, shingle)
             full = sizes > 0
@@ -64,14 +86,13 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFram
             prints = np.zeros((len(sizes), 2), dtype=_U)
             if full.any():
                 some = sizes[full]
-                starts = np.concatenate([[0], np.cumsum(some)[:-1]])
                 values = min_max_signatures(flat, some, bands * rows // 2).reshape(len(some), bands, rows)
                 acc = np.broadcast_to(np.arange(bands, dtype=_U) + _U(1), (len(some), bands)).copy()
                 for r in range(rows):
                     acc = mix64(acc * _U(0x9E3779B97F4A7C15) + values[:, :, r])
                 keys[full] = acc
-                prints[full, 0] = np.add.reduceat(mix64(flat ^ _U(0x5851F42D4C957F2D)), starts)
-                prints[full, 1] = np.add.reduceat(mix64(flat ^ _U(0x14057B7EF767814F)), starts)
+                prints[full, 0] = _fingerprint(flat, some, _PRINT_A)
+                prints[full, 1] = _fingerprint(flat, some, _PRINT_B)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]), pa.int32()), pa.array(keys[full].reshape(-1).view(np.int64))
             )
@@ -84,93 +105,112 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFram
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, n, fp_a and the set itself."""
+
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             flat, sizes = shingle_sets(texts, shingle)
+            prints = np.zeros(len(sizes), dtype=_U)
+            full = sizes > 0
+            if full.any():
+                prints[full] = _fingerprint(flat, sizes[full], _PRINT_A)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(prints.view(np.int64)), lists], names=["rep", "n", "fp_a", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, n long, fp_a long, shingles array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
+def _fingerprint(flat: np.ndarray, sizes: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """A 64-bit sum over each set; no set may be empty."""
+    return np.add.reduceat(mix64(flat ^ salt), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (src, dst) whose full sets reach the threshold."""
-    left = sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("b"))
-    both = F.size(F.array_intersect("a", "b")).cast("long")
-    total = (F.size("a") + F.size("b")).cast("long")
-    return pairs.join(left, "src").join(right, "dst").where(100 * both >= percent * (total - both)).select("src", "dst")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of
     ``shingle``-word shingles; a component is named by its smallest id.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = materialise(signatures(docs, shingle, rows, bands_needed(percent / 100, rows)), "sig")
     able = sig.where("n_shingles > 0 and doc_id is not null")
 
-    # Equal sets are one class, named by the smallest id.
-    classes = able.groupBy("n_shingles", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    several = materialise(classes.where("copies > 1").drop("copies"), "classes")
-    rows_of = sig.join(several, ["n_shingles", "fp_a", "fp_b"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = rows_of.where("rep = doc_id and n_shingles > 0")
-
-    # Documents that share a band with another class.
-    keys = reps.select("doc_id", F.explode("bands").alias("key")).groupBy("key")
-    crowded = keys.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    able_ids = reps.select("doc_id", F.explode("bands").alias("key")).join(crowded, "key", "left_semi").select("doc_id").distinct()
-    # A row that repeats an id with another text joins its links: the class of either text counts.
-    sets = materialise(_sets(docs.join(able_ids, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"]), "sets")
-
-    links = _links(sets, percent)
-    parts = connected_components(links)
-    out = rows_of.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (src, dst) that join all that is linked; pairs that are joined already are left out."""
-    each = sets.select("doc_id", F.explode("shingles").alias("token"))
-    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = each.join(common, "token").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    n = F.size("shingles").cast("long")
-    prefix = n - F.expr(f"(size(shingles) * {percent}L + 99) div 100") + 1
-    rare = (n - F.size("shared")).alias("rare")
-    postings = (
-        sets.join(shared, "doc_id")
-        .select("doc_id", n.alias("n"), rare, F.expr("shared").alias("shared"), prefix.alias("prefix"))
-        .where("prefix > rare")
-        .select("doc_id", "n", "rare", F.posexplode(F.expr("slice(shared, 1, int(prefix - rare))")).alias("i", "entry"))
-        .select("doc_id", "n", (F.col("rare") + F.col("i")).alias("pos"), F.col("entry.token").alias("token"))
-    )
-    postings = materialise(postings, "postings")
-
-    def possible(a: str, b: str) -> str:
-        """Size and position leave room for the overlap that the threshold asks for."""
-        need = f"(({percent}L * ({a}.n + {b}.n) + {99 + percent}L) div {100 + percent}L)"
-        return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and 1 + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1) >= {need}"
-
-    # First each document against the first one that shares one of its rare shingles.
-    hubs = postings.groupBy("token").agg(F.min(F.struct("doc_id", "n", "pos")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", "hub.*")
-    stars = postings.alias("a").join(hubs.alias("b"), "token").where("a.doc_id > b.doc_id").where(F.expr(possible("a", "b")))
-    stars = stars.select(F.col("b.doc_id").alias("src"), F.col("a.doc_id").alias("dst")).distinct()
-    first = materialise(_confirmed(stars, sets, percent), "links")
+    # Equal sets are one set, named by the smallest id that has it.
+    copies = able.groupBy("n_shingles", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    copies = materialise(copies.where("copies > 1").drop("copies"), "copies")
+    rows_of = sig.join(copies, ["n_shingles", "fp_a", "fp_b"], "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
+
+    edges = _links(docs, rows_of.where("rep = doc_id and n_shingles > 0"), shingle, percent)
+    # An id with several texts: these are one document.
+    several = rows_of.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("src"), F.max("rep").alias("hi")).where("src < hi").drop("hi")
+    edges = edges.unionByName(rows_of.select("doc_id", F.col("rep").alias("dst")).join(several, "doc_id").select("src", "dst"))
+
+    parts = connected_components(edges)
+    out = rows_of.select("doc_id", "n_shingles", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (src, dst: ids that name sets) that join all that is linked, for ``reps`` (doc_id, fp_a, bands)."""
+    # Sets that share a band with another one. A set is known by the id that names it and a fingerprint.
+    banded = reps.select(F.col("doc_id").alias("rep"), "fp_a", F.explode("bands").alias("key"))
+    crowded = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    buckets = materialise(banded.join(crowded, "key", "left_semi"), "buckets")
+    which = buckets.select("rep", "fp_a").distinct()
+    texts = docs.join(which.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = materialise(_sets(texts, shingle).join(which, ["rep", "fp_a"], "left_semi").dropDuplicates(["rep", "fp_a"]), "sets")
+
+    # What of each set other sets have as well.
+    each = sets.select("rep", "fp_a", F.explode("shingles").alias("token"))
+    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
+    shared = each.join(common, "token").groupBy("rep", "fp_a").agg(F.sort_array(F.collect_list("token")).alias("shared"))
+    shared = shared.join(sets.select("rep", "fp_a", "n"), ["rep", "fp_a"]).withColumn("r", F.size("shared").cast("long")).where(f"100 * r >= {percent} * n")
+    shared = materialise(shared.withColumn("h1", F.xxhash64("shared")).withColumn("h2", F.xxhash64(F.lit(1), "shared")), "shared")
+
+    # Classes: what is shared and the size are the same, so all members link with the same sets.
+    same = ["n", "h1", "h2"]
+    classes = shared.groupBy(*same).agg(F.min(F.struct("rep", "fp_a")).alias("first"), F.count(F.lit(1)).alias("members")).withColumn("cid", F.monotonically_increasing_id())
+    classes = materialise(classes.select("cid", *same, "first.rep", "first.fp_a", "members"), "classes")
+    members = materialise(shared.select("rep", "fp_a", "r", *same).join(classes.select("cid", *same), same).select("rep", "fp_a", "cid", "n", "r"), "members")
+    class_sets = materialise(shared.join(classes.select("cid", "rep", "fp_a"), ["rep", "fp_a"]).select("cid", "n", "shared"), "class-sets")
+    at = materialise(buckets.join(members, ["rep", "fp_a"]).select("key", "cid", "n", "r").distinct(), "class-buckets")
+    for table in (buckets, sets, shared):
+        release(table)
+
+    def possible(a: str, b: str) -> Column:
+        """The sizes leave room for the intersection that the threshold asks for."""
+        return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {percent} * ({a}.n + {b}.n) <= {100 + percent} * least({a}.r, {b}.r)")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        left = class_sets.select(F.col("cid").alias("src"), F.col("n").alias("m"), F.col("shared").alias("a"))
+        right = class_sets.select(F.col("cid").alias("dst"), F.col("n").alias("n"), F.col("shared").alias("b"))
+        both = F.size(F.array_intersect("a", "b")).cast("long")
+        return pairs.join(left, "src").join(right, "dst").where(100 * both >= percent * (F.col("m") + F.col("n") - both)).select("src", "dst")
+
+    # First each class against the first one of its buckets.
+    hubs = at.groupBy("key").agg(F.min(F.struct("cid", "n", "r")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub.*")
+    stars = at.alias("a").join(hubs.alias("b"), "key").where("a.cid > b.cid").where(possible("a", "b"))
+    first = materialise(confirmed(stars.select(F.col("b.cid").alias("src"), F.col("a.cid").alias("dst")).distinct()), "links")
     parts = materialise(connected_components(first), "parts")
 
-    # Then what shares a rare shingle and isn't joined: all but the largest component at a shingle against all there.
-    placed = postings.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    at = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("token")
-    mixed = at.agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "main")
-    open_ = materialise(placed.join(mixed, "token"), "open")
+    # Then what is in a bucket and isn't joined.
+    placed = at.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    mixed = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
+    mixed = mixed.agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
+    open_ = materialise(placed.join(mixed, "key"), "open")
     pairs = open_.where("component <> main").alias("a").join(
         open_.alias("b"),
-        (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & ((F.col("a.doc_id") < F.col("b.doc_id")) | (F.col("b.component") == F.col("b.main"))) & F.expr(possible("a", "b")),
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & ((F.col("a.cid") < F.col("b.cid")) | (F.col("b.component") == F.col("b.main"))) & possible("a", "b"),
     )
-    pairs = pairs.select(F.least("a.doc_id", "b.doc_id").alias("src"), F.greatest("a.doc_id", "b.doc_id").alias("dst")).distinct()
-    return first.unionByName(_confirmed(pairs, sets, percent))
+    pairs = pairs.select(F.least("a.cid", "b.cid").alias("src"), F.greatest("a.cid", "b.cid").alias("dst")).distinct()
+    links = materialise(first.unionByName(confirmed(pairs)), "links")
+
+    # A class whose members link with each other or with another class is joined whole; of others each is alone.
+    alike = classes.where("members > 1").join(members.select("cid", "r").distinct(), "cid").where(f"{percent} * 2 * n <= {100 + percent} * r").select("cid")
+    joined = links.select(F.col("src").alias("cid")).union(links.select("dst")).union(alike).distinct()
+    names = classes.select("cid", F.col("rep").alias("name"))
+    inside = members.join(joined, "cid", "left_semi").join(names, "cid").where("rep <> name").select(F.col("name").alias("src"), F.col("rep").alias("dst"))
+    across = links.join(names.select(F.col("cid").alias("src"), F.col("name").alias("a")), "src").join(names.select(F.col("cid").alias("dst"), F.col("name").alias("b")), "dst")
+    return inside.unionByName(across.select(F.col("a").alias("src"), F.col("b").alias("dst")))

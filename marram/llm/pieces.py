@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import small_batches
+from marram.llm.common import slices
 
 SPACE = "▁"
 #: Words, and pairs of tokens, remembered by a worker.
@@ -217,12 +217,11 @@ def prefix_table(path: str) -> PrefixTable:
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ids (with the end id) for each row of ``docs`` (doc_id, text)."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         table = prefix_table(model)
         end = table.processor.eos_id()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [[*chain.from_iterable(table.encode(t or "")[0]), end] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -234,7 +233,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         processor = prefix_table(model).processor
-        for batch in batches:
+        for batch in slices(batches):
             texts = processor.decode([i or [] for i in batch.column(1).to_pylist()], num_threads=1) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -243,12 +242,11 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, and decodes those ids, in one pass."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         table = prefix_table(model)
         processor, end = table.processor, table.processor.eos_id()
-        for batch in batches:
+        for batch in slices(batches):
             counts, ids_sha, all_ids = [], [], []
             for text in batch.column(1).to_pylist():
                 ids, decimal = table.encode(text or "")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import hash_words, small_batches
+from marram.llm.common import hash_words, slices
 
 WORD_BITS = 14
 BINS = 24
@@ -166,14 +166,13 @@ def _inputs(docs: DataFrame, metadata: list[str], *more: Column) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: list[str] | None = None, max_rows: int = 8192) -> Machine:
     """Fit on ``labels`` (doc_id, ``label`` 0/1), at most ``max_rows`` of them, and their texts in ``docs``."""
     metadata = list(metadata or [])
-    small_batches(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows ids of a few bytes: a proven bound, so the texts need not be shuffled.
     rows = _inputs(docs.join(F.broadcast(chosen), "doc_id"), metadata, F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("label"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             sizes, indices, values = features(*_columns(batch, metadata))
@@ -192,13 +191,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata:
 def score(docs: DataFrame, machine: Machine, metadata: list[str] | None = None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) for each row."""
     metadata = list(metadata or [])
-    small_batches(docs.sparkSession)
     docs = docs.drop("score")
     kept = docs.columns
     rows = docs.select("*", *[F.col(m).cast("double").alias(f"_m_{k}") for k, m in enumerate(metadata)])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             found = machine.score(*features(*_columns(batch, metadata)))

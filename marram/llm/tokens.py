@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marram.llm.common import small_batches
+from marram.llm.common import slices
 
 MAGIC = b"MBP1"
 HEAD = struct.Struct("<4sIIIQ")
@@ -240,7 +240,6 @@ SHARDS = "part int, seq int, n_ids long, doc_ids array<long>, shard binary"
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     """Encode ``docs`` (doc_id, text), end each document with ``end_id`` and write shards to ``path``."""
     spark = docs.sparkSession
-    small_batches(spark)
     bits, kind = bits_for(encoder(tokenizer).vocabulary), encoder(tokenizer).kind
     end = np.array([end_id], dtype=kind).tobytes()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -255,7 +254,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
             columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([total], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([write_shard(documents, bits)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_ids", "doc_ids", "shard"])
 
-        for batch in batches:
+        for batch in slices(batches):
             encoded = encoder(tokenizer).encode(batch.column(1).to_pylist())
             for doc_id, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids.append(doc_id)
@@ -285,10 +284,9 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 def documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the stored shards."""
-    small_batches(shards.sparkSession, 4)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for part, seq, ids, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 shard = Shard(data)
                 sizes = np.diff([*shard.firsts.tolist(), shard.ids])

@@ -46,12 +46,14 @@ def empty(spark):
 
 
 def brute_components(rows, k, percent):
-    sets = {}
+    sets, every = {}, []
     for i, t in rows:
         if i is None:
             continue
+        sets.setdefault(i, set())
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+        every.append((i, {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())))
+        sets[i] = every[-1][1]
     parent = {i: i for i in sets}
 
     def root(x):
@@ -59,15 +61,14 @@ def brute_components(rows, k, percent):
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b]:
-                both = len(sets[a] & sets[b])
-                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                    x, y = root(a), root(b)
-                    parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), root(i)) for i in ids}
+    for p, (a, x) in enumerate(every):
+        for b, y in every[p + 1 :]:
+            if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                both = len(x & y)
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    u, v = root(a), root(b)
+                    parent[max(u, v)] = min(u, v)
+    return {i: (len(sets[i]), root(i)) for i in sorted(sets)}
 
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
@@ -99,13 +100,57 @@ def test_a_crowd_of_variants_is_joined_whole(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows, 3, 85).items()}
 
 
+def test_crowds_under_and_over_the_threshold(spark):
+    """Some thousand rows: crowds whose members are just too far apart, just near enough, or near some only."""
+    rng = random.Random(5)
+    rows = []
+    for crowd in range(12):
+        base = [f"c{crowd}w{i}" for i in range(rng.randrange(30, 120))]
+        pool = [f"c{crowd}x{i}" for i in range(6)] if crowd % 3 == 0 else None
+        for _ in range(110):
+            text = list(base)
+            for _ in range(rng.randrange(0, 2 + len(text) // 25)):
+                text[rng.randrange(len(text))] = rng.choice(pool) if pool else f"v{rng.randrange(10**6)}"
+            rows.append((0, " ".join(text)))
+        # Windows that slide over one text: each is near the next ones, and the ends are joined through them.
+        long_text = [f"s{crowd}w{i}" for i in range(160)]
+        rows += [(0, " ".join(long_text[a : a + 60])) for a in range(0, 100, rng.choice([2, 3, 4, 5]))]
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    for k, percent in ((3, 85), (5, 80)):
+        want = brute_components(rows, k, percent)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows, False), k, percent).collect()}
+        assert got == want
+        assert 100 < len({c for _, c in want.values()}) < len(rows)
+
+
+def test_an_id_with_several_texts_has_the_links_of_all(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(80)) for p in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, c), (0, b), (5, None), (5, c + " end"), (5, c)]
+    got = minhash.near_duplicates(frame(spark, rows), 3, 85).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4}
+    assert all(r.component_id == brute_components(rows, 3, 85)[r.doc_id][1] for r in got)
+
+
+def test_signatures_estimate_without_bias():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    found = []
+    for _ in range(20):
+        x, y = (np.unique(np.concatenate([common, rng.integers(0, 2**63, 150, dtype=np.uint64)])) for _ in range(2))
+        s = minhash.min_max_signatures(np.concatenate([x, y]), np.array([len(x), len(y)]), 100)
+        found.append(minhash.estimated_similarity(s[0], s[1]))
+    assert abs(np.mean(found) - 0.7) < 0.02
+
+
 def test_min_max_values_are_minimum_and_maximum():
     flat, sizes = np.array([5, 9, 2, 7], dtype=np.uint64), np.array([3, 1])
     a, b = minhash.permutations(2)
     got = minhash.min_max_signatures(flat, sizes, 2)
     for p in range(2):
         value = flat * a[p] + b[p]
-        assert list(got[:, 2 * p]) == [value[:3].min(), value[3]] and list(got[:, 2 * p + 1]) == [value[:3].max(), value[3]]
+        assert list(got[:, p]) == [value[:3].min(), value[3]] and list(got[:, 2 + p]) == [value[:3].max(), value[3]]
 
 
 # ---------------------------------------------------------------- vectors
