@@ -3,8 +3,9 @@
 Quality classifier (what it rejects goes), line dedup, MinHash near-dedup (one document of each
 group stays), secret scan (spans are replaced by a mark) and packing. Each stage gets the rows
 that the one before kept, as a Parquet table in the shared folder; all but the last return the
-columns of documents. Rows that repeat an id are one document from the near-dedup on. A document
-whose lines all stand elsewhere is a copy and goes with the line dedup.
+columns of documents. Rows that repeat an id are one document for the near-dedup: they stay or go
+together, and of rows equal in id and text one stays. A document whose lines all stand elsewhere is a
+copy and goes with the line dedup.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("_m_id")).distinct()
     rows = _narrow(docs)
-    one = rows.join(kept, F.col("doc_id") == F.col("_m_id"), "left_semi").dropDuplicates(["doc_id"])
+    one = rows.join(kept, F.col("doc_id") == F.col("_m_id"), "left_semi").withColumn("_m_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_m_text"]).drop("_m_text")
     return _wide(one.unionByName(rows.where("doc_id is null")), docs)
 
 
