@@ -34,6 +34,9 @@ SPACE = "▁"
 #: Words, and pairs of tokens, remembered by a worker.
 MEMORY = 400_000
 PAIRS = 1_000_000
+#: Characters of a word that is remembered.
+LONGEST = 64
+MARKS = ".,;:!?"
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -182,26 +185,30 @@ class PrefixTable:
     def _known(self, key: str, word: str) -> tuple[tuple[int, ...], str]:
         """ids of ``word``, from ``self.words`` or worked out and put there under ``key``."""
         found = self.words.get(key) or self.older.get(key) or self._extended(key, word) or self.word(word)
-        self.words[key] = found
+        if len(word) <= LONGEST:
+            self.words[key] = found
         return found
 
     def _extended(self, key: str, word: str) -> tuple[tuple[int, ...], str] | None:
         """ids of a word that is a known one and more: after a line end, which no piece holds, a new word
-        begins; a mark that may stand beside the last token of what is before it is the last token."""
+        begins; a mark that may stand beside the last token of what is before it is the last token. Of a run
+        of marks only the word before it and the whole are remembered."""
         if "\n" in word and not self.holds_line_ends:
             head, *rest = word.split("\n")
             parts = [self._known(head[1:], head) if head else ((), "")]
             for line in rest:
                 parts += [self.line_end, self._known(SPACE + line, line) if line else ((), "")]  # no other key holds a space mark
             return tuple(chain.from_iterable(p[0] for p in parts)), " ".join(p[1] for p in parts if p[1])
-        if len(key) > 1 and word[-1] in ".,;:!?":
-            mark = self.ids.get(word[-1])
-            before = self._known(key[:-1], word[:-1]) if mark is not None and len(word) > 2 else None
-            if before is not None:
-                last = before[0][-1]
-                fits = last not in self.piece or (known if (known := self.pairs.get(last << 32 | mark)) is not None else self.beside(last, mark))
-                if fits:
-                    return (*before[0], mark), f"{before[1]} {mark}"
+        plain = len(word.rstrip(MARKS))
+        if 2 <= plain < len(word):
+            found, decimal = self._known(key[: plain - len(word)], word[:plain])
+            ids = list(found)
+            for mark in map(self.ids.get, word[plain:]):
+                last = ids[-1]
+                if mark is None or last in self.piece and not (known if (known := self.pairs.get(last << 32 | mark)) is not None else self.beside(last, mark)):
+                    return None
+                ids.append(mark)
+            return tuple(ids), " ".join([decimal, *map(str, ids[len(found) :])])
         return None
 
 
