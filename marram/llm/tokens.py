@@ -11,9 +11,11 @@ without reading the rest. Shards lie in a Parquet table (part, seq, doc ids, sha
 order of doc_id over (part, seq): any store that Spark writes to will do, parts of the table can be
 read by themselves, and a lost task writes its part again. :func:`export` puts plain files beside.
 
-Encoding: a byte-level tokenizer whose pattern starts a new piece at a space before a non-space
+Encoding is what the tokenizers library gives with add_special_tokens=False and nothing else set, so the
+string of an added token in a text is that token's id (``ordinary``: it is ordinary text). A byte-level tokenizer whose pattern starts a new piece at a space before a non-space
 never joins ids across such a space, so a text is cut there and each distinct unit goes through
-the tokenizers library once per worker while the (bounded) memory of units lasts.
+the library once per worker while the (bounded) memory of units lasts. A text that holds the string
+of an added token goes to the library whole.
 
 Defined cases: null and empty texts have the end id alone; a null id sorts first; rows that repeat
 an id are ordered by their text; long texts are whole, in one shard; columns other than the id and
@@ -132,12 +134,15 @@ class Encoder:
     begins a word.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ordinary: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = ordinary
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (ordinary and t.special)]
+        #: Finds the strings that are tokens before the text is cut; None where there are none.
+        self.added = re.compile("|".join(re.escape(t.content) for t in added), 0 if not any(t.normalized for t in added) else re.IGNORECASE) if added else None
         self.vocabulary: int = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
         #: Whether an id's text begins with a space: letters after a space hold none but the first.
@@ -198,6 +203,14 @@ class Encoder:
             units[u] = b"".join([units[first] if first else b"", *[pieces[p] for p in rest]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [k for k, text in enumerate(texts) if self.added.search(text)] if self.added else []
+        if whole:
+            apart = dict(zip(whole, self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False), strict=True))
+            others = iter(self._encode([text for k, text in enumerate(texts) if k not in apart]))
+            return [self._bytes(apart[k].ids) if k in apart else next(others) for k in range(len(texts))]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [_CUT.split(text) if _LOOSE.search(text) else text.split(" ") for text in texts]
         heads = [e.ids for e in self.tokenizer.encode_batch_fast([units[0] for units in split], add_special_tokens=False)]
         if len(self.units) > MEMORY:
@@ -222,14 +235,27 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, ordinary) not in _encoders:
+        _encoders[path, ordinary] = Encoder(path, ordinary)
+    return _encoders[path, ordinary]
+
+
+def lengths(docs: DataFrame, tokenizer: str, ordinary: bool = False) -> DataFrame:
+    """doc_id and n_tokens, with the end id, of each row of ``docs`` (doc_id, text)."""
+
+    def run(batches):
+        for batch in slices(batches):
+            known = encoder(tokenizer, ordinary)
+            size = np.dtype(known.kind).itemsize
+            counts = [len(ids) // size + 1 for ids in known.encode(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))).mapInArrow(run, "doc_id long, n_tokens long")
 
 
 # ---------------------------------------------------------------- the table of shards
@@ -237,10 +263,10 @@ def encoder(path: str) -> Encoder:
 SHARDS = "part int, seq int, n_ids long, doc_ids array<long>, shard binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ordinary: bool = False) -> None:
     """Encode ``docs`` (doc_id, text), end each document with ``end_id`` and write shards to ``path``."""
-    spark = docs.sparkSession
-    bits, kind = bits_for(encoder(tokenizer).vocabulary), encoder(tokenizer).kind
+    known = encoder(tokenizer, ordinary)
+    bits, kind = bits_for(known.vocabulary), known.kind
     end = np.array([end_id], dtype=kind).tobytes()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -255,7 +281,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_ids", "doc_ids", "shard"])
 
         for batch in slices(batches):
-            encoded = encoder(tokenizer).encode(batch.column(1).to_pylist())
+            encoded = encoder(tokenizer, ordinary).encode(batch.column(1).to_pylist())
             for doc_id, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids.append(doc_id)
                 documents.append(np.frombuffer(data + end, dtype=kind))
