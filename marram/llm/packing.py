@@ -7,8 +7,10 @@ row count with i, the minimum over i is a lower envelope of lines, so a bucket c
 Each document is padded to its bucket's length; batches inside a bucket hold as many documents as
 the token budget allows, every one full but a bucket's last.
 
-The histogram has a cell per length up to 8192, beyond that one per 13 significant bits, so what
-the driver holds is bounded for any corpus and a bucket is at most 1/4096 longer than it need be.
+The histogram has a count for each length that occurs. Lengths that all differ add up, so n tokens have at
+most sqrt(2 n) of them: a few million for any corpus, and some ten thousand for most. That, and the
+choices of the dynamic programme (4 bytes per length and bucket), is all that the driver holds. Lengths
+are counted once, into a table that the histogram, the parts and the ranks read.
 Ranks inside a bucket are made in parts of bounded size with offsets from the parts' counts.
 
 Defined cases: null and empty texts have length 0; a text over the budget has a batch of its own
@@ -18,13 +20,17 @@ gives no rows; columns other than the id, and text or length, are not read.
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from marram.llm.common import materialise
+
 #: Documents in one part of a bucket that is ranked by itself.
 PART = 1024
-EXACT = 8192
 
 
 def words(text: Column) -> Column:
@@ -32,19 +38,6 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
 
 
-def cell(length: int) -> int:
-    """Top of the histogram cell of a length."""
-    if length <= EXACT:
-        return length
-    step = 1 << (length.bit_length() - 13)
-    return -(-length // step) * step
-
-
-def cell_column(length: Column) -> Column:
-    step = F.expr("shiftleft(1L, greatest(0, length(bin(n_tokens)) - 13))")
-    return F.when(length <= EXACT, length).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def optimal_buckets(histogram: dict[int, int], most: int) -> list[int]:
     """Bucket lengths (ascending, at most ``most``) with the least padded total."""
     tops = sorted(histogram)
@@ -55,11 +48,11 @@ def optimal_buckets(histogram: dict[int, int], most: int) -> list[int]:
         before.append(before[-1] + histogram[top])
     n = len(tops)
     cost = [0] + [tops[j] * before[j + 1] for j in range(n)]
-    choice: list[list[int]] = [[0] * (n + 1)]
+    choice = [array("i", [0]) * (n + 1)]
     best = (cost[n], 1)
     for k in range(2, min(most, n) + 1):
         # Lines y = cost[i] - before[i] * x, slopes falling with i, asked at rising x.
-        new, picks = [0] * (n + 1), [0] * (n + 1)
+        new, picks = [0] * (n + 1), array("i", [0]) * (n + 1)
         hull: list[int] = []
         head = 0
         for j in range(1, n + 1):
@@ -94,17 +87,17 @@ def pack(docs: DataFrame, budget: int = 16384, buckets: int = 16, length: str |
     ``length`` names an integer column with token counts; without it words are counted.
     """
     size = F.col(length).cast("long") if length else words(F.col("text"))
-    sized = docs.select("doc_id", F.greatest(F.lit(0), F.coalesce(size, F.lit(0))).cast("long").alias("n_tokens"))
-    sized = sized.withColumn("cell", cell_column(F.col("n_tokens")))
-    histogram = {row["cell"]: row["n"] for row in sized.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sized = materialise(docs.select("doc_id", F.greatest(F.lit(0), F.coalesce(size, F.lit(0))).cast("long").alias("n_tokens")), "lengths")
+    histogram = dict(sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas().itertuples(index=False, name=None))
     tops = optimal_buckets(histogram, buckets) or [0]
 
+    inside = np.zeros(len(tops), dtype=np.int64)
+    np.add.at(inside, np.searchsorted(tops, list(histogram)), list(histogram.values()))
     bucket, top, parts = F.lit(len(tops) - 1), F.lit(tops[-1]).cast("long"), F.lit(1).cast("long")
     for k in range(len(tops) - 1, -1, -1):
-        inside = F.col("cell") <= tops[k]
-        rows = sum(n for c, n in histogram.items() if c <= tops[k] and (k == 0 or c > tops[k - 1]))
-        bucket, top = F.when(inside, k).otherwise(bucket), F.when(inside, F.lit(tops[k]).cast("long")).otherwise(top)
-        parts = F.when(inside, F.lit(-(-rows // PART)).cast("long")).otherwise(parts)
+        fits = F.col("n_tokens") <= tops[k]
+        bucket, top = F.when(fits, k).otherwise(bucket), F.when(fits, F.lit(tops[k]).cast("long")).otherwise(top)
+        parts = F.when(fits, F.lit(-(-int(inside[k]) // PART)).cast("long")).otherwise(parts)
     placed = sized.select("doc_id", "n_tokens", bucket.alias("bucket"), top.alias("bucket_length"), parts.alias("parts"))
     placed = placed.withColumn("part", F.expr("pmod(xxhash64(doc_id, n_tokens), greatest(parts, 1))")).drop("parts")
 
