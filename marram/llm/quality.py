@@ -10,8 +10,8 @@ The machine is fitted on the driver by Adagrad on the features of at most ``max_
 rows: those with the smallest hash of their id, so the choice is the same at any time and size.
 That bound is the only one; every row of every table is scored, whole.
 
-Defined cases: null and empty texts are scored by their structure alone; a null label is not
-learned from; a column score of the input is replaced; null metadata has a bin of its own; without any row of either label every score is
+Defined cases: null and empty texts are scored by their structure and metadata alone; a null label is
+not learned from; of several labels of one id the largest counts; a column score of the input is replaced; null metadata has a bin of its own; without any row of either label every score is
 the constant 0.5; rows that repeat an id are each scored.
 """
 
@@ -166,10 +166,10 @@ def _inputs(docs: DataFrame, metadata: list[str], *more: Column) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: list[str] | None = None, max_rows: int = 8192) -> Machine:
     """Fit on ``labels`` (doc_id, ``label`` 0/1), at most ``max_rows`` of them, and their texts in ``docs``."""
     metadata = list(metadata or [])
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_m_label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows ids of a few bytes: a proven bound, so the texts need not be shuffled.
-    rows = _inputs(docs.join(F.broadcast(chosen), "doc_id"), metadata, F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("double").alias("label"))
+    rows = _inputs(docs.join(F.broadcast(chosen), "doc_id"), metadata, F.col("doc_id").cast("long").alias("doc_id"), F.col("_m_label").cast("double").alias("label"))
 
     def run(batches):
         for batch in slices(batches):

@@ -76,18 +76,19 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns from rows whose crc32(doc_id) mod 4 is not 2; scores all."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Learns from rows whose crc32(doc_id) mod 4 is not 2; scores all. The metadata is n_chars."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 4) == 2
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
-    scored = quality.score(documents, quality.train(documents, labels))
+    scored = quality.score(documents, quality.train(documents, labels, metadata=["n_chars"]), metadata=["n_chars"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 @_query
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixteen buckets, batches of 16384 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents"), budget=16384, buckets=16)
+    """Sixteen buckets, batches of 16384 tokens of the byte-level vocabulary."""
+    sized = tokens.lengths(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(sized, budget=16384, buckets=16, length="n_tokens")
 
 
 @_query

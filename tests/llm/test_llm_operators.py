@@ -286,8 +286,8 @@ def test_shards_hold_what_the_library_encodes(spark, corpus, tmp_path):
 
     path = Q.tokenizer_path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    rows = [r for r in corpus if r[0] is not None and r[0] != 0] + [(200, "it's  two\n\n spaces <|endoftext|> \x1c 漢字"), (201, "a \n b")]
+    rows = [r for r in corpus if r[0] is not None and r[0] != 0] + [(200, "it's  two\n\n spaces <|endoftext|> \x1c 漢字"), (201, "a \n b"), (202, "a <|endoftext|> b"), (203, "<|endoftext|>"), (204, "x<|endoftext|><|endoftext|>y <|endoftext |>")]
+    assert library.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     tokens.write(frame(spark, rows), f"file://{tmp_path}/shards", path)
     shards = tokens.read(spark, f"file://{tmp_path}/shards")
     got = {r.doc_id: r for r in tokens.documents(shards).collect()}
@@ -297,6 +297,9 @@ def test_shards_hold_what_the_library_encodes(spark, corpus, tmp_path):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         start += len(ids)
     assert tokens.export(shards, str(tmp_path)) == shards.count()
+    assert {r.doc_id: r.n_tokens for r in tokens.lengths(frame(spark, rows), path).collect()} == {i: r.n_tokens for i, r in got.items()}
+    library.encode_special_tokens = True
+    assert tokens.Encoder(path, ordinary=True).encode(["a <|endoftext|> b"])[0] == np.array(library.encode("a <|endoftext|> b", add_special_tokens=False).ids, dtype="<u2").tobytes()
     tokens.write(empty(spark), f"file://{tmp_path}/none", path)
     assert tokens.documents(tokens.read(spark, f"file://{tmp_path}/none")).collect() == []
 
@@ -306,7 +309,7 @@ def test_pieces_equal_the_library(spark, corpus):
     table = pieces.prefix_table(path)
     rng = random.Random(1)
     parts = ["a", "in", "the", " ", "  ", "1", ".", "\n", "é", "▁", "==", "漢", "😀", "ing", "\t"]
-    texts = ["", " ", "a" * 3000, " " * 300, *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(800))]
+    texts = ["", " ", "a" * 3000, " " * 300, "." * 100_000, "Chapter one" + "." * 100_000, "so what" + "?!" * 50_000, "a" + ",.;" * 3 + "\n" + "b!!!" * 400, "▁" + "." * 2000, "word" + ".\n!" * 3000, *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(800))]
     for t in texts:
         assert [i for w in table.encode(t)[0] for i in w] == table.processor.encode(t)
     rows = [r for r in corpus if r[0] is not None]
@@ -560,10 +563,21 @@ def test_buckets_are_optimal():
     assert packing.optimal_buckets({}, 4) == []
 
 
-def test_cells_cover_lengths(spark):
-    sizes = [0, 1, 8191, 8192, 8193, 12_345, 1_000_001, 2**40 + 1]
-    got = [r[0] for r in spark.createDataFrame([(s,) for s in sizes], "n_tokens long").select(packing.cell_column(F.col("n_tokens"))).collect()]
-    assert got == [packing.cell(s) for s in sizes] and all(s <= c <= s * (1 + 1 / 4096) + 1 for s, c in zip(sizes, got, strict=True))
+def test_long_lengths_are_packed_exactly(spark):
+    """The whole assignment on lengths of any size, against brute force."""
+    rng = random.Random(6)
+    for most, lengths_ in ((4, [20001, 20003, 20003]), (2, [5, 8193, 12_345, 12_346, 2**40 + 1]), (5, [rng.choice([rng.randrange(50), rng.randrange(8000, 9000), rng.randrange(10**6)]) for _ in range(60)])):
+        df = spark.createDataFrame(list(enumerate(lengths_)), "doc_id long, n long")
+        rows = packing.pack(df, budget=30_000, buckets=most, length="n").collect()
+        assert {r.doc_id: r.n_tokens for r in rows} == dict(enumerate(lengths_))
+        histogram = {n: lengths_.count(n) for n in lengths_}
+        assert sum(r.bucket_length for r in rows) == best_cost(histogram, most)
+        tops = sorted({r.bucket_length for r in rows})
+        assert all(r.bucket_length == next(t for t in tops if t >= r.n_tokens) and r.bucket == tops.index(r.bucket_length) and r.padding == r.bucket_length - r.n_tokens for r in rows)
+        for t in tops:
+            room = max(1, 30_000 // max(1, t))
+            own = sorted((r.batch, r.slot) for r in rows if r.bucket_length == t)
+            assert own == [divmod(k, room) for k in range(len(own))]
 
 
 def test_batches_keep_the_budget(spark, corpus):

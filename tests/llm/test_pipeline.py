@@ -6,9 +6,11 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
 from marram.llm.common import materialise
+from marram.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,15 +54,23 @@ def test_stages_one_by_one(spark, folder):
     assert all(clean[i].score == 3 and clean[i].kept == "k" for i in clean)
     packed = pipeline.STAGES[-1][1](spark, docs, base).collect()
     assert {r.doc_id for r in packed} == set(clean)
-    assert {r.doc_id: r.n_tokens for r in packed} == {i: len((r.text or "").split()) for i, r in clean.items()}
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in packed} == {i: len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for i, r in clean.items()}
 
 
 def test_stages_of_nothing(spark, folder):
     docs = spark.createDataFrame([], SCHEMA)
-    for _, stage in pipeline.STAGES[1:]:
+    for _, stage in pipeline.STAGES:
         assert stage(spark, docs, folder[0]).collect() == []
 
 
+def test_rows_that_repeat_an_id(spark, folder):
+    one, two = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    rows = [(1, one, "en", "s", 1), (1, two, "en", "s", 1), (1, one, "en", "s", 1), (2, two + " more", "en", "s", 1), (3, "else", "en", "s", 1), (None, one, "en", "s", 1)]
+    got = pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), folder[0]).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, one), (1, one), (1, two), (3, "else")])
+
+
 def test_run_is_the_stages_in_order(spark, folder):
     assert [name for name, _ in pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "secrets", "packing"] and pipeline.ORACLE_SQL is None
     got = pipeline.run(spark, folder[0]).collect()
