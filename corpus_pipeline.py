@@ -15,8 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import lines, minhash, packing, quality, secrets
+from marram.llm import lines, minhash, packing, quality, secrets, tokens
 from marram.llm.common import materialise
+from marram.llm.queries import tokenizer_path
 
 #: A document whose score is under this is rejected.
 QUALITY = 0.7
@@ -40,8 +41,8 @@ def _wide(rows: DataFrame, docs: DataFrame, changed: str | None = None) -> DataF
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    machine = quality.train(docs, labels.where((F.crc32(F.col("doc_id").cast("string")) % 4) != 2))
-    return _wide(quality.score(_narrow(docs), machine).where(F.col("score") >= QUALITY), docs)
+    machine = quality.train(docs, labels.where((F.crc32(F.col("doc_id").cast("string")) % 4) != 2), metadata=["n_chars"])
+    return _wide(quality.score(_narrow(docs), machine, metadata=["_m_rest.n_chars"]).where(F.col("score") >= QUALITY), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, budget=16384, buckets=16)
+    sized = tokens.lengths(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(sized, budget=16384, buckets=16, length="n_tokens")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
