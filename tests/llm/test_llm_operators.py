@@ -208,14 +208,59 @@ def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((400, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
+    assert np.allclose(embeddings.scaled(x * 1e200), x) and np.allclose(embeddings.scaled(x * 1e-200), x)
     signs, factor = embeddings.codes(x)
-    guess, low, high = embeddings.estimate(x[:50], signs, factor)
+    guess, low, high = embeddings.estimate(*embeddings.rounded(x[:50]), signs, factor)
     exact = x[:50] @ x.T
     assert abs((guess - exact).mean()) < 0.005
     assert (exact <= high + 1e-5).all() and (exact >= low - 1e-5).all()
     assert embeddings.plan(1000, 0.98) == (0, 1) and embeddings.plan(10**7, 0.98)[0] >= 10
 
 
+@pytest.mark.parametrize("size", [30_000, 1_000_000, 100_000_000])
+def test_planned_tables_miss_no_pair_at_the_threshold(size):
+    """At the planned bits and tables: pairs exactly at the threshold meet, about as often as independent signs would."""
+    rng = np.random.default_rng(size)
+    bits, tables = embeddings.plan(size, 0.98)
+    assert bits
+    x, z = (embeddings.scaled(rng.standard_normal((20_000, 64))) for _ in range(2))
+    z = embeddings.scaled(z - (x * z).sum(axis=1)[:, None] * x)
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * z
+    keys = [embeddings.prefixes(embeddings.sign_bits(v, bits * tables), bits, tables) for v in (x, y)]
+    shared = (keys[0] == keys[1]).sum(axis=1)
+    mean = tables * (1 - np.arccos(0.98) / np.pi) ** bits
+    assert shared.min() > 0 and abs(shared.mean() / mean - 1) < 0.05
+
+
+def test_components_inside_a_task():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 3000, 2000), rng.integers(0, 3000, 2000)
+    parent = list(range(3000))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in zip(a.tolist(), b.tolist(), strict=True):
+        u, v = root(u), root(v)
+        parent[max(u, v)] = min(u, v)
+    assert embeddings.forest(3000, a, b).tolist() == [root(i) for i in range(3000)]
+    chain = np.arange(2999)
+    assert (embeddings.forest(3000, chain, chain + 1) == 0).all()
+
+
+def test_extreme_components_and_all_pairs_of_a_large_label(spark, monkeypatch):
+    rows = [(1, [1e200, 0.0], 1), (2, [2e200, 1e190], 1), (3, [1e-200, 0.0], 1), (4, [0.0, 1e-300], 1), (5, [5e-324, 0.0], 1), (6, [0.0, -1e308], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
+    monkeypatch.setattr(embeddings, "plan", lambda rows, threshold, miss=0: (20, 1))  # would miss nearly all
+    near = [(i, [1.0, i / 1000, (i * 7 % 13) / 500], 1) for i in range(100)]
+    df = spark.createDataFrame(near, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, 0.98, block=16, exact=True).collect()}
+    assert got == brute_links(near, 0.98)
+
+
 # ---------------------------------------------------------------- lines
 
 
