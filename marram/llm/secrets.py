@@ -54,6 +54,8 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
+#: Spans of a text that are put together one by one; longer lists are lists of such lists.
+CHUNK = 128
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("end", T.LongType()), T.StructField("rule", T.StringType())])
 ENTRY = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rules", T.ArrayType(T.StringType())), T.StructField("found", T.ArrayType(SPAN))])
@@ -63,28 +65,50 @@ def blob_id(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def _bound(value: Column, f) -> Column:
+    """``f`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _chunks(items: Column) -> Column:
+    """``items`` in arrays of CHUNK: what is built element by element stays short, so long lists take linear time."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.size(items) - 1) / CHUNK).cast("int")), lambda k: F.slice(items, k * CHUNK + 1, CHUNK))
+
+
+def _running(values: Column, step) -> Column:
+    """0 and the running ``step`` of an array of longs: one element more than ``values``."""
+    return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
     """array<SPAN> of the rule's matches. What lies between matches comes from split(), the
     matches from regexp_extract_all(); their lengths give the positions."""
     pattern = F.lit(rule.pattern)
-    parts = F.struct(
-        F.split(text, rule.pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("cores")
-    )
+    size = lambda c: F.transform(c, F.length)
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    parts = F.struct(size(F.split(text, rule.pattern, -1)).alias("gaps"), size(hits).alias("hits"), size(F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else F.array().cast("array<string>")).alias("cores"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + x["hit"]
+        core = x["core"] if rule.group else x["hit"]
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.id).alias("rule"))
+        out = F.when(core >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    def within(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), F.array().cast(T.ArrayType(SPAN)).alias("out")), step, lambda acc: acc["out"])
 
     def located(p: Column) -> Column:
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint,core:int>>)").alias("out"))
         each = F.arrays_zip(F.slice(p["gaps"], 1, F.size(p["hits"])).alias("gap"), p["hits"].alias("hit"), p["cores"].alias("core"))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["hit"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.length(x["core"]).alias("core")))).alias("out"))
+        def joined(chunks: Column) -> Column:
+            sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["gap"] + x["hit"]))
+            return F.flatten(F.zip_with(chunks, F.slice(_running(sums, lambda a, v: a + v), 1, F.size(chunks)), within))
 
-        kept = F.filter(F.aggregate(each, zero, step)["out"], lambda s: s["core"] >= rule.least)
-        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(rule.id).alias("rule")))
+        return _bound(_bound(each, _chunks), joined)
 
-    found = F.transform(F.array(parts), located)[0]
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(T.ArrayType(SPAN)))
+    return F.when(text.rlike(rule.pattern), _bound(parts, located)).otherwise(F.array().cast(T.ArrayType(SPAN)))
 
 
 class Ledger:
@@ -103,10 +127,10 @@ class Ledger:
     def unseen(self, versions: DataFrame) -> DataFrame:
         """(blob, text, todo): one text per blob with the rule versions it has not been scanned for."""
         ids = F.array(*[F.lit(r.id) for r in self.rules])
-        blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+        blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
         done = self.entries().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
         todo = F.when(F.col("done").isNull(), ids).otherwise(F.array_except(ids, "done"))
-        return blobs.join(done, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0)
+        return blobs.join(done, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0).dropDuplicates(["blob"])
 
     def update(self, versions: DataFrame) -> None:
         """Scan what ``versions`` (with a column text) adds and append it."""
@@ -145,13 +169,25 @@ def count(found: Column, rule: Rule) -> Column:
 
 
 def redact(text: Column, found: Column) -> Column:
-    """``text`` with each span (overlapping ones merged) replaced by [secret]."""
-    text = F.coalesce(text, F.lit(""))
-    piece = lambda a, n: F.substring(text, (a + 1).cast("int"), n.cast("int"))
+    """``text`` with each span (overlapping ones merged) replaced by [secret]. ``found`` is sorted by start."""
+    cut = lambda t, a, n: F.substring(t, (a + 1).cast("int"), n.cast("int"))
+
+    def within(chunk: Column, region: Column) -> Column:
+        """What stays of a chunk's part of the text, and the marks."""
+
+        def step(acc: Column, s: Column) -> Column:
+            kept = F.concat(acc["out"], F.array(cut(region["text"], acc["at"] - region["from"], s["start"] - acc["at"]), F.lit("[secret]")))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], kept).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(chunk, F.struct(region["from"].alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.array_join(acc["out"], ""))
+
+    def joined(p: Column) -> Column:
+        def over(q: Column) -> Column:
+            ends, chunks = q["ends"], q["chunks"]
+            regions = F.zip_with(F.slice(ends, 1, F.size(chunks)), F.slice(ends, 2, F.size(chunks)), lambda a, b: F.struct(a.alias("from"), cut(p["text"], a, b - a).alias("text")))
+            return F.concat(F.array_join(F.zip_with(chunks, regions, within), ""), cut(p["text"], F.element_at(ends, -1), F.length(p["text"]) - F.element_at(ends, -1)))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        between = F.when(fresh, F.concat(piece(acc["at"], s["start"] - acc["at"]), F.lit("[secret]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], between).alias("out"))
+        ends = lambda chunks: _running(F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda s: s["end"]))), F.greatest)
+        return _bound(_bound(_chunks(p["found"]), lambda chunks: F.struct(chunks.alias("chunks"), ends(chunks).alias("ends"))), over)
 
-    return F.aggregate(found, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text) - acc["at"])))
+    return _bound(F.struct(F.coalesce(text, F.lit("")).alias("text"), found.alias("found")), joined)
