@@ -4,12 +4,17 @@ A stream is "fLaC", STREAMINFO with the MD5 of its samples, a SEEKTABLE with a p
 frame (first sample, byte offset, samples), and frames of BLOCK samples, the last one shorter. A
 frame is constant, verbatim, or a linear predictor of order ORDER (coefficients by the
 Levinson recursion on the frame's autocorrelation) with Rice-coded residuals in partitions. The
-decoder also takes fixed predictors and any order to 32.
+decoder also takes fixed predictors, any order to 32, wasted bits, escaped partitions, and streams
+whose seek table is not one point per frame: it finds their frames by sync code, number and checksums.
 
 Frames don't depend on one another, so the decoder walks all frames of a group at once: step i
 reads the i-th residual of every frame, another loop runs the predictors. It checks each frame's
 sync code, number, CRC-8 and CRC-16 and each stream's MD5, and raises where one is wrong.
 
+:func:`transcode` writes the decoded samples as PCM blocks: a row per stream with an array of blocks, each
+with its sample offset, so that :func:`samples` reads any range from the blocks that hold it. Streams and
+blocks need disk side by side for a part of the rows at a time only (``portions``).
+
 A byte b of a payload is the sample b - 128, as in 8-bit PCM files.
 
 Defined cases: null and empty payloads are one block of 192 spaces (a stream has to have samples);
@@ -26,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import slices
+from marram.llm.common import materialise, release, slices
 
 UNIT = 192
 BLOCK = 4608
@@ -271,12 +276,36 @@ class Stream:
             elif kind == 3:
                 self.points = np.frombuffer(body, dtype=np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")]))
             at += 4 + size
-        if self.points is None or not len(self.points):
-            raise CorruptStream("no seek table")
         self.data, self.audio = data, at
+        given = self.points
+        if given is None or not len(given) or int(given["size"].sum()) != self.total or (np.diff(given["sample"].astype(np.int64), append=self.total) != given["size"]).any():
+            self.points = self._found()
         self.offsets = at + self.points["offset"].astype(np.int64)
         self.ends = np.append(self.offsets[1:], len(data))
 
+    def _found(self) -> np.ndarray:
+        """Points of the frames that a walk over sync codes finds: the header's CRC-8 and number have to be right,
+        and the CRC-16 of all before it."""
+        data = np.frombuffer(self.data, dtype=np.uint8)
+        places = self.audio + np.flatnonzero((data[self.audio : -1] == 0xFF) & (data[self.audio + 1 :] == 0xF8))
+        frames: list[tuple[int, int, int]] = []
+        sample = 0
+        for p in places.tolist():
+            if p + 16 > len(data) or frames and not self._whole(data, self.audio + frames[-1][1], p) or not frames and p != self.audio:
+                continue
+            number, size, after = _headers(data, np.array([p]))
+            if int(number[0]) == len(frames) and int(after[0]) < len(data) and _crc8(data, np.array([p]), after - p)[0] == data[after[0]]:
+                frames.append((sample, p - self.audio, int(size[0])))
+                sample += int(size[0])
+        if sample != self.total:
+            raise CorruptStream("frames are missing")
+        return np.array(frames, dtype=np.dtype([("sample", ">u8"), ("offset", ">u8"), ("size", ">u4")]))
+
+    @staticmethod
+    def _whole(data: np.ndarray, start: int, end: int) -> bool:
+        sums = _crc16(data, np.array([start]), np.array([end - start - 2])) if end - start > 8 else [-1]
+        return int(sums[0]) == int(data[end - 2]) << 8 | int(data[end - 1])
+
     def frame_of(self, sample: int) -> int:
         return int(np.searchsorted(self.points["sample"].astype(np.int64), sample, side="right")) - 1
 
@@ -303,41 +332,61 @@ class _Bits:
         return np.where(width > 0, self.window(at) >> (64 - np.maximum(width, 1)).astype(np.uint64), np.uint64(0)).astype(np.int64)
 
 
-def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """Samples (frames, longest), each row padded with zeros."""
-    if int((ends - starts).min()) < 8 or (data[starts] != 0xFF).any() or (data[starts + 1] != 0xF8).any():
-        raise CorruptStream("no sync code at a frame's place")
-    if (_crc16(data, starts, ends - starts - 2) != (data[ends - 2].astype(np.uint16) << 8 | data[ends - 1])).any():
-        raise CorruptStream("a frame's CRC-16 is wrong")
+def _signed(value: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+    """Two's complement numbers of ``width`` bits; of none, 0."""
+    half = (1 << np.asarray(width, dtype=np.int64)) >> 1
+    return (value ^ half) - half
+
+
+def _headers(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number and size of the frames that begin at ``starts``, and the place of each header's CRC-8."""
     lead = data[starts + 4].astype(np.int64)
-    extra = np.where(lead < 0x80, 0, 8 - np.ceil(np.log2(256 - lead + 0.0)).astype(np.int64) - 1)
+    extra = np.where(lead < 0x80, 0, np.maximum(1, 8 - np.ceil(np.log2(256 - lead + 0.0)).astype(np.int64) - 1))
     number = np.where(extra == 0, lead, lead & ((1 << np.maximum(0, 6 - extra)) - 1))
     for k in range(int(extra.max(initial=0))):
         on = extra > k
         number[on] = number[on] << 6 | (data[starts[on] + 5 + k] & 0x3F)
-    code = data[starts + 2] >> 4
+    code, rate = data[starts + 2] >> 4, data[starts + 2] & 15
     after = starts + 5 + extra
     size = np.select([code == 1, (code >= 2) & (code <= 5), code >= 8], [192, 576 << (np.maximum(code, 2).astype(np.int64) - 2 & 7), 256 << (np.maximum(code, 8).astype(np.int64) - 8)], 0)
     size = np.where(code == 6, data[after].astype(np.int64) + 1, size)
     size = np.where(code == 7, (data[after].astype(np.int64) << 8 | data[after + 1]) + 1, size)
-    after = after + (code == 6) + 2 * (code == 7)
+    return number, size, after + (code == 6) + 2 * (code == 7) + (rate == 12) + 2 * ((rate == 13) | (rate == 14))
+
+
+def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Samples (frames, longest), each row padded with zeros."""
+    if int((ends - starts).min()) < 8 or (data[starts] != 0xFF).any() or (data[starts + 1] != 0xF8).any():
+        raise CorruptStream("no sync code at a frame's place")
+    if (_crc16(data, starts, ends - starts - 2) != (data[ends - 2].astype(np.uint16) << 8 | data[ends - 1])).any():
+        raise CorruptStream("a frame's CRC-16 is wrong")
+    number, size, after = _headers(data, starts)
     if (_crc8(data, starts, after - starts) != data[after]).any():
         raise CorruptStream("a frame header's CRC-8 is wrong")
     if (number != numbers).any() or (size != expected).any():
         raise CorruptStream("a frame is not the one that the seek table names")
 
-    bits, kind, at = _Bits(data), data[after + 1] >> 1, 8 * (after + 2)
+    bits, kind, at = _Bits(data), data[after + 1] >> 1 & 63, 8 * (after + 2)
+    wasted = np.zeros(len(size), dtype=np.int64)
+    for i in np.flatnonzero(data[after + 1] & 1):
+        wasted[i] = 1 + int(_CLZ16[int(bits.window(at[i : i + 1])[0]) >> 48])
+        if wasted[i] > 7:
+            raise CorruptStream("more wasted bits than a sample has")
+    at, width = at + wasted, 8 - wasted
     longest = int(size.max())
     out = np.zeros((longest, len(size)), dtype=np.int64)
-    for i in np.flatnonzero(kind == 0):
-        out[: size[i], i] = (int(data[after[i] + 2]) ^ 128) - 128
-    for i in np.flatnonzero(kind == 1):
-        out[: size[i], i] = data[after[i] + 2 : after[i] + 2 + size[i]].view(np.int8)
+    for i in np.flatnonzero(kind <= 1):
+        n = int(size[i])
+        if kind[i]:
+            raw = data[after[i] + 2 : after[i] + 2 + n].view(np.int8) if not wasted[i] else _signed(bits.take(at[i] + width[i] * np.arange(n), width[i]), width[i])
+        else:
+            raw = _signed(bits.take(at[i : i + 1], width[i]), width[i])
+        out[:n, i] = raw.astype(np.int64) << wasted[i]
     coded = np.flatnonzero(kind > 1)
     if not len(coded):
         return out.T
     coded = coded[np.argsort(-size[coded], kind="stable")]
-    kind, size, at = kind[coded].astype(np.int64), size[coded], at[coded]
+    kind, size, at, wasted, width = kind[coded].astype(np.int64), size[coded], at[coded], wasted[coded], width[coded]
     if ((kind < 8) | ((kind > 12) & (kind < 32))).any():
         raise CorruptStream("a reserved subframe type")
     linear = kind >= 32
@@ -346,8 +395,8 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbe
     x = np.zeros((longest, len(coded)), dtype=np.int64)
     for i in range(most):
         on = order > i
-        x[i, on] = (bits.take(at[on], 8) ^ 128) - 128
-        at[on] += 8
+        x[i, on] = _signed(bits.take(at[on], width[on]), width[on])
+        at[on] += width[on]
     weights, shift = np.zeros((most, len(coded)), dtype=np.int64), np.zeros(len(coded), dtype=np.int64)
     for f in np.unique(kind[~linear]):
         for k, c in enumerate(_FIXED[f - 8]):
@@ -358,13 +407,14 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbe
     for k in range(most):
         on = linear & (order > k)
         p = precision[on]
-        weights[k, on] = (bits.take(at[on], p) ^ (1 << (p - 1))) - (1 << (p - 1))
+        weights[k, on] = _signed(bits.take(at[on], p), p)
         at[on] += p
     if (bits.take(at, 2) != 0).any():
         raise CorruptStream("a residual coding method that 8-bit streams don't use")
     part = size >> bits.take(at + 2, 4)
     at = at + 6
-    k = np.zeros(len(coded), dtype=np.int64)
+    k, escaped = np.zeros(len(coded), dtype=np.int64), np.zeros(len(coded), dtype=bool)
+    any_escaped = False
     running = np.searchsorted(-size, -np.arange(longest), side="left").tolist()
     begins = {i for p, o in {*zip(part.tolist(), order.tolist(), strict=True)} for i in (o, *range(p, longest, p)) if i >= o}
     for i, n in enumerate(running):
@@ -373,15 +423,18 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbe
             on = np.flatnonzero((i % part[:n] == 0) & (i >= order[:n]) | (i == order[:n]))
             low[on] = bits.take(here[on], 4)
             here[on] += 4
-            if (low[on] == 15).any():
-                raise CorruptStream("an escaped partition")
+            escaped[on] = low[on] == 15
+            plain = on[escaped[on]]
+            low[plain] = bits.take(here[plain], 5)
+            here[plain] += 5
+            any_escaped = bool(escaped.any())
         window = bits.window(here)
         zeros = _CLZ16[(window >> np.uint64(48)).view(np.int64)]
         if int(zeros.max(initial=0)) < 16:
             # Stop bit and remainder are in the window: the bits after the stop bit, then one more shift for width 0.
             rest = ((window << (zeros + 1).view(np.uint64)) >> np.uint64(1) >> (63 - low).view(np.uint64)).view(np.int64)
         else:
-            more = np.flatnonzero(zeros == 16)
+            more = np.flatnonzero((zeros == 16) & ~escaped[:n])
             place = here[more] + 16
             while len(more):
                 again = _CLZ16[(bits.window(place) >> np.uint64(48)).view(np.int64)]
@@ -393,6 +446,9 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbe
         value = folded >> 1 ^ -(folded & 1)
         used = zeros + low
         used += 1
+        if any_escaped:
+            plain = np.flatnonzero(escaped[:n])
+            value[plain], used[plain] = _signed(bits.take(here[plain], low[plain]), low[plain]), low[plain]
         if i < most:
             on = order[:n] <= i
             x[i, :n] = np.where(on, value, x[i, :n])
@@ -408,7 +464,7 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbe
             x[i, :n] += np.where(order[:n] <= i, guess >> shift[:n], 0)
         elif most:
             x[i, :n] += np.einsum("ij,ij->j", weights[:, :n], x[i - most : i, :n][::-1]) >> shift[:n]
-    out[:, coded] = x
+    out[:, coded] = x << wasted
     return out.T
 
 
@@ -439,16 +495,25 @@ def _group(streams: list[Stream], group: list[tuple[int, int]]) -> Iterator[tupl
         yield s, int(streams[s].points["sample"][f]), row[:n].tobytes()
 
 
+def checked_blocks(streams: list[Stream]) -> Iterator[tuple[int, int, bytes]]:
+    """The blocks of whole streams, whose MD5 is checked at their end."""
+    sums = [hashlib.md5() for _ in streams]
+    for s, first, block in decode_blocks(streams):
+        sums[s].update((np.frombuffer(block, dtype=np.uint8) ^ 0x80).tobytes())
+        if first + len(block) == streams[s].total and sums[s].digest() != streams[s].md5:
+            raise CorruptStream("the samples' MD5 is wrong")
+        yield s, first, block
+
+
 def decode(media: list[bytes]) -> list[bytes]:
-    """The payload of each stream, checked against its MD5."""
+    """The payload of each stream."""
     streams = [Stream(m) for m in media]
     parts: list[list[bytes]] = [[] for _ in streams]
-    for s, _, block in decode_blocks(streams):
+    for s, _, block in checked_blocks(streams):
         parts[s].append(block)
     out = [b"".join(p) for p in parts]
-    for stream, payload in zip(streams, out, strict=True):
-        if len(payload) != stream.total or hashlib.md5((np.frombuffer(payload, dtype=np.uint8) ^ 0x80).tobytes()).digest() != stream.md5:
-            raise CorruptStream("the samples' MD5 is wrong")
+    if any(len(payload) != stream.total for stream, payload in zip(streams, out, strict=True)):
+        raise CorruptStream("samples are missing")
     return out
 
 
@@ -479,17 +544,46 @@ def to_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+PCM = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset:bigint,n_samples:int,pcm:binary>>"
+_BLOCKS = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """doc_id, block, sample_offset, n_samples, pcm (unsigned 8-bit) of each frame of each stream."""
+    """doc_id, n_bytes, size and sum of the stream, and its frames as blocks (sample_offset, n_samples, unsigned 8-bit pcm)."""
 
     def run(batches):
         for batch in slices(batches, 2048):
-            ids, streams = batch.column(0).to_pylist(), [Stream(m) for m in batch.column(1).to_pylist()]
-            for s, first, block in decode_blocks(streams):
-                columns = [pa.array([ids[s]], pa.int64()), pa.array([first // streams[s].block], pa.int32()), pa.array([first], pa.int64()), pa.array([len(block)], pa.int32()), pa.array([block], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+            stored = batch.column(2).to_pylist()
+            blocks: list[list[dict]] = [[] for _ in stored]
+            for s, first, pcm in checked_blocks([Stream(m) for m in stored]):
+                blocks[s].append({"sample_offset": first, "n_samples": len(pcm), "pcm": pcm})
+            columns = [batch.column(0), batch.column(1), pa.array([len(m) for m in stored], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in stored]), pa.array(blocks, _BLOCKS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, PCM)
+
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, sample_offset long, n_samples int, pcm binary")
+def transcode(docs: DataFrame, path: str, portions: int = 1) -> DataFrame:
+    """Streams of all texts, written, read back and decoded into PCM blocks at ``path``; these, read back.
+
+    Streams hardly compress, so they are written for one of ``portions`` at a time (each row is in one of
+    them) and deleted once its blocks are there.
+    """
+    spark = docs.sparkSession
+    for k in range(portions):
+        part = docs.where(F.expr(f"pmod(xxhash64(doc_id, text), {portions}) = {k}")) if portions > 1 else docs
+        media = materialise(to_media(part), "media")
+        pcm_blocks(media).write.mode("append").option("compression", "zstd").parquet(path)
+        release(media)
+    return spark.read.schema(PCM).parquet(path)
+
+
+def samples(pcm: DataFrame, first: int, count: int) -> DataFrame:
+    """doc_id and the payload bytes ``first`` to ``first + count - 1`` of each row, from the blocks that hold them."""
+    held = F.filter("blocks", lambda b: (b["sample_offset"] < first + count) & (b["sample_offset"] + b["n_samples"] > first))
+    base = F.greatest(F.lit(0), F.lit(first) - F.coalesce(F.get(held, 0)["sample_offset"], F.lit(first)))
+    joined = F.aggregate(held, F.lit(b""), lambda acc, b: F.concat(acc, b["pcm"]))
+    return pcm.select("doc_id", F.substring(joined, (base + 1).cast("int"), F.lit(count)).alias("pcm"))
 
 
 def feature(payload: bytes) -> str:
@@ -500,24 +594,30 @@ def feature(payload: bytes) -> str:
     return f"mean={mean} power={int(((x - mean) ** 2).sum()) // len(x)} crossings={int((above[1:] != above[:-1]).sum())} step={int(np.abs(np.diff(x)).max(initial=0))}"
 
 
-def digests(media: DataFrame) -> DataFrame:
-    """Per stream, from its stored bytes: sizes, sums and features of payload and stream."""
+def digests(pcm: DataFrame) -> DataFrame:
+    """Per stream, from its stored blocks: sizes, sums and features of the payload; what is known of the stream."""
 
     def run(batches):
         for batch in slices(batches, 2048):
-            stored = batch.column(2).to_pylist()
-            payloads = decode(stored)
+            payloads = []
+            for blocks in batch.column(4).to_pylist():
+                ends = 0
+                for b in blocks:
+                    if b["sample_offset"] != ends or len(b["pcm"]) != b["n_samples"]:
+                        raise CorruptStream("a block is not where it says")
+                    ends += b["n_samples"]
+                payloads.append(b"".join(b["pcm"] for b in blocks))
             columns = [
                 batch.column(0),
                 batch.column(1),
                 pa.array([len(p) for p in payloads], pa.int64()),
                 pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
                 pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()),
-                pa.array([len(m) for m in stored], pa.int64()),
-                pa.array([hashlib.sha256(m).hexdigest() for m in stored]),
+                batch.column(2),
+                batch.column(3),
                 pa.array([feature(p) for p in payloads]),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return pcm.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(run, schema)

@@ -133,6 +133,18 @@ def test_an_id_with_several_texts_has_the_links_of_all(spark):
     assert all(r.component_id == brute_components(rows, 3, 85)[r.doc_id][1] for r in got)
 
 
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        common = rng.integers(-(2**63), 2**63, 300).tolist()
+        rows.append((i, common + rng.integers(-(2**63), 2**63, i).tolist(), common + rng.integers(-(2**63), 2**63, 20).tolist()))
+    df = spark.createDataFrame(rows, "i long, a array<long>, b array<long>").select("i", minhash.sketch(F.col("a")).alias("a"), minhash.sketch(F.col("b")).alias("b"))
+    for r in df.collect():
+        bits = sum(int(x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(r.a, r.b, strict=True))
+        assert len(r.a) == minhash.WORDS and r.i + 20 - 12 <= bits <= r.i + 20 and (bits - r.i - 20) % 2 == 0
+
+
 def test_signatures_estimate_without_bias():
     rng = np.random.default_rng(4)
     common = rng.integers(0, 2**63, 700, dtype=np.uint64)
@@ -533,17 +545,62 @@ def test_checksums_by_bit():
     assert flac._crc16(array, np.array([0]), np.array([9]))[0] == 0xFEE8
 
 
-def test_media_columns(spark, corpus):
+def test_a_stream_made_elsewhere_decodes():
+    """The third example of RFC 9639: 24 samples, linear prediction, no seek table."""
+    stream = bytes.fromhex("664c6143800000221000100000001f00001f07d0007000000018f8f9e396f5cbcfc6dc807f9977906b32fff8680200" + "17e944004f6f313d1047d227cb6d090831452bdc28222280" + "57a3")
+    samples = [0, 79, 111, 78, 8, -61, -90, -68, -13, 42, 67, 53, 13, -27, -46, -38, -12, 14, 24, 19, 6, -4, -5, 0]
+    assert flac.decode([stream]) == [bytes(s + 128 for s in samples)]
+    with pytest.raises(flac.CorruptStream):
+        flac.decode([stream[:-1] + b"\0"])
+
+
+def test_frames_are_found_without_a_seek_table():
+    rng = np.random.default_rng(3)
+    payloads = [flac.pad(b"some words " * 3000), rng.integers(0, 256, flac.BLOCK * 2 + 192, dtype=np.uint8).tobytes(), (b"\xff\xf8" * 3000)[: 192 * 31]]
+    for payload, media in zip(payloads, flac.encode(payloads), strict=True):
+        stream = flac.Stream(media)
+        bare = media[:4] + b"\x80" + media[5:42] + media[stream.audio :]
+        assert len(flac.Stream(bare).points) == len(stream.points) and flac.decode([bare]) == [payload]
+
+
+def test_wasted_bits_and_escaped_partitions_decode():
+    """A frame written field by field: two wasted bits, order 1, a partition without Rice codes and one with."""
+    x = [4 * int(v) for v in np.random.default_rng(8).integers(-32, 32, 192)]
+    y = [v >> 2 for v in x]
+    fields = [((8 | 1) << 1 | 1, 8), (1, 2), (y[0], 6), (0, 2), (1, 4), (15, 4), (7, 5), *((y[i] - y[i - 1], 7) for i in range(1, 96)), (3, 4)]
+    for i in range(96, 192):
+        e = y[i] - y[i - 1]
+        u = 2 * e if e >= 0 else -2 * e - 1
+        fields += [(0, u >> 3), (1, 1), (u, 3)] if u >> 3 else [(1, 1), (u, 3)]
+    head = flac._header(192, 0)
+    arrays = lambda b: (np.frombuffer(b, dtype=np.uint8), np.array([0]), np.array([len(b)]))
+    frame_ = head + bytes([int(flac._crc8(*arrays(head))[0])]) + _bits(*fields)
+    frame_ += int(flac._crc16(*arrays(frame_))[0]).to_bytes(2, "big")
+    got = flac._decode_frames(np.frombuffer(frame_, dtype=np.uint8), np.array([0]), np.array([len(frame_)]), np.array([0]), np.array([192]))
+    assert got[0].tolist() == x
+    verbatim = head + bytes([int(flac._crc8(*arrays(head))[0])]) + _bits((1 << 1 | 1, 8), (1, 2), *((v, 6) for v in y))
+    verbatim += int(flac._crc16(*arrays(verbatim))[0]).to_bytes(2, "big")
+    assert flac._decode_frames(np.frombuffer(verbatim, dtype=np.uint8), np.array([0]), np.array([len(verbatim)]), np.array([0]), np.array([192]))[0].tolist() == x
+
+
+def test_media_columns(spark, corpus, tmp_path):
     rows = [r for r in corpus if r[0] != 0]
-    media = flac.to_media(frame(spark, rows))
     texts = dict(rows)
-    for r in flac.digests(media).collect():
+    base = f"file://{tmp_path}"
+    assert flac.transcode(frame(spark, rows), f"{base}/whole").count() == len(rows)
+    pcm = flac.transcode(frame(spark, rows), f"{base}/parts", portions=3)
+    got = flac.digests(pcm).collect()
+    assert len(got) == len(rows)
+    for r in got:
         data = (texts[r.doc_id] or "").encode()
         padded = flac.pad(data)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
-    blocks = flac.pcm_blocks(media.where("doc_id = 96")).orderBy("sample_offset").collect()
+    blocks = pcm.where("doc_id = 96").first().blocks
     assert b"".join(b.pcm for b in blocks) == flac.pad((LONG + "end").encode()) and [b.sample_offset for b in blocks] == [k * flac.BLOCK for k in range(len(blocks))]
-    assert flac.digests(flac.to_media(empty(spark))).collect() == []
+    for first, count in ((0, 10), (flac.BLOCK - 5, 2 * flac.BLOCK), (150_000, 500), (10**7, 5)):
+        want = {i: flac.pad((t or "").encode())[first : first + count] for i, t in rows}
+        assert {r.doc_id: bytes(r.pcm) for r in flac.samples(pcm, first, count).collect()} == want
+    assert flac.digests(flac.transcode(empty(spark), f"{base}/none", portions=2)).collect() == []
 
 
 # ---------------------------------------------------------------- classifier
