@@ -11,11 +11,14 @@ Three things keep crowds of alike documents linear, without a cap:
   left equal and were of equal size are one *class*: its members link with the same others. A class
   that is left with too few shingles to reach the threshold with anything is out at once, so variants
   that are each a little too far from the rest of a crowd are never compared.
-* In each bucket of a band the classes meet the first class there; only what that did not join meets
-  the others: all but the largest component of a bucket against the classes of other components there.
+* In each bucket of a band the classes meet one class there, that with the fewest shingles of its own; only
+  what that did not join meets the others: all but the largest component of a bucket against the classes
+  of other components there. Of these pairs a join puts out those that sizes and parity sketches leave
+  possible: sketches differ in no more bits than sets in elements, so what they rule out is no link.
 
-The class pairs compared are at most those of one bucket that are in different components although
-they share four fifths of their shingles with something. None is dropped.
+The class pairs compared are those of one bucket that are in different components and that no bound rules
+out. None is dropped. Sketches have 1024 bits; sets of several thousand shingles fill them, and then
+only the sizes rule pairs out.
 
 Defined cases: a null or blank text has the empty set and links with nothing; a null id is never
 linked (component null, kept); rows that repeat an id are one document, which has the links of all its
@@ -35,6 +38,8 @@ from marram.llm.common import connected_components, materialise, mix64, release,
 
 _U = np.uint64
 _PRINT_A, _PRINT_B = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
+#: Longs in a parity sketch, a power of two.
+WORDS = 16
 SIGNATURE = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>"
 
 
@@ -152,6 +157,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def sketch(elements: Column) -> Column:
+    """Parities of the elements that fall on each of 64 * WORDS bits, as an array of longs. Two sets differ in at
+    least as many elements as their sketches differ in bits."""
+    word = lambda w: F.aggregate(elements, F.lit(0).cast("long"), lambda acc, x: F.when(F.shiftright(x, 6).bitwiseAND(WORDS - 1) == w, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))).otherwise(acc))
+    return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), word)
+
+
 def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (src, dst: ids that name sets) that join all that is linked, for ``reps`` (doc_id, fp_a, bands)."""
     # Sets that share a band with another one. A set is known by the id that names it and a fingerprint.
@@ -183,15 +195,20 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> Data
         """The sizes leave room for the intersection that the threshold asks for."""
         return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {percent} * ({a}.n + {b}.n) <= {100 + percent} * least({a}.r, {b}.r)")
 
+    def near(a: str, b: str) -> Column:
+        """What each has of its own, and the bits in which their sketches differ, leave the union small enough."""
+        apart = " + ".join(f"bit_count({a}.s{w} ^ {b}.s{w})" for w in range(WORDS))
+        return F.expr(f"{100 + percent} * ({a}.n - {a}.r + {b}.n - {b}.r + {apart}) <= {100 - percent} * ({a}.n + {b}.n)")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = class_sets.select(F.col("cid").alias("src"), F.col("n").alias("m"), F.col("shared").alias("a"))
         right = class_sets.select(F.col("cid").alias("dst"), F.col("n").alias("n"), F.col("shared").alias("b"))
         both = F.size(F.array_intersect("a", "b")).cast("long")
         return pairs.join(left, "src").join(right, "dst").where(100 * both >= percent * (F.col("m") + F.col("n") - both)).select("src", "dst")
 
-    # First each class against the first one of its buckets.
-    hubs = at.groupBy("key").agg(F.min(F.struct("cid", "n", "r")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub.*")
-    stars = at.alias("a").join(hubs.alias("b"), "key").where("a.cid > b.cid").where(possible("a", "b"))
+    # First each class against that of its buckets which has least of its own, and so is near most others.
+    hubs = at.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("own"), "cid", "n", "r")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub.*")
+    stars = at.alias("a").join(hubs.alias("b"), "key").where("a.cid <> b.cid").where(possible("a", "b"))
     first = materialise(confirmed(stars.select(F.col("b.cid").alias("src"), F.col("a.cid").alias("dst")).distinct()), "links")
     parts = materialise(connected_components(first), "parts")
 
@@ -199,10 +216,13 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> Data
     placed = at.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
     mixed = mixed.agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
-    open_ = materialise(placed.join(mixed, "key"), "open")
+    open_ = placed.join(mixed, "key")
+    sketches = class_sets.join(open_.select("cid").distinct(), "cid", "left_semi").select("cid", sketch(F.col("shared")).alias("sketch"))
+    open_ = open_.join(sketches, "cid").select("key", "cid", "n", "r", "component", "main", *[F.col("sketch")[w].alias(f"s{w}") for w in range(WORDS)])
+    open_ = materialise(open_, "open")
     pairs = open_.where("component <> main").alias("a").join(
         open_.alias("b"),
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & ((F.col("a.cid") < F.col("b.cid")) | (F.col("b.component") == F.col("b.main"))) & possible("a", "b"),
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & ((F.col("a.cid") < F.col("b.cid")) | (F.col("b.component") == F.col("b.main"))) & possible("a", "b") & near("a", "b"),
     )
     pairs = pairs.select(F.least("a.cid", "b.cid").alias("src"), F.greatest("a.cid", "b.cid").alias("dst")).distinct()
     links = materialise(first.unionByName(confirmed(pairs)), "links")
