@@ -383,24 +383,118 @@ def test_pieces_equal_the_library(spark, corpus):
 # ---------------------------------------------------------------- licenses and secrets
 
 
+MIT = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is
+available at https://www.eclipse.org/legal/epl-2.0/"""
+LICENSE_CASES = [
+    (1, "Text.\nLicensed under the Apache License, Version 2.0.\nmore", ["Apache-2.0"], ""),
+    (2, MIT, ["MIT"], "CopyrightLine"),
+    (3, "This work is licensed under the GNU General Public License, version 3. You may use that or any later version.", ["GPL-3.0-or-later"], ""),
+    (4, "We need a driving licence here.", [], "unknown"),
+    (5, None, [], ""),
+    (6, "", [], ""),
+    (7, BSD3, ["BSD-3-Clause"], ""),
+    (8, "All rights reserved.\nReleased under the MIT License. Licensed under CC BY-NC 4.0.", ["MIT", "CC-BY-NC-4.0", "proprietary"], ""),
+    (9, BSD, ["BSD-2-Clause"], ""),
+    (10, BSD.split("\n\n")[0], [], "BsdGrant"),
+    (11, "\n".join(f" * {x}" for x in BSD3.split("\n")), ["BSD-3-Clause"], ""),
+    (12, GPL, ["GPL-3.0-or-later"], ""),
+    (13, "\n".join(f"# {x}" for x in GPL.replace("version 3", "version 2").split("\n")), ["GPL-2.0-or-later"], ""),
+    (14, APACHE, ["Apache-2.0"], ""),
+    (15, ISC + "\n\n" + MPL + "\n\n" + EPL, ["ISC", "MPL-2.0", "EPL-2.0"], ""),
+    # What stands between two sentences of a rule is not lost, and of two notices each is matched.
+    (16, "Licensed under the GNU General Public License, version 2.\nLicensed under CC BY 4.0.\nOr any later version.", ["GPL-2.0-or-later", "CC-BY-4.0"], ""),
+    (17, "Licensed under GPLv3.\nOr any later version.\nLicensed under GPLv3.\nOr any later version.", ["GPL-3.0-or-later"], ""),
+    (18, BSD.split("\n\n")[0] + "\n\n" + MPL + "\n\n" + BSD3.split("\n\n", 1)[1], ["BSD-3-Clause", "MPL-2.0"], ""),
+    (19, "Licensed under CC BY 4.0\nReleased under the MIT License\nAll rights reserved", ["MIT", "CC-BY-4.0", "proprietary"], ""),
+    (20, "under the Apache\n\nLicense 2.0 Licensed under the\n\nMIT License", ["MIT"], "unknown"),
+    (21, "(at your option)\nany\nlater\nversion", [], "OrLater"),
+    (22, "This\nsoftware is provided as is.\nSPDX-License-Identifier: Apache-2.0\n", ["SPDX-tag"], "AsIs"),
+    (23, "Not licensed under the MIT License, they say.\nGNU gpl", [], "unknown,unknown"),
+    (24, "All\nrights reserved. The license text is long; " + "word " * 20_000 + "Released under the\nMIT License", ["MIT", "proprietary"], "unknown"),
+    (25, "Licensed under the Apache License, Version 2.0. Licensed under CC BY 4.0. Released under the MIT License. You may not use this file except in compliance with the License." + APACHE.split("at\n")[1], ["Apache-2.0", "MIT", "CC-BY-4.0"], "ApacheUrl"),
+]
+
+
 def test_licenses(spark):
-    rows = [
-        (1, "Text.\nLicensed under the Apache License, Version 2.0.\nmore"),
-        (2, "Permission is hereby granted, free of charge, to any person obtaining a copy of this. The above copyright notice and this permission notice shall be included in all."),
-        (3, "This is licensed under the GNU General Public License, version 3. You may use that or any later version."),
-        (4, "We need a driving licence here."),
-        (5, None),
-        (6, ""),
-        (7, "Redistribution and use in source and binary forms, with or without modification, are ok.\nThe name may not be used to endorse or promote products."),
-        (8, "All rights reserved.\nReleased under the MIT License. Licensed under CC BY-NC 4.0."),
-    ]
-    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
-    names = {i: r.licenses for i, r in got.items()}
-    assert names == {1: ["Apache-2.0"], 2: ["MIT"], 3: ["GPL-3.0-or-later"], 4: [], 5: [], 6: [], 7: ["BSD-3-Clause"], 8: ["MIT", "CC-BY-NC-4.0", "proprietary"]}
-    assert got[4].sentence_ids == ["unknown"] == got[4].unmatched
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, [(i, t) for i, t, _, _ in LICENSE_CASES])).collect()}
+    assert {i: (r.licenses, ",".join(r.unmatched)) for i, r in got.items()} == {i: (names, left) for i, _, names, left in LICENSE_CASES}
+    assert got[18].sentence_ids == ["BsdGrant", "Mpl2Ref", "MplCopyAt", "BsdSource", "BsdBinary", "BsdNoEndorse"]
     assert licenses.scan(empty(spark)).collect() == []
 
 
+def test_the_license_query_equals_its_sql(spark, tmp_path):
+    """On texts made of known sentences, parts of them and other lines, in any order and wrapped anywhere."""
+    import duckdb
+
+    rng = random.Random(12)
+    known = [s.replace("{years}", "(c) 2019, 2021 A Holder").replace("{name}", "Some Name") for s in licenses.KNOWN]
+    known = [("Released under the " if rng.random() < 0.5 else "This work is licensed under ") + s[6:] if s.startswith("under ") else s for s in known]
+    rows = [(i, t) for i, t, _, _ in LICENSE_CASES]
+    for i in range(100, 400):
+        parts = []
+        for _ in range(rng.randrange(1, 9)):
+            words = rng.choice([rng.choice(known), rng.choice(known), "some other line", "a license of its own", "or any later version"]).split()
+            if rng.random() < 0.1:
+                words = words[: rng.randrange(1, len(words) + 1)]
+            for w in range(len(words) - 1):
+                words[w] += rng.choice([" "] * 12 + ["\n", ",\n * ", "  "])
+            parts.append("".join(words) + rng.choice([". ", ".\n", "\n", "\n\n", ";\n# "]))
+        rows.append((i, "".join(parts)))
+    spark.createDataFrame(rows, DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(licenses.oracle())
+    names = [d[0] for d in found.description]
+    want = {r[names.index("doc_id")]: dict(zip(names, r, strict=True)) for r in found.fetchall()}
+    got = {r.doc_id: r.asDict() for r in Q.op4_license_scan(spark, f"file://{tmp_path}").collect()}
+    assert got.keys() == want.keys()
+    assert {i: (got[i], want[i]) for i in got if got[i] != want[i]} == {}
+    assert len({r["licenses"] for r in got.values()}) > 50
+
+
 def test_rules_leave_what_stands_between(spark):
     cases = {
         "ApacheRef,CcBy4,MitRef,ApacheNoUse,ApacheAsIs": (["Apache-2.0", "MIT", "CC-BY-4.0"], ""),
@@ -416,29 +510,6 @@ def test_rules_leave_what_stands_between(spark):
     assert {r.ids: (r.m.names, ",".join(x for x in r.m.rest.split(",") if x)) for r in df.collect()} == cases
 
 
-def test_wrapped_headers(spark):
-    bsd = """Redistribution and use in source and binary forms, with or without
-modification, are permitted provided that the following conditions are met:
-
-* Neither the name of the holder nor the names of its contributors may be used to endorse
-  or promote products derived from this software."""
-    mit = """Permission is hereby granted, free of charge, to any person
-obtaining a copy of this software.
-
-The above copyright notice and this permission
-notice shall be included in all copies."""
-    gpl = """This program is free software: you can redistribute it and/or modify
-it under the terms of the GNU General Public License as published by
-the Free Software Foundation, either version 3 of the License, or
-(at your option) any later version."""
-    rows = [(1, bsd), (2, "\n".join(f" * {x}" for x in bsd.split("\n"))), (3, mit), (4, gpl), (5, "under the GNU General Public\n# License, version 3, or\n# (at your option) any later version."), (6, "Provided as is.")]
-    rows += [(7, "Licensed under CC BY 4.0\nReleased under the MIT License\nAll rights reserved"), (8, "under the Apache\n\nLicense 2.0 Licensed under the\n\nMIT License"), (9, "(at your option)\nor any\nlater\nversion")]
-    got = {r.doc_id: (r.licenses, r.sentence_ids) for r in licenses.scan(frame(spark, rows)).collect()}
-    assert got[1][0] == got[2][0] == ["BSD-3-Clause"] and got[3][0] == ["MIT"]
-    assert got[4][0] == ["GPL"] and got[4][1][-1] == "OrLater" and got[5][0] == ["GPL-3.0-or-later"] and got[6][1] == ["AsIs"]
-    assert got[7][0] == ["MIT", "CC-BY-4.0", "proprietary"] and got[8][0] == [] and got[9][1] == ["OrLater"]
-
-
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
