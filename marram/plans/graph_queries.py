@@ -69,15 +69,16 @@ kr AS (SELECT kp.*, shared / least(x.n, y.n)::DOUBLE AS raw FROM kp JOIN sz x ON
 ks AS (SELECT query_id, seed_id, reference_id, shared, round(raw, 6) AS ratio FROM kr WHERE shared >= 2 OR (shared >= 2 AND raw >= 0.8))"""
 
 
-@query(f"WITH {GRAPH}, {SHARED} SELECT query_id, seed_id, reference_id, shared, ratio FROM ks")
+@query(f"WITH {GRAPH}, {SHARED.replace('shared >= 2 OR (shared >= 2 AND raw >= 0.8)', 'shared >= 4 OR (shared >= 2 AND raw >= 0.4)')} SELECT query_id, seed_id, reference_id, shared, ratio FROM ks")
 def graph_expand_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, links, start = _graph(spark, sf_dir)
-    return graph.keyword_pairs(start, links, 2, 0.8)
+    """Four shared keywords, or two that are four tenths of the smaller set."""
+    refs = references(spark, sf_dir)
+    return graph.keyword_pairs(seeds(refs), keywords(refs), 4, 0.4)
 
 
-EDGES = """ev AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-en AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM ev),
-ep AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.n * b.n), 6) AS score FROM en a JOIN en b ON a.label = b.label AND a.vec_id <> b.vec_id),
+EDGES = """ev AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+en AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM ev),
+ep AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.n * b.n), 6) AS score FROM en a JOIN en b ON a.vec_id <> b.vec_id),
 er AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM ep WHERE score >= 0.3), es AS (SELECT src, dst, score FROM er WHERE r <= 8),
 sm AS (SELECT s.query_id, dst AS reference_id, max(score) AS score FROM seeds s JOIN es ON src = s.reference_id GROUP BY 1, 2)"""
 

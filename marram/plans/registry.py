@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 REFS = "refs AS (SELECT doc_id AS reference_id, source AS guideline_id, lang AS reference_group_id, text, n_chars, least(n_chars // 1000, 5) AS bucket FROM documents)"
 PLACED = REFS + ", placed AS (SELECT *, row_number() OVER (PARTITION BY guideline_id ORDER BY bucket, reference_id) - 1 AS pos FROM refs)"
 WORDS = r"string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+')"
-KEYWORDS = f"kw AS (SELECT DISTINCT reference_id, keyword FROM (SELECT reference_id, unnest({WORDS}) AS keyword FROM refs) WHERE length(keyword) >= 12)"
+KEYWORDS = f"kw AS (SELECT DISTINCT reference_id, keyword FROM (SELECT reference_id, unnest({WORDS}) AS keyword FROM refs) WHERE length(keyword) >= 6)"
 SEEDS = "seeds AS (SELECT guideline_id AS query_id, reference_id FROM refs WHERE reference_id % 50 = 0)"
 SECTION = "guideline_id || '::1|' || reference_group_id || '|0/1.' || bucket || '|B' || bucket || '|1/||2'"
 

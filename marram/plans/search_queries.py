@@ -42,7 +42,7 @@ for _kind in V.DISTANCES:
 
 @query(
     f"""WITH {VECTORS}, p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round({DOT.replace("qe", "a.e").replace("(list_zip(a.e, e)", "(list_zip(a.e, b.e)")}
- / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x)))), 6) AS score FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id),
+ / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x)))), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM p WHERE score >= 0.2) SELECT src, dst, score FROM r WHERE r <= 8"""
 )
 def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
