@@ -5,15 +5,19 @@ Words come as a table pdf_words (guideline_id, page, x0, y0, x1, y1, text); no P
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from functools import partial, reduce
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marram.functions.ranking import positions
+from marram.plans.scratch import stored
+
 Rect = tuple[float, float, float, float]
-_TOKEN = re.compile(r"\w+", re.UNICODE)
 
 
 @dataclass(frozen=True)
@@ -49,110 +53,140 @@ def meaningful_column(x0: Column, y0: Column, x1: Column, y1: Column, limits: Li
     return (width >= limits.min_width) & (width * height >= limits.min_area) & ~((width <= limits.thin_width) & (height >= limits.thin_height))
 
 
+def _apart(a: Rect, b: Rect) -> tuple[float, float]:
+    """Clear space between two rectangles across and down; below 0 by as much as they overlap."""
+    return max(a[0], b[0]) - min(a[2], b[2]), max(a[1], b[1]) - min(a[3], b[3])
+
+
 def belongs(a: Rect, b: Rect, limits: Limits = LIMITS) -> bool:
     """Whether two rectangles are one block: side by side on a line, or stacked in a column or block."""
-    gap = lambda k: max(0.0, max(a[k], b[k]) - min(a[k + 2], b[k + 2]))
-    across, down = gap(0), gap(1)
-    middle = abs((a[1] + a[3]) - (b[1] + b[3])) / 2
-    if max(middle, down) <= limits.same_line and across <= limits.line_gap:
+    across, down = _apart(a, b)
+    if down <= limits.same_line and across <= limits.line_gap and abs(sum(a[1::2]) - sum(b[1::2])) <= 2 * limits.same_line:
         return True
-    if down > limits.block_gap:
-        return False
-    in_column = max(abs(a[0] - b[0]), abs(a[2] - b[2])) <= limits.column
-    return in_column or min(a[2], b[2]) - max(a[0], b[0]) >= -limits.block_overlap
+    edges = (abs(a[0] - b[0]), abs(a[2] - b[2]))
+    return down <= limits.block_gap and (across <= limits.block_overlap or max(edges) <= limits.column)
+
+
+def _hull(a: Rect, b: Rect) -> Rect:
+    return (*map(min, a[:2], b[:2]), *map(max, a[2:], b[2:]))
+
+
+def _absorbed(blocks: tuple[Rect, ...], rect: Rect, limits: Limits = LIMITS) -> tuple[Rect, ...]:
+    """``blocks`` with ``rect`` in the first that it belongs to, or after them."""
+    hosts = [belongs(block, rect, limits) for block in blocks]
+    if not any(hosts):
+        return (*blocks, rect)
+    k = hosts.index(True)
+    return (*blocks[:k], _hull(blocks[k], rect), *blocks[k + 1 :])
 
 
 def merged(rects: list[Rect], limits: Limits = LIMITS) -> list[tuple[int, int, int, int]]:
-    """Blocks of rectangles, merged until nothing changes, rounded, top to bottom."""
-    order = lambda r: (r[1], r[0], r[3], r[2])
-    blocks = sorted((r for r in rects if meaningful(r, limits)), key=order)
-    while True:
-        grown: list[Rect] = []
-        for rect in blocks:
-            at = next((k for k, g in enumerate(grown) if belongs(g, rect, limits)), None)
-            if at is None:
-                grown.append(rect)
-            else:
-                g = grown[at]
-                grown[at] = (min(g[0], rect[0]), min(g[1], rect[1]), max(g[2], rect[2]), max(g[3], rect[3]))
-        settled = len(grown) == len(blocks)
-        blocks = sorted(grown, key=order)
-        if settled:
-            return [tuple(int(round(v)) for v in b) for b in blocks]
-
-
-def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.replace("\u00ad", "").casefold())
-
-
-def _take(source: list[str], at: int, word: str, limits: Limits) -> int:
-    """Source tokens from ``at`` on that together spell ``word``, at most ``limits.joined``; 0 if none do."""
-    spelled = ""
-    for n in range(1, limits.joined + 1):
-        if at + n > len(source):
-            return 0
-        spelled += source[at + n - 1]
-        if spelled == word:
-            return n
-        if not word.startswith(spelled):
-            return 0
-    return 0
-
-
-def _follow(source: list[str], query: list[str], at: int, limits: Limits) -> list[int]:
-    """Source places that spell the query from ``at`` on, with gaps; empty if they don't."""
-    n = _take(source, at, query[0], limits)
-    places, after, skipped = list(range(at, at + n)), at + n, 0
-    if not n:
-        return []
-    for word in query[1:]:
-        reach = min(len(source), after + min(limits.token_gap, limits.total_gap - skipped) + 1)
-        hit = next(((k, n) for k in range(after, reach) if (n := _take(source, k, word, limits))), None)
-        if hit is None:
-            return []
-        skipped += hit[0] - after
-        places += range(hit[0], sum(hit))
-        after = sum(hit)
-    return places
-
-
-def find(words: list[tuple[int, Rect, str]], text: str, limits: Limits = LIMITS) -> list[tuple[int, tuple[int, int, int, int]]]:
-    """(page, box) of every occurrence of ``text``: exactly, else (from ``min_tokens`` words on) with gaps."""
-    query = tokens(text)
-    source = [(page, rect, t) for page, rect, word in words for t in tokens(word)]
-    spelled = [s[2] for s in source]
-    if not query:
-        return []
-    exact = [list(range(k, k + len(query))) for k in range(len(spelled) - len(query) + 1) if spelled[k] == query[0] and spelled[k : k + len(query)] == query]
-    found = exact
-    if not exact and len(query) >= limits.min_tokens:
-        found, at = [], 0
-        while at < len(spelled):
-            places = _follow(spelled, query, at, limits)
-            if places:
-                found.append(places)
-            at = places[-1] + 1 if places else at + 1
-    pages: dict[int, dict[Rect, None]] = {}
-    for places in found:
-        for k in places:
-            pages.setdefault(source[k][0], {})[source[k][1]] = None
-    return [(page, box) for page in sorted(pages) for box in merged(list(pages[page]), limits)]
+    """Blocks of rectangles, merged until no two belong together, rounded, top to bottom."""
+    reading = lambda some: tuple(sorted(some, key=itemgetter(1, 0, 3, 2)))
+    blocks, before = reading(r for r in rects if meaningful(r, limits)), None
+    while before is None or len(blocks) < before:
+        before = len(blocks)
+        blocks = reading(reduce(partial(_absorbed, limits=limits), blocks, ()))
+    return [tuple(int(round(v)) for v in block) for block in blocks]
+
+
+def tokens(text: Column) -> Column:
+    """Words in lower case, soft hyphens gone."""
+    folded = F.regexp_replace(F.lower(F.regexp_replace(text, "\u00ad", "")), "ß", "ss")
+    return F.filter(F.split(folded, r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+
+
+class Spelled:
+    """Where words stand in a list of tokens: as a token, or spelled by up to ``limits.joined`` tokens in a row."""
+
+    def __init__(self, source: list[str], limits: Limits = LIMITS) -> None:
+        self.places: dict[str, list[tuple[int, int]]] = {}
+        for at in range(len(source)):
+            for end in range(at + 1, min(len(source), at + limits.joined) + 1):
+                self.places.setdefault("".join(source[at:end]), []).append((at, end))
+        self.limits = limits
+
+    def next(self, word: str, low: int, high: int) -> tuple[int, int] | None:
+        """The first place of ``word`` that begins from ``low`` to ``high``."""
+        places = self.places.get(word, [])
+        k = bisect_left(places, (low, 0))
+        return places[k] if k < len(places) and places[k][0] <= high else None
+
+    def trail(self, query: list[str], begin: tuple[int, int]) -> list[tuple[int, int]] | None:
+        """Places of all words of ``query``, one after the other, that leave out no more tokens than allowed."""
+        trail, slack = [begin], self.limits.total_gap
+        for word in query[1:]:
+            free = trail[-1][1]
+            place = self.next(word, free, free + min(self.limits.token_gap, slack))
+            if place is None:
+                return None
+            slack -= place[0] - free
+            trail.append(place)
+        return trail
+
+    def trails(self, query: list[str]) -> list[list[tuple[int, int]]]:
+        """Trails from the left that share no token."""
+        found: list[list[tuple[int, int]]] = []
+        for begin in self.places.get(query[0], []):
+            if not found or begin[0] >= found[-1][-1][1]:
+                trail = self.trail(query, begin)
+                found += [trail] if trail else []
+        return found
+
+
+def word_tokens(words: DataFrame) -> DataFrame:
+    """words (guideline_id, page, x0, y0, x1, y1, text) as tokens with their place in the guideline's reading
+    order: guideline_id, pos, token, page, rect."""
+    each = words.select("guideline_id", "page", F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).alias("rect"), F.posexplode(tokens(F.col("text"))).alias("nth", "token"))
+    return positions(each, "guideline_id", ["page", F.col("rect.y0"), F.col("rect.x0"), F.col("rect.x1"), "nth", "token"])
+
+
+def exact_places(queries: DataFrame, tokens_: DataFrame) -> DataFrame:
+    """text_id and the token places of every exact occurrence of a text.
+
+    queries: guideline_id, text_id, i, n, token (the i-th of n), first_page, last_page. A token of a query at a
+    place stands for an occurrence that begins i places before; one that all n tokens stand for is there.
+    The rarest token of a query says where to look, so a frequent word is looked up at a few places only.
+    """
+    spread_ = tokens_.groupBy("guideline_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = queries.join(spread_, ["guideline_id", "token"]).groupBy("guideline_id", "text_id").agg(F.min_by(F.struct("token", "i"), F.struct("df", "i")).alias("r"))
+    begins = rarest.select("guideline_id", "text_id", F.col("r.token").alias("token"), F.col("r.i").alias("i")).join(tokens_.select("guideline_id", "token", "pos"), ["guideline_id", "token"])
+    begins = begins.select("guideline_id", "text_id", (F.col("pos") - F.col("i")).alias("begin"))
+    wanted = begins.join(queries, ["guideline_id", "text_id"]).withColumn("pos", F.col("begin") + F.col("i"))
+    found = wanted.join(tokens_, ["guideline_id", "pos", "token"]).where("page between first_page and last_page")
+    whole = found.groupBy("guideline_id", "text_id", "begin").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).where("m = n").select("guideline_id", "text_id", "begin")
+    return found.join(whole, ["guideline_id", "text_id", "begin"]).select("text_id", "page", "rect").distinct()
 
 
 def locate(texts: DataFrame, words: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """texts (guideline_id, text_id, text, first_page, last_page) -> text_id, page, x0, y0, x1, y1 (X11).
 
-    Grouped by text: a task holds the words of one text's pages."""
-    within = F.col("page").between(F.coalesce("first_page", F.lit(0)), F.coalesce("last_page", F.lit(2**30)))
-    rows = texts.withColumnRenamed("text", "wanted").join(words, "guideline_id").where(within)
+    Exact occurrences are joins over token places. Only texts without one, of ``min_tokens`` words or more,
+    are followed with gaps, each over the tokens of its pages in one task. Boxes of a page are merged."""
+    kind = texts.select("text_id").dtypes[0][1]
+    tokens_ = stored(word_tokens(words), "word-tokens")
+    asked = texts.select("guideline_id", "text_id", tokens(F.col("text")).alias("query"), F.coalesce("first_page", F.lit(0)).alias("first_page"), F.coalesce("last_page", F.lit(2**30)).alias("last_page")).where("size(query) > 0")
+    queries = asked.select("guideline_id", "text_id", "first_page", "last_page", F.size("query").alias("n"), F.posexplode("query").alias("i", "token"))
+    exact = stored(exact_places(queries, tokens_), "exact-places")
+
+    rest = asked.where(F.size("query") >= limits.min_tokens).join(exact.select("text_id").distinct(), "text_id", "left_anti")
+    within = rest.join(tokens_, "guideline_id").where("page between first_page and last_page").select("text_id", "query", "pos", "token", "page", "rect")
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", ignore_index=True)
+        trails = Spelled(pdf["token"].tolist(), limits).trails(list(pdf["query"].iloc[0]))
+        used = pdf.loc[sorted({k for trail in trails for a, b in trail for k in range(a, b)}), ["text_id", "page", "rect"]]
+        return used.reset_index(drop=True)
+
+    rect = "struct<x0:double,y0:double,x1:double,y1:double>"
+    gapped = within.groupBy("text_id").applyInPandas(follow, f"text_id {kind}, page int, rect {rect}")
+    pages = exact.select("text_id", F.col("page").cast("int").alias("page"), "rect").unionByName(gapped).distinct().groupBy("text_id", "page").agg(F.collect_list("rect").alias("rects"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "y0", "x0", "x1"])
-        listed = [(int(r.page), (r.x0, r.y0, r.x1, r.y1), r.text) for r in pdf.itertuples()]
-        boxes = find(listed, pdf["wanted"].iloc[0], limits)
-        return pd.DataFrame([(pdf["text_id"].iloc[0], page, *box) for page, box in boxes], columns=["text_id", "page", "x0", "y0", "x1", "y1"])
+    @F.pandas_udf("array<struct<x0:int,y0:int,x1:int,y1:int>>")
+    def blocks(rects: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("x0", "y0", "x1", "y1"), b, strict=True)) for b in merged([(r["x0"], r["y0"], r["x1"], r["y1"]) for r in some], limits)] for some in rects])
 
-    return rows.groupBy("text_id").applyInPandas(run, f"text_id {texts.select('text_id').dtypes[0][1]}, page int, x0 int, y0 int, x1 int, y1 int")
+    return pages.select("text_id", "page", F.explode(blocks("rects")).alias("b")).select("text_id", "page", "b.*")
 
 
 def by_page(boxes: DataFrame, key: str) -> DataFrame:

@@ -20,6 +20,11 @@ def test_peel_keeps_the_text_of_its_turn():
     assert evaluation.peel(["X"], ["aXb"]) == (["X"], [], ["a", "b"])
     assert evaluation.peel(["one two"], ["two three"]) == (["two"], ["one "], [" three"])
     assert evaluation.peel(["axxb"], ["cxxd"]) == ([], ["axxb"], ["cxxd"])  # inside both: not counted
+    # A second match replaces what the first left in front; both rests behind are worked on, the later one first.
+    assert evaluation.peel(["aXbYc"], ["X", "Y"]) == (["X", "Y"], ["aXb", "c", "bYc"], [])
+    assert evaluation.peel(["X", "Y"], ["aXbYc"]) == (["X", "Y"], [], ["a", "b", "c"])
+    assert evaluation.peel(["three one"], ["one two", "nothree"]) == (["one", "three"], [" one"], [" two", "no"])
+    assert evaluation.peel([" "], [" "]) == ([], [" "], [" "]) and evaluation.peel([], ["a"]) == ([], [], ["a"])
 
 
 def test_retrieval_frame(spark):
@@ -61,23 +66,50 @@ def test_tables(spark):
     assert table.where(tables.contains("v", "A")).count() == 1 and table.where(tables.matches("v", "^[B]$")).count() == 1
 
 
-def words(lines):
-    return [(page, (x, y, x + 30.0, y + 10.0), w) for page, x, y, w in lines]
-
-
-def test_boxes():
-    source = words([(1, 0.0, 0.0, "Alpha"), (1, 35.0, 0.0, "be"), (1, 70.0, 0.0, "ta"), (1, 105.0, 0.0, "gamma"), (2, 0.0, 0.0, "delta")])
-    assert boxes.find(source, "Alpha beta gamma delta") == [(1, (0, 0, 135, 10)), (2, (0, 0, 30, 10))]
-    noisy = words([(1, 0.0, 0.0, "Alpha"), (1, 0.0, 100.0, "FOOTNOTE"), (1, 0.0, 20.0, "beta"), (1, 35.0, 20.0, "gamma")])
-    assert len(boxes.find(noisy, "alpha beta gamma")) == 2
-    assert boxes.find(source, "missing words here") == [] and boxes.find(source, "") == []
+def test_boxes_merge_to_a_fix_point():
     assert boxes.merged([(0, 0, 2, 2), (0, 0, 30, 10), (33, 1, 60, 11)]) == [(0, 0, 60, 11)]
+    assert boxes.merged([(0, 0, 30, 10), (0, 12, 30, 22), (100, 0, 130, 10), (0, 40, 30, 50)]) == [(0, 0, 30, 22), (100, 0, 130, 10), (0, 40, 30, 50)]
+    # The two outer ones belong together only once the middle one has joined the first.
+    assert boxes.merged([(0, 0, 30, 10), (60, 2, 90, 12), (36, 1, 55, 11)]) == [(0, 0, 90, 12)]
+    assert boxes.merged([(0, 0, 3, 100), (0, 0, 8, 40)]) == [] == boxes.merged([])
+
+
+WORDS = "guideline_id string, page int, x0 double, y0 double, x1 double, y1 double, text string"
+
+
+def test_texts_are_located_exactly_or_with_gaps(spark):
+    line = [("Alpha", 1, 0, 0), ("be", 1, 35, 0), ("ta", 1, 70, 0), ("gamma", 1, 105, 0), ("delta", 2, 0, 0), ("Alpha", 3, 0, 0), ("FOOTNOTE", 3, 0, 15), ("beta", 3, 0, 50), ("gamma", 3, 35, 50), ("so\u00adlo", 4, 0, 0), ("solo", 4, 0, 300)]
+    pdf = spark.createDataFrame([("g", page, float(x), float(y), x + 30.0, y + 10.0, w) for w, page, x, y in line] + [("h", 1, 0.0, 0.0, 30.0, 10.0, "solo")], WORDS)
+    texts = [
+        ("g", 1, "Alpha beta gamma delta", None, None),  # spelled by two tokens
+        ("g", 2, "alpha FOOTNOTE beta", None, None),  # exact, over two lines
+        ("g", 3, "alpha beta gamma", 3, 3),  # over a footnote
+        ("g", 4, "missing words here", None, None),
+        ("g", 5, "", None, None),
+        ("g", 6, "solo", None, None),  # every occurrence
+        ("g", 7, "alpha gamma", None, None),  # too short for gaps
+        ("g", 8, "footnote beta", 1, 2),  # not on these pages
+        ("x", 9, "solo", None, None),
+        ("g", 10, None, None, None),
+    ]
+    df = spark.createDataFrame(texts, "guideline_id string, text_id long, text string, first_page int, last_page int")
+    got = {}
+    for r in boxes.locate(df, pdf).collect():
+        got.setdefault(r.text_id, []).append((r.page, r.x0, r.y0, r.x1, r.y1))
+    assert {k: sorted(v) for k, v in got.items()} == {
+        1: [(1, 0, 0, 135, 10), (2, 0, 0, 30, 10)],
+        2: [(3, 0, 0, 30, 10), (3, 0, 15, 30, 25), (3, 0, 50, 30, 60)],
+        3: [(3, 0, 0, 30, 10), (3, 0, 50, 65, 60)],
+        6: [(4, 0, 0, 30, 10), (4, 0, 300, 30, 310)],
+    }
+    assert boxes.locate(df.limit(0), pdf).count() == 0
 
 
-def test_boxes_frame(spark):
-    texts = spark.createDataFrame([("g", 1, "alpha beta", None, None)], "guideline_id string, text_id long, text string, first_page int, last_page int")
-    pdf = spark.createDataFrame([("g", 3, 0.0, 0.0, 30.0, 10.0, "Alpha"), ("g", 3, 35.0, 0.0, 60.0, 10.0, "beta")], "guideline_id string, page int, x0 double, y0 double, x1 double, y1 double, text string")
-    assert [tuple(r) for r in boxes.locate(texts, pdf).collect()] == [(1, 3, 0, 0, 60, 10)]
+def test_trails_leave_out_so_many_tokens_and_no_more():
+    limits = boxes.Limits(token_gap=3, total_gap=4)
+    source = "a x x b x x c a b c a x x x x b c a x b x x x c".split()
+    assert boxes.Spelled(source, limits).trails(["a", "b", "c"]) == [[(0, 1), (3, 4), (6, 7)], [(7, 8), (8, 9), (9, 10)], [(17, 18), (19, 20), (23, 24)]]
+    assert boxes.Spelled("x ab c d x".split()).trails(["abcd"]) == [[(1, 4)]] and boxes.Spelled(["a"]).trails(["b"]) == []
 
 
 BRANCH = {
