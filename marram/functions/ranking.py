@@ -29,6 +29,26 @@ def positions(df: DataFrame, group: str, order: Sequence[Column | str], name: st
     return joined.select(*df.columns, (F.col("_pos_at") + F.col("_pos_shift")).alias(name))
 
 
+def with_previous(df: DataFrame, group: str, order: Sequence[Column | str], columns: Sequence[str], name: str = "pos") -> DataFrame:
+    """``df`` with its place in ``group`` and, as previous_<column>, what the row before holds there: an equi join
+    on (group, place), so that a group may be any share of the table."""
+    laid = positions(df, group, order, name)
+    before = laid.select(F.col(group).alias("_before_group"), (F.col(name) + 1).alias("_before_at"), *[F.col(c).alias(f"previous_{c}") for c in columns])
+    return laid.join(before, F.col(group).eqNullSafe(F.col("_before_group")) & (F.col(name) == F.col("_before_at")), "left").drop("_before_group", "_before_at")
+
+
+def running_sum(df: DataFrame, group: str, at: str, value: str, name: str, block: int = 4096) -> DataFrame:
+    """``df`` with the sum of ``value`` over its ``group`` up to place ``at``: inside blocks of places, then over
+    the blocks' sums."""
+    cut = df.withColumn("_block", F.expr(f"`{at}` div {block}"))
+    sums = cut.groupBy(F.col(group).alias("_sum_group"), F.col("_block").alias("_sum_block")).agg(F.sum(value).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy("_sum_group").orderBy("_sum_block").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("_sum_group", "_sum_block", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    inside = F.sum(value).over(Window.partitionBy(group, "_block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    joined = cut.withColumn("_inside", inside).join(sums, F.col(group).eqNullSafe(F.col("_sum_group")) & (F.col("_block") == F.col("_sum_block")))
+    return joined.withColumn(name, F.col("_inside") + F.col("_earlier")).drop("_block", "_inside", "_earlier", "_sum_group", "_sum_block")
+
+
 def top_k(df: DataFrame, k: int, by: Sequence[Column], per: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """The first k rows by ``by`` (of each ``per``), with their rank from 1.
 

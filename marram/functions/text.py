@@ -62,6 +62,11 @@ def all_tokens(x: Column, least: int = 1) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda t: F.length(t) >= least)
 
 
+def word_count(x: Column) -> Column:
+    """How many words all_tokens() gives."""
+    return F.regexp_count(F.coalesce(x, F.lit("")), F.lit(r"[\p{L}\p{N}_]+"))
+
+
 def shorten(x: Column, n: int) -> Column:
     """At most n characters, cut ones ending in an ellipsis; n <= 0 cuts nothing."""
     if n <= 0:

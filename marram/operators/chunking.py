@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions.ranking import positions
@@ -68,7 +68,7 @@ def split(refs: DataFrame, strategy: str, n: int | None = None, key: str = "refe
 
 def local_index(rows: DataFrame, group: str, order: list[Column | str], name: str = "chunk_index") -> DataFrame:
     """Index from 0 inside ``group`` of the rows that are there."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    return positions(rows, group, order, name)
 
 
 def reindex(refs: DataFrame, boxes: str = "bboxs", text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions.ranking import top_k
-from marram.functions.text import all_tokens, query_tokens
+from marram.functions.text import all_tokens, query_tokens, word_count
 from marram.plans.scratch import stored
 
 K1, B = 1.2, 0.75
@@ -23,16 +23,17 @@ def rounded(x: Column | str) -> Column:
 def bm25(refs: DataFrame, queries: DataFrame, text: Column | None = None) -> DataFrame:
     """query_id, reference_id, score for every document that shares a word with a query.
 
-    Texts are tokenised once, into a stored table whose lengths give the mean. Only words of queries
-    are kept from it, so what is shuffled follows the hits; counts of a word in a document are made
-    before its document frequency joins.
+    A first scan counts the words of all texts. The second keeps only words of queries, so what is
+    stored and shuffled follows the hits; counts of a word in a document are made before its document
+    frequency joins.
     """
     text = text if text is not None else F.col("text")
-    words = stored(refs.select("reference_id", all_tokens(text, 1).alias("words")).withColumn("length", F.size("words")), "words")
-    total, mean = words.agg(F.count(F.lit(1)), F.avg("length")).first()
+    length = word_count(text)
+    total, mean = refs.agg(F.count(F.lit(1)), F.avg(length)).first()
     wanted = queries.select("query_id", F.explode(query_tokens(F.col("text"), 3)).alias("term"))
-    postings = words.select("reference_id", "length", F.explode("words").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("term", "reference_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    words = refs.select("reference_id", length.alias("length"), F.explode(all_tokens(text, 3)).alias("term"))
+    postings = words.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "reference_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    postings = stored(postings, "postings")
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1))))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marram.functions.ranking import positions, running_sum, with_previous
+
 
 def where_equal(df: DataFrame, **values) -> DataFrame:
     """Rows that equal all given values; None asks for nothing (F1, SRC1)."""
@@ -47,13 +49,11 @@ def newest(df: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def runs(df: DataFrame, partition: str, order: list[str], key: list[str]) -> DataFrame:
-    """Consecutive rows of equal key (A5): ``run`` counts from 1 inside the partition."""
-    window = Window.partitionBy(partition).orderBy(*order)
-    changed = F.lit(False)
-    for k in key:
-        changed = changed | ~F.lag(k).over(window).eqNullSafe(F.col(k))
-    first = F.row_number().over(window) == 1
-    return df.withColumn("_new", F.when(first | changed, 1).otherwise(0)).withColumn("run", F.sum("_new").over(window)).drop("_new")
+    """Consecutive rows of equal key (A5): ``run`` counts from 1 inside the partition, which may be the whole table."""
+    laid = with_previous(df, partition, order, key, "_at")
+    changed = reduce(lambda a, b: a | b, [~F.col(f"previous_{k}").eqNullSafe(F.col(k)) for k in key])
+    marked = laid.withColumn("_new", F.when((F.col("_at") == 0) | changed, 1).otherwise(0)).drop(*[f"previous_{k}" for k in key])
+    return running_sum(marked, partition, "_at", "_new", "run").drop("_new", "_at")
 
 
 def history(df: DataFrame, partition: str, order: str, last: int) -> DataFrame:
@@ -64,5 +64,4 @@ def history(df: DataFrame, partition: str, order: str, last: int) -> DataFrame:
 
 def batches(df: DataFrame, order: list[Column | str], size: int, per: str) -> DataFrame:
     """Index and batch of each row inside ``per``."""
-    index = F.row_number().over(Window.partitionBy(per).orderBy(*order)) - 1
-    return df.withColumn("item_index", index).withColumn("batch", F.expr(f"item_index div {int(size)}"))
+    return positions(df, per, order, "item_index").withColumn("batch", F.expr(f"item_index div {int(size)}"))

@@ -18,9 +18,9 @@ LIMIT = 12
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """References with positions, keyword edges and seeds."""
-    refs = placed(references(spark, sf_dir))
-    return refs, keywords(refs), seeds(refs)
+    """References with positions (without their texts, which nobody has to sort), keyword edges and seeds."""
+    refs = references(spark, sf_dir)
+    return placed(refs.drop("text")), keywords(refs), seeds(refs)
 
 
 def _similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,14 +33,14 @@ SELECT 'guidelines' AS kind, count(DISTINCT guideline_id) AS n FROM refs UNION A
  UNION ALL SELECT 'keywords', count(DISTINCT keyword) FROM kw UNION ALL SELECT 'keyword_edges', count(*) FROM kw UNION ALL SELECT 'next_edges', (SELECT count(*) FROM refs) - (SELECT count(DISTINCT guideline_id) FROM refs)"""
 )
 def graph_nodes_edges_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = placed(references(spark, sf_dir))
-    lists = keywords(refs).groupBy("reference_id").agg(F.collect_set("keyword").alias("keywords"))
+    refs, links, _ = _graph(spark, sf_dir)
+    lists = links.groupBy("reference_id").agg(F.collect_set("keyword").alias("keywords"))
     return graph.summary(refs.join(lists, "reference_id", "left"))
 
 
 @query(f"WITH {PLACED} SELECT a.guideline_id, a.reference_id AS src, b.reference_id AS dst FROM placed a JOIN placed b ON a.guideline_id = b.guideline_id AND b.pos = a.pos + 1")
 def next_prev_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.next_edges(placed(references(spark, sf_dir)))
+    return graph.next_edges(placed(references(spark, sf_dir).select("reference_id", "guideline_id", "bucket")))
 
 
 NEAR = """nb AS (SELECT DISTINCT s.query_id, b.reference_id, abs(b.pos - a.pos) AS hops FROM seeds s JOIN placed a ON a.reference_id = s.reference_id
@@ -141,7 +141,7 @@ def graph_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text seeds for every benchmark passage, expanded over the graph."""
     refs, links, _ = _graph(spark, sf_dir)
     queries = text_queries(spark, sf_dir)
-    hits = search.bm25_top(refs, queries, 5)
+    hits = search.bm25_top(references(spark, sf_dir), queries, 5)
     tokens = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("token"))
     out = graph.search(hits, tokens, refs, links, _similarity(spark, sf_dir), threshold=0.3)
     return out.withColumn("rank", F.col("rank").cast(LONG))
@@ -198,7 +198,7 @@ f AS (SELECT query_id, reference_id, min({{'kind': kind, 'r': seed_rank, 'o': of
 SELECT query_id, reference_id, row_number() OVER (PARTITION BY query_id ORDER BY first, reference_id) AS place FROM f"""
 )
 def neighborhood_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = references(spark, sf_dir)
+    refs = references(spark, sf_dir).drop("text")
     keyed = refs.withColumn("_g", F.concat_ws("|", "reference_group_id", "guideline_id"))
     return hierarchy.neighborhood(_ranked_seeds(refs), positions(keyed, "_g", ["bucket", "reference_id"]), 2).withColumn("place", F.col("place").cast(LONG))
 

@@ -95,13 +95,11 @@ def chat_history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, lag(sha256(t)) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_sha, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_number FROM p WHERE t <> ''"""
 )
 def previous_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    from marram.functions.ranking import with_previous
     from marram.functions.text import collapse
 
-    rows = table(spark, sf_dir, "conversations").withColumn("t", collapse(F.col("text"))).where("t <> ''")
-    window = Window.partitionBy("conv_id").orderBy("turn")  # a conversation is short: bounded by its turns
-    return rows.select("conv_id", "turn", F.lag(F.sha2("t", 256)).over(window).alias("previous_sha"), F.row_number().over(window).cast(LONG).alias("turn_number"))
+    rows = table(spark, sf_dir, "conversations").withColumn("t", collapse(F.col("text"))).where("t <> ''").select("conv_id", "turn", F.sha2("t", 256).alias("sha"))
+    return with_previous(rows, "conv_id", ["turn"], ["sha"]).select("conv_id", "turn", "previous_sha", (F.col("pos") + 1).alias("turn_number"))
 
 
 ISLANDS = """e AS (SELECT event_id, user_id, event_type, value, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -110,7 +108,7 @@ g AS (SELECT e.*, sum(n) OVER (PARTITION BY user_id ORDER BY ev.ts, e.event_id):
 
 @query(f"WITH {ISLANDS} SELECT user_id, run, event_type, count(*) AS n_rows, min(event_id) AS first_event FROM g GROUP BY 1, 2, 3")
 def csv_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = tables.runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_type"])
+    marked = tables.runs(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type"), "user_id", ["ts", "event_id"], ["event_type"])
     return marked.groupBy("user_id", "run", "event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("first_event"))
 
 
@@ -202,12 +200,11 @@ def evaluator_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH l AS (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, event_id, CASE WHEN p IS NOT NULL THEN round((epoch_us(ts) - epoch_us(p)) / 1e6, 3) END AS latency FROM l")
 def event_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
+    from marram.functions.ranking import with_previous
     from marram.functions.text import seconds_between
 
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").withColumn("p", before).select("user_id", "event_id", F.round(seconds_between(F.col("p"), F.col("ts")), 3).alias("latency"))
+    rows = with_previous(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"], ["ts"])
+    return rows.select("user_id", "event_id", F.round(seconds_between(F.col("previous_ts"), F.col("ts")), 3).alias("latency"))
 
 
 MERGE = """m AS (SELECT source AS query_id, doc_id AS seq, [lang, source, lang] AS ids, CASE WHEN doc_id % 4 = 0 THEN 'n/a' ELSE (doc_id % 4)::VARCHAR END AS latency FROM documents),

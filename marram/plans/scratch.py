@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """That folder; where none is set (a single node), a temporary one."""
+    """That folder. Where none is named, a local master gets a temporary one; a cluster has to name one that
+    all its machines see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="marram-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

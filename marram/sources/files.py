@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,5 +64,14 @@ def prompts(folder: str) -> dict[str, str]:
 
 
 def save_snapshot(df: DataFrame, path: str) -> None:
-    """Replace a stored table; the committer makes it visible when it is whole (SRC7)."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace a stored table (SRC7): the new one is written beside the old and takes its name when it is whole.
+    A job that fails leaves the old one as it is."""
+    spark = df.sparkSession
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, target = (to_path(f"{path.rstrip('/')}{suffix}") for suffix in (f".{uuid.uuid4().hex}.new", f".{uuid.uuid4().hex}.old", ""))
+    df.write.parquet(str(new))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.rename(target, old)
+    fs.rename(new, target)
+    fs.delete(old, True)
