@@ -12,7 +12,7 @@ stays; the lines of the others go. A single short line that stands elsewhere goe
 beside it, that is, as part of a repeated passage. The first place of a line is never taken out.
 
 Hashes only choose what is compared: a unit is removed after its bytes were found equal to those
-of the unit that stays. Only hashes of all units are counted; bytes move for repeated ones.
+of a unit that stays. Only hashes of all units are counted; bytes move for repeated ones.
 
 Defined cases: null and empty texts have no chunks and stay as they are; a text without a removed
 unit stays the same to the byte; a text all of whose lines go is empty; rows that repeat both id
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from marram.llm.common import hash_lines, materialise, mix64, release, slices
 
@@ -169,6 +170,12 @@ def dedup(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2
     release(heads)
 
     stay = found.where("stays").dropDuplicates(key).select(*key, F.col("body").alias("kept_body"))
-    gone = found.where("not stays").join(stay, key).where("body = kept_body")
+    same = F.col("body") == F.col("kept_body")
+    compared = found.where("not stays").join(stay, key).select("doc_id", "row_hash", "begin", "end", *key, same.alias("same"), F.when(~same, F.col("body")).alias("body"))
+    compared = materialise(compared, "compared")
+    release(found)
+    # Units whose hash is that of other bytes (next to none) are compared among themselves.
+    clash = compared.where("not same").withColumn("nth", F.dense_rank().over(Window.partitionBy(*key, "body").orderBy("doc_id", "row_hash", "begin"))).where("nth > 1")
+    gone = compared.where("same").drop("same", "body").unionByName(clash.drop("same", "body", "nth"))
     joined = _with_lists(keyed, gone, ["begin", "end"], "_m_gone", "left").drop("_m_hash")
     return _without(joined, parameters).drop("_m_gone")

@@ -295,6 +295,71 @@ def test_repeated_chunks_go_and_the_first_stays(spark):
     assert lines.dedup(empty(spark)).collect() == []
 
 
+def brute_dedup(rows, window=2, divisor=2, min_lines=2, long_words=50):
+    """Units are compared as bytes in one dictionary; boundaries alone come from the operator."""
+    from marram.llm.common import hash_lines
+
+    places: dict[tuple, list] = {}
+    for i, text in sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0])):
+        cut = text.encode().split(b"\n")
+        words = [len(x.split()) for x in cut]
+        full = [k for k, n in enumerate(words) if n]
+        for a, b in zip(full, full[1:], strict=False):
+            places.setdefault(("pair", cut[a], cut[b]), []).append((i, a, b + 1))
+        starts = lines.chunk_starts(hash_lines(cut), words, window, divisor, min_lines, long_words)
+        for a, b in zip(starts, [*starts[1:], len(cut)], strict=True):
+            some = sum(n > 0 for n in words[a:b])
+            if some > 2 or some == 1 and (b - a > 1 or words[a] >= long_words):
+                places.setdefault(("chunk", *cut[a:b]), []).append((i, a, b))
+    gone: dict = {}
+    for found in places.values():
+        for i, a, b in found[1:]:
+            gone.setdefault(i, set()).update(range(a, b))
+    out = {}
+    for i, text in rows:
+        left = "\n".join(x for k, x in enumerate((text or "").split("\n")) if k not in gone.get(i, ()))
+        out[i] = (text if i not in gone else left if left.strip() else "", len(gone.get(i, ())))
+    return out
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, clash):
+    """Texts put together of common and own lines, passages of any length, blank lines, long lines and copies."""
+    rng = random.Random(17)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    common = [line(rng.choice([1, 4, 12, 30, 49, 50, 70])) for _ in range(40)]
+    passages = [[line(rng.choice([2, 9, 26, 60])) for _ in range(rng.randrange(1, 9))] for _ in range(25)]
+    rows = []
+    for i in range(260):
+        parts = []
+        for _ in range(rng.randrange(0, 9)):
+            kind = rng.random()
+            parts += rng.choice(passages) if kind < 0.35 else [rng.choice(common)] if kind < 0.5 else [rng.choice(["", " ", "\t"])] if kind < 0.6 else [line(rng.randrange(1, 40))]
+        rows.append((i, "\n".join(parts)))
+    rows += [(300, rows[3][1]), (301, None), (302, ""), (303, "\n\n"), (5, rows[5][1]), (None, rows[7][1]), (304, LONG + "\n" + LONG), (305, LONG)]
+    if clash:  # all hashes of units fall on a few values: what is compared are bytes
+        units = lines._units
+        monkeypatch.setattr(lines, "_heads", lambda docs, p: _clashing(docs, p, units))
+    got = {r.doc_id: (r.text, r.lines_removed) for r in lines.dedup(frame(spark, rows)).collect()}
+    assert got == brute_dedup(rows)
+    assert sum(n > 0 for _, n in got.values()) > 60
+
+
+def _clashing(docs, parameters, units):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [t.encode() if t else None for t in batch.column(2).to_pylist()]
+            rows = [(k, *u) for k, cut in enumerate(lines._cut(texts, parameters)) for u in units(*cut, parameters["long_words"])]
+            at = pa.array([r[0] for r in rows], pa.int32())
+            kinds = pa.int32(), pa.int32(), pa.bool_()
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns, pa.array([r[4] % 3 for r in rows], pa.int64())], names=["doc_id", "row_hash", "begin", "end", "pair", "unit_hash"])
+
+    return docs.mapInArrow(run, "doc_id long, row_hash long, begin int, end int, pair boolean, unit_hash long")
+
+
 def test_passages_over_short_lines_go_whole(spark):
     rng = random.Random(3)
     line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
