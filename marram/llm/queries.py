@@ -49,6 +49,19 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+# Reachability over all links: SQL that is plain, and quick on small tables only.
+ORACLES["op3_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+able AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.n * b.n) >= 0.98),
+reach(node, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT dst, root FROM reach JOIN links ON src = node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY 1), counts AS (SELECT src, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(c.n, 0) AS n_links, root AS component_id, root = vec_id AS kept FROM v LEFT JOIN roots ON node = vec_id LEFT JOIN counts c ON src = vec_id
+"""
+
+
 @_query
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence identifiers and licenses of every text."""
@@ -96,6 +109,18 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+ORACLES["op9_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS src, b.doc_id AS dst, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS c FROM each a JOIN each b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT src, dst FROM pairs WHERE 100 * c >= 85 * (m + n - c)),
+reach(node, root) AS (SELECT doc_id, doc_id FROM sets UNION SELECT dst, root FROM reach JOIN links ON src = node),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY 1)
+SELECT doc_id, len(s) AS n_shingles, root AS component_id, root = doc_id AS kept FROM sets JOIN roots ON node = doc_id
+"""
+
+
 @_query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger that sees half of the documents first and then all, of which it scans what is new; the
@@ -106,3 +131,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [secrets.count(F.col("found"), rule).alias(f"n_{rule.kind}") for rule in secrets.BASE]
     base = F.sha2(secrets.digest(F.col("found"), secrets.BASE), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, secrets.digest(F.col("found"), secrets.RULES).alias("spans"))
+
+
+def _secret_sql() -> str:
+    """The spans of all rules by the lengths of what lies between matches."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    parts, spans = [], []
+    for k, r in enumerate(secrets.RULES):
+        parts.append(f"string_split_regex(t, {quote(r.pattern)}) AS gaps{k}, regexp_extract_all(t, {quote(r.pattern)}) AS hits{k}, regexp_extract_all(t, {quote(r.pattern)}, {r.group}) AS cores{k}")
+        before = lambda n: f"coalesce(list_sum(list_transform(gaps{k}[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits{k}[1:{n}], lambda h: length(h))), 0)"  # noqa: E731, B023
+        one = f"{{'a': ({before('i - 1')})::BIGINT, 'k': {k}, 'b': ({before('i')})::BIGINT, 'kind': {quote(r.kind)}}}"
+        spans.append(f"list_transform(list_filter(range(1, len(hits{k}) + 1), lambda i: length(cores{k}[i]) >= {r.least}), lambda i: {one})")
+    joined = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda s: s.kind || ':' || s.a || ':' || s.b), ','), '')"
+    counts = ", ".join(f"len(list_filter(f, lambda s: s.k = {k})) AS n_{r.kind}" for k, r in enumerate(secrets.BASE))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, {", ".join(parts)} FROM d),
+f AS (SELECT doc_id, list_sort({" || ".join(spans)}) AS f FROM p)
+SELECT doc_id, {counts}, sha256({joined(f"list_filter(f, lambda s: s.k < {len(secrets.BASE)})")}) AS base_sha256, {joined("f")} AS spans FROM f"""
+
+
+ORACLES["op10_secret_scan"] = _secret_sql()
