@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marram.functions.text import dash_key
+from marram.functions.ranking import top_k
+from marram.functions.text import collapse, dash_key, json_array, strip, term_key
 from marram.operators.rank import distinct_strings
 
 _WORD = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*", re.UNICODE)
@@ -163,3 +164,49 @@ def expanded(keywords: DataFrame, terminology: DataFrame, language: str, fallbac
     by = lambda lang, name: terminology.where(F.col("language") == lang).select(F.col("term").alias("keyword"), F.col("synonyms").alias(name))
     both = keywords.join(by(language, "_a"), "keyword", "left").join(by(fallback, "_b"), "keyword", "left")
     return both.withColumn("synonyms", F.when(F.size("_a") > 0, F.col("_a")).when(F.size("_b") > 0, F.col("_b")).otherwise(F.array().cast("array<string>"))).drop("_a", "_b")
+
+
+def from_answers(answers: DataFrame, noise: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """answers (id, answer: a model's text with a JSON array) -> id, phrase, frequency, place (X7): normalised,
+    noise out, ranked, at most ``most``."""
+    phrases = answers.select("id", F.explode(json_array(F.col("answer"), "array<string>")).alias("phrase")).where("phrase is not null")
+    found = ranked(phrases, noise)
+    return found if most is None else found.where(F.col("place") <= most)
+
+
+def enriched(refs: DataFrame, found: DataFrame, expansions: DataFrame | None = None, replace: bool = False) -> DataFrame:
+    """refs (reference_id, content, keywords) with keywords found for them (reference_id, keywords).
+
+    ``expansions`` (keyword, synonyms) are put in after their keyword. A reference without content or without
+    found keywords is skipped and keeps its own.
+    """
+    if expansions is not None:
+        each = found.select("reference_id", F.posexplode("keywords").alias("i", "keyword")).join(expansions, "keyword", "left")
+        terms = F.concat(F.array("keyword"), F.coalesce("synonyms", F.array().cast("array<string>")))
+        lists = each.groupBy("reference_id").agg(F.sort_array(F.collect_list(F.struct("i", terms.alias("terms")))).alias("l"))
+        found = lists.select("reference_id", distinct_strings(F.flatten(F.transform("l", lambda x: x["terms"]))).alias("keywords"))
+    rows = refs.join(found.withColumnRenamed("keywords", "_found"), "reference_id", "left")
+    skipped = (strip(F.coalesce("content", F.lit(""))) == "") | F.coalesce(F.size("_found") == 0, F.lit(True))
+    return rows.withColumn("skipped", skipped).withColumn("keywords", F.when(skipped, F.col("keywords")).otherwise(merged(F.col("keywords"), F.col("_found"), replace))).drop("_found")
+
+
+def medical(answers: DataFrame, terminology: DataFrame, most: int = 20) -> DataFrame:
+    """answers (id, answer) -> id, seq, keyword, canonical_form, concept_id (X9): keywords without end marks, each
+    once, the first ``most``; the canonical form is the display of the terminology's term."""
+    listed = answers.select("id", F.posexplode(json_array(F.col("answer"), "array<string>")).alias("seq", "k"))
+    cleaned = listed.select("id", "seq", collapse(F.regexp_replace(strip(F.col("k")), "[.,;:]+$", "")).alias("keyword")).where("keyword <> ''").withColumn("term", term_key(F.col("keyword")))
+    once = cleaned.groupBy("id", "term").agg(F.min(F.struct("seq", "keyword")).alias("f")).select("id", "term", "f.*")
+    first = top_k(once, most, [F.col("seq")], ["id"])
+    known = terminology.select(term_key(F.col("term")).alias("term"), F.col("display").alias("canonical_form"), "concept_id").dropDuplicates(["term"])
+    return first.join(known, "term", "left").select("id", "seq", "keyword", "canonical_form", "concept_id")
+
+
+CONCEPT = "struct<expansion:struct<contains:array<struct<code:string,display:string,designation:array<struct<language:string,use:struct<display:string>,value:string>>>>>>"
+
+
+def terminology_answers(responses: DataFrame) -> DataFrame:
+    """responses (term, json) of a terminology server's value set expansion -> term, concept_id, display,
+    designations (language, use, value) of the first concept, as synonyms() takes them (SRC9)."""
+    first = F.get(F.from_json("json", CONCEPT)["expansion"]["contains"], F.lit(0))
+    designations = F.transform(first["designation"], lambda d: F.struct(d["language"].alias("language"), d["use"]["display"].alias("use"), d["value"].alias("value")))
+    return responses.select("term", first["code"].alias("concept_id"), first["display"].alias("display"), designations.alias("designations")).where("concept_id is not null")

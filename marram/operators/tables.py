@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.functions.ranking import positions, running_sum, with_previous
+from marram.functions.text import strip
 
 
 def where_equal(df: DataFrame, **values) -> DataFrame:
@@ -65,3 +66,46 @@ def history(df: DataFrame, partition: str, order: str, last: int) -> DataFrame:
 def batches(df: DataFrame, order: list[Column | str], size: int, per: str) -> DataFrame:
     """Index and batch of each row inside ``per``."""
     return positions(df, per, order, "item_index").withColumn("batch", F.expr(f"item_index div {int(size)}"))
+
+
+def long_enough(column: str, least: int) -> Column:
+    """Texts of at least so many characters, ends stripped."""
+    return F.length(strip(F.coalesce(F.col(column), F.lit("")))) >= least
+
+
+def item_at(values: Column, index: Column | int) -> Column:
+    """The item at an index from 0, null where there is none."""
+    return F.get(values, index if isinstance(index, Column) else F.lit(index))
+
+
+def required(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which all ``columns`` hold something."""
+    return reduce(lambda out, c: out.where(F.col(c).isNotNull() & (strip(F.col(c).cast("string")) != "")), columns, df)
+
+
+def present(keys: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """keys with ``present``: whether ``table`` has a row of that key."""
+    there = table.select(column).distinct().withColumn("_there", F.lit(True))
+    return keys.join(there, column, "left").withColumn("present", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def listing(df: DataFrame, by: str, tie: str, newest_first: bool = True, skip: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows in the order of a listing, or a page of it."""
+    out = df.orderBy(F.desc_nulls_last(by) if newest_first else F.asc_nulls_last(by), tie).offset(skip)
+    return out if limit is None else out.limit(limit)
+
+
+def reading_order(title: Column, page: Column) -> list[Column]:
+    """Order of references in a reader (T10): orders of the hierarchy, level by level, a shorter path first; then
+    the page, missing ones last; then the title."""
+    return [F.transform("hierarchy", lambda h: h["order"]), F.coalesce(page.cast("long"), F.lit(2**62)), title]
+
+
+def columns_of(df: DataFrame, keep: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
+    """Some columns, or all but some."""
+    return df.select(*[c for c in df.columns if (keep is None or c in keep) and c not in (without or [])])
+
+
+def capped(values: Column, most: int | None) -> Column:
+    """At most so many items of a list."""
+    return values if most is None else F.slice(values, 1, most)

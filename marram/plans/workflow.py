@@ -12,14 +12,20 @@ nothing is evaluated in Python.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.functions.text import first_or, history_block, query_list, strip, yes_no
+from marram.functions.ranking import top_k
+from marram.functions.text import collapse, documents_in, first_or, history_block, query_list, strip, yes_no
+from marram.operators.keywords import requested, statistics, without_near_repeats
+from marram.operators.rank import distinct_strings
+from marram.plans.scratch import stored
 
 MAX_STEPS = 100
 _SLOT = re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z0-9_]+)*)\}")
@@ -92,6 +98,17 @@ class Context:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     providers: dict[str, Callable] = field(default_factory=dict)
     trace: list[str] = field(default_factory=list)
+    #: Columns that each component added.
+    changes: dict[str, list[str]] = field(default_factory=dict)
+    #: With ``measure`` each component's rows are stored when it has run, and its seconds kept (C11).
+    measure: bool = False
+    seconds: dict[str, float] = field(default_factory=dict)
+    #: Whether a provider was asked: its answers may vary, so what follows must not ask again.
+    asked: bool = False
+
+    def provider(self, name: str) -> Callable:
+        self.asked = True
+        return self.providers[name]
 
 
 class Workflow:
@@ -127,7 +144,7 @@ class Workflow:
             if steps > MAX_STEPS:
                 raise WorkflowError(f"more than {MAX_STEPS} steps: the workflow loops")
             steps += 1
-            node = self.nodes[at]
+            node, before, began = self.nodes[at], set(rows.columns), time.perf_counter()
             context.trace.append(at)
             if node.type == "start":
                 rows = start(node, rows)
@@ -137,16 +154,23 @@ class Workflow:
                 return self._decide(node, rows, context, steps)
             else:
                 rows = _registry[node.type](node, rows, context)
+            context.changes[at] = [c for c in rows.columns if c not in before]
+            if context.measure:
+                rows = stored(rows, "component")
+                context.seconds[at] = time.perf_counter() - began
             if at not in self.next:
                 raise WorkflowError(f"{at} has no successor")
             at = self.next[at]
 
     def _decide(self, node: Node, rows: DataFrame, context: Context, steps: int) -> DataFrame:
-        """Each row follows the branch of its case (C4): a branch is a filter, their ends are united."""
+        """Each row follows the branch of its case (C4): a branch is a filter, their ends are united. Where a
+        provider was asked before, its answers are stored first: each is asked once, and no row changes its branch."""
         cases = {str(k).strip().lower(): v for k, v in node.parameters.get("cases", {}).items()}
         default = node.parameters.get("default_case")
         fallback = cases.get(str(default).strip().lower()) if default is not None else (self.branches.get(node.component_id) or [None])[0]
         keyed = rows.withColumn(node.out("case"), F.lower(F.trim(template(node.parameters["value"]))))
+        if context.asked:
+            keyed = stored(keyed, "decider")
         known = F.col(node.out("case")).isin(list(cases)) if cases else F.lit(False)
         ends = [self._from(target, keyed.where(F.col(node.out("case")) == case), context, steps) for case, target in cases.items()]
         if fallback is not None:
@@ -184,7 +208,7 @@ def apply_template(node: Node, rows: DataFrame, context: Context) -> DataFrame:
 @component("transform/provider")
 def ask_provider(node: Node, rows: DataFrame, context: Context) -> DataFrame:
     """A provider's answer to a prompt, and the queries in it (C12): rewriting, decomposition, HyDE."""
-    ask = context.providers[node.parameters["provider"]]
+    ask = context.provider(node.parameters["provider"])
     answer = F.pandas_udf(lambda prompts: prompts.map(ask), "string")
     out = rows.withColumn(node.out("answer"), answer(template(node.parameters["prompt"])))
     most = node.parameters.get("max_queries")
@@ -196,7 +220,7 @@ def ask_provider(node: Node, rows: DataFrame, context: Context) -> DataFrame:
 @component("decision/provider")
 def ask_yes_no(node: Node, rows: DataFrame, context: Context) -> DataFrame:
     """Scope gate: a provider's yes or no (P29); neither counts as the default."""
-    ask = context.providers[node.parameters["provider"]]
+    ask = context.provider(node.parameters["provider"])
     answer = F.pandas_udf(lambda prompts: prompts.map(ask), "string")
     return rows.withColumn(node.out("label"), F.coalesce(yes_no(answer(template(node.parameters["prompt"]))), F.lit(bool(node.parameters.get("default", True)))).cast("string"))
 
@@ -233,6 +257,84 @@ def map_items(node: Node, rows: DataFrame, context: Context) -> DataFrame:
     return rows.join(gathered, "query_id", "left")
 
 
+@component("transform/augment")
+def augment(node: Node, rows: DataFrame, context: Context) -> DataFrame:
+    """Queries in a provider's answer, before them the original one where ``include_original`` says so, each once
+    whatever its case, at most ``max_queries``; without any the original one (C12)."""
+    ask = context.provider(node.parameters["provider"])
+    answer = F.pandas_udf(lambda prompts: prompts.map(ask), "string")
+    out = rows.withColumn(node.out("answer"), answer(template(node.parameters["prompt"])))
+    found = F.transform(query_list(F.col(node.out("answer"))), collapse)
+    if node.parameters.get("include_original", True):
+        found = F.concat(F.array(collapse(F.col("text"))), found)
+    once = distinct_strings(found) if node.parameters.get("ignore_case", True) else F.array_distinct(F.filter(found, lambda q: q != ""))
+    kept = F.slice(once, 1, int(node.parameters.get("max_queries", 5)))
+    return out.withColumn(node.out("queries"), F.when(F.size(kept) > 0, kept).otherwise(F.array("text"))).withColumn(node.out("query"), F.get(node.out("queries"), F.lit(0)))
+
+
+@component("transform/hyde")
+def hypothetical(node: Node, rows: DataFrame, context: Context) -> DataFrame:
+    """<document> texts of a provider's answer that are long enough and not too like one before them."""
+    ask = context.provider(node.parameters["provider"])
+    answer = F.pandas_udf(lambda prompts: prompts.map(ask), "string")
+    out = rows.withColumn(node.out("answer"), answer(template(node.parameters["prompt"])))
+    least, limit = int(node.parameters.get("min_chars", 20)), float(node.parameters.get("max_similarity", 0.9))
+    texts = F.filter(F.transform(documents_in(F.col(node.out("answer"))), strip), lambda d: F.length(d) >= least)
+    kept = without_near_repeats(texts, F.lit(limit))
+    return out.withColumn(node.out("queries"), kept).withColumn(node.out("query"), first_or(F.col(node.out("queries")), F.col("text")))
+
+
+@component("transform/keywords")
+def keyword_queries(node: Node, rows: DataFrame, context: Context) -> DataFrame:
+    """Keywords of the query and, where a table ``terminology`` (keyword, synonyms) is there, their synonyms."""
+    n, most = int(node.parameters.get("max_n_gram_size", 3)), node.parameters.get("max_keywords")
+    stop = frozenset(node.parameters.get("stop", ()))
+
+    @F.pandas_udf("array<string>")
+    def phrases(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [p for p, _ in statistics(t or "", n, requested(None, most), stop=stop)])
+
+    out = rows.withColumn(node.out("keywords"), phrases(F.col("text")))
+    found = F.col(node.out("keywords"))
+    if "terminology" in context.tables:
+        each = out.select("query_id", F.posexplode(node.out("keywords")).alias("i", "keyword")).join(context.tables["terminology"], "keyword", "left")
+        terms = F.concat(F.array("keyword"), F.coalesce("synonyms", F.array().cast("array<string>")))
+        lists = each.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("i", terms.alias("t")))).alias("_lists"))
+        out, found = out.join(lists, "query_id", "left"), F.coalesce(distinct_strings(F.flatten(F.transform("_lists", lambda x: x["t"]))), F.array().cast("array<string>"))
+    out = out.withColumn(node.out("queries"), found).drop("_lists")
+    return out.withColumn(node.out("query"), F.coalesce(F.nullif(F.array_join(node.out("queries"), " "), F.lit("")), F.col("text")))
+
+
+@component("expand/edges")
+def expand_items(node: Node, rows: DataFrame, context: Context) -> DataFrame:
+    """Items and, after them, what edges (src, dst, score) of a table lead to from them, best first, each id once."""
+    items, limit = slot(node.parameters["items"].strip("{}")), int(node.parameters.get("limit", 10))
+    edges = context.tables[node.parameters["table"]]
+    near = rows.select("query_id", F.explode(F.col(items)["id"]).alias("src")).join(edges, "src").groupBy("query_id", "dst").agg(F.max("score").alias("score"))
+    own = rows.select("query_id", F.explode(F.col(items)["id"]).alias("dst"))
+    best = top_k(near.join(own, ["query_id", "dst"], "left_anti"), limit, [F.desc("score"), F.col("dst")], ["query_id"])
+    lists = best.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "dst"))), lambda x: x["dst"]).alias("_near"))
+    none = F.array().cast(f"array<{edges.schema['dst'].dataType.simpleString()}>")
+    ids = F.concat(F.coalesce(F.col(items)["id"], none), F.coalesce("_near", none))
+    return rows.join(lists, "query_id", "left").withColumn(node.out("ids"), ids).drop("_near")
+
+
+@component("filter/score")
+def filter_items(node: Node, rows: DataFrame, context: Context) -> DataFrame:
+    """Items with at least a score (null passes), at most ``top``, in their order."""
+    items, least = F.col(slot(node.parameters["items"].strip("{}"))), node.parameters.get("minimum")
+    kept = items if least is None else F.filter(items, lambda x: x["score"].isNull() | (x["score"] >= float(least)))
+    return rows.withColumn(node.out("items"), F.slice(kept, 1, int(node.parameters["top"])) if node.parameters.get("top") else kept)
+
+
+@component("generate/provider")
+def generate(node: Node, rows: DataFrame, context: Context) -> DataFrame:
+    """A provider's response to a prompt, under settings of which later ones win (C14)."""
+    ask, settings = context.provider(node.parameters["provider"]), with_settings(node.parameters.get("defaults", {}), node.parameters.get("settings"))
+    answer = F.pandas_udf(lambda prompts: prompts.map(lambda p: ask(p, **settings)), "string")
+    return rows.withColumn(node.out("response"), answer(template(node.parameters["prompt"])))
+
+
 @component("merge/items")
 def merge_items(node: Node, rows: DataFrame, context: Context) -> DataFrame:
     """Several lists of items as one, each id once, at most ``limit``."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marram.plans import graph_queries, review_queries, search_queries, text_queries  # noqa: F401
+from marram.plans import domain_queries, graph_queries, review_queries, search_queries, text_queries  # noqa: F401
 from marram.plans.registry import ORACLES, QUERIES
 
 ORACLES["worker_stream"] = review_queries.ORACLE_STREAM
