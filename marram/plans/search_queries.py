@@ -160,7 +160,11 @@ def cross_encoder_stub_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("kept", F.col("score") >= 0.5)
 
 
-@query()
+@query(
+    """WITH u AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS q FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS t FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0.0 END AS score FROM u JOIN a USING (conv_id, turn)"""
+)
 def provider_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scorer provider over conversations: the user's words found in the answer."""
     turns = table(spark, sf_dir, "conversations")

@@ -149,9 +149,20 @@ def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split(refs, "paragraph").select("reference_id", F.col("chunk_index").cast(LONG).alias("chunk_index"), F.sha2("chunk", 256).alias("chunk_sha"))
 
 
-@query()
+# A mark ends a sentence before white space or the end; of what another mark breaks off only whole lines stay.
+SENTENCES = r"""WITH m AS (SELECT doc_id, coalesce(text, '') AS t, string_split(regexp_replace(coalesce(text, ''), '([.!?]+)(\s|$)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS pieces FROM documents),
+p AS (SELECT doc_id, t, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM m),
+s AS (SELECT doc_id, i, list_transform(regexp_extract_all(piece, '[^.!?]+[.!?]*'), lambda x: x) AS segs FROM p),
+e AS (SELECT doc_id, i, unnest(segs) AS seg, generate_subscripts(segs, 1) AS j, len(segs) AS k FROM s),
+c AS (SELECT doc_id, i, j, regexp_replace(CASE WHEN j = k THEN seg ELSE regexp_extract(seg, '(?s)^(.*)\n', 1) END, '^\s+|\s+$', '', 'g') AS chunk FROM e),
+f AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk_index FROM c WHERE chunk <> '')
+SELECT doc_id AS reference_id, chunk_index, chunk FROM f
+UNION ALL SELECT doc_id, 0, CASE WHEN regexp_replace(t, '^\s+|\s+$', '', 'g') <> '' THEN regexp_replace(t, '^\s+|\s+$', '', 'g') ELSE t END FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = m.doc_id)"""
+
+
+@query(SENTENCES)
 def chunk_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.split(references(spark, sf_dir), "sentence")
+    return chunking.split(references(spark, sf_dir), "sentence").select("reference_id", F.col("chunk_index").cast(LONG).alias("chunk_index"), "chunk")
 
 
 @query(
