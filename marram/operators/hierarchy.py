@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.functions.ranking import top_k
+from marram.functions.ranking import positions, top_k
 from marram.functions.references import node_id, prefixes
 
 KEY = ("reference_group_id", "guideline_id")
@@ -30,6 +30,14 @@ def nodes(refs: DataFrame) -> DataFrame:
     return each.groupBy(node_id(*key, F.col("path")).alias("node")).agg(F.max(F.size("path")).alias("depth"), F.max(parent).alias("parent"), F.max(label).alias("label"), F.count_distinct("reference_id").alias("descendants"))
 
 
+def descendants(refs: DataFrame) -> DataFrame:
+    """node, reference_id, place: every node's references in the hierarchy's order (A15), as rows: a node may have
+    any share of all references."""
+    order = F.array_join(F.transform("hierarchy", lambda h: F.lpad(h["order"].cast("string"), 20, "0")), "/")
+    placed = memberships(refs).join(refs.select("reference_id", order.alias("_order")), "reference_id")
+    return positions(placed, "node", ["_order", "reference_id"], "place").select("node", "reference_id", "place")
+
+
 def target_depth(mode: str, levels_up: int = 1, heading_level: int | None = None) -> Column:
     """Depth of the section that a reference expands to, from its hierarchy."""
     n = F.size("hierarchy")

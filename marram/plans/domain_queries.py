@@ -365,6 +365,17 @@ def reading_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("reference_id", (F.col("place") + 1).alias("place"))
 
 
+@query(
+    f"""WITH {REFS}, n AS (SELECT reference_group_id AS g, guideline_id AS d, bucket, reference_id, unnest([1, 2, 3]) AS l FROM refs),
+k AS (SELECT substr(sha1(g || '|' || d || '|1|1|' || g || CASE WHEN l > 1 THEN '|2|1.' || bucket || '|B' || bucket ELSE '' END || CASE WHEN l > 2 THEN '|3||' ELSE '' END), 1, 20) AS node, bucket, reference_id FROM n)
+SELECT node, reference_id, row_number() OVER (PARTITION BY node ORDER BY bucket, reference_id) - 1 AS place FROM k"""
+)
+def hierarchy_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marram.operators import hierarchy
+
+    return hierarchy.descendants(references(spark, sf_dir).drop("text"))
+
+
 TAKEN = "CASE WHEN event_id % 4 = 0 THEN 'completed' WHEN event_id % 4 = 1 THEN 'claimed' ELSE 'open' END AS status, CASE WHEN event_id % 4 = 1 THEN 'u' || event_id % 3 END AS claimed_by, CASE WHEN event_id % 5 = 0 THEN 'u' || event_id % 2 END AS assigned_to"
 
 

@@ -69,8 +69,14 @@ kr AS (SELECT kp.*, shared / least(x.n, y.n)::DOUBLE AS raw FROM kp JOIN sz x ON
 ks AS (SELECT query_id, seed_id, reference_id, shared, round(raw, 6) AS ratio FROM kr WHERE shared >= 2 OR (shared >= 2 AND raw >= 0.8))"""
 
 
-@query(f"WITH {GRAPH}, {SHARED.replace('shared >= 2 OR (shared >= 2 AND raw >= 0.8)', 'shared >= 4 OR (shared >= 2 AND raw >= 0.4)')} SELECT query_id, seed_id, reference_id, shared, ratio FROM ks")
+@query(f"WITH {GRAPH}, {SHARED} SELECT query_id, seed_id, reference_id, shared, ratio FROM ks")
 def graph_expand_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = references(spark, sf_dir)
+    return graph.keyword_pairs(seeds(refs), keywords(refs), 2, 0.8)
+
+
+@query(f"WITH {GRAPH}, {SHARED.replace('shared >= 2 OR (shared >= 2 AND raw >= 0.8)', 'shared >= 4 OR (shared >= 2 AND raw >= 0.4)')} SELECT query_id, seed_id, reference_id, shared, ratio FROM ks")
+def graph_expand_keyword_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four shared keywords, or two that are four tenths of the smaller set."""
     refs = references(spark, sf_dir)
     return graph.keyword_pairs(seeds(refs), keywords(refs), 4, 0.4)

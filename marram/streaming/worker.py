@@ -12,11 +12,11 @@ from pyspark.sql.types import StructType
 OPEN = ("queued", "running")
 
 
-def start(spark: SparkSession, folder: str, schema: StructType, process: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "2 seconds") -> StreamingQuery:
+def start(spark: SparkSession, folder: str, schema: StructType, process: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "2 seconds", oldest: str | None = None) -> StreamingQuery:
     """Run rows (run_id, status, ...) that appear as Parquet files in ``folder`` go to ``process`` in batches,
-    those that are queued or running, oldest first. ``every`` None: what is there now, then stop."""
+    those that are queued or running, by the column ``oldest`` where it is named. ``every`` None: what is there now, then stop."""
     rows = spark.readStream.schema(schema).parquet(folder).where(F.col("status").isin(*OPEN))
-    writer = rows.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(lambda df, batch: process(df.orderBy(oldest) if oldest else df, batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

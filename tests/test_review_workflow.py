@@ -160,6 +160,108 @@ def test_providers_in_a_workflow(spark):
     assert with_settings({"t": 0.2, "n": 1}, {"t": None}, {"n": 2}) == {"t": 0.2, "n": 2}
 
 
+def flow(*nodes):
+    """A chain of nodes between a start and an end."""
+    named = [{"component_id": "s", "type": "start"}, *nodes]
+    return {"nodes": named, "edges": [{"source": a["component_id"], "target": b["component_id"]} for a, b in zip(named, named[1:], strict=False)]}
+
+
+def node(name, kind, **parameters):
+    return {"component_id": name, "type": kind, "parameters": parameters}
+
+
+def test_hyde_documents_are_long_enough_and_unlike(spark):
+    rows = spark.createDataFrame([(1, "q"), (2, "none")], "query_id long, text string")
+    config = flow(node("h", "transform/hyde", provider="docs", prompt="{text}", min_chars=10, max_similarity=0.9), node("e", "end", response="{h.query}", items="{h.queries}"))
+    text = "<document>A long hypothetical answer.</document><document>short</document><Document>A long hypothetical answer!</Document><document>Something quite different here</document>"
+    got = {r.query_id: (r.response, r["items"]) for r in Workflow(config).run(rows, Context(providers={"docs": lambda p: text if p == "q" else ""})).collect()}
+    assert got == {1: ("A long hypothetical answer.", ["A long hypothetical answer.", "Something quite different here"]), 2: ("none", [])}
+
+
+def test_keyword_component_with_synonyms(spark):
+    rows = spark.createDataFrame([(1, "Fracture treatment. Fracture healing."), (2, "")], "query_id long, text string")
+    terms = spark.createDataFrame([("Fracture", ["break", "FRACTURE"])], "keyword string, synonyms array<string>")
+    config = flow(node("k", "transform/keywords", max_n_gram_size=1), node("e", "end", response="{k.query}", items="{k.queries}"))
+    got = {r.query_id: (r.response, r["items"]) for r in Workflow(config).run(rows, Context(tables={"terminology": terms})).collect()}
+    assert got[2] == ("", []) and "break" in got[1][1] and sum(x.lower() == "fracture" for x in got[1][1]) == 1
+    assert {x.lower() for x in got[1][1]} == {"fracture", "break", "treatment", "healing"}
+
+
+def test_expansion_generation_and_trace(spark):
+    rows = spark.createDataFrame([(1, "q", [("a", 1.0), ("b", 0.2), ("c", None)])], "query_id long, text string, found array<struct<id:string,score:double>>")
+    edges = spark.createDataFrame([("a", "x", 0.9), ("c", "x", 0.8), ("a", "y", 0.95), ("c", "a", 1.0), ("b", "z", 1.0)], "src string, dst string, score double")
+    config = flow(
+        node("f", "filter/score", items="{found}", minimum=0.5),
+        node("x", "expand/edges", items="{f.items}", table="edges", limit=5),
+        node("g", "generate/provider", provider="say", prompt="{text}", defaults={"loud": True, "mark": "!"}, settings={"loud": None, "mark": "?"}),
+        node("e", "end", response="{g.response}", items="{x.ids}"),
+    )
+    context = Context(tables={"edges": edges}, providers={"say": lambda p, loud, mark: (p.upper() if loud else p) + mark}, measure=True)
+    out = Workflow(config).run(rows, context).first()
+    assert out.response == "Q?" and list(out["items"]) == ["a", "c", "y", "x"]
+    assert context.trace == ["s", "f", "x", "g", "e"] and context.changes["g"] == ["g__response"] and context.changes["x"] == ["x__ids"]
+    assert set(context.seconds) == {"s", "f", "x", "g"} and all(v > 0 for v in context.seconds.values())
+
+
+def test_a_provider_above_a_decider_is_asked_once(spark):
+    """An answer that is another one each time: a row still takes exactly one branch, and its end has that answer."""
+    import itertools
+
+    counter = itertools.count()
+    config = {
+        "nodes": [node("s", "start"), node("p", "transform/augment", provider="n", prompt="{text}", include_original=False), node("d", "decider", value="{p.query}", cases={"odd": "odd"}), node("odd", "end", response="odd {p.query}"), node("other", "end", response="other {p.query}")],
+        "edges": [{"source": "s", "target": "p"}, {"source": "p", "target": "d"}, {"source": "d", "target": "other"}],
+    }
+    rows = spark.createDataFrame([(i, "t") for i in range(40)], "query_id long, text string")
+    got = Workflow(config).run(rows, Context(providers={"n": lambda p: "- odd" if next(counter) % 2 else "- even"})).collect()
+    assert sorted(r.query_id for r in got) == list(range(40)) and {r.response for r in got} == {"odd odd", "other even"}
+
+
+def test_submissions_that_are_refused(spark):
+    tasks = spark.createDataFrame([(1, "open", None, None), (2, "completed", None, "u1"), (3, "claimed", None, "u2"), (4, "open", "u3", None)], "task_id long, status string, assigned_to string, claimed_by string")
+    sent = spark.createDataFrame([(1, "u1", 5, 4, 1), (1, "u2", 6, 2, 2), (2, "u1", 1, 1, 1), (3, "u1", 1, 1, 1), (3, "u2", 2, 0, 1), (4, "u1", 1, 1, 1), (9, "u1", 1, 1, 1)], "task_id long, user_id string, ts int, fact_count_overall int, fact_count_backed int")
+    done, refused = evaluation.submit(tasks, sent)
+    assert {r.task_id: (r.status, r.claimed_by, r.factuality_ratio) for r in done.collect()} == {1: ("completed", "u1", 0.25), 2: ("completed", "u1", None), 3: ("completed", "u2", None), 4: ("open", None, None)}
+    assert {(r.task_id, r.user_id): r.reason for r in refused.collect()} == {(1, "u2"): "completed", (2, "u1"): "completed", (3, "u1"): "claimed", (4, "u1"): "assigned"}
+
+
+def test_previous_rows_and_running_sums_equal_windows(spark):
+    import random
+
+    from marram.functions.ranking import running_sum, with_previous
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), i, rng.randrange(3)) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, id int, v int")
+    laid = with_previous(df, "g", ["id"], ["v"])
+    got = {r.id: (r.pos, r.previous_v, r.total) for r in running_sum(laid, "g", "pos", "v", "total", block=16).collect()}
+    want, last = {}, {}
+    for g, i, v in sorted(rows, key=lambda r: r[1]):
+        n, before, total = last.get(g, (0, None, 0))
+        want[i] = (n, before, total + v)
+        last[g] = (n + 1, v, total + v)
+    assert got == want
+    marked = tables.runs(df, "g", ["id"], ["v"]).collect()
+    assert len(marked) == len(rows) and all(r.run >= 1 for r in marked)
+
+
+def test_a_failed_snapshot_leaves_the_old_one(spark, tmp_path):
+    path = f"file://{tmp_path}/snapshot"
+    files.save_snapshot(spark.range(5).toDF("id"), path)
+    with pytest.raises(Exception):  # noqa: B017
+        files.save_snapshot(spark.range(3).select(F.raise_error(F.lit("no")).alias("id")), path)
+    assert spark.read.parquet(path).count() == 5
+    files.save_snapshot(spark.read.parquet(path).where("id < 2"), path)  # read from while it is replaced
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_listing_and_columns(spark):
+    df = spark.createDataFrame([(1, 3, "x"), (2, None, "y"), (3, 5, "z")], "id long, at int, v string")
+    assert [r.id for r in tables.listing(df, "at", "id").collect()] == [3, 1, 2] and [r.id for r in tables.listing(df, "at", "id", newest_first=False, skip=1).collect()] == [3, 2]
+    assert tables.columns_of(df, without=["at"]).columns == ["id", "v"]
+    assert df.select(tables.capped(F.array("id", "at"), 1).alias("c")).first().c == [1]
+
+
 def test_embedder(spark):
     df = spark.createDataFrame([("a b",), (None,)], "t string").select(providers.embed(F.col("t")).alias("v"))
     a, b = [r.v for r in df.collect()]
