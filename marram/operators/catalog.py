@@ -65,6 +65,38 @@ class Collection:
         return spark.createDataFrame([], self.schema())
 
 
+def registered(spark: SparkSession, collections: list[Collection]) -> DataFrame:
+    """Collections as a table: name, properties, vectors (SRC14)."""
+    rows = [(c.name, c.properties, c.vectors) for c in collections]
+    return spark.createDataFrame(rows, "name string, properties map<string,string>, vectors map<string,string>")
+
+
+def collection(registry: DataFrame, name: str) -> Collection:
+    """One collection of a registry; an unknown name is an error."""
+    found = registry.where(F.col("name") == name).limit(1).collect()
+    if not found:
+        raise KeyError(f"no collection {name}")
+    return Collection(found[0]["name"], found[0]["properties"], found[0]["vectors"])
+
+
+def dropped(registry: DataFrame, name: str) -> DataFrame:
+    return registry.where(F.col("name") != name)
+
+
+def mapped_fields(refs: DataFrame, guidelines: DataFrame) -> DataFrame:
+    """reference_id and the five mapped properties (P3): reference_type, headers, guideline_title (register number and
+    title), guideline_keywords (keywords, goal, patients and care area, what is null left out) and reference_keywords.
+
+    refs: reference_id, guideline_id, type, hierarchy, keywords. guidelines: guideline_id, register_number, title,
+    keywords, goal, patients, care_area."""
+    lists = F.concat(F.coalesce("g_keywords", F.array().cast("array<string>")), F.array("goal", "patients", "care_area"))
+    joined = refs.join(guidelines.withColumnRenamed("keywords", "g_keywords"), "guideline_id", "left")
+    return joined.select(
+        "reference_id", F.col("type").alias("reference_type"), numbered_path(F.col("hierarchy")).alias("headers"), F.trim(F.concat_ws(" ", "register_number", "title")).alias("guideline_title"),
+        F.array_join(F.array_compact(lists), "; ").alias("guideline_keywords"), F.array_join(F.array_compact(F.coalesce("keywords", F.array().cast("array<string>"))), "; ").alias("reference_keywords"),
+    )
+
+
 def append(table: DataFrame, rows: DataFrame) -> DataFrame:
     """``table`` and new rows, columns by name, missing ones null (SRC11)."""
     return table.unionByName(rows, allowMissingColumns=True).select(*table.columns)

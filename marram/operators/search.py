@@ -124,6 +124,16 @@ def fuse(hits: DataFrame, per_query_limit: int = 10) -> DataFrame:
     return hits.groupBy("query_id", "reference_id").agg(rounded(F.sum(part)).alias("score"), F.min(F.struct("subquery", "rank")).alias("first_seen"))
 
 
+def subqueries(asked: DataFrame) -> DataFrame:
+    """asked (query_id, default, queries: array<struct<text,weight>>) -> query_id, subquery, text, weight (S3): blank
+    queries are skipped; where none is left the default text is asked with weight 1."""
+    usable = F.filter("queries", lambda q: F.trim(F.coalesce(q["text"], F.lit(""))) != "")
+    given = F.transform(usable, lambda q: F.struct(F.trim(q["text"]).alias("text"), F.coalesce(q["weight"].cast("double"), F.lit(1.0)).alias("weight")))
+    fallback = F.array(F.struct(F.col("default").alias("text"), F.lit(1.0).alias("weight")))
+    chosen = F.when(F.size(given) > 0, given).otherwise(fallback)
+    return asked.select("query_id", F.posexplode(chosen).alias("i", "q")).select("query_id", (F.col("i") + 1).alias("subquery"), "q.text", "q.weight")
+
+
 def at_least(column: str, minimum: float | None) -> Column:
     """Minimum score; a null score passes."""
     return F.lit(True) if minimum is None else F.col(column).isNull() | (F.col(column) >= minimum)

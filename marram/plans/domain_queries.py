@@ -376,6 +376,38 @@ def hierarchy_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(references(spark, sf_dir).drop("text"))
 
 
+@query(
+    """WITH q AS (SELECT doc_id AS query_id, CASE doc_id % 3 WHEN 0 THEN [{'t': ' ', 'w': 2.0}, {'t': source, 'w': NULL}, {'t': ' ' || lang, 'w': 0.5}] WHEN 1 THEN [{'t': '', 'w': 1.0}] ELSE [] END AS l, source FROM documents),
+k AS (SELECT query_id, source, list_filter(l, lambda x: trim(x.t) <> '') AS l FROM q)
+SELECT query_id, i AS subquery, trim(l[i].t) AS text, coalesce(l[i].w, 1.0)::DOUBLE AS weight FROM k, LATERAL (SELECT unnest(generate_series(1, len(l))) AS i) UNION ALL SELECT query_id, 1, source, 1.0 FROM k WHERE len(l) = 0"""
+)
+def subquery_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank queries are skipped; where none is left the default is asked."""
+    from marram.operators import search
+
+    one = lambda text, weight: F.struct(text.alias("text"), weight.cast("double").alias("weight"))
+    k, none = F.col("doc_id") % 3, F.lit(None)
+    lists = F.when(k == 0, F.array(one(F.lit(" "), F.lit(2.0)), one(F.col("source"), none), one(F.concat(F.lit(" "), F.col("lang")), F.lit(0.5)))).when(k == 1, F.array(one(F.lit(""), F.lit(1.0)))).otherwise(F.array().cast("array<struct<text:string,weight:double>>"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("default"), lists.alias("queries"))
+    return search.subqueries(asked).withColumn("subquery", F.col("subquery").cast(LONG))
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT source, length(source) % 2 AS k FROM documents)
+SELECT doc_id AS reference_id, 'text' AS reference_type, '1 ' || lang || ' / 1.' || least(n_chars // 1000, 5) || ' B' || least(n_chars // 1000, 5) AS headers, 'R-' || source || ' Title ' || source AS guideline_title,
+ CASE WHEN k = 0 THEN 'kw; goal ' || source ELSE 'kw; ' || source || '; adults' END AS guideline_keywords, lang || '; x' AS reference_keywords FROM documents JOIN g USING (source)"""
+)
+def mapped_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = references(spark, sf_dir).drop("text").withColumn("keywords", F.array("reference_group_id", F.lit(None), F.lit("x")))
+    names = refs.select("guideline_id").distinct()
+    even = F.length("guideline_id") % 2 == 0
+    guidelines = names.select(
+        "guideline_id", F.concat(F.lit("R-"), F.col("guideline_id")).alias("register_number"), F.concat(F.lit("Title "), F.col("guideline_id")).alias("title"), F.array(F.lit("kw"), F.when(~even, F.col("guideline_id"))).alias("keywords"),
+        F.when(even, F.concat(F.lit("goal "), F.col("guideline_id"))).alias("goal"), F.when(~even, "adults").alias("patients"), F.lit(None).cast("string").alias("care_area"),
+    )
+    return catalog.mapped_fields(refs, guidelines)
+
+
 TAKEN = "CASE WHEN event_id % 4 = 0 THEN 'completed' WHEN event_id % 4 = 1 THEN 'claimed' ELSE 'open' END AS status, CASE WHEN event_id % 4 = 1 THEN 'u' || event_id % 3 END AS claimed_by, CASE WHEN event_id % 5 = 0 THEN 'u' || event_id % 2 END AS assigned_to"
 
 

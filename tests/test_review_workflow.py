@@ -255,6 +255,17 @@ def test_a_failed_snapshot_leaves_the_old_one(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_collections_are_listed_found_and_dropped(spark):
+    from marram.operators import catalog
+
+    kept = catalog.Collection("Notes", {"content": "text", "tags": "text[]"}, {"content_vector": "cosine"})
+    registry = catalog.registered(spark, [kept, catalog.Collection("Other", {}, {"v": "dot"})])
+    assert sorted(r.name for r in registry.collect()) == ["Notes", "Other"] and catalog.collection(registry, "Notes") == kept
+    assert catalog.collection(registry, "Notes").create(spark).columns == ["uuid", "content", "tags", "content_vector"]
+    with pytest.raises(KeyError):
+        catalog.collection(catalog.dropped(registry, "Notes"), "Notes")
+
+
 def test_listing_and_columns(spark):
     df = spark.createDataFrame([(1, 3, "x"), (2, None, "y"), (3, 5, "z")], "id long, at int, v string")
     assert [r.id for r in tables.listing(df, "at", "id").collect()] == [3, 1, 2] and [r.id for r in tables.listing(df, "at", "id", newest_first=False, skip=1).collect()] == [3, 2]
