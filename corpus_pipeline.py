@@ -76,7 +76,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: A fitted classifier and Arrow-side chunking are beyond SQL; tests hold the stages against brute force.
+#: A fitted classifier and Arrow-side chunking are beyond SQL; a test holds every stage against brute force.
 ORACLE_SQL = None
 
 
