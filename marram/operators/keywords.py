@@ -113,17 +113,27 @@ def ranked(candidates: DataFrame, noise: list[str] | None = None) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(order))
 
 
+def inner_phrases(phrase: Column) -> Column:
+    """All shorter pieces of a phrase that begin and end at word boundaries."""
+    parts = F.regexp_extract_all(phrase, F.lit(r"(?U)\w+|\W+"), F.lit(0))
+    word = lambda k: F.get(parts, k - 1).rlike(r"(?U)^\w")
+    n = F.size(parts)
+
+    def from_(i: Column) -> Column:
+        piece = lambda j: F.when(((i > 1) | word(i)) & ((j < n) | word(j)) & ((i > 1) | (j < n)), F.array_join(F.slice(parts, i, j - i + 1), ""))
+        return F.transform(F.sequence(i, n), piece)
+
+    return F.when(n > 0, F.array_distinct(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(1), n), from_)))))
+
+
 def without_subphrases(phrases: DataFrame) -> DataFrame:
     """phrases (id, phrase, ...) without those that stand as whole words inside a longer one of the same id.
 
-    A phrase that holds a dropped one is itself kept or inside a kept one, so no order is needed: one
-    anti join of distinct phrases on id. Longer means more words, then more characters.
+    A phrase that holds a dropped one is itself kept or inside a kept one, so no order is needed. Each phrase
+    gives the pieces that it holds, and a phrase that is one of them goes: an anti join on (id, phrase).
     """
-    size = F.size(F.filter(F.split("phrase", r"\s+"), lambda w: w != ""))
-    longer = phrases.select(F.col("id").alias("_id"), F.col("phrase").alias("_long"), size.alias("_n"))
-    bigger = (F.col("_n") > F.col("_m")) | ((F.col("_n") == F.col("_m")) & (F.length("_long") > F.length("phrase")))
-    inside = F.col("_long").contains(F.col("phrase")) & F.expr("regexp_like(_long, concat('(?U)\\\\b\\\\Q', phrase, '\\\\E\\\\b'))")
-    return phrases.withColumn("_m", size).join(longer, (F.col("id") == F.col("_id")) & bigger & inside, "left_anti").drop("_m")
+    inside = phrases.select(F.col("id").alias("_id"), F.explode(inner_phrases(F.col("phrase"))).alias("_piece")).distinct()
+    return phrases.join(inside, (F.col("id") == F.col("_id")) & (F.col("phrase") == F.col("_piece")), "left_anti")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
