@@ -8,6 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns that have to match what the exchanged texts hold.
+DASHES = r"[\x{2010}-\x{2015}\-_/]"
+OTHER_THAN_METRIC = "[^0-9A-Za-zÄÖÜäöüß]+"
+QUERY_TAG = r"(?is)<query>\s*(.*?)\s*</query>"
+DOCUMENT_TAG = r"(?is)<document>\s*(.*?)\s*</document>"
+BULLET = r"^\s*(?:[-*\x{2022}]+|[0-9]+[.)])\s*"
+DECISION = r"(?i)\b(yes|no|ja|nein|true|false)\b"
+FENCE = r"(?s)```(?:json)?\s*(.*?)```"
+SENTENCE = r"(?dm)([^.!?]+(?:[.!?]+(?=\s|$)|$))"
+PARAGRAPH_END = r"(?:\r?\n){2,}"
+
 
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
@@ -30,17 +41,17 @@ def keyword_key(x: Column) -> Column:
 
 def dash_key(x: Column) -> Column:
     """Lower case; dashes, underscores and slashes as spaces, trailing full stops gone."""
-    return F.regexp_replace(F.regexp_replace(F.lower(x), r"[\x{2010}-\x{2015}\-_/]", " "), r"\.+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(x), DASHES, " "), r"\.+$", "")
 
 
 def term_key(x: Column) -> Column:
     """As dash_key, white space collapsed (P10)."""
-    return collapse(F.regexp_replace(F.lower(x), r"[\x{2010}-\x{2015}\-_/]", " "))
+    return collapse(F.regexp_replace(F.lower(x), DASHES, " "))
 
 
 def metric_text(x: Column) -> Column:
     """Lower case, digits and German letters only, single spaces."""
-    return strip(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^0-9A-Za-zÄÖÜäöüß]+", " "))
+    return strip(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), OTHER_THAN_METRIC, " "))
 
 
 def metric_tokens(x: Column) -> Column:
@@ -91,7 +102,7 @@ def one_of(values: Sequence[str]) -> Column:
 def json_array(x: Column, schema: str) -> Column:
     """The array that a model's answer holds: inside a code fence, else from the first [ to the last ],
     else under one of the known keys of an object (P26)."""
-    fenced = F.regexp_extract(x, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    fenced = F.regexp_extract(x, FENCE, 1)
     body = F.when(fenced != "", fenced).otherwise(x)
     span = F.regexp_extract(body, r"(?s)(\[.*\])", 1)
     found = F.from_json(F.when(span != "", span), schema)
@@ -103,20 +114,20 @@ def json_array(x: Column, schema: str) -> Column:
 def query_list(x: Column) -> Column:
     """Queries in a model's answer: a JSON array, <query> tags, or lines without bullets."""
     array = F.from_json(F.regexp_extract(x, r"(?s)(\[.*\])", 1), "array<string>")
-    tags = F.regexp_extract_all(x, F.lit(r"(?is)<query>\s*(.*?)\s*</query>"), F.lit(1))
-    lines = F.transform(F.split(x, r"\n"), lambda line: strip(F.regexp_replace(line, r"^\s*(?:[-*\x{2022}]+|[0-9]+[.)])\s*", "")))
+    tags = F.regexp_extract_all(x, F.lit(QUERY_TAG), F.lit(1))
+    lines = F.transform(F.split(x, r"\n"), lambda line: strip(F.regexp_replace(line, BULLET, "")))
     found = F.when(F.size(array) > 0, array).when(F.size(tags) > 0, tags).otherwise(lines)
     return F.filter(F.transform(found, strip), lambda q: q != "")
 
 
 def documents_in(x: Column) -> Column:
     """Contents of <document> tags."""
-    return F.regexp_extract_all(x, F.lit(r"(?is)<document>\s*(.*?)\s*</document>"), F.lit(1))
+    return F.regexp_extract_all(x, F.lit(DOCUMENT_TAG), F.lit(1))
 
 
 def yes_no(x: Column) -> Column:
     """true, false or null from a model's yes or no."""
-    word = F.lower(F.regexp_extract(x, r"(?i)\b(yes|no|ja|nein|true|false)\b", 1))
+    word = F.lower(F.regexp_extract(x, DECISION, 1))
     return F.when(word.isin("yes", "ja", "true"), F.lit(True)).when(word.isin("no", "nein", "false"), F.lit(False))
 
 
@@ -161,10 +172,10 @@ def boxes_json(x: Column) -> Column:
 def sentences(x: Column) -> Column:
     """Runs of characters up to . ! or ? before white space or a line's end; a run that an inner mark
     breaks off is lost, as the pattern asks for its end (X2)."""
-    found = F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"(?dm)([^.!?]+(?:[.!?]+(?=\s|$)|$))"), F.lit(1)), strip), lambda s: s != "")
+    found = F.filter(F.transform(F.regexp_extract_all(x, F.lit(SENTENCE), F.lit(1)), strip), lambda s: s != "")
     return F.when(F.size(found) > 0, found).otherwise(F.filter(F.array(strip(x)), lambda s: s != ""))
 
 
 def paragraphs(x: Column) -> Column:
     """Pieces between two or more line ends."""
-    return F.filter(F.transform(F.split(x, r"(?:\r?\n){2,}"), strip), lambda p: p != "")
+    return F.filter(F.transform(F.split(x, PARAGRAPH_END), strip), lambda p: p != "")
