@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,6 +116,33 @@ def ingest(refs: DataFrame, group: str = "guideline_id", skip_headings: bool = F
     return positions(kept, group, order, "chunk_index").select("reference_id", group, "chunk_index", "content", numbered_path(F.col("hierarchy")).alias("headers"))
 
 
+def embedded(rows: DataFrame, embed: Callable[[str], list[float]], text: str = "content", go_on: bool = True) -> DataFrame:
+    """rows with ``vector`` and ``error`` (S12): a row whose text the model fails on has no vector and says why;
+    without ``go_on`` it fails the job."""
+
+    def run(batches):
+        for pdf in batches:
+            vectors, errors = [], []
+            for value in pdf[text]:
+                try:
+                    vectors.append([float(x) for x in embed(value)])
+                    errors.append(None)
+                except Exception as failure:  # whatever a model raises
+                    if not go_on:
+                        raise
+                    vectors.append(None)
+                    errors.append(str(failure))
+            yield pdf.assign(vector=vectors, error=errors)
+
+    ddl = ", ".join(f"`{n}` {t}" for n, t in rows.drop("vector", "error").dtypes)
+    return rows.drop("vector", "error").mapInPandas(run, f"{ddl}, vector array<double>, error string")
+
+
+def objects(collection_rows: DataFrame, group: str, wanted: DataFrame) -> DataFrame:
+    """Objects by guideline and index in it (S13); wanted: the group's column and chunk_index."""
+    return wanted.join(collection_rows, [group, "chunk_index"])
+
+
 def replace_group(collection: DataFrame, rows: DataFrame, group: str, value) -> DataFrame:
     """``collection`` with one group's objects replaced (delete and insert of S12)."""
     return collection.where(~F.col(group).eqNullSafe(F.lit(value))).unionByName(rows.where(F.col(group).eqNullSafe(F.lit(value))))

@@ -408,6 +408,28 @@ def mapped_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.mapped_fields(refs, guidelines)
 
 
+@query("SELECT doc_id, CASE WHEN length(source || lang) % 2 = 0 THEN length(source || lang)::DOUBLE END AS first, CASE WHEN length(source || lang) % 2 <> 0 THEN 'odd ' || lang END AS error FROM documents")
+def vectors_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that fails on some texts: the others get their vectors."""
+
+    def model(text: str) -> list[float]:
+        if len(text) % 2:
+            raise ValueError(f"odd {text[-2:]}")
+        return [len(text), 1]
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", "lang").alias("content"))
+    return catalog.embedded(rows, model).select("doc_id", F.get("vector", F.lit(0)).alias("first"), "error")
+
+
+@query(f"WITH {REFS}, p AS (SELECT reference_id, guideline_id, row_number() OVER (PARTITION BY guideline_id ORDER BY bucket, reference_id) - 1 AS chunk_index FROM refs) SELECT guideline_id, chunk_index, reference_id FROM p WHERE chunk_index IN (0, 7, 40)")
+def objects_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marram.sources.views import placed
+
+    rows = placed(references(spark, sf_dir).select("reference_id", "guideline_id", "bucket")).withColumnRenamed("pos", "chunk_index")
+    wanted = rows.select("guideline_id").distinct().withColumn("chunk_index", F.explode(F.array(*[F.lit(k).cast(LONG) for k in (0, 7, 40)])))
+    return catalog.objects(rows, "guideline_id", wanted).select("guideline_id", "chunk_index", "reference_id")
+
+
 TAKEN = "CASE WHEN event_id % 4 = 0 THEN 'completed' WHEN event_id % 4 = 1 THEN 'claimed' ELSE 'open' END AS status, CASE WHEN event_id % 4 = 1 THEN 'u' || event_id % 3 END AS claimed_by, CASE WHEN event_id % 5 = 0 THEN 'u' || event_id % 2 END AS assigned_to"
 
 
