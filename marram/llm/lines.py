@@ -169,11 +169,13 @@ def dedup(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2
     found = materialise(_bodies(found.select("doc_id", "_m_hash", "text", "_m_units")), "bodies")
     release(heads)
 
-    stay = found.where("stays").dropDuplicates(key).select(*key, F.col("body").alias("kept_body"))
+    # A table of its own: a unit that very many documents have can then be split over tasks in the join.
+    stay = materialise(found.where("stays").dropDuplicates(key).select(*key, F.col("body").alias("kept_body")), "stay")
     same = F.col("body") == F.col("kept_body")
     compared = found.where("not stays").join(stay, key).select("doc_id", "row_hash", "begin", "end", *key, same.alias("same"), F.when(~same, F.col("body")).alias("body"))
     compared = materialise(compared, "compared")
     release(found)
+    release(stay)
     # Units whose hash is that of other bytes (next to none) are compared among themselves.
     clash = compared.where("not same").withColumn("nth", F.dense_rank().over(Window.partitionBy(*key, "body").orderBy("doc_id", "row_hash", "begin"))).where("nth > 1")
     gone = compared.where("same").drop("same", "body").unionByName(clash.drop("same", "body", "nth"))
