@@ -127,10 +127,11 @@ class Ledger:
     def unseen(self, versions: DataFrame) -> DataFrame:
         """(blob, text, todo): one text per blob with the rule versions it has not been scanned for."""
         ids = F.array(*[F.lit(r.id) for r in self.rules])
-        blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+        # Copies combine where they are read, so that of a text that many paths hold one row is moved.
+        blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
         done = self.entries().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
         todo = F.when(F.col("done").isNull(), ids).otherwise(F.array_except(ids, "done"))
-        return blobs.join(done, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0).dropDuplicates(["blob"])
+        return blobs.join(done, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0)
 
     def update(self, versions: DataFrame) -> None:
         """Scan what ``versions`` (with a column text) adds and append it."""
