@@ -83,6 +83,17 @@ def test_near_duplicates_equal_brute_force(spark, corpus, k, percent):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], want[r.doc_id][1] == r.doc_id)
 
 
+def test_components_of_a_chain_and_a_star(spark):
+    from marram.llm.common import connected_components
+
+    order = list(range(1, 201))
+    random.Random(3).shuffle(order)
+    edges = list(zip(order, order[1:], strict=False)) + [(500, 500 + i) for i in range(1, 80)] + [(700, 700), (900, 800), (900, 801)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {i: 1 for i in order} | {500 + i: 500 for i in range(80)} | {800: 800, 801: 800, 900: 800}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(empty(spark)).collect() == []
 
@@ -419,6 +430,10 @@ def test_shards_hold_what_the_library_encodes(spark, corpus, tmp_path):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         start += len(ids)
     assert tokens.export(shards, str(tmp_path)) == shards.count()
+    every = np.concatenate([[*library.encode(t or "", add_special_tokens=False).ids, 0] for _, t in sorted(rows)])
+    for first, count in ((0, 5), (1000, 9000), (len(every) - 3, 50), (len(every), 4)):
+        found = sorted(tokens.read_range(shards, first, count).collect())
+        assert [x for r in found for x in r.ids] == every[first : first + count].tolist() and all(r.start >= first for r in found)
     assert {r.doc_id: r.n_tokens for r in tokens.lengths(frame(spark, rows), path).collect()} == {i: r.n_tokens for i, r in got.items()}
     library.encode_special_tokens = True
     assert tokens.Encoder(path, ordinary=True).encode(["a <|endoftext|> b"])[0] == np.array(library.encode("a <|endoftext|> b", add_special_tokens=False).ids, dtype="<u2").tobytes()
