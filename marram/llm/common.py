@@ -72,6 +72,14 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the bytes of one Arrow batch to ARROW_BYTES where the session allows more. All operators ask for this
+    same value and none raises it, so a plan made earlier runs no worse for it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS, size: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
     """Spark's batches in parts of at most ``rows`` rows and about ``size`` bytes, so that what a step
     holds is bounded whatever the session says."""
@@ -198,17 +206,18 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- connected components
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for all ends of ``edges`` (src, dst: long); component = smallest node.
 
     Alternating large and small stars: each round hangs every node's larger neighbours, then
-    its smaller ones, on the smallest neighbour, until all that is left are stars. Every step
+    its smaller ones, on the smallest neighbour, until all that is left are stars; that takes a number of rounds
+    like the square of the logarithm of the nodes at most. Every step
     is a partial aggregation or a join that adaptive execution can split, so a hub with a third
     of all links is spread. Each round is a table in the shared folder.
     """
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     e = materialise(e, "cc")
-    for _ in range(rounds):
+    while True:
         near = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
         large = e.join(least, "v").select("u", F.col("m").alias("v")).where("u <> v").distinct()
@@ -222,27 +231,3 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if rooted.where("n > 1").limit(1).count() == 0 and inner.limit(1).count() == 0:
             roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-    raise RuntimeError("components did not settle")
-
-
-class Forest:
-    """Union by smallest id, for links found inside one task."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        root = x
-        while (up := self.parent.get(root, root)) != root:
-            root = up
-        while (up := self.parent.get(x, x)) != root:
-            self.parent[x] = root
-            x = up
-        return root
-
-    def union(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True

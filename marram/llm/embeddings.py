@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import connected_components, materialise
+from marram.llm.common import bounded_batches, connected_components, materialise
 
 #: Classes in a block; a task compares two blocks.
 BLOCK = 2048
@@ -232,6 +232,7 @@ def dealt(codes_: DataFrame) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK, exact: bool = False) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label)."""
+    bounded_batches(vectors.sparkSession)
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label"))
     sound = "vec_id is not null and label is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(vector, x -> x <> 0)"
     # 0.0 for -0.0, so that equal vectors are equal groups.

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import materialise, release, slices
+from marram.llm.common import bounded_batches, materialise, release, slices
 
 UNIT = 192
 BLOCK = 4608
@@ -534,6 +534,7 @@ def read_samples(media: bytes, first: int, count: int) -> bytes:
 
 def to_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a stream."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in slices(batches, 2048):
@@ -550,6 +551,7 @@ _BLOCKS = pa.list_(pa.struct([("sample_offset", pa.int64()), ("n_samples", pa.in
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes, size and sum of the stream, and its frames as blocks (sample_offset, n_samples, unsigned 8-bit pcm)."""
+    bounded_batches(media.sparkSession)
 
     def run(batches):
         for batch in slices(batches, 2048):
@@ -596,6 +598,7 @@ def feature(payload: bytes) -> str:
 
 def digests(pcm: DataFrame) -> DataFrame:
     """Per stream, from its stored blocks: sizes, sums and features of the payload; what is known of the stream."""
+    bounded_batches(pcm.sparkSession)
 
     def run(batches):
         for batch in slices(batches, 2048):

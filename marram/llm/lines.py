@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marram.llm.common import hash_lines, materialise, mix64, release, slices
+from marram.llm.common import bounded_batches, hash_lines, materialise, mix64, release, slices
 
 _U = np.uint64
 
@@ -157,6 +157,7 @@ def _without(docs: DataFrame, parameters: dict) -> DataFrame:
 def dedup(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, long_words: int = 50) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the lines of repeated units removed from ``text``, and the new columns
     chunks_removed (those that lost lines), lines_removed and words_removed."""
+    bounded_batches(docs.sparkSession)
     parameters = {"window": window, "divisor": divisor, "min_lines": min_lines, "long_words": long_words}
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("chunks_removed", "lines_removed", "words_removed").withColumn("_m_hash", F.xxhash64("text"))
     narrow = keyed.select("doc_id", "_m_hash", "text")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import connected_components, materialise, mix64, release, shingle_sets, slices
+from marram.llm.common import bounded_batches, connected_components, materialise, mix64, release, shingle_sets, slices
 
 _U = np.uint64
 _PRINT_A, _PRINT_B = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
@@ -138,6 +138,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of
     ``shingle``-word shingles; a component is named by its smallest id.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = materialise(signatures(docs, shingle, rows, bands_needed(percent / 100, rows)), "sig")
     able = sig.where("n_shingles > 0 and doc_id is not null")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import slices
+from marram.llm.common import bounded_batches, slices
 
 SPACE = "▁"
 #: Words, and pairs of tokens, remembered by a worker.
@@ -224,6 +224,7 @@ def prefix_table(path: str) -> PrefixTable:
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ids (with the end id) for each row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         table = prefix_table(model)
@@ -237,6 +238,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id and text for each row of ``encoded`` (doc_id, ids)."""
+    bounded_batches(encoded.sparkSession)
 
     def run(batches):
         processor = prefix_table(model).processor
@@ -249,6 +251,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes, and decodes those ids, in one pass."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         table = prefix_table(model)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import hash_words, slices
+from marram.llm.common import bounded_batches, hash_words, slices
 
 WORD_BITS = 14
 BINS = 24
@@ -165,6 +165,7 @@ def _inputs(docs: DataFrame, metadata: list[str], *more: Column) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: list[str] | None = None, max_rows: int = 8192) -> Machine:
     """Fit on ``labels`` (doc_id, ``label`` 0/1), at most ``max_rows`` of them, and their texts in ``docs``."""
+    bounded_batches(docs.sparkSession)
     metadata = list(metadata or [])
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_m_label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -190,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata:
 
 def score(docs: DataFrame, machine: Machine, metadata: list[str] | None = None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) for each row."""
+    bounded_batches(docs.sparkSession)
     metadata = list(metadata or [])
     docs = docs.drop("score")
     kept = docs.columns

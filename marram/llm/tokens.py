@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marram.llm.common import slices
+from marram.llm.common import bounded_batches, slices
 
 MAGIC = b"MBP1"
 HEAD = struct.Struct("<4sIIIQ")
@@ -247,6 +247,7 @@ def encoder(path: str, ordinary: bool = False) -> Encoder:
 
 def lengths(docs: DataFrame, tokenizer: str, ordinary: bool = False) -> DataFrame:
     """doc_id and n_tokens, with the end id, of each row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in slices(batches):
@@ -265,6 +266,7 @@ SHARDS = "part int, seq int, n_ids long, doc_ids array<long>, shard binary"
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ordinary: bool = False) -> None:
     """Encode ``docs`` (doc_id, text), end each document with ``end_id`` and write shards to ``path``."""
+    bounded_batches(docs.sparkSession)
     known = encoder(tokenizer, ordinary)
     bits, kind = bits_for(known.vocabulary), known.kind
     end = np.array([end_id], dtype=kind).tobytes()
@@ -310,6 +312,7 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 def documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the stored shards."""
+    bounded_batches(shards.sparkSession)
 
     def run(batches):
         for batch in slices(batches):
@@ -325,6 +328,23 @@ def documents(shards: DataFrame) -> DataFrame:
     return each.join(shard_starts(shards.select("part", "seq", "n_ids")), ["part", "seq"]).select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_range(shards: DataFrame, first: int, count: int) -> DataFrame:
+    """(start, ids): the ids ``first`` to ``first + count - 1`` of the whole corpus, as one run per shard that holds
+    some. Other shards' bytes are not read where the store prunes rows, and of a shard only the blocks wanted are unpacked."""
+    base = shard_starts(shards.select("part", "seq", "n_ids"))
+    wanted = base.join(shards.select("part", "seq", "n_ids"), ["part", "seq"]).where((F.col("base") < first + count) & (F.col("base") + F.col("n_ids") > first))
+    rows = wanted.select("part", "seq", "base").join(shards.select("part", "seq", "shard"), ["part", "seq"]).select("base", "shard")
+
+    def run(batches):
+        for batch in slices(batches):
+            for start, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shard = Shard(data)
+                low, high = max(0, first - start), min(shard.ids, first + count - start)
+                yield pa.RecordBatch.from_arrays([pa.array([start + low], pa.int64()), pa.array([shard.read(low, high - low).astype(np.int64)], pa.list_(pa.int64()))], names=["start", "ids"])
+
+    return rows.mapInArrow(run, "start long, ids array<long>")
+
+
 def export(shards: DataFrame, folder: str) -> int:
     """Write each shard as <part>-<seq>.mbp under ``folder`` of this machine, one at a time; returns how many."""
     n = 0
