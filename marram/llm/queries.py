@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import embeddings, flac, licenses, lines, minhash, packing, pieces, quality, secrets, tokens
+from marram.llm import decontaminate, divergence, embeddings, flac, licenses, lines, minhash, packing, pieces, quality, secrets, tokens, whitening
 from marram.llm.common import scratch_path
 
 QUERIES: dict = {}
@@ -150,3 +150,29 @@ SELECT doc_id, {counts}, sha256({joined(f"list_filter(f, lambda s: s.k < {len(se
 
 
 ORACLES["op10_secret_scan"] = _secret_sql()
+
+
+@_query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all pairs of sources of a language, and the terms that mark each source."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_divergence"] = divergence.oracle()
+
+
+@_query
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside windows of ten words of benchmark items."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLES["op12_decontamination"] = decontaminate.oracle()
+
+
+@_query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight components of all vectors."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
