@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from marram.functions.ranking import top_k
 from marram.functions.text import all_tokens, query_tokens, word_count
+from marram.operators.textindex import SHORTEST, part
 from marram.plans.scratch import stored
 
-K1, B = 1.2, 0.75
 #: Bytes of query vectors sent to the executors at once.
 QUERY_BYTES = 32 << 20
 
@@ -21,23 +21,22 @@ def rounded(x: Column | str) -> Column:
 
 
 def bm25(refs: DataFrame, queries: DataFrame, text: Column | None = None) -> DataFrame:
-    """query_id, reference_id, score for every document that shares a word with a query.
+    """query_id, reference_id, score for every document that shares a word with a query, without an index.
 
-    A first scan counts the words of all texts. The second keeps only words of queries, so what is
-    stored and shuffled follows the hits; counts of a word in a document are made before its document
-    frequency joins.
+    One narrow scan counts words; a second explodes them. Only words of queries are stored and shuffled, and a document's
+    length is a column below the explode, which would count it for each of its words otherwise. For searches that come
+    again ``textindex.TextIndex`` reads a part of this.
     """
     text = text if text is not None else F.col("text")
-    length = word_count(text)
-    total, mean = refs.agg(F.count(F.lit(1)), F.avg(length)).first()
-    wanted = queries.select("query_id", F.explode(query_tokens(F.col("text"), 3)).alias("term"))
-    words = refs.select("reference_id", length.alias("length"), F.explode(all_tokens(text, 3)).alias("term"))
+    sized = refs.select("reference_id", text.alias("text"), word_count(text).alias("length"))
+    total, mean = sized.agg(F.count(F.lit(1)), F.avg("length")).first()
+    wanted = queries.select("query_id", F.explode(query_tokens(F.col("text"), SHORTEST)).alias("term"))
+    words = sized.select("reference_id", "length", F.explode(all_tokens(F.col("text"), SHORTEST)).alias("term"))
     postings = words.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "reference_id", "length").agg(F.count(F.lit(1)).alias("tf"))
     postings = stored(postings, "postings")
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1))))
-    scored = postings.join(frequency, "term").select("term", "reference_id", part.alias("part")).join(wanted, "term")
+    scored = postings.join(frequency, "term").select("term", "reference_id", part(F.col("tf"), F.col("length"), idf, mean).alias("part")).join(wanted, "term")
     return scored.groupBy("query_id", "reference_id").agg(rounded(F.sum("part")).alias("score"))
 
 

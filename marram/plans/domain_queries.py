@@ -15,7 +15,7 @@ from marram.plans.scratch import shared_folder
 from marram.plans.search_queries import BM25
 from marram.plans.workflow import Context, Workflow
 from marram.sources import files
-from marram.sources.views import references, table, text_queries
+from marram.sources.views import references, table, text_index, text_queries
 
 LONG = "long"
 
@@ -257,7 +257,7 @@ def workflow_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marram.operators import search
 
     queries = text_queries(spark, sf_dir)
-    done = Workflow(MERGING).run(queries, Context(tables={"hits": search.bm25_top(references(spark, sf_dir), queries, 5)}))
+    done = Workflow(MERGING).run(queries, Context(tables={"hits": text_index(spark, sf_dir).top(queries, 5)}))
     return done.where("items is not null").select("query_id", F.array_join(F.transform("items", lambda x: x["id"].cast("string")), ",").alias("items"))
 
 

@@ -10,7 +10,7 @@ from marram.functions.text import query_tokens
 from marram.operators import graph, hierarchy, search, tables
 from marram.plans.registry import KEYWORDS, PLACED, REFS, SECTION, SEEDS, WORDS, query
 from marram.plans.search_queries import BM25
-from marram.sources.views import keywords, placed, references, seeds, table, text_queries, vectors
+from marram.sources.views import keywords, placed, references, seeds, table, text_index, text_queries, vectors
 
 LONG = "long"
 GRAPH = f"{PLACED}, {KEYWORDS}, {SEEDS}"
@@ -147,7 +147,7 @@ def graph_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text seeds for every benchmark passage, expanded over the graph."""
     refs, links, _ = _graph(spark, sf_dir)
     queries = text_queries(spark, sf_dir)
-    hits = search.bm25_top(references(spark, sf_dir), queries, 5)
+    hits = text_index(spark, sf_dir).top(queries, 5)
     tokens = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("token"))
     out = graph.search(hits, tokens, refs, links, _similarity(spark, sf_dir), threshold=0.3)
     return out.withColumn("rank", F.col("rank").cast(LONG))
@@ -219,6 +219,6 @@ def added_except_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT b.query_id, b.rank, b.reference_id, source AS guideline_id, n_chars FROM bt b JOIN documents ON doc_id = reference_id WHERE rank <= 3")
 def hit_materialisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.bm25_top(references(spark, sf_dir), text_queries(spark, sf_dir), 3)
+    hits = text_index(spark, sf_dir).top(text_queries(spark, sf_dir), 3)
     refs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("reference_id"), F.col("source").alias("guideline_id"), "n_chars")
     return search.materialise_hits(hits, refs).select("query_id", F.col("rank").cast(LONG).alias("rank"), "reference_id", "guideline_id", "n_chars")

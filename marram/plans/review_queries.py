@@ -12,7 +12,7 @@ from marram.operators import catalog, evaluation, rank, search, tables
 from marram.plans.registry import WORDS, query
 from marram.plans.search_queries import BM25
 from marram.plans.workflow import Context, Workflow
-from marram.sources.views import references, table, text_queries
+from marram.sources.views import references, table, text_index, text_queries
 
 LONG = "long"
 STATUS = "CASE event_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'queued' ELSE 'completed' END"
@@ -160,7 +160,7 @@ def sequence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def retrieval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.bm25_top(references(spark, sf_dir), text_queries(spark, sf_dir), 3)
+    hits = text_index(spark, sf_dir).top(text_queries(spark, sf_dir), 3)
     texts = references(spark, sf_dir).select("reference_id", "text")
     actual = hits.join(texts, "reference_id").groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("actual"))
     samples = text_queries(spark, sf_dir).join(actual, "query_id", "left").select(F.col("query_id").alias("id"), F.array("text").alias("expected"), "actual")
@@ -253,7 +253,7 @@ LISTING = {
 @query(f"WITH {BM25} SELECT item_id AS query_id, array_to_string(list(item_id || ':' || reference_id ORDER BY rank), ',') AS items FROM benchmark JOIN bt ON query_id = item_id WHERE rank <= 4 GROUP BY 1")
 def list_explode_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = text_queries(spark, sf_dir)
-    hits = search.bm25_top(references(spark, sf_dir), queries, 4)
+    hits = text_index(spark, sf_dir).top(queries, 4)
     done = Workflow(LISTING).run(queries, Context(tables={"hits": hits}))
     return done.where("items is not null").select("query_id", F.array_join("items", ",").alias("items"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,15 +14,25 @@ def shared_folder(spark: SparkSession) -> str:
     all its machines see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="marram-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path there, in this application's folder."""
+    return f"{shared_folder(spark)}/marram-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written there as Parquet and read back: evaluated once, with known sizes."""
-    path = f"{shared_folder(df.sparkSession)}/marram-{df.sparkSession.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

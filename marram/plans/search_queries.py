@@ -9,9 +9,11 @@ from marram.functions import text as X
 from marram.functions import vectors as V
 from marram.functions.ranking import top_k
 from marram.operators import rank, search
+from marram.operators.textindex import TextIndex
 from marram.plans.registry import WORDS, query
+from marram.plans.scratch import scratch_path
 from marram.sources.providers import overlap_scorer
-from marram.sources.views import references, table, text_queries, vector_queries, vectors
+from marram.sources.views import references, table, text_index, text_queries, vector_queries, vectors
 
 LONG = "long"
 VECTORS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 50 = 0)"
@@ -59,7 +61,16 @@ bt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r
 
 @query(f"WITH {BM25} SELECT query_id, reference_id, score, rank FROM bt WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25_top(references(spark, sf_dir), text_queries(spark, sf_dir), 10).select("query_id", "reference_id", "score", F.col("rank").cast(LONG).alias("rank"))
+    return text_index(spark, sf_dir).top(text_queries(spark, sf_dir), 10).select("query_id", "reference_id", "score", F.col("rank").cast(LONG).alias("rank"))
+
+
+@query(f"WITH {BM25} SELECT query_id, reference_id, score, rank FROM bt WHERE rank <= 10")
+def bm25_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index that is made here in two steps: the second half of the documents is appended."""
+    refs, index = references(spark, sf_dir), TextIndex(spark, scratch_path(spark, "appended-index"))
+    half = F.pmod(F.xxhash64("reference_id"), F.lit(2)) == 0
+    index.append(refs.where(half)).append(refs.where(~half))
+    return index.top(text_queries(spark, sf_dir), 10).select("query_id", "reference_id", "score", F.col("rank").cast(LONG).alias("rank"))
 
 
 PAIRED = "pq AS (SELECT item_id AS query_id, vec_id * 50 AS vid FROM (SELECT item_id, item_id % (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS vec_id FROM benchmark))"
@@ -81,7 +92,7 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = search.vector_top(vectors(spark, sf_dir), _paired(spark, sf_dir), 20).select("query_id", F.col("vec_id").alias("reference_id"), F.round(1 - F.col("distance"), 6).alias("similarity"))
-    return search.hybrid(near, search.bm25_top(references(spark, sf_dir), text_queries(spark, sf_dir), 20))
+    return search.hybrid(near, text_index(spark, sf_dir).top(text_queries(spark, sf_dir), 20))
 
 
 @query(f"WITH {HYBRID}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, reference_id) AS rank FROM hy) SELECT query_id, reference_id, score, rank FROM r WHERE rank <= 10")
@@ -96,7 +107,7 @@ f AS (SELECT query_id, reference_id, round(sum(weight * coalesce(score, greatest
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, reference_id) AS rank FROM f) SELECT query_id, reference_id, score::DOUBLE AS score, rank FROM r WHERE rank <= 5"""
 )
 def multi_query_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = search.bm25_top(references(spark, sf_dir), text_queries(spark, sf_dir), 10).select("query_id", F.lit(1).alias("subquery"), F.lit(1.0).alias("weight"), "reference_id", "rank", "score")
+    text = text_index(spark, sf_dir).top(text_queries(spark, sf_dir), 10).select("query_id", F.lit(1).alias("subquery"), F.lit(1.0).alias("weight"), "reference_id", "rank", "score")
     near = search.vector_top(vectors(spark, sf_dir), _paired(spark, sf_dir), 10)
     near = near.select("query_id", F.lit(2).alias("subquery"), F.lit(0.5).alias("weight"), F.col("vec_id").alias("reference_id"), "rank", F.lit(None).cast("double").alias("score"))
     fused = search.fuse(text.unionByName(near), 10)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions.ranking import positions
+from marram.operators.textindex import TextIndex
+from marram.plans.scratch import exists, scratch_path
 
 #: Shortest keyword, in characters.
 KEYWORD_LENGTH = 6
@@ -73,3 +75,17 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+#: Indexes of this application, by application and folder of tables.
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index of ``references``, made by the first query of an application that searches them."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes or not exists(spark, f"{_indexes[key]}/sizes"):
+        path = scratch_path(spark, "text-index")
+        TextIndex(spark, path).append(references(spark, sf_dir))
+        _indexes[key] = path
+    return TextIndex(spark, _indexes[key])
