@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from marram.functions.ranking import top_k
 from marram.functions.text import all_tokens, query_tokens, word_count
 from marram.operators.textindex import SHORTEST, part
+from marram.operators.vectorindex import QUERY_BYTES, pairwise
 from marram.plans.scratch import stored
 
-#: Bytes of query vectors sent to the executors at once.
-QUERY_BYTES = 32 << 20
-
 
 def rounded(x: Column | str) -> Column:
     return F.round(x, 6)
@@ -44,21 +42,6 @@ def bm25_top(refs: DataFrame, queries: DataFrame, k: int, text: Column | None =
     return top_k(bm25(refs, queries, text), k, [F.desc("score"), F.col("reference_id")], ["query_id"])
 
 
-def _pairwise(kind: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Distances (queries, rows) in doubles."""
-    if kind in ("cosine", "dot"):
-        product = q @ x.T
-        if kind == "dot":
-            return -product
-        lengths = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-        return 1 - np.divide(product, lengths, out=np.zeros_like(product), where=lengths > 0)
-    out = np.empty((len(q), len(x)))
-    for i, row in enumerate(q):
-        gap = x - row
-        out[i] = (gap**2).sum(axis=1) if kind == "l2-squared" else np.abs(gap).sum(axis=1) if kind == "manhattan" else (gap != 0).sum(axis=1)
-    return out
-
-
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, kind: str = "cosine") -> DataFrame:
     """query_id, vec_id, distance, rank: the k nearest rows of ``vectors`` (vec_id, embedding) to each
     of ``queries`` (query_id, embedding), exactly.
@@ -85,7 +68,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, kind: str = "cosi
                     for query_ids, q in sent.value:
                         if q.shape[1] != size:
                             continue
-                        distances = np.round(_pairwise(kind, q, x), 6)
+                        distances = np.round(pairwise(kind, q, x), 6)
                         # Ties at the border stay in; the last step orders them by id.
                         border = np.partition(distances, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
                         i, j = np.nonzero(distances <= border[:, None])
@@ -157,7 +140,7 @@ def similarity_edges(vectors: DataFrame, threshold: float = 0.5, k: int = 8, gro
         ids = pdf["vec_id"].to_numpy()
         out = [pd.DataFrame({"src": ids[:0], "dst": ids[:0], "score": np.zeros(0)})]
         if source.any() and not source.all():
-            scores = np.round(1 - _pairwise("cosine", x[source], x[~source]), 6)
+            scores = np.round(1 - pairwise("cosine", x[source], x[~source]), 6)
             scores[ids[source][:, None] == ids[~source][None]] = -np.inf
             keep = min(k, scores.shape[1])
             border = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]

@@ -10,10 +10,11 @@ from marram.functions import vectors as V
 from marram.functions.ranking import top_k
 from marram.operators import rank, search
 from marram.operators.textindex import TextIndex
+from marram.operators.vectorindex import neighbour_graph
 from marram.plans.registry import WORDS, query
 from marram.plans.scratch import scratch_path
 from marram.sources.providers import overlap_scorer
-from marram.sources.views import references, table, text_index, text_queries, vector_queries, vectors
+from marram.sources.views import references, table, text_index, text_queries, vector_index, vector_queries, vectors
 
 LONG = "long"
 VECTORS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 50 = 0)"
@@ -37,6 +38,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_
     run.__name__ = "vector_topk_" + kind.split("-")[0]
     query(sql)(run)
 
+    def balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return vector_index(spark, sf_dir).top(vector_queries(spark, sf_dir), 10, kind).withColumn("rank", F.col("rank").cast(LONG))
+
+    balls.__name__ = "vector_balls_" + kind.split("-")[0]
+    query(sql)(balls)
+
 
 for _kind in V.DISTANCES:
     _top(_kind)
@@ -51,6 +58,12 @@ def similarity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.similarity_edges(vectors(spark, sf_dir), threshold=0.2, k=8)
 
 
+@query()
+def similarity_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most of these edges by looking into near balls only; a test measures its recall against them."""
+    return neighbour_graph(vector_index(spark, sf_dir), k=8, threshold=0.2)
+
+
 BM25 = f"""docs AS (SELECT doc_id, {WORDS} AS ws0 FROM documents), d AS (SELECT doc_id, list_filter(ws0, lambda x: length(x) >= 1) AS ws FROM docs), st AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)) AS m FROM d),
 qt AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({WORDS}) AS term FROM benchmark) WHERE length(term) >= 3),
 tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS len, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2, 3),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marram.functions.ranking import positions
 from marram.operators.textindex import TextIndex
+from marram.operators.vectorindex import VectorIndex
 from marram.plans.scratch import exists, scratch_path
 
 #: Shortest keyword, in characters.
@@ -79,6 +80,7 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Indexes of this application, by application and folder of tables.
 _indexes: dict[tuple[str, str], str] = {}
+_balls: dict[tuple[str, str], VectorIndex] = {}
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
@@ -89,3 +91,11 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
         TextIndex(spark, path).append(references(spark, sf_dir))
         _indexes[key] = path
     return TextIndex(spark, _indexes[key])
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The stored balls of ``vectors``, made likewise."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _balls or not exists(spark, _balls[key].path):
+        _balls[key] = VectorIndex.build(vectors(spark, sf_dir), scratch_path(spark, "vector-index"))
+    return _balls[key]
