@@ -11,7 +11,7 @@ and V the language's number of kept terms; the divergence of p and q is floor((p
 pair of sources a shard only goes through the terms that one of them has, which it counts: what neither has is the same
 value for every such term, and is added once, times their number.
 
-What a task holds: while it reads, at most ``HELD`` distinct (group, term) counts; in a shard, its rows,
+What a task holds: while it reads, about ``HELD`` distinct (group, term) counts; in a shard, its rows,
 of which a (lang, term) has one per source after the first sum (and one per reading task before it), so that a
 word of a third of all tokens is a few rows. The groups' sizes go to the shards in portions of at most ``GROUPS`` rows.
 
@@ -24,16 +24,16 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marram.functions.ranking import top_k
 from marram.llm.common import bounded_batches, materialise, slices
 
 #: Distinct (group, term) counts that a reading task holds before it hands them on.
-HELD = 200_000
-#: Rows of one shard on average.
-SHARD_ROWS = 400_000
+HELD = 400_000
 #: Groups whose sizes are sent to the shards at once.
 GROUPS = 50_000
 
@@ -45,47 +45,31 @@ def terms(text: str) -> list[bytes]:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents) of what a task read; a row of term null for each group."""
+    """lang, source, term, n (occurrences), docs (documents) of what a task read."""
 
     def run(batches):
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        seen = set()
 
         def rows():
-            flat = [(lang, source, term, n, docs[term]) for (lang, source), (all_, docs) in held.items() for term, n in all_.items()]
+            for (lang, source), (all_, docs) in held.items():
+                n = len(all_)
+                names = [pa.array([x], pa.string()).take(pa.array(np.zeros(n, dtype=np.int32))) for x in (lang, source)]
+                numbers = [pa.array(np.fromiter(x, dtype=np.int64, count=n)) for x in (all_.values(), map(docs.__getitem__, all_))]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(list(all_), pa.binary()).cast(pa.string()), *numbers], names=["lang", "source", "term", "n", "docs"])
             held.clear()
-            columns = list(zip(*flat, strict=True)) or [()] * 5
-            kinds = pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            arrays[2] = arrays[2].cast(pa.string())
-            return pa.RecordBatch.from_arrays(arrays, names=["lang", "source", "term", "n", "docs"])
 
         for batch in slices(batches):
             for text, lang, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                group = (lang, source)
-                seen.add(group)
                 words = terms(text)
                 if words:
-                    all_, docs = held.setdefault(group, (Counter(), Counter()))
+                    all_, docs = held.setdefault((lang, source), (Counter(), Counter()))
                     all_.update(words)
                     docs.update(set(words))
             if sum(len(all_) for all_, _ in held.values()) > HELD:
-                yield rows()
-            if len(seen) > HELD:
-                yield _empty(seen)
-                seen.clear()
-        yield rows()
-        yield _empty(seen)
+                yield from rows()
+        yield from rows()
 
-    def _empty(groups):
-        groups = list(groups)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([g[0] for g in groups], pa.string()), pa.array([g[1] for g in groups], pa.string()), pa.nulls(len(groups), pa.string()), pa.array([0] * len(groups), pa.int64()), pa.array([0] * len(groups), pa.int64())],
-            names=["lang", "source", "term", "n", "docs"],
-        )
-
-    some = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return some.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
 #: The counts of a shard: one row per (lang, source, term) of kept terms, with the language's count; ``head`` marks one row per term.
@@ -126,7 +110,7 @@ def _tables(con, sql: str, schema: pa.Schema):
     return con.sql(sql).to_arrow_table().select(schema.names).cast(schema).to_batches(max_chunksize=65536)
 
 
-def _shard_counts(counted: DataFrame, shards: int, least: int) -> DataFrame:
+def _shard_counts(counted: DataFrame, least: int) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("lang_n", pa.int64()), ("head", pa.bool_())])
 
     def run(batches):
@@ -138,14 +122,13 @@ def _shard_counts(counted: DataFrame, shards: int, least: int) -> DataFrame:
         yield from _tables(con, COUNT_SQL.format(least=least), schema)
         con.close()
 
-    dealt = counted.where("term is not null").repartition(shards, "lang", "term")
-    return dealt.mapInArrow(run, "lang string, source string, term string, n long, lang_n long, head boolean")
+    return counted.repartition("lang", "term").mapInArrow(run, "lang string, source string, term string, n long, lang_n long, head boolean")
 
 
-def _shard_parts(kept: DataFrame, groups: DataFrame, shards: int, top: int) -> DataFrame:
+def _shard_parts(kept: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """part, lang, a, b, value, n: parts of pairs (``pair``: a, b are sources) and best terms (``term``: of source a, b is the term)."""
     spark = kept.sparkSession
-    owned = kept.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", "lang_n", "total", "lang_total", "v").repartition(shards, "lang", "term")
+    owned = kept.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", "lang_n", "total", "lang_total", "v").repartition("lang", "term")
     n = groups.count()
     portions = max(1, -(-n // GROUPS))
     schema = pa.schema([("lang", pa.string()), ("a", pa.string()), ("b", pa.string()), ("value", pa.int64()), ("n", pa.int64())])
@@ -182,37 +165,41 @@ def _shard_parts(kept: DataFrame, groups: DataFrame, shards: int, top: int) -> D
     return out
 
 
-def divergence(docs: DataFrame, least: int = 10, top: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     """lang, source, part, item, value, rank for ``docs`` (text, lang, source).
 
     Part ``pair``: each other source of the language with the divergence of the two over all kept terms, all
     ranks. Part ``term``: the ``top`` terms that the source has and holds oftener than its language, by divergence from the language.
-    A term is kept where at least ``least`` documents of its language hold it.
+    A term is kept where at least ``least`` documents of its language hold it. There are as many shards as the session has
+    shuffle partitions; adaptive execution puts small ones together.
     """
     bounded_batches(docs.sparkSession)
-    counted = materialise(_counted(docs), "term-counts")
-    rows = counted.count()
-    kept = materialise(_shard_counts(counted, max(1, -(-rows // shard_rows)), least), "kept-terms")
+    named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
+    kept = materialise(_shard_counts(_counted(named), least), "kept-terms")
 
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("head").alias("v"))
-    groups = counted.where("term is null").select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").na.fill(0, ["total", "v"])
+    groups = named.select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").na.fill(0, ["total", "v"])
     langs = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.sum("v").alias("lang_v"))
     groups = materialise(groups.drop("v").join(langs, "lang").select("lang", "source", "total", "lang_total", F.col("lang_v").alias("v")), "groups")
 
-    parts = materialise(_shard_parts(kept, groups, max(1, -(-kept.count() // shard_rows)), top), "divergence-parts")
+    parts = materialise(_shard_parts(kept, groups, top), "divergence-parts")
     p0 = F.expr("case when v > 0 then 1 + 2000000000L div (total + 2 * v) end")
     sides = groups.select("lang", "source", "v", p0.alias("p0"))
     a, b = sides.select("lang", F.col("source").alias("a"), F.col("p0").alias("pa"), "v"), sides.select("lang", F.col("source").alias("b"), F.col("p0").alias("pb"))
     summed = parts.where("part = 'pair'").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
+    order = [F.desc("value"), F.col("item")]
     # All pairs of sources of a language: they are the result.
     pairs = a.join(b, "lang").where("a < b").join(summed, ["lang", "a", "b"], "left").na.fill(0, ["value", "n"])
     neither = F.expr("coalesce((v - n) * (((pa - pb) * (pa - pb)) div (pa + pb)), 0L)")
     pairs = pairs.select("lang", "a", "b", (F.col("value") + neither).alias("value"))
     both = pairs.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(pairs.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value"))
     best = parts.where("part = 'term'").select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value")
-    every = both.withColumn("part", F.lit("pair")).unionByName(best.withColumn("part", F.lit("term")))
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
-    return ranked.where(f"part = 'pair' or rank <= {int(top)}").select("lang", "source", "part", "item", "value", "rank")
+    # Each shard gave its best; of these the best of each 64th of the terms are found before those of a group meet.
+    best = top_k(best.withColumn("lot", F.pmod(F.xxhash64("item"), F.lit(64))), top, order, ["lang", "source", "lot"]).drop("lot", "rank")
+    ranks = top_k(best.withColumn("part", F.lit("term")), top, order, ["lang", "source"]).unionByName(
+        both.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).withColumn("part", F.lit("pair"))
+    )
+    return ranks.select("lang", "source", "part", "item", "value", "rank")
 
 
 def oracle(least: int = 10, top: int = 10) -> str:

@@ -65,7 +65,7 @@ def test_op11_equals_counting_by_hand(spark, corpus):
     v = Counter(lang for lang, _ in kept)
     share = lambda lang, c, w: 1 + 10**9 * (c[w] + 2) // (sum(n for t, n in c.items() if (lang, t) in kept) + 2 * v[lang])
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {(r.lang, r.source, r.item): r.value for r in divergence.divergence(df, shard_rows=50).where("part = 'pair'").collect()}
+    got = {(r.lang, r.source, r.item): r.value for r in divergence.divergence(df).where("part = 'pair'").collect()}
     for (lang, a, b), value in list(got.items())[::7]:
         want = 0
         for w in (w for known, w in kept if known == lang):
@@ -80,7 +80,7 @@ def test_op11_in_portions_and_of_nothing(spark, corpus, monkeypatch):
     whole = Counter(map(tuple, divergence.divergence(df).collect()))
     monkeypatch.setattr(divergence, "GROUPS", 3)
     monkeypatch.setattr(divergence, "HELD", 20)
-    assert Counter(map(tuple, divergence.divergence(df, shard_rows=40).collect())) == whole
+    assert Counter(map(tuple, divergence.divergence(df).collect())) == whole
     assert divergence.divergence(df.where("false")).collect() == []
 
 
