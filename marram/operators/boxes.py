@@ -5,11 +5,10 @@ Words come as a table pdf_words (guideline_id, page, x0, y0, x1, y1, text); no P
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from dataclasses import dataclass
-from functools import partial, reduce
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,41 +52,53 @@ def meaningful_column(x0: Column, y0: Column, x1: Column, y1: Column, limits: Li
     return (width >= limits.min_width) & (width * height >= limits.min_area) & ~((width <= limits.thin_width) & (height >= limits.thin_height))
 
 
-def _apart(a: Rect, b: Rect) -> tuple[float, float]:
-    """Clear space between two rectangles across and down; below 0 by as much as they overlap."""
-    return max(a[0], b[0]) - min(a[2], b[2]), max(a[1], b[1]) - min(a[3], b[3])
+def linked(a: np.ndarray, b: np.ndarray, limits: Limits = LIMITS) -> np.ndarray:
+    """Whether boxes (x0, y0, x1, y1 in the last axis) of ``a`` and ``b`` are parts of one block: boxes that meet when both
+    sides may be some points apart, on a line (middles level), or stacked (over each other, or with even edges)."""
 
+    def meet(axis: int, reach: float) -> np.ndarray:
+        return (a[..., axis] <= b[..., axis + 2] + reach) & (b[..., axis] <= a[..., axis + 2] + reach)
 
-def belongs(a: Rect, b: Rect, limits: Limits = LIMITS) -> bool:
-    """Whether two rectangles are one block: side by side on a line, or stacked in a column or block."""
-    across, down = _apart(a, b)
-    if down <= limits.same_line and across <= limits.line_gap and abs(sum(a[1::2]) - sum(b[1::2])) <= 2 * limits.same_line:
-        return True
-    edges = (abs(a[0] - b[0]), abs(a[2] - b[2]))
-    return down <= limits.block_gap and (across <= limits.block_overlap or max(edges) <= limits.column)
+    level = np.abs((a[..., 1] + a[..., 3]) - (b[..., 1] + b[..., 3])) / 2 <= limits.same_line
+    even = (np.abs(a - b)[..., [0, 2]] <= limits.column).all(axis=-1)
+    line = level & meet(1, limits.same_line) & meet(0, limits.line_gap)
+    return line | (meet(1, limits.block_gap) & (meet(0, limits.block_overlap) | even))
 
 
-def _hull(a: Rect, b: Rect) -> Rect:
-    return (*map(min, a[:2], b[:2]), *map(max, a[2:], b[2:]))
+def _components(boxes: np.ndarray, limits: Limits) -> np.ndarray:
+    """For each box (sorted by y0) the first of those that links join it to. A box only meets such earlier ones as reach down to it."""
+    root = np.arange(len(boxes))
 
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return int(i)
 
-def _absorbed(blocks: tuple[Rect, ...], rect: Rect, limits: Limits = LIMITS) -> tuple[Rect, ...]:
-    """``blocks`` with ``rect`` in the first that it belongs to, or after them."""
-    hosts = [belongs(block, rect, limits) for block in blocks]
-    if not any(hosts):
-        return (*blocks, rect)
-    k = hosts.index(True)
-    return (*blocks[:k], _hull(blocks[k], rect), *blocks[k + 1 :])
+    open_ = np.zeros(0, dtype=np.int64)
+    reach = max(limits.same_line, limits.block_gap)
+    for i, box in enumerate(boxes):
+        open_ = open_[boxes[open_, 3] + reach >= box[1]]
+        for j in open_[linked(boxes[open_], box, limits)].tolist():
+            low, high = sorted((top(i), top(j)))
+            root[high] = low
+        open_ = np.append(open_, i)
+    return np.array([top(i) for i in range(len(boxes))], dtype=np.int64)
 
 
 def merged(rects: list[Rect], limits: Limits = LIMITS) -> list[tuple[int, int, int, int]]:
-    """Blocks of rectangles, merged until no two belong together, rounded, top to bottom."""
-    reading = lambda some: tuple(sorted(some, key=itemgetter(1, 0, 3, 2)))
-    blocks, before = reading(r for r in rects if meaningful(r, limits)), None
-    while before is None or len(blocks) < before:
-        before = len(blocks)
-        blocks = reading(reduce(partial(_absorbed, limits=limits), blocks, ()))
-    return [tuple(int(round(v)) for v in block) for block in blocks]
+    """Blocks of the meaningful ones of ``rects``, rounded, top to bottom (X12): what links join is replaced by its hull, until
+    no two hulls are linked. The order of the rectangles plays no part."""
+    boxes = np.array(sorted({tuple(map(float, r)) for r in rects if meaningful(r, limits)}, key=itemgetter(1, 0, 3, 2)), dtype=np.float64).reshape(-1, 4)
+    while True:
+        part = np.unique(_components(boxes, limits), return_inverse=True)[1]
+        n = int(part.max(initial=-1)) + 1
+        if n == len(boxes):
+            return [tuple(int(round(v)) for v in box) for box in boxes.tolist()]
+        hulls = np.tile([np.inf, np.inf, -np.inf, -np.inf], (n, 1))
+        np.minimum.at(hulls[:, :2], part, boxes[:, :2])
+        np.maximum.at(hulls[:, 2:], part, boxes[:, 2:])
+        boxes = hulls[np.lexsort((hulls[:, 2], hulls[:, 3], hulls[:, 0], hulls[:, 1]))]
 
 
 def tokens(text: Column) -> Column:
@@ -96,44 +107,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 
-class Spelled:
-    """Where words stand in a list of tokens: as a token, or spelled by up to ``limits.joined`` tokens in a row."""
-
-    def __init__(self, source: list[str], limits: Limits = LIMITS) -> None:
-        self.places: dict[str, list[tuple[int, int]]] = {}
-        for at in range(len(source)):
-            for end in range(at + 1, min(len(source), at + limits.joined) + 1):
-                self.places.setdefault("".join(source[at:end]), []).append((at, end))
-        self.limits = limits
-
-    def next(self, word: str, low: int, high: int) -> tuple[int, int] | None:
-        """The first place of ``word`` that begins from ``low`` to ``high``."""
-        places = self.places.get(word, [])
-        k = bisect_left(places, (low, 0))
-        return places[k] if k < len(places) and places[k][0] <= high else None
-
-    def trail(self, query: list[str], begin: tuple[int, int]) -> list[tuple[int, int]] | None:
-        """Places of all words of ``query``, one after the other, that leave out no more tokens than allowed."""
-        trail, slack = [begin], self.limits.total_gap
-        for word in query[1:]:
-            free = trail[-1][1]
-            place = self.next(word, free, free + min(self.limits.token_gap, slack))
-            if place is None:
-                return None
-            slack -= place[0] - free
-            trail.append(place)
-        return trail
-
-    def trails(self, query: list[str]) -> list[list[tuple[int, int]]]:
-        """Trails from the left that share no token."""
-        found: list[list[tuple[int, int]]] = []
-        for begin in self.places.get(query[0], []):
-            if not found or begin[0] >= found[-1][-1][1]:
-                trail = self.trail(query, begin)
-                found += [trail] if trail else []
-        return found
-
-
 def word_tokens(words: DataFrame) -> DataFrame:
     """words (guideline_id, page, x0, y0, x1, y1, text) as tokens with their place in the guideline's reading
     order: guideline_id, pos, token, page, rect."""
@@ -158,29 +131,103 @@ def exact_places(queries: DataFrame, tokens_: DataFrame) -> DataFrame:
     return found.join(whole, ["guideline_id", "text_id", "begin"]).select("text_id", "page", "rect").distinct()
 
 
-def locate(texts: DataFrame, words: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """texts (guideline_id, text_id, text, first_page, last_page) -> text_id, page, x0, y0, x1, y1 (X11).
-
-    Exact occurrences are joins over token places. Only texts without one, of ``min_tokens`` words or more,
-    are followed with gaps, each over the tokens of its pages in one task. Boxes of a page are merged."""
-    kind = texts.select("text_id").dtypes[0][1]
+def spelled_places(tokens_: DataFrame, wanted: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """guideline_id, word, at, to, first_page, last_page: where a word of ``wanted`` (guideline_id, word) is a token or up to ``limits.joined`` tokens
+    in a row (places at to to - 1). Runs of tokens are equi joins on places."""
+    run = tokens_.select("guideline_id", F.col("pos").alias("at"), (F.col("pos") + 1).alias("to"), F.col("token").alias("word"), F.col("page").alias("first_page"), F.col("page").alias("last_page"))
+    found = run
+    for _ in range(limits.joined - 1):
+        after = tokens_.select("guideline_id", F.col("pos").alias("to"), "token", "page")
+        run = run.join(after, ["guideline_id", "to"]).select("guideline_id", "at", (F.col("to") + 1).alias("to"), F.concat("word", "token").alias("word"), "first_page", F.col("page").alias("last_page"))
+        found = found.unionByName(run)
+    return found.join(wanted.select("guideline_id", "word").distinct(), ["guideline_id", "word"], "left_semi")
+
+
+def follow(places: pd.DataFrame, limits: Limits = LIMITS) -> list[tuple[int, int, list[int], list[int]]]:
+    """Trails in the places (i, at, to, n) of one text's words: from each place of its first word to the next place of each further one, where that
+    leaves out no more tokens than allowed. All trails take a step together. Returns begin, end, places and their ends."""
+    n = int(places["n"].iloc[0])
+    by_word = {i: (g["at"].to_numpy(), g["to"].to_numpy()) for i, g in places.sort_values("at").groupby("i")}
+    if len(by_word) < n:
+        return []
+    begins, free = by_word[0]
+    slack, trail, alive = np.full(len(begins), limits.total_gap), [(begins, free)], np.arange(len(begins))
+    for i in range(1, n):
+        at, to = by_word[i]
+        k = np.searchsorted(at, free)
+        near = np.minimum(k, len(at) - 1)
+        ok = (k < len(at)) & (at[near] - free <= np.minimum(limits.token_gap, slack))
+        alive, near, slack = alive[ok], near[ok], slack[ok] - (at[near] - free)[ok]
+        trail = [(a[ok], b[ok]) for a, b in trail] + [(at[near], to[near])]
+        free = to[near]
+    ats, tos = (np.stack([t[j] for t in trail], axis=1) if len(alive) else np.zeros((0, n), dtype=np.int64) for j in (0, 1))
+    return [(int(a[0]), int(b[-1]), a.tolist(), b.tolist()) for a, b in zip(ats, tos, strict=True)]
+
+
+def gapped_places(asked: DataFrame, tokens_: DataFrame, limits: Limits = LIMITS, block: int = 4096) -> DataFrame:
+    """text_id, page, rect of the tokens of texts that are followed with gaps.
+
+    asked: guideline_id, text_id, query, first_page, last_page. Anchors are the places of a text's rarest word; a trail through one lies within
+    its reach, 3 tokens a word and the gaps. Of the other words only places in blocks within reach of an anchor are fetched, by equi joins on
+    (guideline, block, word), and they are chained in blocks of the begins: a task holds the matched places of one text in one block
+    and as far as a trail can go beyond it. Trails that share tokens with an earlier one go, from the left.
+    """
+    kind = {name: t for name, t in asked.dtypes}
+    words = asked.select("guideline_id", "text_id", "first_page", "last_page", F.size("query").alias("n"), F.posexplode("query").alias("i", "word"))
+    places = stored(spelled_places(tokens_, words, limits).withColumn("block", F.expr(f"at div {block}L")), "spelled-places")
+    df = places.groupBy("guideline_id", "word").agg(F.count(F.lit(1)).alias("df"))
+    rarest = words.join(df, ["guideline_id", "word"], "left").groupBy("text_id", "guideline_id", "n").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "i")).alias("word"))
+    span = F.col("n") * limits.joined + limits.total_gap
+    anchors = rarest.join(places.select("guideline_id", "word", "at"), ["guideline_id", "word"])
+    reach = F.explode(F.sequence(F.expr(f"greatest(0L, at - span) div {block}L"), F.expr(f"(at + span) div {block}L"))).alias("block")
+    near = anchors.withColumn("span", span.cast("long")).select("guideline_id", "text_id", "span", reach).distinct()
+
+    inside = F.col("first_page").alias("p0"), F.col("last_page").alias("p1")
+    each = near.join(words.select("text_id", "n", "i", "word", *inside), "text_id").join(places, ["guideline_id", "block", "word"]).where("first_page >= p0 and last_page <= p1")
+    # A place serves the begins of its own block and of those before it within reach.
+    serves = F.explode(F.sequence(F.expr(f"greatest(0L, at - span) div {block}L"), F.col("block"))).alias("lot")
+    dealt = stored(each.select("text_id", "n", "i", "at", "to", serves), "gap-places")
+    whole = dealt.groupBy("text_id", "lot").agg(F.count_distinct("i").alias("m"), F.first("n").alias("n")).where("m = n").select("text_id", "lot")
+
+    def trails(pdf: pd.DataFrame) -> pd.DataFrame:
+        begin = int(pdf["lot"].iloc[0]) * block
+        found = [(pdf["text_id"].iloc[0], *t) for t in follow(pdf, limits) if begin <= t[0] < begin + block]
+        return pd.DataFrame(found, columns=["text_id", "begin", "end", "at", "to"])
+
+    found = dealt.join(whole, ["text_id", "lot"], "left_semi").groupBy("text_id", "lot").applyInPandas(trails, f"text_id {kind['text_id']}, begin long, end long, at array<long>, to array<long>")
+    found = stored(found, "trails")
+
+    def lefts(pdf: pd.DataFrame) -> pd.DataFrame:
+        free, keep = -1, []
+        for begin, end in pdf.sort_values("begin")[["begin", "end"]].itertuples(index=False):
+            if begin >= free:
+                keep.append(begin)
+                free = end
+        return pd.DataFrame({"text_id": [pdf["text_id"].iloc[0]] * len(keep), "begin": keep})
+
+    # Of whole trails only begin and end meet in one task.
+    first = found.select("text_id", "begin", "end").groupBy("text_id").applyInPandas(lefts, f"text_id {kind['text_id']}, begin long")
+    used = found.join(first, ["text_id", "begin"]).select("text_id", F.explode(F.arrays_zip("at", "to")).alias("p")).select("text_id", F.explode(F.expr("sequence(p.at, p.to - 1)")).alias("pos"))
+    used = used.join(asked.select("text_id", "guideline_id"), "text_id")
+    return used.join(tokens_.select("guideline_id", "pos", "page", "rect"), ["guideline_id", "pos"]).select("text_id", "page", "rect").distinct()
+
+
+def found_places(texts: DataFrame, words: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """text_id, page, rect: the words' rectangles of every exact occurrence of a text; of a text without one that has ``min_tokens`` words
+    or more, those of its occurrences with gaps (X11). texts: guideline_id, text_id (each once), text, first_page, last_page."""
     tokens_ = stored(word_tokens(words), "word-tokens")
     asked = texts.select("guideline_id", "text_id", tokens(F.col("text")).alias("query"), F.coalesce("first_page", F.lit(0)).alias("first_page"), F.coalesce("last_page", F.lit(2**30)).alias("last_page")).where("size(query) > 0")
+    asked = stored(asked, "asked")
     queries = asked.select("guideline_id", "text_id", "first_page", "last_page", F.size("query").alias("n"), F.posexplode("query").alias("i", "token"))
     exact = stored(exact_places(queries, tokens_), "exact-places")
-
     rest = asked.where(F.size("query") >= limits.min_tokens).join(exact.select("text_id").distinct(), "text_id", "left_anti")
-    within = rest.join(tokens_, "guideline_id").where("page between first_page and last_page").select("text_id", "query", "pos", "token", "page", "rect")
+    return exact.select("text_id", "page", "rect").unionByName(gapped_places(stored(rest, "not-exact"), tokens_, limits)).distinct()
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        trails = Spelled(pdf["token"].tolist(), limits).trails(list(pdf["query"].iloc[0]))
-        used = pdf.loc[sorted({k for trail in trails for a, b in trail for k in range(a, b)}), ["text_id", "page", "rect"]]
-        return used.reset_index(drop=True)
 
-    rect = "struct<x0:double,y0:double,x1:double,y1:double>"
-    gapped = within.groupBy("text_id").applyInPandas(follow, f"text_id {kind}, page int, rect {rect}")
-    pages = exact.select("text_id", F.col("page").cast("int").alias("page"), "rect").unionByName(gapped).distinct().groupBy("text_id", "page").agg(F.collect_list("rect").alias("rects"))
+def locate(texts: DataFrame, words: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """texts (guideline_id, text_id, text, first_page, last_page) -> text_id, page, x0, y0, x1, y1: the blocks that the places of a text
+    make on each page."""
+    pages = found_places(texts, words, limits).groupBy("text_id", F.col("page").cast("int").alias("page")).agg(F.collect_list("rect").alias("rects"))
 
     @F.pandas_udf("array<struct<x0:int,y0:int,x1:int,y1:int>>")
     def blocks(rects: pd.Series) -> pd.Series:

@@ -228,17 +228,49 @@ q AS (SELECT doc_id, w[4:6] AS q FROM d WHERE doc_id % 50 = 0 AND len(w) >= 6),
 hit AS (SELECT q.doc_id, a.pos FROM q JOIN t a ON a.doc_id = q.doc_id AND a.token = q[1] JOIN t b ON b.doc_id = q.doc_id AND b.pos = a.pos + 1 AND b.token = q[2] JOIN t c ON c.doc_id = q.doc_id AND c.pos = a.pos + 2 AND c.token = q[3])"""
 
 
+def _page_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as lists of words (guideline_id, w), and these words on pages of a hundred."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("guideline_id"), boxes.tokens(F.col("text")).alias("w"))
+    words = docs.select("guideline_id", F.posexplode("w").alias("pos", "text"))
+    place = F.col("pos").cast("double")
+    return docs, words.select("guideline_id", F.expr("int(pos div 100)").alias("page"), place.alias("x0"), F.expr("double(pos div 10)").alias("y0"), place.alias("x1"), F.lit(0.0).alias("y1"), "text")
+
+
 @query(f"WITH {PAGES} SELECT DISTINCT doc_id AS text_id, (pos + i) // 100 AS page, (pos + i) AS place FROM hit, (SELECT unnest([0, 1, 2]) AS i)")
 def exact_text_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words 4 to 6 of every fiftieth document, looked up among all words: each occurrence, as the places of its words."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("guideline_id"), boxes.tokens(F.col("text")).alias("w"))
-    words = docs.select("guideline_id", F.posexplode("w").alias("pos", "text"))
-    words = words.select("guideline_id", F.expr("int(pos div 100)").alias("page"), F.col("pos").cast("double").alias("x0"), F.expr("double(pos div 10)").alias("y0"), F.col("pos").cast("double").alias("x1"), F.lit(0.0).alias("y1"), "text")
+    docs, words = _page_words(spark, sf_dir)
     asked = docs.where("guideline_id % 50 = 0 and size(w) >= 6").select("guideline_id", F.col("guideline_id").alias("text_id"), F.lit(0).alias("first_page"), F.lit(2**30).alias("last_page"), F.lit(3).alias("n"), F.posexplode(F.slice("w", 4, 3)).alias("i", "token"))
     found = boxes.exact_places(asked, boxes.word_tokens(words))
     return found.select("text_id", F.col("page").cast(LONG).alias("page"), F.col("rect.x0").cast(LONG).alias("place"))
 
 
+@query(
+    f"""WITH RECURSIVE {PAGES}, g AS MATERIALIZED (SELECT doc_id, [w[4], w[5], w[7], w[10]] AS q FROM d WHERE doc_id % 50 = 0 AND len(w) >= 10),
+one AS MATERIALIZED (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM d WHERE doc_id % 50 = 0 AND len(w) >= 10),
+two AS MATERIALIZED (SELECT a.doc_id, a.pos, a.token || b.token AS token FROM one a JOIN one b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1),
+sp AS MATERIALIZED (SELECT doc_id, pos AS bg, pos + 1 AS upto, token FROM one UNION ALL SELECT doc_id, pos, pos + 2, token FROM two
+  UNION ALL SELECT a.doc_id, a.pos, a.pos + 3, a.token || c.token FROM two a JOIN one c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2),
+row4 AS (SELECT doc_id, pos, [token, lead(token, 1) OVER w, lead(token, 2) OVER w, lead(token, 3) OVER w] AS four FROM one WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+exact AS MATERIALIZED (SELECT r.doc_id, pos AS first FROM row4 r JOIN g ON g.doc_id = r.doc_id AND four = g.q),
+steps(doc_id, i, first, free, slack, path) AS (SELECT g.doc_id, 1, bg, upto, 500, [[bg, upto]] FROM g JOIN sp ON g.doc_id = sp.doc_id AND token = g.q[1]
+  UNION ALL SELECT s.doc_id, s.i + 1, s.first, arg_min(p.upto, p.bg), s.slack - (min(p.bg) - s.free), list_append(s.path, [min(p.bg), arg_min(p.upto, p.bg)])
+  FROM steps s JOIN g ON g.doc_id = s.doc_id JOIN sp p ON p.doc_id = s.doc_id AND p.token = g.q[s.i + 1] AND p.bg >= s.free AND p.bg <= s.free + least(250, s.slack) WHERE s.i < 4 GROUP BY s.doc_id, s.i, s.first, s.free, s.slack, s.path),
+whole AS MATERIALIZED (SELECT doc_id, first, free, path FROM steps WHERE i = 4 AND doc_id NOT IN (SELECT doc_id FROM exact)),
+kept(doc_id, first) AS (SELECT doc_id, min(first) FROM whole GROUP BY 1 UNION ALL SELECT k.doc_id, min(o.first) FROM kept k JOIN whole m ON m.doc_id = k.doc_id AND m.first = k.first JOIN whole o ON o.doc_id = k.doc_id AND o.first >= m.free GROUP BY k.doc_id, k.first),
+used AS (SELECT doc_id, unnest(path) AS p FROM whole JOIN kept USING (doc_id, first))
+SELECT DISTINCT doc_id AS text_id, place // 100 AS page, place FROM (SELECT doc_id, unnest(range(p[1], p[2])) AS place FROM used UNION ALL SELECT doc_id, first + i FROM exact, (SELECT unnest([0, 1, 2, 3]) AS i))"""
+)
+def gapped_text_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words 4, 5, 7 and 10 of every fiftieth document as a text, looked up among all words, with gaps where it doesn't stand as it is."""
+    docs, words = _page_words(spark, sf_dir)
+    some = F.concat_ws(" ", *[F.get("w", F.lit(i)) for i in (3, 4, 6, 9)])
+    none = F.lit(None).cast("int")
+    asked = docs.where("guideline_id % 50 = 0 and size(w) >= 10").select("guideline_id", F.col("guideline_id").alias("text_id"), some.alias("text"), none.alias("first_page"), none.alias("last_page"))
+    found = boxes.found_places(asked, words)
+    return found.select("text_id", F.col("page").cast(LONG).alias("page"), F.col("rect.x0").cast(LONG).alias("place"))
+
+
 MERGING = {
     "nodes": [
         {"component_id": "start", "type": "start"},

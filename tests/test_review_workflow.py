@@ -105,22 +105,77 @@ def test_texts_are_located_exactly_or_with_gaps(spark):
     assert boxes.locate(df.limit(0), pdf).count() == 0
 
 
+def trails_by_hand(source, query, limits):
+    """From the left, word after word, each at its first place that is near enough."""
+
+    def spelled(at, word):
+        return next((end for end in range(at + 1, min(len(source), at + limits.joined) + 1) if "".join(source[at:end]) == word), None)
+
+    found, start = [], 0
+    while start < len(source):
+        trail, left = [(start, spelled(start, query[0]))], limits.total_gap
+        for word in query[1:] if trail[0][1] else []:
+            free = trail[-1][1]
+            at = next((k for k in range(free, min(len(source), free + min(limits.token_gap, left) + 1)) if spelled(k, word)), None)
+            if at is None:
+                break
+            left -= at - free
+            trail.append((at, spelled(at, word)))
+        if trail[0][1] and len(trail) == len(query):
+            found.append(trail)
+            start = trail[-1][1]
+        else:
+            start += 1
+    return found
+
+
 def test_trails_leave_out_so_many_tokens_and_no_more():
     limits = boxes.Limits(token_gap=3, total_gap=4)
     source = "a x x b x x c a b c a x x x x b c a x b x x x c".split()
-    assert boxes.Spelled(source, limits).trails(["a", "b", "c"]) == [[(0, 1), (3, 4), (6, 7)], [(7, 8), (8, 9), (9, 10)], [(17, 18), (19, 20), (23, 24)]]
-    assert boxes.Spelled("x ab c d x".split()).trails(["abcd"]) == [[(1, 4)]] and boxes.Spelled(["a"]).trails(["b"]) == []
-
-
-BRANCH = {
-    "nodes": [
-        {"component_id": "s", "type": "start"},
-        {"component_id": "d", "type": "decider", "parameters": {"value": "{kind}", "cases": {"True": "yes"}, "default_case": None}},
-        {"component_id": "yes", "type": "end", "parameters": {"response": "Y{query_id}"}},
-        {"component_id": "no", "type": "end", "parameters": {"response": "N{query_id}"}},
-    ],
-    "edges": [{"source": "s", "target": "d"}, {"source": "d", "target": "no"}],
-}
+    assert trails_by_hand(source, ["a", "b", "c"], limits) == [[(0, 1), (3, 4), (6, 7)], [(7, 8), (8, 9), (9, 10)], [(17, 18), (19, 20), (23, 24)]]
+
+
+def test_gaps_over_blocks_equal_following_by_hand(spark):
+    import random
+
+    rng = random.Random(8)
+    limits = boxes.Limits(token_gap=4, total_gap=7)
+    pool = ["a", "b", "c", "ab", "bc", "d", "e"] + [f"r{i}" for i in range(30)]
+    source = {g: [rng.choice(pool) for _ in range(600)] for g in ("g", "h")}
+    tokens = spark.createDataFrame([(g, p, t, p // 50, (float(p), 0.0, 1.0, 1.0)) for g, own in source.items() for p, t in enumerate(own)], "guideline_id string, pos long, token string, page int, rect struct<x0:double,y0:double,x1:double,y1:double>")
+    asked, want = [], set()
+    for i in range(120):
+        g = rng.choice("gh")
+        at = rng.randrange(0, 590)
+        query = [t for t in source[g][at : at + rng.randrange(3, 10)] if rng.random() < 0.7] or ["a"]
+        if rng.random() < 0.5 and len(query) > 2:
+            query = query[:1] + ["".join(query[1:3])] + query[3:]
+        if rng.random() < 0.3:
+            query = [rng.choice("abc") for _ in range(3)]
+        low, high = rng.choice([(0, 99), (2, 7)])
+        asked.append((g, i, query, low, high))
+        own = [(p, t) for p, t in enumerate(source[g]) if low <= p // 50 <= high]
+        for trail in trails_by_hand([t for _, t in own], query, limits):
+            want |= {(i, own[k][0]) for a, b in trail for k in range(a, b)}
+    df = spark.createDataFrame(asked, "guideline_id string, text_id long, query array<string>, first_page int, last_page int")
+    got = {(r.text_id, int(r.rect.x0)) for r in boxes.gapped_places(df, tokens, limits, block=32).collect()}
+    assert got == want and len({i for i, _ in want}) > 60
+
+
+def test_blocks_do_not_depend_on_the_order():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(40):
+        rects = [(x := rng.randrange(0, 200), y := rng.randrange(0, 120), x + rng.randrange(1, 40), y + rng.randrange(1, 40)) for _ in range(rng.randrange(0, 25))]
+        want = boxes.merged(rects)
+        rng.shuffle(rects)
+        assert boxes.merged(rects) == want
+        import numpy as np
+
+        hulls = np.array(want, dtype=float).reshape(-1, 4)
+        assert not any(boxes.linked(hulls[i], hulls[j]) for i in range(len(hulls)) for j in range(i))
+        assert all(any(h[0] <= r[0] and h[1] <= r[1] and h[2] >= r[2] and h[3] >= r[3] for h in want) for r in rects if boxes.meaningful(r))
 
 
 def test_decider(spark):
