@@ -1,21 +1,25 @@
 """Line dedup by content-defined line chunks.
 
-A text is cut into lines. After a line, a rolling hash over the last ``window`` line hashes says
-whether a chunk ends there, once the chunk has ``min_lines`` lines; a line of ``long_words`` words
-or more is a chunk by itself, and so ends the one before. Boundaries thus depend on nearby content
-alone: what is inserted or removed elsewhere in a text leaves them where they are.
+The lines with words of a text are cut into chunks. A chunk ends after a line where a rolling hash over the last ``window`` line
+hashes says so, and a line of ``anchor_words`` words or more is a chunk by itself, and so ends the one before: boundaries depend on
+content alone, and with a window of one line (the default) on the line itself, so that what is inserted or removed
+elsewhere leaves them where they are, up to a passage's first and last line.
 
-Where a repeated passage begins or ends inside a chunk, no chunk there is repeated. So that it goes
-up to its first and last line, each line and the next one with words are a unit of their own beside
-the chunks. Of all units in the corpus with the same bytes the first (smallest id, then position)
-stays; the lines of the others go. A single short line that stands elsewhere goes only with a line
-beside it, that is, as part of a repeated passage. The first place of a line is never taken out.
+Of all chunks in the corpus with the same bytes the first (smallest id, then position) stays. Each other one is compared with it
+as bytes, and then grows: line by line to both sides, as long as the lines there equal those beside the chunk that stays, up to the ends of the
+chunks beside (a chunk beside that is equal as a whole is a repeated one itself). What has grown to ``least_lines`` lines, or has
+``least_words`` words, goes; a single short line that stands elsewhere stays. So all that goes begins at a chunk, and
+for each line that goes an equal one stands at a smaller place: the first place of a line is never taken out.
 
-Hashes only choose what is compared: a unit is removed after its bytes were found equal to those
-of a unit that stays. Only hashes of all units are counted; bytes move for repeated ones.
+A passage that repeats as a whole goes where a chunk lies within it. That is sure where one of its lines has ``anchor_words`` words, so
+for up to four lines of more than 50 words in all; p shorter lines are left where no chunk begins and ends among them, which has the
+probability (p + 2) / 2^(p + 1) at the default divisor.
+
+Hashes only choose what is compared; bytes move for repeated chunks and the chunks beside them. Blank lines are in no chunk: those between
+two lines that go go with them.
 
 Defined cases: null and empty texts have no chunks and stay as they are; a text without a removed
-unit stays the same to the byte; a text all of whose lines go is empty; rows that repeat both id
+chunk stays the same to the byte; a text all of whose lines with words go is empty; rows that repeat both id
 and text are one document and get the same result; a null id is an id, before all others; further
 columns are kept, but for those named like the three new ones, which are replaced.
 """
@@ -26,101 +30,125 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from marram.llm.common import bounded_batches, hash_lines, materialise, mix64, release, slices
 
 _U = np.uint64
 
 
-def chunk_starts(hashes: np.ndarray, words: list[int], window: int, divisor: int, min_lines: int, long_words: int) -> list[int]:
-    """Index of the first line of each chunk."""
+def chunk_starts(hashes: np.ndarray, words: np.ndarray, window: int, divisor: int, anchor_words: int) -> np.ndarray:
+    """Index of the first line of each chunk, for lines with words."""
     n = len(hashes)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
     rolled = np.zeros(n, dtype=_U)
     for i in range(min(window, n)):
         rolled[i:] += mix64(hashes[: n - i] * _U(2 * i + 3))
-    ends = (mix64(rolled) % _U(divisor) == 0).tolist()
-    starts, begin = [], 0
-    for i in range(n):
-        if words[i] >= long_words:
-            if begin < i:
-                starts.append(begin)
-            starts.append(i)
-            begin = i + 1
-        elif ends[i] and i + 1 - begin >= min_lines:
-            starts.append(begin)
-            begin = i + 1
-    if begin < n:
-        starts.append(begin)
-    return starts
-
-
-def _cut(texts: list[bytes | None], parameters: dict) -> list[tuple[np.ndarray, list[int], list[int]]]:
-    """For each text its line hashes, the words of its lines and the first line of each chunk."""
+    anchor = words >= anchor_words
+    ends = (mix64(rolled) % _U(divisor) == 0) | anchor
+    ends[:-1] |= anchor[1:]
+    return np.concatenate([[0], np.flatnonzero(ends[:-1]) + 1])
+
+
+def _cut(texts: list[bytes | None], parameters: dict) -> list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text all its lines, then of those with words: their numbers, hashes, words and the first of each chunk."""
     split = [t.split(b"\n") if t else [] for t in texts]
-    hashes = hash_lines([line for lines in split for line in lines])
+    counts = [np.array([len(line.split()) for line in lines], dtype=np.int64) for lines in split]
+    full = [np.flatnonzero(c) for c in counts]
+    hashes = hash_lines([lines[i] for lines, at in zip(split, full, strict=True) for i in at.tolist()])
     out, at = [], 0
-    for lines in split:
-        own = hashes[at : at + len(lines)]
-        at += len(lines)
-        words = [len(line.split()) for line in lines]
-        out.append((own, words, chunk_starts(own, words, **parameters) if lines else []))
+    for lines, c, f in zip(split, counts, full, strict=True):
+        own = hashes[at : at + len(f)]
+        at += len(f)
+        out.append((lines, f, own, c[f], chunk_starts(own, c[f], **parameters)))
     return out
 
 
-def _units(own: np.ndarray, words: list[int], starts: list[int], long_words: int) -> list[tuple[int, int, bool, int]]:
-    """What can go from a text: first line, end line, pair or chunk, hash.
-
-    A pair is a line with words and the next one with words. A chunk of one short line can't go by
-    itself; one of two lines with words is a pair already.
-    """
-    if not starts:
+def _chunks(own: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+    """First line, end line (among lines with words) and hash of each chunk."""
+    if not len(starts):
         return []
-    full = np.flatnonzero(words)
-    hashes = mix64(mix64(own[full[:-1]]) + own[full[1:]] * _U(0x9E3779B97F4A7C15)).view(np.int64).tolist()
-    full = full.tolist()
-    out = [(a, b + 1, True, h) for a, b, h in zip(full, full[1:], hashes, strict=False)]
+    ends = [*starts[1:].tolist(), len(own)]
     place = np.arange(len(own)) - np.repeat(starts, np.diff([*starts, len(own)]))
     sums = np.add.reduceat(mix64(own + place.astype(_U) * _U(0x9E3779B97F4A7C15)), starts)
-    for begin, end, h in zip(starts, [*starts[1:], len(own)], sums.view(np.int64).tolist(), strict=True):
-        some = sum(n > 0 for n in words[begin:end])
-        if some > 2 or some == 1 and (end - begin > 1 or words[begin] >= long_words):
-            out.append((begin, end, False, h))
-    return out
+    return list(zip(starts.tolist(), ends, sums.view(np.int64).tolist(), strict=True))
 
 
 def _heads(docs: DataFrame, parameters: dict) -> DataFrame:
-    """The units of docs (doc_id, row_hash, text)."""
+    """The chunks of docs (doc_id, row_hash, text)."""
 
     def run(batches):
         for batch in slices(batches):
             texts = [t.encode("utf-8", "replace") if t else None for t in batch.column(2).to_pylist()]
-            rows = [(k, *unit) for k, cut in enumerate(_cut(texts, parameters)) for unit in _units(*cut, parameters["long_words"])]
+            rows = [(k, *chunk) for k, (_, _, own, _, starts) in enumerate(_cut(texts, parameters)) for chunk in _chunks(own, starts)]
             at = pa.array([r[0] for r in rows], pa.int32())
-            kinds = pa.int32(), pa.int32(), pa.bool_(), pa.int64()
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc_id", "row_hash", "begin", "end", "pair", "unit_hash"])
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64()), 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc_id", "row_hash", "begin", "end", "chunk_hash"])
+
+    return docs.mapInArrow(run, "doc_id long, row_hash long, begin int, end int, chunk_hash long")
+
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, begin int, end int, pair boolean, unit_hash long")
+BODIES = "before binary, body binary, after binary"
 
 
-def _bodies(docs: DataFrame) -> DataFrame:
-    """The bytes of the units that docs (doc_id, row_hash, text, units) name; of a pair, those of its two lines with words."""
+def _bodies(docs: DataFrame, parameters: dict) -> DataFrame:
+    """The bytes of the chunks that docs (doc_id, row_hash, text, chunks) name and of the chunks beside them."""
 
     def run(batches):
         for batch in slices(batches):
+            texts = [t.encode("utf-8", "replace") if t else None for t in batch.column(2).to_pylist()]
             rows = []
-            for k, (text, units) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                lines = text.encode("utf-8", "replace").split(b"\n")
-                for u in units:
-                    own = [lines[u["begin"]], lines[u["end"] - 1]] if u["pair"] else lines[u["begin"] : u["end"]]
-                    rows.append((k, u["begin"], u["end"], u["pair"], u["unit_hash"], u["stays"], b"\n".join(own)))
+            for k, (chunks, (lines, full, own, _, starts)) in enumerate(zip(batch.column(3).to_pylist(), _cut(texts, parameters), strict=True)):
+                edges = [*starts.tolist(), len(own)]
+                at = {begin: i for i, begin in enumerate(edges)}
+                joined = lambda a, b, lines=lines, full=full: b"\n".join(lines[i] for i in full[a:b].tolist()) if a < b else None
+                for u in chunks:
+                    i = at[u["begin"]]
+                    beside = joined(edges[i - 1], edges[i]) if i else None, joined(edges[i + 1], edges[min(i + 2, len(edges) - 1)])
+                    rows.append((k, u["begin"], u["end"], u["chunk_hash"], u["stays"], beside[0], joined(u["begin"], u["end"]), beside[1]))
             at = pa.array([r[0] for r in rows], pa.int32())
-            kinds = pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary()
+            kinds = pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc_id", "row_hash", "begin", "end", "pair", "unit_hash", "stays", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc_id", "row_hash", "begin", "end", "chunk_hash", "stays", "before", "body", "after"])
+
+    return docs.mapInArrow(run, f"doc_id long, row_hash long, begin int, end int, chunk_hash long, stays boolean, {BODIES}")
+
+
+def grown(before: bytes | None, body: bytes, after: bytes | None, kept_before: bytes | None, kept_after: bytes | None) -> tuple[int, int, list[bytes]]:
+    """Lines by which a chunk grows to the left and to the right, and all its lines then."""
+    left, right = ([], []) if before is None or kept_before is None else (before.split(b"\n"), kept_before.split(b"\n"))
+    m = 0
+    while m < min(len(left), len(right)) and left[-1 - m] == right[-1 - m]:
+        m += 1
+    more, other = ([], []) if after is None or kept_after is None else (after.split(b"\n"), kept_after.split(b"\n"))
+    n = 0
+    while n < min(len(more), len(other)) and more[n] == other[n]:
+        n += 1
+    return m, n, [*left[len(left) - m :], *body.split(b"\n"), *more[:n]]
+
+
+PAIRED = ["doc_id", "row_hash", "chunk_hash", "begin", "end", "before", "body", "after", "kept_before", "kept_body", "kept_after"]
+
+
+def _compared(pairs: DataFrame, least_lines: int, least_words: int) -> DataFrame:
+    """pairs (PAIRED) -> what goes of each chunk that is compared with the one that stays: begin and end after it grew, null where too little would
+    go. A chunk that turns out to have other bytes comes back with them."""
+
+    def run(batches):
+        for batch in slices(batches):
+            rows = []
+            for begin, end, before, body, after, kept_before, kept, kept_after in zip(*(batch.column(i).to_pylist() for i in range(3, 11)), strict=True):
+                if body != kept:
+                    rows.append((begin, end, before, body, after))
+                    continue
+                m, n, own = grown(before, body, after, kept_before, kept_after)
+                goes = len(own) >= least_lines or sum(len(x.split()) for x in own) >= least_words
+                rows.append((begin - m, end + n, None, None, None) if goes else (None,) * 5)
+            kinds = pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "row_hash", "chunk_hash", "begin", "end", "before", "body", "after"])
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, begin int, end int, pair boolean, unit_hash long, stays boolean, body binary")
+    return pairs.select(*PAIRED).mapInArrow(run, f"doc_id long, row_hash long, chunk_hash long, begin int, end int, {BODIES}").where("begin is not null")
 
 
 def _with_lists(docs: DataFrame, units: DataFrame, columns: list[str], name: str, how: str) -> DataFrame:
@@ -130,7 +158,7 @@ def _with_lists(docs: DataFrame, units: DataFrame, columns: list[str], name: str
 
 
 def _without(docs: DataFrame, parameters: dict) -> DataFrame:
-    """docs (doc_id, text, _m_gone: array of begin and end, ...) with the lines of ``_m_gone`` taken out."""
+    """docs (doc_id, text, _m_gone: array of begin and end among lines with words, ...) with these and what is between them taken out."""
 
     def run(batches):
         for batch in slices(batches):
@@ -139,12 +167,12 @@ def _without(docs: DataFrame, parameters: dict) -> DataFrame:
             some = [k for k, g in enumerate(gone) if g]
             chunks_gone, lines_gone, words_gone = ([0] * len(texts) for _ in range(3))
             encoded = [(texts[k] or "").encode("utf-8", "replace") for k in some]
-            for k, text, (_, words, starts) in zip(some, encoded, _cut(encoded, parameters), strict=True):
+            for k, (lines, full, _, words, starts) in zip(some, _cut(encoded, parameters), strict=True):
                 drop = sorted({i for g in gone[k] for i in range(g["begin"], g["end"])})
+                out = {i for g in gone[k] for i in range(int(full[g["begin"]]), int(full[g["end"] - 1]) + 1)}
                 chunks_gone[k] = len(set(np.searchsorted(starts, drop, side="right").tolist()))
-                lines_gone[k], words_gone[k] = len(drop), sum(words[i] for i in drop)
-                out = set(drop)
-                left = b"\n".join(line for i, line in enumerate(text.split(b"\n")) if i not in out)
+                lines_gone[k], words_gone[k] = len(out), int(words[drop].sum())
+                left = b"\n".join(line for i, line in enumerate(lines) if i not in out)
                 texts[k] = left.decode("utf-8") if left.strip() else ""
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
@@ -154,31 +182,35 @@ def _without(docs: DataFrame, parameters: dict) -> DataFrame:
     return docs.mapInArrow(run, ddl + ", chunks_removed int, lines_removed int, words_removed long")
 
 
-def dedup(docs: DataFrame, window: int = 2, divisor: int = 2, min_lines: int = 2, long_words: int = 50) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with the lines of repeated units removed from ``text``, and the new columns
-    chunks_removed (those that lost lines), lines_removed and words_removed."""
+def dedup(docs: DataFrame, window: int = 1, divisor: int = 2, anchor_words: int = 13, least_lines: int = 2, least_words: int = 50) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with what repeats removed from ``text``, and the new columns
+    chunks_removed (those that lost lines), lines_removed and words_removed. Lowers the session's Arrow batch size (see ``bounded_batches``)."""
     bounded_batches(docs.sparkSession)
-    parameters = {"window": window, "divisor": divisor, "min_lines": min_lines, "long_words": long_words}
+    parameters = {"window": window, "divisor": divisor, "anchor_words": anchor_words}
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("chunks_removed", "lines_removed", "words_removed").withColumn("_m_hash", F.xxhash64("text"))
     narrow = keyed.select("doc_id", "_m_hash", "text")
 
-    heads = materialise(_heads(narrow, parameters), "units")
-    place, key = F.struct("doc_id", "row_hash", "begin"), ["unit_hash", "pair"]
-    repeated = heads.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(*key, "first")
-    places = heads.join(repeated, key).withColumn("stays", place.eqNullSafe(F.col("first"))).drop("first")
-    found = _with_lists(narrow, places, ["begin", "end", "pair", "unit_hash", "stays"], "_m_units", "inner")
-    found = materialise(_bodies(found.select("doc_id", "_m_hash", "text", "_m_units")), "bodies")
+    heads = materialise(_heads(narrow, parameters), "chunks")
+    place = F.struct("doc_id", "row_hash", "begin")
+    repeated = heads.groupBy("chunk_hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("chunk_hash", "first")
+    places = heads.join(repeated, "chunk_hash").withColumn("stays", place.eqNullSafe(F.col("first"))).drop("first")
+    found = _with_lists(narrow, places, ["begin", "end", "chunk_hash", "stays"], "_m_chunks", "inner")
+    found = materialise(_bodies(found.select("doc_id", "_m_hash", "text", "_m_chunks"), parameters), "bodies")
     release(heads)
 
-    # A table of its own: a unit that very many documents have can then be split over tasks in the join.
-    stay = materialise(found.where("stays").dropDuplicates(key).select(*key, F.col("body").alias("kept_body")), "stay")
-    same = F.col("body") == F.col("kept_body")
-    compared = found.where("not stays").join(stay, key).select("doc_id", "row_hash", "begin", "end", *key, same.alias("same"), F.when(~same, F.col("body")).alias("body"))
-    compared = materialise(compared, "compared")
+    # A table of its own: a chunk that very many documents have can then be split over tasks in the join.
+    stay = found.where("stays").dropDuplicates(["chunk_hash"]).select("chunk_hash", F.col("before").alias("kept_before"), F.col("body").alias("kept_body"), F.col("after").alias("kept_after"))
+    stay = materialise(stay, "stay")
+    compared = materialise(_compared(found.where("not stays").join(stay, "chunk_hash"), least_lines, least_words), "compared")
     release(found)
     release(stay)
-    # Units whose hash is that of other bytes (next to none) are compared among themselves.
-    clash = compared.where("not same").withColumn("nth", F.dense_rank().over(Window.partitionBy(*key, "body").orderBy("doc_id", "row_hash", "begin"))).where("nth > 1")
-    gone = compared.where("same").drop("same", "body").unionByName(clash.drop("same", "body", "nth"))
+    gone = compared.where("body is null").select("doc_id", "row_hash", "begin", "end")
+    clash = compared.where("body is not null")
+    if clash.limit(1).count():
+        # Chunks whose hash is that of other bytes (next to none): these meet the first of their own bytes.
+        first = clash.groupBy("chunk_hash", "body").agg(F.min(F.struct(place.alias("place"), "before", "after")).alias("f"))
+        first = first.select("chunk_hash", F.col("body").alias("kept_body"), F.col("f.place").alias("first"), F.col("f.before").alias("kept_before"), F.col("f.after").alias("kept_after"))
+        own = clash.join(first, (clash["chunk_hash"] == first["chunk_hash"]) & (clash["body"] == first["kept_body"])).drop(first["chunk_hash"]).where(~place.eqNullSafe(F.col("first")))
+        gone = gone.unionByName(_compared(own, least_lines, least_words).select("doc_id", "row_hash", "begin", "end"))
     joined = _with_lists(keyed, gone, ["begin", "end"], "_m_gone", "left").drop("_m_hash")
     return _without(joined, parameters).drop("_m_gone")

@@ -306,26 +306,32 @@ def test_repeated_chunks_go_and_the_first_stays(spark):
     assert lines.dedup(empty(spark)).collect() == []
 
 
-def brute_dedup(rows, window=2, divisor=2, min_lines=2, long_words=50):
-    """Units are compared as bytes in one dictionary; boundaries alone come from the operator."""
+def brute_dedup(rows, window=1, divisor=2, anchor_words=13, least_lines=2, least_words=50):
+    """Chunks are compared as lists of lines in one dictionary; boundaries alone come from the operator."""
     from marram.llm.common import hash_lines
 
     places: dict[tuple, list] = {}
+    cuts = {}
     for i, text in sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is not None, r[0])):
-        cut = text.encode().split(b"\n")
-        words = [len(x.split()) for x in cut]
-        full = [k for k, n in enumerate(words) if n]
-        for a, b in zip(full, full[1:], strict=False):
-            places.setdefault(("pair", cut[a], cut[b]), []).append((i, a, b + 1))
-        starts = lines.chunk_starts(hash_lines(cut), words, window, divisor, min_lines, long_words)
-        for a, b in zip(starts, [*starts[1:], len(cut)], strict=True):
-            some = sum(n > 0 for n in words[a:b])
-            if some > 2 or some == 1 and (b - a > 1 or words[a] >= long_words):
-                places.setdefault(("chunk", *cut[a:b]), []).append((i, a, b))
+        every = text.encode().split(b"\n")
+        full = [k for k, x in enumerate(every) if x.split()]
+        own = [every[k] for k in full]
+        starts = list(lines.chunk_starts(hash_lines(own), np.array([len(x.split()) for x in own]), window, divisor, anchor_words))
+        cuts[i] = full, own, [*starts, len(own)] if own else []
+        for c, (a, b) in enumerate(zip(starts, [*starts[1:], len(own)], strict=False)):
+            places.setdefault(tuple(own[a:b]), []).append((i, c))
     gone: dict = {}
     for found in places.values():
-        for i, a, b in found[1:]:
-            gone.setdefault(i, set()).update(range(a, b))
+        first, k = found[0]
+        for i, c in found[1:]:
+            (full, own, edges), (_, other, others) = cuts[i], cuts[first]
+            a, b, x, y = edges[c], edges[c + 1], others[k], others[k + 1]
+            while a > edges[max(c - 1, 0)] and x > others[max(k - 1, 0)] and own[a - 1] == other[x - 1]:
+                a, x = a - 1, x - 1
+            while b < edges[min(c + 2, len(edges) - 1)] and y < others[min(k + 2, len(others) - 1)] and own[b] == other[y]:
+                b, y = b + 1, y + 1
+            if b - a >= least_lines or sum(len(t.split()) for t in own[a:b]) >= least_words:
+                gone.setdefault(i, set()).update(range(full[a], full[b - 1] + 1))
     out = {}
     for i, text in rows:
         left = "\n".join(x for k, x in enumerate((text or "").split("\n")) if k not in gone.get(i, ()))
@@ -349,26 +355,44 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, clash):
         rows.append((i, "\n".join(parts)))
     rows += [(300, rows[3][1]), (301, None), (302, ""), (303, "\n\n"), (5, rows[5][1]), (None, rows[7][1]), (304, LONG + "\n" + LONG), (305, LONG)]
     if clash:  # all hashes of units fall on a few values: what is compared are bytes
-        units = lines._units
-        monkeypatch.setattr(lines, "_heads", lambda docs, p: _clashing(docs, p, units))
+        chunks = lines._chunks
+        monkeypatch.setattr(lines, "_heads", lambda docs, p: _clashing(docs, p, chunks))
     got = {r.doc_id: (r.text, r.lines_removed) for r in lines.dedup(frame(spark, rows)).collect()}
     assert got == brute_dedup(rows)
     assert sum(n > 0 for _, n in got.values()) > 60
 
 
-def _clashing(docs, parameters, units):
+def _clashing(docs, parameters, chunks):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts = [t.encode() if t else None for t in batch.column(2).to_pylist()]
-            rows = [(k, *u) for k, cut in enumerate(lines._cut(texts, parameters)) for u in units(*cut, parameters["long_words"])]
+            rows = [(k, *u) for k, (_, _, own, _, starts) in enumerate(lines._cut(texts, parameters)) for u in chunks(own, starts)]
             at = pa.array([r[0] for r in rows], pa.int32())
-            kinds = pa.int32(), pa.int32(), pa.bool_()
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns, pa.array([r[4] % 3 for r in rows], pa.int64())], names=["doc_id", "row_hash", "begin", "end", "pair", "unit_hash"])
+            columns = [pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns, pa.array([r[3] % 3 for r in rows], pa.int64())], names=["doc_id", "row_hash", "begin", "end", "chunk_hash"])
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, begin int, end int, pair boolean, unit_hash long")
+    return docs.mapInArrow(run, "doc_id long, row_hash long, begin int, end int, chunk_hash long")
+
+
+def test_nothing_goes_without_a_chunk(spark, monkeypatch):
+    rng = random.Random(23)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = [line(25), line(25), line(3)]
+    rows = [(i, "\n".join([line(9), *passage, line(9)])) for i in range(6)]
+    assert sum(r.lines_removed for r in lines.dedup(frame(spark, rows)).collect()) == 15
+    monkeypatch.setattr(lines, "_heads", lambda docs, p, heads=lines._heads: heads(docs, p).where("false"))
+    assert sum(r.lines_removed for r in lines.dedup(frame(spark, rows)).collect()) == 0
+
+
+def test_the_first_place_of_a_line_stays(spark):
+    """Whatever goes, each line of the corpus is left somewhere."""
+    rng = random.Random(31)
+    pool = [" ".join(f"v{rng.randrange(10**9)}" for _ in range(rng.choice([1, 3, 14, 20]))) for _ in range(30)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for i in range(150)]
+    left = [r.text for r in lines.dedup(frame(spark, rows)).collect()]
+    assert {x for t in left for x in t.split("\n")} - {""} == {x for _, t in rows for x in t.split("\n")}
 
 
 def test_passages_over_short_lines_go_whole(spark):
@@ -385,7 +409,8 @@ def test_passages_over_short_lines_go_whole(spark):
     got = {r.doc_id: (r.text, r.lines_removed, r.words_removed) for r in lines.dedup(frame(spark, rows)).collect()}
     assert got == want
     # Lines with another line between in each text, and a short line by itself, are no passage; blank lines don't part one.
-    apart = [(1, "one here\nfirst own\ntwo here"), (2, "two here\nsecond own\none here"), (3, "alpha a\n\nbeta b\nown c"), (4, "own d\nalpha a\n \nbeta b\nown e")]
+    alpha, beta = "alpha " * 13, "beta " * 13
+    apart = [(1, "one here\nfirst own\ntwo here"), (2, "two here\nsecond own\none here"), (3, f"{alpha}\n\n{beta}\nown c"), (4, f"own d\n{alpha}\n \n{beta}\nown e")]
     assert {r.doc_id: r.text for r in lines.dedup(frame(spark, apart)).collect()} == dict(apart) | {4: "own d\nown e"}
 
 
@@ -394,7 +419,7 @@ def test_boundaries_resist_shifts():
 
     body = [f"line {i} of the body".encode() for i in range(60)]
     def cut(ls):
-        starts = lines.chunk_starts(hash_lines(ls), [5] * len(ls), 2, 2, 2, 50)
+        starts = lines.chunk_starts(hash_lines(ls), np.full(len(ls), 5), 1, 2, 13)
         return {tuple(ls[a:b]) for a, b in zip(starts, [*starts[1:], len(ls)], strict=True)}
 
     a, b = cut(body), cut([b"new first", b"and second", b"third", *body])
