@@ -13,6 +13,8 @@ stands between stays for later rules.
 
 No shuffle: all is done in the scan, row by row, on whole texts.
 
+A text may be long, and hold any number of sentences and marks: no pattern needs stack or time beyond its length.
+
 Defined cases: null, empty and blank texts have no sentences and no licenses; every row of repeated
 rows gets its own result, and of repeated notices in one text each is matched; a text of any length is
 scanned whole; columns other than the id and the text are not read.
@@ -67,6 +69,30 @@ SENTENCES = {
     "Epl2Ref": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", "under eclipse public license version 2 0", "under eclipse public license v 2 0"),
     "Unlicense": ("this is free and unencumbered software released into the public domain",),
     "PublicDomain": ("placed in the public domain", "released into the public domain", "this work is placed in the public domain", "this work is released into the public domain", "this work is in the public domain"),
+    "GplCopy": ("you should have received a copy of the gnu general public license along with this program",),
+    "LgplCopy": ("you should have received a copy of the gnu lesser general public license along with this library",),
+    "Lgpl3OrLater": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",),
+    "BoostGrant": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",),
+    "BoostRef": ("under boost software license version 1 0", "boost software license version 1 0"),
+    "ZlibAsIs": ("this software is provided as is without any express or implied warranty", "this software is provided as is without express or implied warranty"),
+    "ZlibLiable": ("in no event will the authors be held liable for any damages arising from the use of this software",),
+    "ZlibGrant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+    "BsdAsIs": ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",),
+    "UnlicenseGrant": ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",),
+    "Artistic2Ref": ("under artistic license 2 0", "under artistic license version 2 0"),
+    "Eupl12Ref": ("under eupl version 1 2", "under european union public licence version 1 2", "under european union public license version 1 2"),
+    "Cddl1Ref": ("under cddl 1 0", "under common development and distribution license version 1 0", "under common development and distribution license"),
+    "MsPlRef": ("under microsoft public license", "under ms pl"),
+    "OflRef": ("this font software is licensed under the sil open font license version 1 1", "under sil open font license version 1 1"),
+    "OdblRef": ("under open database license", "under open data commons open database license", "under odbl 1 0"),
+    "GfdlGrant": ("permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3 or any later version published by the free software foundation",),
+    "GfdlRef": ("under gnu free documentation license", "under gfdl"),
+    "PsfRef": ("under python software foundation license version 2", "under psf license"),
+    "Mpl11Ref": ("under mozilla public license version 1 1", "the contents of this file are subject to the mozilla public license version 1 1"),
+    "Wtfpl": ("do what the fuck you want to public license", "under wtfpl"),
+    "CcBySa3": ("under cc by sa 3 0", "under creative commons attribution sharealike 3 0 unported license"),
+    "CcBy3": ("under cc by 3 0", "under creative commons attribution 3 0 unported license"),
+    "CcByNd4": ("under cc by nd 4 0", "under creative commons attribution noderivatives 4 0 international license"),
     "AsIs": ("provided as is", "this software is provided as is"),
     "RightsReserved": ("all rights reserved",),
     "CopyrightLine": ("copyright {years}",),
@@ -77,21 +103,32 @@ RULES = (
     ("Apache-2.0", ("ApacheRef", "ApacheNoUse", "ApacheCopyAt", "ApacheUrl", "ApacheAsIs")),
     ("Apache-2.0", ("ApacheRef", "ApacheNoUse", "ApacheAsIs")),
     ("Apache-2.0", ("ApacheRef",)),
+    ("BSL-1.0", ("BoostGrant",)),
+    ("BSL-1.0", ("BoostRef",)),
     ("MIT", ("MitGrant", "MitNotice", "MitAsIs", "MitLiable")),
     ("MIT", ("MitGrant", "MitNotice")),
     ("MIT", ("MitRef",)),
     ("ISC", ("IscGrant", "IscAsIs")),
     ("ISC", ("IscGrant",)),
+    ("Zlib", ("ZlibAsIs", "ZlibLiable", "ZlibGrant")),
+    ("Zlib", ("ZlibGrant",)),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdNoEndorse", "BsdAsIs")),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdNoEndorse")),
+    ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
     ("AGPL", ("AgplOrLater",)),
     ("AGPL", ("AgplRef",)),
+    ("LGPL-3.0-or-later", ("Lgpl3OrLater", "LgplCopy")),
+    ("LGPL-3.0-or-later", ("Lgpl3OrLater",)),
+    ("LGPL", ("LgplOrLater", "LgplCopy")),
     ("LGPL", ("LgplOrLater",)),
     ("LGPL", ("LgplRef",)),
+    ("GPL-3.0-or-later", ("Gpl3OrLater", "GplNoWarranty", "GplNoWarranty", "GplCopy")),
     ("GPL-3.0-or-later", ("Gpl3OrLater", "GplNoWarranty", "GplNoWarranty")),
     ("GPL-3.0-or-later", ("Gpl3OrLater",)),
     ("GPL-3.0-or-later", ("Gpl3Ref", "OrLater")),
     ("GPL-3.0", ("Gpl3Ref",)),
+    ("GPL-2.0-or-later", ("Gpl2OrLater", "GplNoWarranty", "GplNoWarranty", "GplCopy")),
     ("GPL-2.0-or-later", ("Gpl2OrLater", "GplNoWarranty", "GplNoWarranty")),
     ("GPL-2.0-or-later", ("Gpl2OrLater",)),
     ("GPL-2.0-or-later", ("Gpl2Ref", "OrLater")),
@@ -100,12 +137,27 @@ RULES = (
     ("CC-BY-NC-SA-4.0", ("CcByNcSa4",)),
     ("CC-BY-NC-ND-4.0", ("CcByNcNd4",)),
     ("CC-BY-NC-4.0", ("CcByNc4",)),
+    ("CC-BY-ND-4.0", ("CcByNd4",)),
     ("CC-BY-SA-4.0", ("CcBySa4",)),
+    ("CC-BY-SA-3.0", ("CcBySa3",)),
+    ("CC-BY-3.0", ("CcBy3",)),
     ("CC-BY-4.0", ("CcBy4",)),
     ("CC0-1.0", ("Cc0",)),
     ("MPL-2.0", ("Mpl2Ref", "MplCopyAt")),
     ("MPL-2.0", ("Mpl2Ref",)),
     ("EPL-2.0", ("Epl2Ref",)),
+    ("MPL-1.1", ("Mpl11Ref",)),
+    ("Artistic-2.0", ("Artistic2Ref",)),
+    ("EUPL-1.2", ("Eupl12Ref",)),
+    ("CDDL-1.0", ("Cddl1Ref",)),
+    ("MS-PL", ("MsPlRef",)),
+    ("OFL-1.1", ("OflRef",)),
+    ("ODbL-1.0", ("OdblRef",)),
+    ("GFDL", ("GfdlGrant",)),
+    ("GFDL", ("GfdlRef",)),
+    ("PSF-2.0", ("PsfRef",)),
+    ("WTFPL", ("Wtfpl",)),
+    ("Unlicense", ("Unlicense", "UnlicenseGrant")),
     ("Unlicense", ("Unlicense",)),
     ("SPDX-tag", ("SpdxTag",)),
     ("public-domain", ("PublicDomain",)),
@@ -115,27 +167,42 @@ RULES = (
 VERSIONED = ("AgplRef", "LgplRef", "Gpl3Ref", "Gpl2Ref", "GplRef")
 #: A sentence with one of these is a licensing one, known or not.
 STEMS = r"licen[sc]|copyright|warrant|redistribut|rights reserved|public domain|gplv?[23]?\b|creative commons|mozilla public"
-#: A word of every known sentence; other texts need no second look.
-MENTION = "(?i)licen[sc]|copyright|warrant|redistribut|reserved|public|gpl|cc0|cc.by|later|permission|provided|as.is|merchantab|liab|endorse|spdx|mpl"
 # What varies, and what stands for it in the normalised sentence.
 UNDER = r"(?:(?:this|the) (?:work|program|software|file|project|code|library|package|document|dataset|text|page|article|book) is )?(?:made available|released|licensed|available|distributed|published) under (?:(?:the )?terms of )?(?:the |a )?"
 SLOTS = (
     ("^" + UNDER, "under "),
-    (r"^copyright(?: c)?(?: [12][0-9]{3})+(?: .*)?$", "copyright {years}"),
+    (r"^copyright(?: c)? [12][0-9]{3}(?: .*)?$", "copyright {years}"),
     (r"^neither the name of .* nor the names of", "neither the name of {name} nor the names of"),
     (r"^spdx license identifier .*$", "spdx license identifier {name}"),
 )
 KNOWN = {sentence: name for name, sentences in SENTENCES.items() for sentence in sentences}
-#: Ends of sentences: | is one, / a line end that a known sentence may run across.
-HARD = r"""(?i)(?<!\bv)[.!?;]+["')\]]*(?=\s|$)|\n[^\p{L}\p{N}\n]*\n"""
-SOFT = r"[^\p{L}\p{N}|]*\n[^\p{L}\p{N}|]*"
+#: What every licensing word has in it; with these a text may hold a sentence that counts.
+_PARTS = ("licen[sc]", "copyright", "warrant", "redistribut", "reserved", "domain", "gpl", "commons", "mozilla")
+
+
+def _gate() -> str:
+    """A pattern that every text with a known sentence or a licensing word has a match of, in lower case: one of the parts, or the
+    longest word of a known sentence that has none of them. Words are runs of letters and digits, which normalising leaves whole."""
+    parts = [*_PARTS]
+    for sentence in sorted(KNOWN):
+        words = sentence.replace("{years}", "").replace("{name}", "").split()
+        if not any(re.search("|".join(parts), w) for w in words):
+            parts.append(max(words, key=len))
+    return "|".join(parts)
+
+
+GATE = _gate()
+#: Ends of sentences: | is one, / a line end that a known sentence may run across. Every run of marks is looked at once, from its
+#: begin: no pattern here repeats a group or tries a run again from inside, so that any text takes linear time and no stack.
+HARD = r"""(?i)(?<![.!?;])(?!(?<=\bv)\.(?:\s|$))[.!?;]++["')\]]*+(?=\s|$)|\n[^\p{L}\p{N}\n]*+\n"""
+SOFT = r"(?<![^\p{L}\p{N}|])[^\p{L}\p{N}|\n]*+\n[^\p{L}\p{N}|]*+"
 
 
 def _pattern(sentence: str) -> str:
     """A known sentence in a marked text; its words may have a line end between them, but those of a line that is
     open at its end."""
     if sentence.endswith("}"):
-        return sentence.replace("{years}", "(?:c )?(?:[12][0-9]{3} ?)+[^|/]*").replace("{name}", "[^|/]+")
+        return sentence.replace("{years}", "(?:c )?[12][0-9]{3}[^|/]*").replace("{name}", "[^|/]+")
     if sentence.startswith("under "):
         pattern = UNDER + sentence[6:]
     else:
@@ -166,40 +233,44 @@ def sentence_ids(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(marked(text), F.lit(RECOGNISED), F.lit(0)), name)
 
 
-def _rule(name: str, needs: tuple[str, ...]):
-    """One rule's step on a struct(rest, names). The gaps between its sentences go back in place; the closing comma
-    is only looked at, so that the next match can begin there."""
-    stops = "|".join(VERSIONED if "OrLater" in needs else needs[:1])
-    gap = f"((?:,(?!(?:{stops}),)[A-Za-z0-9]+)*?),"
-    pattern = "," + gap.join(needs) + "(?=,)"
-    gaps = "".join(f"${i}" for i in range(1, len(needs)))
+#: A character for each identifier, so that a sequence of them is a string and what stands between two is a run of characters.
+LETTERS = {name: chr(0xE000 + i) for i, name in enumerate(("unknown", *SENTENCES))}
 
-    def step(s: Column) -> Column:
-        hit = s["rest"].rlike(pattern)
-        rest = F.when(hit, F.regexp_replace(s["rest"], pattern, gaps)).otherwise(s["rest"])
-        return F.struct(rest.alias("rest"), F.when(hit, F.concat(s["names"], F.array(F.lit(name)))).otherwise(s["names"]).alias("names"))
 
-    return step
+def _rule(name: str, needs: tuple[str, ...]) -> tuple[str, str, str, str]:
+    """A rule's license, the letter of its first sentence, its pattern and what goes back. From the first sentence the nearest of each next
+    one is taken, unless a sentence that stops it comes first; what lies between goes back in place. Runs are possessive: nothing is tried twice."""
+    stops = "".join(LETTERS[x] for x in (VERSIONED if "OrLater" in needs else needs[:1]))
+    pattern = LETTERS[needs[0]] + "".join(f"([^{stops}{LETTERS[x]}]*+){LETTERS[x]}" for x in needs[1:])
+    return name, LETTERS[needs[0]], pattern, "".join(f"${i}" for i in range(1, len(needs)))
 
 
 def matched(ids: Column) -> Column:
-    """struct(rest, names) after all rules, in order: ``ids`` is the array of identifiers."""
-    state = F.struct(F.concat(F.lit(","), F.array_join(ids, ","), F.lit(",")).alias("rest"), F.expr("cast(array() as array<string>)").alias("names"))
-    for name, needs in RULES:
-        state = F.transform(F.array(state), _rule(name, needs))[0]
-    return state
+    """struct(rest, names) after all rules, in order: ``ids`` is the array of identifiers, ``rest`` the array of those no rule took."""
+    to = F.create_map(*[F.lit(x) for pair in LETTERS.items() for x in pair])
+    back = F.create_map(*[F.lit(x) for name, letter in LETTERS.items() for x in (letter, name)])
+    letters = F.array_join(F.transform(F.filter(ids, lambda x: x != ""), lambda x: F.element_at(to, x)), "")
+    rules = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("name", "first", "pattern", "gaps"), _rule(*r), strict=True)]) for r in RULES])
+
+    def step(s: Column, r: Column) -> Column:
+        hit = F.contains(s["rest"], r["first"]) & F.rlike(s["rest"], r["pattern"])
+        rest = F.when(hit, F.regexp_replace(s["rest"], r["pattern"], r["gaps"])).otherwise(s["rest"])
+        return F.struct(rest.alias("rest"), F.when(hit, F.concat(s["names"], F.array(r["name"]))).otherwise(s["names"]).alias("names"))
+
+    def names(s: Column) -> Column:
+        return F.struct(F.transform(F.filter(F.split(s["rest"], ""), lambda c: c != ""), lambda c: F.element_at(back, c)).alias("rest"), s["names"].alias("names"))
+
+    return F.aggregate(rules, F.struct(letters.alias("rest"), F.expr("cast(array() as array<string>)").alias("names")), step, names)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids, licenses (in rule order, each once), unmatched (identifiers no rule took)."""
     text = F.coalesce("text", F.lit(""))
-    ids = F.when(text.rlike(MENTION), sentence_ids(text)).otherwise(F.array().cast("array<string>"))
-    out = docs.select("doc_id", ids.alias("sentence_ids"))
     none = F.array().cast("array<string>")
-    state = F.when(F.size("sentence_ids") > 0, matched(F.col("sentence_ids"))).alias("m")
-    out = out.select("doc_id", "sentence_ids", state)
-    left = F.filter(F.split("m.rest", ","), lambda s: s != "")
-    return out.select("doc_id", "sentence_ids", F.coalesce(F.array_distinct("m.names"), none).alias("licenses"), F.coalesce(left, none).alias("unmatched"))
+    ids = F.when(F.lower(text).rlike(GATE), sentence_ids(text)).otherwise(none)
+    out = docs.select("doc_id", ids.alias("sentence_ids"))
+    out = out.select("doc_id", "sentence_ids", F.when(F.size("sentence_ids") > 0, matched(F.col("sentence_ids"))).alias("m"))
+    return out.select("doc_id", "sentence_ids", F.coalesce(F.array_distinct("m.names"), none).alias("licenses"), F.coalesce("m.rest", none).alias("unmatched"))
 
 
 def oracle() -> str:
@@ -228,7 +299,7 @@ pieces AS (SELECT doc_id, w, b, row_number() OVER (PARTITION BY doc_id ORDER BY
 -- A run of lines of one block is a sentence where it is equal to a known one; the longest at each place counts.
 runs AS (SELECT x.doc_id, x.p AS first, y.p AS last, string_agg(z.w, ' ' ORDER BY z.p) AS joined
   FROM pieces x JOIN pieces y ON x.doc_id = y.doc_id AND x.b = y.b AND y.p BETWEEN x.p AND x.p + {longest} JOIN pieces z ON x.doc_id = z.doc_id AND z.p BETWEEN x.p AND y.p
-  WHERE x.doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(text, {quote(MENTION)})) GROUP BY ALL),
+  WHERE x.doc_id IN (SELECT doc_id FROM documents WHERE regexp_matches(lower(text), {quote(GATE)})) GROUP BY ALL),
 hits AS (SELECT doc_id, first, max(last) AS last, arg_max(id, last) AS id FROM runs JOIN known ON {slot} = sentence AND (first = last OR NOT ends_with(sentence, '}}')) GROUP BY ALL),
 taken AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o WHERE o.doc_id = h.doc_id AND o.first < h.first AND h.first <= o.last)),
 found AS (SELECT doc_id, first AS p, id FROM taken

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -612,7 +613,28 @@ def test_rules_leave_what_stands_between(spark):
         "": ([], ""),
     }
     df = spark.createDataFrame([(k,) for k in cases], "ids string").select("ids", licenses.matched(F.split("ids", ",")).alias("m"))
-    assert {r.ids: (r.m.names, ",".join(x for x in r.m.rest.split(",") if x)) for r in df.collect()} == cases
+    assert {r.ids: (r.m.names, ",".join(r.m.rest)) for r in df.collect()} == cases
+
+
+def test_licenses_in_texts_of_any_length(spark):
+    """What repeated groups in patterns would need a stack for, and what retried runs would need the square of the time for."""
+    grant = BSD.split("\n\n")[0]
+    rows = [
+        (1, grant + "\n" + "All rights reserved.\n" * 20_000), (2, "Copyright " + "2019, " * 20_000 + "A Holder"), (3, "Shared under Creative Commons."), (4, "x" + "." * 300_000 + "x"), (5, "-" * 300_000 + " Released under the MIT License."),
+        (6, "Licensed under the Apache License, Version 2.0.\n" + "You may not use this file except in compliance with the License.\n" * 20_000), (7, "Permission\n" * 20_000), (8, "\n" * 100_000 + "CREATIVE\nCOMMONS"),
+        (9, (MIT.split("\n\n")[0] + "\n\n" + "MIT License\n") * 2_000),
+    ]
+    got = {r.doc_id: (r.licenses, Counter(r.unmatched)) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got[1] == (["proprietary"], {"BsdGrant": 1}) and got[2] == ([], {"CopyrightLine": 1}) and got[3] == ([], {"unknown": 1})
+    assert got[4] == ([], {}) and got[5] == (["MIT"], {}) and got[7] == ([], {})
+    assert got[6] == (["Apache-2.0"], {"ApacheNoUse": 20_000}) and got[9][0][0] == "MIT" and got[8][1] == {}
+
+
+def test_the_gate_lets_every_known_sentence_through(spark):
+    for sentence in licenses.KNOWN:
+        assert re.search(licenses.GATE, sentence), sentence
+    for stem in ("licence", "license", "copyright", "warranty", "redistribute", "rights reserved", "public domain", "gplv2", "creative commons", "mozilla public"):
+        assert re.search(licenses.STEMS, stem) and re.search(licenses.GATE, stem)
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
