@@ -17,8 +17,8 @@ Three things keep crowds of alike documents linear, without a cap:
   possible: sketches differ in no more bits than sets in elements, so what they rule out is no link.
 
 The class pairs compared are those of one bucket that are in different components and that no bound rules
-out. None is dropped. Sketches have 1024 bits; sets of several thousand shingles fill them, and then
-only the sizes rule pairs out.
+out. None is dropped. Sketches have a bit for each element or more, as their size follows the set, so that a crowd of long texts that
+are each a little too far from each other is ruled out like one of short ones.
 
 Defined cases: a null or blank text has the empty set and links with nothing; a null id is never
 linked (component null, kept); rows that repeat an id are one document, which has the links of all its
@@ -38,7 +38,7 @@ from marram.llm.common import bounded_batches, connected_components, materialise
 
 _U = np.uint64
 _PRINT_A, _PRINT_B = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
-#: Longs in a parity sketch, a power of two.
+#: Longs in the shortest parity sketch, a power of two.
 WORDS = 16
 SIGNATURE = "doc_id long, n_shingles long, fp_a long, fp_b long, bands array<long>"
 
@@ -158,11 +158,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def sketch(elements: Column) -> Column:
-    """Parities of the elements that fall on each of 64 * WORDS bits, as an array of longs. Two sets differ in at
-    least as many elements as their sketches differ in bits."""
-    word = lambda w: F.aggregate(elements, F.lit(0).cast("long"), lambda acc, x: F.when(F.shiftright(x, 6).bitwiseAND(WORDS - 1) == w, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int")))).otherwise(acc))
-    return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), word)
+def level(size: int) -> int:
+    """A set of up to 1024 elements has a sketch of 64 * WORDS bits; each level has twice as many for twice the elements."""
+    return max(0, (max(size, 1) - 1).bit_length() - 10)
+
+
+def parities(elements: np.ndarray, at: int) -> np.ndarray:
+    """Parities of the elements that fall on each of 64 * WORDS * 2**at bits, as longs. Two sets differ in at
+    least as many elements as their sketches of one level differ in bits; the halves' exclusive or is the sketch one level down."""
+    bits = 64 * WORDS << at
+    odd = np.bincount((elements.view(_U) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """cid, level, sketch, lower (the sketch one level down) of sets (cid, shared)."""
+
+    def run(batches):
+        for batch in slices(batches):
+            levels, own, lower = [], [], []
+            for part in batch.column(1):
+                elements = part.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+                at = level(len(elements))
+                words = parities(elements, at)
+                levels.append(at)
+                own.append(words)
+                lower.append(words[: len(words) // 2] ^ words[len(words) // 2 :] if at else words)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64))) for x in (own, lower)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels, pa.int32()), *lists], names=["cid", "level", "sketch", "lower"])
+
+    return sets.select("cid", "shared").mapInArrow(run, "cid long, level int, sketch array<long>, lower array<long>")
 
 
 def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -198,7 +223,11 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> Data
 
     def near(a: str, b: str) -> Column:
         """What each has of its own, and the bits in which their sketches differ, leave the union small enough."""
-        apart = " + ".join(f"bit_count({a}.s{w} ^ {b}.s{w})" for w in range(WORDS))
+        short = " + ".join(f"bit_count({a}.s{w} ^ {b}.s{w})" for w in range(WORDS))
+        # Sizes that leave a link possible are at most one level apart; sketches meet on the lower one.
+        x, y = f"if({a}.level > {b}.level, {a}.lower, {a}.sketch)", f"if({b}.level > {a}.level, {b}.lower, {b}.sketch)"
+        long = f"aggregate(zip_with({x}, {y}, (u, v) -> bit_count(u ^ v)), 0, (s, c) -> s + c)"
+        apart = f"if({a}.level = 0 and {b}.level = 0, {short}, if(abs({a}.level - {b}.level) <= 1, coalesce({long}, 0), 0))"
         return F.expr(f"{100 + percent} * ({a}.n - {a}.r + {b}.n - {b}.r + {apart}) <= {100 - percent} * ({a}.n + {b}.n)")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -218,8 +247,11 @@ def _links(docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> Data
     mixed = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
     mixed = mixed.agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main")
     open_ = placed.join(mixed, "key")
-    sketches = class_sets.join(open_.select("cid").distinct(), "cid", "left_semi").select("cid", sketch(F.col("shared")).alias("sketch"))
-    open_ = open_.join(sketches, "cid").select("key", "cid", "n", "r", "component", "main", *[F.col("sketch")[w].alias(f"s{w}") for w in range(WORDS)])
+    drawn = sketches(class_sets.join(open_.select("cid").distinct(), "cid", "left_semi"))
+    # The words of the shortest are columns, which compiled code compares; longer ones stay arrays.
+    columns = [F.when(F.col("level") == 0, F.col("sketch")[w]).otherwise(F.lit(0)).alias(f"s{w}") for w in range(WORDS)]
+    arrays = [F.when((F.col("level") > 0) | (100 * F.col("n") >= percent * 1024), F.col(c)).alias(c) for c in ("sketch", "lower")]
+    open_ = open_.join(drawn, "cid").select("key", "cid", "n", "r", "component", "main", "level", *columns, *arrays)
     open_ = materialise(open_, "open")
     pairs = open_.where("component <> main").alias("a").join(
         open_.alias("b"),

@@ -11,7 +11,8 @@ The histogram has a count for each length that occurs. Lengths that all differ a
 most sqrt(2 n) of them: a few million for any corpus, and some ten thousand for most. That, and the
 choices of the dynamic programme (4 bytes per length and bucket), is all that the driver holds. Lengths
 are counted once, into a table that the histogram, the parts and the ranks read.
-Ranks inside a bucket are made in parts of bounded size with offsets from the parts' counts.
+Ranks inside a bucket are made in parts of bounded size with offsets from the parts' counts; rows are dealt to them by a number of their own,
+so that rows of one id and length are spread like others.
 
 Defined cases: null and empty texts have length 0; a text over the budget has a batch of its own
 (never cut); equal rows have each their slot; a null id is placed like any other; an empty table
@@ -87,7 +88,7 @@ def pack(docs: DataFrame, budget: int = 16384, buckets: int = 16, length: str |
     ``length`` names an integer column with token counts; without it words are counted.
     """
     size = F.col(length).cast("long") if length else words(F.col("text"))
-    sized = materialise(docs.select("doc_id", F.greatest(F.lit(0), F.coalesce(size, F.lit(0))).cast("long").alias("n_tokens")), "lengths")
+    sized = materialise(docs.select("doc_id", F.greatest(F.lit(0), F.coalesce(size, F.lit(0))).cast("long").alias("n_tokens")).withColumn("row", F.monotonically_increasing_id()), "lengths")
     histogram = dict(sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas().itertuples(index=False, name=None))
     tops = optimal_buckets(histogram, buckets) or [0]
 
@@ -98,13 +99,13 @@ def pack(docs: DataFrame, budget: int = 16384, buckets: int = 16, length: str |
         fits = F.col("n_tokens") <= tops[k]
         bucket, top = F.when(fits, k).otherwise(bucket), F.when(fits, F.lit(tops[k]).cast("long")).otherwise(top)
         parts = F.when(fits, F.lit(-(-int(inside[k]) // PART)).cast("long")).otherwise(parts)
-    placed = sized.select("doc_id", "n_tokens", bucket.alias("bucket"), top.alias("bucket_length"), parts.alias("parts"))
-    placed = placed.withColumn("part", F.expr("pmod(xxhash64(doc_id, n_tokens), greatest(parts, 1))")).drop("parts")
+    placed = sized.select("row", "doc_id", "n_tokens", bucket.alias("bucket"), top.alias("bucket_length"), parts.alias("parts"))
+    placed = placed.withColumn("part", F.expr("pmod(xxhash64(row), greatest(parts, 1))")).drop("parts")
 
     counts = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     offset = F.sum("n").over(Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("bucket", "part", F.coalesce(offset, F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("doc_id", "n_tokens")) - 1
+    rank = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("doc_id", "n_tokens", "row")) - 1
     ranked = placed.withColumn("rank", rank).join(counts, ["bucket", "part"]).withColumn("rank", F.col("rank") + F.col("offset"))
     capacity = F.greatest(F.lit(1), F.expr(f"{int(budget)}L div greatest(bucket_length, 1L)"))
     ranked = ranked.withColumn("capacity", capacity)

@@ -270,7 +270,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ordinary:
     known = encoder(tokenizer, ordinary)
     bits, kind = bits_for(known.vocabulary), known.kind
     end = np.array([end_id], dtype=kind).tobytes()
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges by id, then by a hash of the text and the row, so that an id of very many rows is split; rows that are equal in all may lie in any order.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text")).withColumn("_r", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange("doc_id", "_h", "_r").sortWithinPartitions("doc_id", "_h", "text").drop("_h", "_r")
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0

@@ -146,15 +146,35 @@ def test_an_id_with_several_texts_has_the_links_of_all(spark):
 
 
 def test_sketches_differ_in_no_more_bits_than_sets_in_elements(spark):
-    rng = np.random.default_rng(9)
+    gen = np.random.default_rng(6)
+    popcount = lambda x: int(np.unpackbits(x.view(np.uint8)).sum())
     rows = []
-    for i in range(60):
-        common = rng.integers(-(2**63), 2**63, 300).tolist()
-        rows.append((i, common + rng.integers(-(2**63), 2**63, i).tolist(), common + rng.integers(-(2**63), 2**63, 20).tolist()))
-    df = spark.createDataFrame(rows, "i long, a array<long>, b array<long>").select("i", minhash.sketch(F.col("a")).alias("a"), minhash.sketch(F.col("b")).alias("b"))
-    for r in df.collect():
-        bits = sum(int(x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(r.a, r.b, strict=True))
-        assert len(r.a) == minhash.WORDS and r.i + 20 - 12 <= bits <= r.i + 20 and (bits - r.i - 20) % 2 == 0
+    for i, (n, own) in enumerate([(5, 0), (60, 7), (700, 90), (1000, 200), (4000, 900), (9000, 1700), (30_000, 100)]):
+        shared = gen.integers(-(2**63), 2**63, n)
+        a, b = (np.unique(np.concatenate([shared, gen.integers(-(2**63), 2**63, own)])) for _ in range(2))
+        at = minhash.level(max(len(a), len(b)))
+        for k in {0, at, at + 1}:
+            assert popcount(minhash.parities(a, k) ^ minhash.parities(b, k)) <= len(np.setxor1d(a, b))
+        # At its own level a sketch tells most of the elements that differ, however large the set is.
+        assert popcount(minhash.parities(a, at) ^ minhash.parities(b, at)) >= 0.6 * len(np.setxor1d(a, b))
+        rows += [(2 * i, a.tolist()), (2 * i + 1, b.tolist())]
+    for r in minhash.sketches(spark.createDataFrame(rows, "cid long, shared array<long>")).collect():
+        elements = np.array(dict(rows)[r.cid], dtype=np.int64)
+        assert r.level == minhash.level(len(elements)) and r.sketch == minhash.parities(elements, r.level).tolist() and r.lower == minhash.parities(elements, max(0, r.level - 1)).tolist()
+
+
+def test_a_crowd_of_long_near_misses(spark):
+    """Long texts around the threshold, of sizes around the border of two sketch levels, as brute force links them."""
+    rng = random.Random(44)
+    base = [f"b{rng.randrange(10**9)}" for _ in range(1050)]
+    rows = []
+    for i in range(40):
+        words = base[: rng.choice([1000, 1030, 1050])] + [f"own{i // 2}x{j}" for j in range(rng.choice([0, 40, 110, 150, 200]))]
+        for _ in range(rng.randrange(0, 12)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), shingle=3, percent=85).collect()}
+    assert got == brute_components(rows, 3, 85) and len({c for _, c in got.values()}) > 3
 
 
 def test_signatures_estimate_without_bias():
@@ -896,3 +916,16 @@ def test_batches_keep_the_budget(spark, corpus):
         assert sorted(sizes) == list(range(len(sizes))) and all(sizes[n] == max(1, 300 // max(1, length)) for n in range(len(sizes) - 1))
     assert packing.pack(empty(spark)).collect() == []
     assert packing.pack(spark.createDataFrame([(1, 5), (2, None)], "doc_id long, n int"), length="n").count() == 2
+
+
+def test_an_id_of_a_third_of_the_rows_is_spread(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i, "" if i % 2 else f"text {i}") for i in range(3000)]
+    df = frame(spark, rows).repartition(8)
+    path = Q.tokenizer_path("byte_bpe_50k.json")
+    tokens.write(df.where("doc_id is null"), f"file://{tmp_path}/shards", path)
+    assert spark.read.parquet(f"file://{tmp_path}/shards").select("part").distinct().count() > 1
+    assert tokens.documents(tokens.read(spark, f"file://{tmp_path}/shards")).count() == 1000
+    packed = packing.pack(tokens.lengths(df, path), budget=64, buckets=3, length="n_tokens").collect()
+    places = Counter((r.bucket, r.batch, r.slot) for r in packed)
+    assert len(packed) == 3000 and max(places.values()) == 1
+    assert all(r.slot == 0 or (r.bucket, r.batch, r.slot - 1) in places for r in packed)
