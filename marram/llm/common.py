@@ -203,6 +203,32 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.array(sizes, dtype=np.int64)
 
 
+# ---------------------------------------------------------------- filters of bounded size
+
+#: Bits of a filter: this many for each key, between two bounds (8 kB and 32 MB).
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """A bit field for the long column ``a`` of ``keys``: bit (a mod size) of each key is set. Its size follows the number of keys, up
+    to MOST_BITS; Spark sets the bits of a word together, and only the words come here."""
+    n = keys.count()
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, n * BITS_A_KEY):
+        bits *= 2
+    place = F.col("a").bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    field = np.zeros(bits // 64, dtype=np.int64)
+    field[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return field
+
+
+def passes(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & _U(len(field) * 64 - 1)
+    return (field.view(_U)[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) == 1
+
+
 # ---------------------------------------------------------------- connected components
 
 

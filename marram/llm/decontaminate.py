@@ -27,13 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import bounded_batches, hash_words, materialise, mix64, slices
+from marram.llm.common import bit_filter, bounded_batches, hash_words, materialise, mix64, passes, slices
 
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
 _WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-#: Bits of a filter: this many for each key, between two bounds (8 kB and 32 MB).
-BITS_A_KEY, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
 #: Item windows that go to all executors at once in the join (some 40 bytes each); more are shuffled.
 BROADCAST_WINDOWS = 200_000
 _SALTS = (1, 0x2545F4914F6CDD1D)
@@ -104,26 +102,6 @@ def _item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "m int, a long, b long, item_id long, print boolean").distinct()
 
 
-def bit_filter(keys: DataFrame) -> np.ndarray:
-    """A bit field for the long column ``a`` of ``keys``: bit (a mod size) of each key is set. Its size follows the number of keys, up
-    to MOST_BITS; Spark sets the bits of a word together, and only the words come here."""
-    n = keys.count()
-    bits = LEAST_BITS
-    while bits < min(MOST_BITS, n * BITS_A_KEY):
-        bits *= 2
-    place = F.col("a").bitwiseAND(F.lit(bits - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    words = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
-    field = np.zeros(bits // 64, dtype=np.int64)
-    field[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return field
-
-
-def passes(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & _U(len(field) * 64 - 1)
-    return (field.view(_U)[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) == 1
-
-
 def _candidates(docs: DataFrame, fields: dict, window: int, k: int, shorter: list[int]) -> DataFrame:
     """row, doc_id, n_words and the windows of a document that pass the filters, for each row of docs (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(fields)

@@ -15,7 +15,8 @@ A passage that repeats as a whole goes where a chunk lies within it. That is sur
 for up to four lines of more than 50 words in all; p shorter lines are left where no chunk begins and ends among them, which has the
 probability (p + 2) / 2^(p + 1) at the default divisor.
 
-Hashes only choose what is compared; bytes move for repeated chunks and the chunks beside them. Blank lines are in no chunk: those between
+Hashes only choose what is compared. Numbers of all chunks are shuffled, bytes only of those that can go and of those they are compared with: a
+bit field of bounded size says to a second scan of the texts which these are, and the joins after it decide. Blank lines are in no chunk: those between
 two lines that go go with them.
 
 Defined cases: null and empty texts have no chunks and stay as they are; a text without a removed
@@ -31,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.common import bounded_batches, hash_lines, materialise, mix64, release, slices
+from marram.llm.common import bit_filter, bounded_batches, hash_lines, materialise, mix64, passes, release, slices
 
 _U = np.uint64
+#: How many values a chunk's hash has; tests make them few.
+CHUNK_HASHES = 2**63
 
 
 def chunk_starts(hashes: np.ndarray, words: np.ndarray, window: int, divisor: int, anchor_words: int) -> np.ndarray:
@@ -64,54 +67,80 @@ def _cut(texts: list[bytes | None], parameters: dict) -> list[tuple[list[bytes],
     return out
 
 
-def _chunks(own: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
-    """First line, end line (among lines with words) and hash of each chunk."""
+def _chunks(own: np.ndarray, starts: np.ndarray, values: int) -> list[tuple[int, int, int, int]]:
+    """First line, end line (among lines with words) and two hashes of each chunk."""
     if not len(starts):
         return []
     ends = [*starts[1:].tolist(), len(own)]
-    place = np.arange(len(own)) - np.repeat(starts, np.diff([*starts, len(own)]))
-    sums = np.add.reduceat(mix64(own + place.astype(_U) * _U(0x9E3779B97F4A7C15)), starts)
-    return list(zip(starts.tolist(), ends, sums.view(np.int64).tolist(), strict=True))
+    place = (np.arange(len(own)) - np.repeat(starts, np.diff([*starts, len(own)]))).astype(_U)
+    hashes = [(np.add.reduceat(mix64(own * _U(odd) + place * _U(0x9E3779B97F4A7C15)), starts) % _U(values)).view(np.int64).tolist() for odd in (1, 0xD6E8FEB86659FD93)]
+    return list(zip(starts.tolist(), ends, *hashes, strict=True))
+
+
+def _place_keys(doc_id: int | None, row_hash: int, begins: np.ndarray) -> np.ndarray:
+    """A number for each place of a document, the same in every scan."""
+    seed = (0 if doc_id is None else (doc_id * 2 + 1) * 0x9E3779B97F4A7C15 + row_hash) & (2**64 - 1)
+    return mix64(mix64(begins.astype(_U) + _U(1)) + _U(seed)) & _U(2**63 - 1)
+
+
+#: Added to a place's number where the chunk before or after it is wanted as well.
+BEFORE, AFTER = 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D
+HEADS = "doc_id long, row_hash long, begin int, end int, chunk_hash long, chunk_check long, words int, line_before long, line_after long, key long"
 
 
 def _heads(docs: DataFrame, parameters: dict) -> DataFrame:
-    """The chunks of docs (doc_id, row_hash, text)."""
+    """The chunks of docs (doc_id, row_hash, text), with the hashes of the lines beside them (null at a text's ends)."""
+    values = CHUNK_HASHES
 
     def run(batches):
         for batch in slices(batches):
             texts = [t.encode("utf-8", "replace") if t else None for t in batch.column(2).to_pylist()]
-            rows = [(k, *chunk) for k, (_, _, own, _, starts) in enumerate(_cut(texts, parameters)) for chunk in _chunks(own, starts)]
+            rows = []
+            for k, (doc_id, row_hash, (_, _, own, words, starts)) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _cut(texts, parameters), strict=True)):
+                lines, sums = own.view(np.int64).tolist(), np.concatenate([[0], np.cumsum(words)]).tolist()
+                keys = _place_keys(doc_id, row_hash, starts).view(np.int64).tolist()
+                rows += [(k, a, b, h, c, sums[b] - sums[a], lines[a - 1] if a else None, lines[b] if b < len(lines) else None, key) for (a, b, h, c), key in zip(_chunks(own, starts, values), keys, strict=True)]
             at = pa.array([r[0] for r in rows], pa.int32())
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int64()), 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc_id", "row_hash", "begin", "end", "chunk_hash"])
+            kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=[x.split()[0] for x in HEADS.split(", ")])
 
-    return docs.mapInArrow(run, "doc_id long, row_hash long, begin int, end int, chunk_hash long")
+    return docs.mapInArrow(run, HEADS)
 
 
+KEY = ["chunk_hash", "chunk_check"]
 BODIES = "before binary, body binary, after binary"
 
 
-def _bodies(docs: DataFrame, parameters: dict) -> DataFrame:
-    """The bytes of the chunks that docs (doc_id, row_hash, text, chunks) name and of the chunks beside them."""
+def _bodies(docs: DataFrame, wanted: np.ndarray, parameters: dict) -> DataFrame:
+    """The bytes of the chunks of docs (doc_id, row_hash, text) whose places the filter ``wanted`` lets pass, and of the chunks beside them where it
+    lets these pass. Texts stay where they are read."""
+    sent, values = docs.sparkSession.sparkContext.broadcast(wanted), CHUNK_HASHES
 
     def run(batches):
         for batch in slices(batches):
             texts = [t.encode("utf-8", "replace") if t else None for t in batch.column(2).to_pylist()]
             rows = []
-            for k, (chunks, (lines, full, own, _, starts)) in enumerate(zip(batch.column(3).to_pylist(), _cut(texts, parameters), strict=True)):
-                edges = [*starts.tolist(), len(own)]
-                at = {begin: i for i, begin in enumerate(edges)}
-                joined = lambda a, b, lines=lines, full=full: b"\n".join(lines[i] for i in full[a:b].tolist()) if a < b else None
-                for u in chunks:
-                    i = at[u["begin"]]
-                    beside = joined(edges[i - 1], edges[i]) if i else None, joined(edges[i + 1], edges[min(i + 2, len(edges) - 1)])
-                    rows.append((k, u["begin"], u["end"], u["chunk_hash"], u["stays"], beside[0], joined(u["begin"], u["end"]), beside[1]))
+            for k, (doc_id, row_hash, (lines, full, own, _, starts)) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _cut(texts, parameters), strict=True)):
+                if not len(starts):
+                    continue
+                keys = _place_keys(doc_id, row_hash, starts)
+                some = np.flatnonzero(passes(sent.value, keys))
+                if not len(some):
+                    continue
+                chunks, edges = _chunks(own, starts, values), [*starts.tolist(), len(own)]
+                sides = [passes(sent.value, keys ^ _U(x)) for x in (BEFORE, AFTER)]
+                joined = lambda a, b, lines=lines, full=full: b"\n".join(lines[i] for i in full[a:b].tolist())
+                for i in some.tolist():
+                    before = joined(edges[i - 1], edges[i]) if i and sides[0][i] else None
+                    after = joined(edges[i + 1], edges[i + 2]) if i + 2 < len(edges) and sides[1][i] else None
+                    rows.append((k, *chunks[i], before, joined(edges[i], edges[i + 1]), after))
             at = pa.array([r[0] for r in rows], pa.int32())
-            kinds = pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()
+            kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc_id", "row_hash", "begin", "end", "chunk_hash", "stays", "before", "body", "after"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["doc_id", "row_hash", "begin", "end", *KEY, "before", "body", "after"])
 
-    return docs.mapInArrow(run, f"doc_id long, row_hash long, begin int, end int, chunk_hash long, stays boolean, {BODIES}")
+    return docs.mapInArrow(run, f"doc_id long, row_hash long, begin int, end int, chunk_hash long, chunk_check long, {BODIES}")
 
 
 def grown(before: bytes | None, body: bytes, after: bytes | None, kept_before: bytes | None, kept_after: bytes | None) -> tuple[int, int, list[bytes]]:
@@ -127,28 +156,24 @@ def grown(before: bytes | None, body: bytes, after: bytes | None, kept_before: b
     return m, n, [*left[len(left) - m :], *body.split(b"\n"), *more[:n]]
 
 
-PAIRED = ["doc_id", "row_hash", "chunk_hash", "begin", "end", "before", "body", "after", "kept_before", "kept_body", "kept_after"]
+PAIRED = ["doc_id", "row_hash", "begin", "end", "before", "body", "after", "kept_before", "kept_body", "kept_after"]
 
 
 def _compared(pairs: DataFrame, least_lines: int, least_words: int) -> DataFrame:
-    """pairs (PAIRED) -> what goes of each chunk that is compared with the one that stays: begin and end after it grew, null where too little would
-    go. A chunk that turns out to have other bytes comes back with them."""
+    """pairs (PAIRED) -> doc_id, row_hash, begin, end of what goes: chunks with the bytes of the one that stays, grown, where that is enough."""
 
     def run(batches):
         for batch in slices(batches):
             rows = []
-            for begin, end, before, body, after, kept_before, kept, kept_after in zip(*(batch.column(i).to_pylist() for i in range(3, 11)), strict=True):
-                if body != kept:
-                    rows.append((begin, end, before, body, after))
-                    continue
-                m, n, own = grown(before, body, after, kept_before, kept_after)
-                goes = len(own) >= least_lines or sum(len(x.split()) for x in own) >= least_words
-                rows.append((begin - m, end + n, None, None, None) if goes else (None,) * 5)
-            kinds = pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "row_hash", "chunk_hash", "begin", "end", "before", "body", "after"])
+            for k, (begin, end, before, body, after, kept_before, kept, kept_after) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(2, 10)), strict=True)):
+                if body == kept:
+                    m, n, own = grown(before, body, after, kept_before, kept_after)
+                    if len(own) >= least_lines or sum(len(x.split()) for x in own) >= least_words:
+                        rows.append((k, begin - m, end + n))
+            at = pa.array([r[0] for r in rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2)]], names=["doc_id", "row_hash", "begin", "end"])
 
-    return pairs.select(*PAIRED).mapInArrow(run, f"doc_id long, row_hash long, chunk_hash long, begin int, end int, {BODIES}").where("begin is not null")
+    return pairs.select(*PAIRED).mapInArrow(run, "doc_id long, row_hash long, begin int, end int")
 
 
 def _with_lists(docs: DataFrame, units: DataFrame, columns: list[str], name: str, how: str) -> DataFrame:
@@ -192,25 +217,29 @@ def dedup(docs: DataFrame, window: int = 1, divisor: int = 2, anchor_words: int
 
     heads = materialise(_heads(narrow, parameters), "chunks")
     place = F.struct("doc_id", "row_hash", "begin")
-    repeated = heads.groupBy("chunk_hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("chunk_hash", "first")
-    places = heads.join(repeated, "chunk_hash").withColumn("stays", place.eqNullSafe(F.col("first"))).drop("first")
-    found = _with_lists(narrow, places, ["begin", "end", "chunk_hash", "stays"], "_m_chunks", "inner")
-    found = materialise(_bodies(found.select("doc_id", "_m_hash", "text", "_m_chunks"), parameters), "bodies")
+    beside = F.struct("line_before", "line_after", "key")
+    # Tables of their own: a chunk that very many documents have can then be split over tasks in the joins.
+    repeated = heads.groupBy(*KEY).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min_by(beside, place).alias("at")).where("first <> last").select(*KEY, "first", "at")
+    repeated = materialise(repeated, "repeated")
+    # What can go: with its first place before it, and large enough or with an equal line beside it to grow to.
+    same = [F.coalesce(F.col(c) == F.col(f"at.{c}"), F.lit(False)) for c in ("line_before", "line_after")]
+    able = (F.col("end") - F.col("begin") >= least_lines) | (F.col("words") >= least_words) | same[0] | same[1]
+    places = heads.join(repeated, KEY).where(~place.eqNullSafe(F.col("first")) & able).select(*KEY, "first", "key", F.col("at.key").alias("first_key"), same[0].alias("grows_before"), same[1].alias("grows_after"))
+    places = materialise(places, "places")
     release(heads)
-
-    # A table of its own: a chunk that very many documents have can then be split over tasks in the join.
-    stay = found.where("stays").dropDuplicates(["chunk_hash"]).select("chunk_hash", F.col("before").alias("kept_before"), F.col("body").alias("kept_body"), F.col("after").alias("kept_after"))
+    release(repeated)
+    kept = places.groupBy(*KEY).agg(F.first("first").alias("first"), F.first("first_key").alias("key"), F.bool_or("grows_before").alias("grows_before"), F.bool_or("grows_after").alias("grows_after"))
+    kept = materialise(kept, "kept")
+    asked = F.array_compact(F.array("key", F.when(F.col("grows_before"), F.col("key").bitwiseXOR(F.lit(BEFORE))), F.when(F.col("grows_after"), F.col("key").bitwiseXOR(F.lit(AFTER)))))
+    wanted = bit_filter(places.select(F.explode(asked).alias("a")).unionByName(kept.select(F.explode(asked).alias("a"))))
+    release(places)
+    bodies = materialise(_bodies(narrow, wanted, parameters), "bodies")
+
+    stay = bodies.join(kept.select(*KEY, "first"), KEY).where(place.eqNullSafe(F.col("first"))).dropDuplicates(KEY)
+    stay = stay.select(*KEY, "first", F.col("before").alias("kept_before"), F.col("body").alias("kept_body"), F.col("after").alias("kept_after"))
     stay = materialise(stay, "stay")
-    compared = materialise(_compared(found.where("not stays").join(stay, "chunk_hash"), least_lines, least_words), "compared")
-    release(found)
-    release(stay)
-    gone = compared.where("body is null").select("doc_id", "row_hash", "begin", "end")
-    clash = compared.where("body is not null")
-    if clash.limit(1).count():
-        # Chunks whose hash is that of other bytes (next to none): these meet the first of their own bytes.
-        first = clash.groupBy("chunk_hash", "body").agg(F.min(F.struct(place.alias("place"), "before", "after")).alias("f"))
-        first = first.select("chunk_hash", F.col("body").alias("kept_body"), F.col("f.place").alias("first"), F.col("f.before").alias("kept_before"), F.col("f.after").alias("kept_after"))
-        own = clash.join(first, (clash["chunk_hash"] == first["chunk_hash"]) & (clash["body"] == first["kept_body"])).drop(first["chunk_hash"]).where(~place.eqNullSafe(F.col("first")))
-        gone = gone.unionByName(_compared(own, least_lines, least_words).select("doc_id", "row_hash", "begin", "end"))
+    gone = materialise(_compared(bodies.join(stay, KEY).where(~place.eqNullSafe(F.col("first"))), least_lines, least_words), "gone")
+    for table in (bodies, kept, stay):
+        release(table)
     joined = _with_lists(keyed, gone, ["begin", "end"], "_m_gone", "left").drop("_m_hash")
     return _without(joined, parameters).drop("_m_gone")

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from marram.llm import decontaminate, divergence, whitening
+from marram.llm import common, decontaminate, divergence, whitening
 from marram.llm import queries as Q
 
 
@@ -142,8 +142,8 @@ def test_op12_equals_its_sql_and_brute_force(spark, bench_corpus):
 def test_op12_without_broadcast_and_with_full_filters(spark, bench_corpus, monkeypatch):
     base, docs, items = bench_corpus
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    monkeypatch.setattr(decontaminate, "LEAST_BITS", 64)
-    monkeypatch.setattr(decontaminate, "MOST_BITS", 64)
+    monkeypatch.setattr(common, "LEAST_BITS", 64)
+    monkeypatch.setattr(common, "MOST_BITS", 64)
     assert Counter(tuple(r) for r in Q.op12_decontamination(spark, base).collect()) == brute_hits(docs, items)
 
 
