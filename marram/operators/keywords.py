@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 from marram.functions.ranking import top_k
 from marram.functions.text import collapse, dash_key, json_array, strip, term_key
 from marram.operators.rank import distinct_strings
+from marram.plans.scratch import stored
 
 _WORD = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*", re.UNICODE)
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+_SENTENCE = re.compile(r"(?<=[.!?])[ \t\n\r\f\v]+|\n+")
 
 
 def requested(least: int | None, most: int | None, headroom: int = 5) -> int:
@@ -28,7 +29,8 @@ def requested(least: int | None, most: int | None, headroom: int = 5) -> int:
 def statistics(text: str, n: int = 3, top: int = 20, similarity: float = 0.9, stop: frozenset[str] = frozenset()) -> list[tuple[str, float]]:
     """(phrase, score), best (lowest) first, by the published single-document statistics: casing, position,
     frequency, relatedness to different neighbours and spread over sentences; phrases of up to n words
-    that don't begin or end in a stop word. Near repeats of a better phrase are left out."""
+    that don't begin or end in a stop word. Near repeats of a better phrase are left out. For single short texts; a corpus
+    is for extract()."""
     split = [[m.group() for m in _WORD.finditer(s)] for s in _SENTENCE.split(text) if s.strip()]
     split = [s for s in split if s]
     if not split:
@@ -82,7 +84,13 @@ def statistics(text: str, n: int = 3, top: int = 20, similarity: float = 0.9, st
                 total += weight[w]
         scored.append((product / (count * (1 + total)) if 1 + total > 0 else product / count, shown))
     out: list[tuple[str, float]] = []
-    for score, phrase in sorted(scored):
+    return distinct(sorted(scored, key=lambda x: (round(x[0], 12), x[1])), top, similarity)
+
+
+def distinct(scored: list[tuple[float, str]], top: int, similarity: float) -> list[tuple[str, float]]:
+    """The first ``top`` phrases (in the given order) that are no near repeats of an earlier one."""
+    out: list[tuple[str, float]] = []
+    for score, phrase in scored:
         if all(SequenceMatcher(None, phrase.lower(), kept.lower()).ratio() <= similarity for kept, _ in out):
             out.append((phrase, score))
             if len(out) == top:
@@ -90,16 +98,94 @@ def statistics(text: str, n: int = 3, top: int = 20, similarity: float = 0.9, st
     return out
 
 
+def sentences(texts: DataFrame) -> DataFrame:
+    """texts (id, text) -> row, id, s, words: the s-th sentence with words of each text. Hyphens and apostrophes inside words are set apart first,
+    so that the pattern of a word is one class of characters, which needs no stack."""
+    letter = r"[\p{L}\p{N}]"
+    text = F.translate(F.coalesce("text", F.lit("")), "\ue000\ue001", "  ")
+    for mark, sign in (("-", "\ue000"), ("'", "\ue001")):
+        text = F.regexp_replace(text, f"(?<={letter}){mark}(?={letter})", sign)
+    words = F.transform(F.split(text, r"(?<=[.!?])[ \t\n\r\f\x0B]+|\n+"), lambda p: F.transform(F.regexp_extract_all(p, F.lit("[\\p{L}\\p{N}\ue000\ue001]+"), F.lit(0)), lambda w: F.translate(w, "\ue000\ue001", "-'")))
+    each = texts.select("id", F.monotonically_increasing_id().alias("row"), F.filter(words, lambda w: F.size(w) > 0).alias("sentences"))
+    return each.select("row", "id", F.posexplode("sentences").alias("s", "words"))
+
+
+def word_weights(base: DataFrame, stop: frozenset[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(row, key, tf, weight) of every word of sentences (row, s, words), and the counts of neighbours (row, l, r, n). Casing, spread, frequency and left
+    and right co-occurrence are aggregates over (text, word), position is the median sentence."""
+    cased = lambda w: (F.upper(w) == w) & (F.lower(w) != w)
+    each = base.select("row", "s", F.posexplode("words").alias("j", "word")).withColumn("key", F.lower("word"))
+    upper, capital = cased(F.col("word")) & (F.length("word") > 1), (F.col("j") > 0) & cased(F.substring("word", 1, 1))
+    seen = stored(each.groupBy("row", "key").agg(F.count(F.lit(1)).alias("tf"), F.count_if(upper).alias("upper"), F.count_if(capital).alias("capital"), F.sort_array(F.collect_set("s")).alias("spots")), "word-counts")
+    beside = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda j: F.struct(F.lower(F.get("words", j - 1)).alias("l"), F.lower(F.get("words", j)).alias("r")))
+    pairs = stored(base.where("size(words) > 1").select("row", F.explode(beside).alias("p")).groupBy("row", F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.count(F.lit(1)).alias("n")), "neighbours")
+    side = lambda key, name: pairs.groupBy("row", F.col(key).alias("key")).agg((F.count(F.lit(1)) / F.sum("n")).alias(name))
+
+    known = F.when(usable(F.col("key"), stop), F.col("tf"))
+    mean, deviation = F.coalesce(F.avg(known), F.avg("tf")), F.coalesce(F.stddev_pop(known), F.stddev_pop("tf"))
+    whole = seen.groupBy("row").agg(F.max("tf").alias("most"), mean.alias("mean"), deviation.alias("deviation"))
+    whole = whole.join(base.groupBy("row").agg(F.count(F.lit(1)).alias("sentences")), "row")
+    rows = seen.join(side("r", "left"), ["row", "key"], "left").join(side("l", "right"), ["row", "key"], "left").join(whole, "row")
+    n = F.size("spots")
+    low, high = F.get("spots", F.expr("(size(spots) - 1) div 2").cast("int")), F.get("spots", F.expr("size(spots) div 2").cast("int"))
+    related = 1 + (F.coalesce("left", F.lit(0.0)) + F.coalesce("right", F.lit(0.0))) * F.col("tf") / F.col("most")
+    rows = rows.select("row", "key", "tf", "sentences", n.alias("spread"), F.log(F.log(3 + (low + high) / 2)).alias("place"), related.alias("related"), (F.greatest("upper", "capital") / (1 + F.log("tf"))).alias("case"), (F.col("tf") / (F.col("mean") + F.col("deviation"))).alias("frequency"))
+    value = F.col("place") * F.col("related") / (F.col("case") + F.col("frequency") / F.col("related") + F.col("spread") / F.col("sentences") / F.col("related"))
+    return rows.select("row", "key", "tf", value.alias("weight")), pairs, seen
+
+
+def usable(key: Column, stop: frozenset[str]) -> Column:
+    """Words that a phrase may begin and end with: no stop words, short words or numbers."""
+    good = (F.length(key) > 2) & ~key.rlike(r"^\p{N}+$")
+    return good & ~key.isin(*sorted(stop)) if stop else good
+
+
+def candidates(base: DataFrame, n: int, stop: frozenset[str]) -> DataFrame:
+    """row, phrase (lower case), shown (as it is first written), keys, count: runs of up to n words of sentences."""
+    word = lambda k: F.lower(F.get("words", k))
+
+    def of(size: int) -> Column:
+        one = lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, size).alias("own"))
+        begins = F.filter(F.sequence(F.lit(0), F.size("words") - size), lambda at: usable(word(at), stop) & usable(word(at + size - 1), stop))
+        return F.when(F.size("words") >= size, F.transform(begins, one)).otherwise(F.array().cast("array<struct<at:int,own:array<string>>>"))
+
+    each = base.select("row", "s", F.explode(F.concat(*[of(size) for size in range(1, n + 1)])).alias("c"))
+    keys = F.transform("c.own", lambda w: F.lower(w))
+    each = each.select("row", F.array_join(keys, " ").alias("phrase"), keys.alias("keys"), F.array_join("c.own", " ").alias("shown"), F.struct("s", "c.at").alias("place"))
+    return each.groupBy("row", "phrase").agg(F.count(F.lit(1)).alias("count"), F.min_by("shown", "place").alias("shown"), F.first("keys").alias("keys"))
+
+
 def extract(texts: DataFrame, n: int = 3, least: int | None = None, most: int | None = None, similarity: float = 0.9, stop: frozenset[str] = frozenset()) -> DataFrame:
-    """texts (id, text) -> id, seq, phrase, score."""
-    top = requested(least, most)
+    """texts (id, text) -> id, seq, phrase, score (X6): the statistics of statistics() as aggregates over words and phrases of all texts, a
+    candidate of up to ``n`` words. Only the near repeats are looked for text by text, among its scored phrases."""
+    top, kind = requested(least, most), dict(texts.dtypes)["id"]
+    base = stored(sentences(texts), "sentences")
+    weights, pairs, seen = word_weights(base, stop)
+    found = stored(candidates(base, n, stop), "phrases")
+    each = found.select("row", "phrase", F.posexplode("keys").alias("k", "key"), "keys").join(weights, ["row", "key"])
+    inner = F.lit(None).cast("double")
+    if stop:  # a stop word inside counts by how often it joins its neighbours
+        each = each.withColumn("l", F.get("keys", F.col("k") - 1)).withColumn("r", F.get("keys", F.col("k") + 1)).withColumn("is_stop", F.col("key").isin(*sorted(stop)))
+        one, two, first = pairs.select("row", "l", F.col("r").alias("key"), F.col("n").alias("n1")), pairs.select("row", F.col("l").alias("key"), "r", F.col("n").alias("n2")), seen.select("row", F.col("key").alias("l"), F.col("tf").alias("tf1"))
+        each = each.join(one, ["row", "l", "key"], "left").join(two, ["row", "key", "r"], "left").join(first, ["row", "l"], "left")
+        joint = F.coalesce("n1", F.lit(0)) / F.col("tf1") * (F.coalesce("n2", F.lit(0)) / F.col("tf"))
+        inner = F.when(F.col("is_stop"), joint)
+    parts = each.groupBy("row", "phrase").agg(F.sort_array(F.collect_list(F.struct("k", "weight", inner.alias("joint")))).alias("parts"))
+    factor = lambda x: F.when(x["joint"].isNull(), x["weight"]).otherwise(2 - x["joint"])
+    term = lambda x: F.when(x["joint"].isNull(), x["weight"]).otherwise(x["joint"] - 1)
+    product = F.aggregate("parts", F.lit(1.0), lambda acc, x: acc * factor(x))
+    total = 1 + F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + term(x))
+    scored = parts.join(found.select("row", "phrase", "shown", "count"), ["row", "phrase"])
+    scored = scored.select("row", "shown", F.when(total > 0, product / (F.col("count") * total)).otherwise(product / F.col("count")).alias("score"))
+    listed = scored.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.round("score", 12).alias("rounded"), "shown", "score"))).alias("scored"))
+    listed = base.select("row", "id").distinct().join(listed, "row")
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, k, p, s) for i, t in zip(pdf["id"], pdf["text"], strict=True) for k, (p, s) in enumerate(statistics(t or "", n, top, similarity, stop))]
+            rows = [(i, k, p, s) for i, own in zip(pdf["id"], pdf["scored"], strict=True) for k, (p, s) in enumerate(distinct([(x["score"], x["shown"]) for x in own], top, similarity))]
             yield pd.DataFrame(rows, columns=["id", "seq", "phrase", "score"])
 
-    return texts.select("id", "text").mapInPandas(run, f"id {texts.select('id').dtypes[0][1]}, seq int, phrase string, score double")
+    return listed.select("id", "scored").mapInPandas(run, f"id {kind}, seq int, phrase string, score double")
 
 
 def ranked(candidates: DataFrame, noise: list[str] | None = None) -> DataFrame:

@@ -123,3 +123,27 @@ def test_vectors(spark):
     assert first[0] == pytest.approx(0.8) and first[1] == pytest.approx(0.4**0.5) and first[2] == pytest.approx(0.8) and first[3] == 2
     assert second[0] == 0 and list(second[4]) == [0.0, 0.0]
     assert spark.range(1).select(V.last_softmax(F.array(F.lit(0.0)))).first()[0] == 0.5
+
+
+def test_extraction_equals_the_statistics_of_single_texts(spark):
+    import random
+
+    from marram.operators.keywords import extract, statistics
+
+    rng = random.Random(6)
+    pool = ["Therapie", "MRI", "low-dose", "patient's", "of", "in", "the", "CT", "12", "Leber", "leber", "Größe", "acute", "Acute", "kidney", "x", "ab", "ÉTÉ", "stage", "IV"]
+    texts = [(i, " ".join(rng.choice(pool) + rng.choice(["", "", "", ",", ".", "!", " -", "\n"]) for _ in range(rng.randrange(0, 120)))) for i in range(40)]
+    texts += [(100, None), (101, ""), (102, "... !!"), (103, "-'a-b-'c--d'e"), (104, "one"), (105, "a-" * 6000 + "a. End of it."), (7, texts[7][1])]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    for n, stop in ((3, frozenset()), (6, frozenset({"of", "in", "the"}))):
+        want = sorted((i, k, p, round(s, 9)) for i, t in texts for k, (p, s) in enumerate(statistics(t or "", n, 15, 0.9, stop)))
+        assert sorted((r.id, r.seq, r.phrase, round(r.score, 9)) for r in extract(df, n=n, stop=stop).collect()) == want
+        assert len({i for i, *_ in want}) > 35
+
+
+def test_extraction_over_the_documents(spark, sf):
+    from marram.operators.keywords import statistics
+    from marram.plans.text_queries import keyword_extraction
+
+    want = {(r.doc_id, k): (p, round(s, 8)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for k, (p, s) in enumerate(statistics(r.text or "", 3, 15))}
+    assert {(r.id, r.seq): (r.phrase, round(r.score, 8)) for r in keyword_extraction(spark, sf).collect()} == want
