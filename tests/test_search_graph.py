@@ -76,6 +76,27 @@ def test_keywords_have_six_characters(spark, sf):
     assert Counter((r.query_id, r.seed_id, r.reference_id, r.shared, r.ratio) for r in graph_queries.graph_expand_keyword(spark, sf).collect()) == want
 
 
+def test_a_keyword_of_a_third_of_the_references(spark, monkeypatch):
+    """It comes as a row for each block of references; pairs under the threshold are never rows."""
+    rng = random.Random(4)
+    words = {i: {f"k{rng.randrange(2000)}" for _ in range(5)} | ({"everywhere"} if i % 3 == 0 else set()) for i in range(1500)}
+    links = spark.createDataFrame([(i, w) for i, own in words.items() for w in own], "reference_id long, keyword string")
+    seeds = spark.createDataFrame([(i % 7, i) for i in range(0, 1500, 50)] + [(6, 0)], "query_id long, reference_id long")
+    monkeypatch.setattr(graph, "REFERENCES", 128)
+    monkeypatch.setattr(graph, "SEEDS", 8)
+    lists = graph.shared_lists(seeds, links).collect()
+    pairs = sum(len(words[s] & words[r]) for s in range(0, 1500, 50) for r in words)
+    assert len(lists) < pairs / 3 and max(len(r.refs) for r in lists) <= 128 + 60
+    for least, share in ((2, 0.8), (4, 0.3)):
+        want = set()
+        for q, s in [(i % 7, i) for i in range(0, 1500, 50)] + [(6, 0)]:
+            for r in words:
+                n, ratio = len(words[s] & words[r]), len(words[s] & words[r]) / min(len(words[s]), len(words[r]))
+                if r != s and (n >= least or (n >= 2 and ratio >= share)):
+                    want.add((q, s, r, n, round(ratio, 6)))
+        assert {tuple(r) for r in graph.keyword_pairs(seeds, links, least, share).collect()} == want and want
+
+
 def test_fusion_without_scores_uses_ranks(spark):
     hits = spark.createDataFrame([(1, 1, 1.0, 7, 1, 0.8), (1, 2, 0.5, 7, 1, None), (1, 2, 0.5, 8, 3, None)], "query_id long, subquery int, weight double, reference_id long, rank int, score double")
     assert {r.reference_id: r.score for r in search.fuse(hits, 10).collect()} == {7: 1.3, 8: 0.4}
