@@ -11,10 +11,11 @@ from marram.functions import text as X
 from marram.operators import boxes, catalog, chunking, evaluation, keywords, rank, tables
 from marram.operators.search import rounded
 from marram.plans.registry import REFS, WORDS, query
-from marram.plans.scratch import shared_folder
+from marram.plans.scratch import scratch_path, shared_folder
 from marram.plans.search_queries import BM25
 from marram.plans.workflow import Context, Workflow
 from marram.sources import files
+from marram.sources.versions import VersionedTable
 from marram.sources.views import references, table, text_index, text_queries
 
 LONG = "long"
@@ -551,3 +552,18 @@ def distinct_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = table(spark, sf_dir, "documents").where("lang is not null").groupBy(F.col("source").alias("query_id")).agg(F.array_sort(F.collect_set("lang")).alias("l"))
     found = rank.distinct_strings(F.concat("l", F.transform("l", F.upper)))
     return sets.select("query_id", F.array_join(found, ",").alias("strings"), F.size(found).cast(LONG).alias("n"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 AND o_orderstatus = 'O' THEN 'claimed' WHEN o_orderkey % 7 = 0 THEN o_orderstatus ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 7 = 0 AND o_orderstatus = 'O' THEN 'ann' END AS claimed_by
+FROM orders WHERE o_orderkey % 11 <> 0"""
+)
+def versioned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a versioned table: a user claims every seventh where it is open, a second one comes too late, every eleventh is deleted."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("claimed_by"))
+    stored_ = VersionedTable(spark, scratch_path(spark, "versions")).create(orders, ["o_orderkey"], buckets=8)
+    mine = orders.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("claimed").alias("status"))
+    for user in ("ann", "bob"):
+        stored_.upsert(mine.withColumn("claimed_by", F.lit(user)), when="old.status = 'O'")
+    stored_.delete(orders.where("o_orderkey % 11 = 0").select("o_orderkey"))
+    return stored_.read()
