@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from marram.functions.ranking import positions
 from marram.functions.references import hierarchy_order, ingest_content, numbered_path
+from marram.sources.providers import asked
 
 # Property types of a collection and the distances it may name.
 PROPERTY_TYPES: dict[str, T.DataType] = {
@@ -116,22 +117,31 @@ def ingest(refs: DataFrame, group: str = "guideline_id", skip_headings: bool = F
     return positions(kept, group, order, "chunk_index").select("reference_id", group, "chunk_index", "content", numbered_path(F.col("hierarchy")).alias("headers"))
 
 
-def embedded(rows: DataFrame, embed: Callable[[str], list[float]], text: str = "content", go_on: bool = True) -> DataFrame:
+def embedded(rows: DataFrame, embed: Callable, text: str = "content", go_on: bool = True) -> DataFrame:
     """rows with ``vector`` and ``error`` (S12): a row whose text the model fails on has no vector and says why;
-    without ``go_on`` it fails the job."""
+    without ``go_on`` it fails the job. ``embed`` takes a text, or a list of texts where it is marked as batched."""
 
     def run(batches):
         for pdf in batches:
-            vectors, errors = [], []
-            for value in pdf[text]:
-                try:
-                    vectors.append([float(x) for x in embed(value)])
-                    errors.append(None)
-                except Exception as failure:  # whatever a model raises
-                    if not go_on:
-                        raise
-                    vectors.append(None)
-                    errors.append(str(failure))
+            values, vectors, errors = pdf[text].tolist(), [], []
+            try:
+                vectors = [[float(x) for x in v] for v in asked(embed, values)] if getattr(embed, "batched", False) else None
+                errors = [None] * len(values)
+            except Exception:  # one of the batch: which, is seen one by one
+                if not go_on:
+                    raise
+                vectors = None
+            if vectors is None:
+                vectors, errors = [], []
+                for value in values:
+                    try:
+                        vectors.append([float(x) for x in asked(embed, [value])[0]])
+                        errors.append(None)
+                    except Exception as failure:  # whatever a model raises
+                        if not go_on:
+                            raise
+                        vectors.append(None)
+                        errors.append(str(failure))
             yield pdf.assign(vector=vectors, error=errors)
 
     ddl = ", ".join(f"`{n}` {t}" for n, t in rows.drop("vector", "error").dtypes)

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marram.functions.ranking import top_k
@@ -26,6 +26,7 @@ from marram.functions.text import collapse, documents_in, first_or, history_bloc
 from marram.operators.keywords import requested, statistics, without_near_repeats
 from marram.operators.rank import distinct_strings
 from marram.plans.scratch import stored
+from marram.sources.providers import answers
 
 MAX_STEPS = 100
 _SLOT = re.compile(r"\{([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z0-9_]+)*)\}")
@@ -103,6 +104,12 @@ class Context:
     #: With ``measure`` each component's rows are stored when it has run, and its seconds kept (C11).
     measure: bool = False
     seconds: dict[str, float] = field(default_factory=dict)
+    #: With ``observe`` each component's rows, and the non-null values of what it added, are counted while the whole plan runs.
+    observe: bool = False
+    observed: dict[str, Observation] = field(default_factory=dict)
+    #: With ``compare`` the differences that each component makes, by query and column, as lazy frames.
+    compare: bool = False
+    differences: dict[str, DataFrame] = field(default_factory=dict)
     #: Whether a provider was asked: its answers may vary, so what follows must not ask again.
     asked: bool = False
 
@@ -144,7 +151,7 @@ class Workflow:
             if steps > MAX_STEPS:
                 raise WorkflowError(f"more than {MAX_STEPS} steps: the workflow loops")
             steps += 1
-            node, before, began = self.nodes[at], set(rows.columns), time.perf_counter()
+            node, before, earlier, began = self.nodes[at], set(rows.columns), rows, time.perf_counter()
             context.trace.append(at)
             if node.type == "start":
                 rows = start(node, rows)
@@ -155,6 +162,12 @@ class Workflow:
             else:
                 rows = _registry[node.type](node, rows, context)
             context.changes[at] = [c for c in rows.columns if c not in before]
+            if context.compare:
+                context.differences[at] = differences(earlier, rows)
+            if context.observe:
+                context.observed[at] = Observation(f"component {at}")
+                counts = [F.count(F.col(f"`{c}`")).alias(c) for c in context.changes[at]]
+                rows = rows.observe(context.observed[at], F.count(F.lit(1)).alias("rows"), *counts)
             if context.measure:
                 rows = stored(rows, "component")
                 context.seconds[at] = time.perf_counter() - began
@@ -180,6 +193,29 @@ class Workflow:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ends)
 
 
+def differences(before: DataFrame, after: DataFrame, key: str = "query_id") -> DataFrame:
+    """key, column, before, after (as JSON) of every value that is another one: of columns that only one side has, and of
+    rows that only one side has (column null). Equality takes null and NaN as equal to themselves, in arrays and structs too. Only keys
+    and what differs are shuffled on; neither side is stored. ``key`` is once in each frame."""
+    columns = sorted({*before.columns, *after.columns} - {key})
+    pack = lambda df: F.struct(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).alias(c) for c in columns], F.lit(True).alias("__there"))
+    a, b = before.select(F.col(key).alias("_ka"), pack(before).alias("_a")), after.select(F.col(key).alias("_kb"), pack(after).alias("_b"))
+    both = a.join(b, F.col("_ka").eqNullSafe(F.col("_kb")), "full")
+    shown = lambda side, c, df: F.to_json(F.struct(F.col(f"{side}.`{c}`").alias("v")), {"ignoreNullFields": "false"}) if c in df.columns else F.lit(None).cast("string")
+
+    def changed(c: str) -> Column:
+        if c in before.columns and c in after.columns and before.schema[c].dataType == after.schema[c].dataType:
+            same = F.col(f"_a.`{c}`").eqNullSafe(F.col(f"_b.`{c}`"))
+        else:
+            same = F.lit(c not in after.columns and c not in before.columns) | (F.col(f"_a.`{c}`").isNull() & F.col(f"_b.`{c}`").isNull())
+        entry = F.struct(F.lit(c).alias("column"), F.get_json_object(shown("_a", c, before), "$.v").alias("before"), F.get_json_object(shown("_b", c, after), "$.v").alias("after"))
+        return F.when(F.col("_a.__there") & F.col("_b.__there") & ~same, entry)
+
+    whole = F.when(F.col("_a.__there").isNull() | F.col("_b.__there").isNull(), F.struct(F.lit(None).cast("string").alias("column"), F.when(F.col("_a.__there"), "row").alias("before"), F.when(F.col("_b.__there"), "row").alias("after")))
+    found = F.array_compact(F.array(whole, *[changed(c) for c in columns]))
+    return both.select(F.coalesce("_ka", "_kb").alias(key), F.explode(found).alias("d")).select(key, "d.*")
+
+
 def start(node: Node, rows: DataFrame) -> DataFrame:
     """The query as the start's output, white space collapsed."""
     return rows.withColumn(node.out("query"), strip(F.regexp_replace("text", r"\s+", " ")))
@@ -209,8 +245,7 @@ def apply_template(node: Node, rows: DataFrame, context: Context) -> DataFrame:
 def ask_provider(node: Node, rows: DataFrame, context: Context) -> DataFrame:
     """A provider's answer to a prompt, and the queries in it (C12): rewriting, decomposition, HyDE."""
     ask = context.provider(node.parameters["provider"])
-    answer = F.pandas_udf(lambda prompts: prompts.map(ask), "string")
-    out = rows.withColumn(node.out("answer"), answer(template(node.parameters["prompt"])))
+    out = rows.withColumn(node.out("answer"), answers(ask, template(node.parameters["prompt"])))
     most = node.parameters.get("max_queries")
     found = query_list(F.col(node.out("answer")))
     found = F.slice(found, 1, most) if most else found
@@ -221,8 +256,7 @@ def ask_provider(node: Node, rows: DataFrame, context: Context) -> DataFrame:
 def ask_yes_no(node: Node, rows: DataFrame, context: Context) -> DataFrame:
     """Scope gate: a provider's yes or no (P29); neither counts as the default."""
     ask = context.provider(node.parameters["provider"])
-    answer = F.pandas_udf(lambda prompts: prompts.map(ask), "string")
-    return rows.withColumn(node.out("label"), F.coalesce(yes_no(answer(template(node.parameters["prompt"]))), F.lit(bool(node.parameters.get("default", True)))).cast("string"))
+    return rows.withColumn(node.out("label"), F.coalesce(yes_no(answers(ask, template(node.parameters["prompt"]))), F.lit(bool(node.parameters.get("default", True)))).cast("string"))
 
 
 @component("transform/context")
@@ -262,8 +296,7 @@ def augment(node: Node, rows: DataFrame, context: Context) -> DataFrame:
     """Queries in a provider's answer, before them the original one where ``include_original`` says so, each once
     whatever its case, at most ``max_queries``; without any the original one (C12)."""
     ask = context.provider(node.parameters["provider"])
-    answer = F.pandas_udf(lambda prompts: prompts.map(ask), "string")
-    out = rows.withColumn(node.out("answer"), answer(template(node.parameters["prompt"])))
+    out = rows.withColumn(node.out("answer"), answers(ask, template(node.parameters["prompt"])))
     found = F.transform(query_list(F.col(node.out("answer"))), collapse)
     if node.parameters.get("include_original", True):
         found = F.concat(F.array(collapse(F.col("text"))), found)
@@ -276,8 +309,7 @@ def augment(node: Node, rows: DataFrame, context: Context) -> DataFrame:
 def hypothetical(node: Node, rows: DataFrame, context: Context) -> DataFrame:
     """<document> texts of a provider's answer that are long enough and not too like one before them."""
     ask = context.provider(node.parameters["provider"])
-    answer = F.pandas_udf(lambda prompts: prompts.map(ask), "string")
-    out = rows.withColumn(node.out("answer"), answer(template(node.parameters["prompt"])))
+    out = rows.withColumn(node.out("answer"), answers(ask, template(node.parameters["prompt"])))
     least, limit = int(node.parameters.get("min_chars", 20)), float(node.parameters.get("max_similarity", 0.9))
     texts = F.filter(F.transform(documents_in(F.col(node.out("answer"))), strip), lambda d: F.length(d) >= least)
     kept = without_near_repeats(texts, F.lit(limit))
@@ -331,8 +363,7 @@ def filter_items(node: Node, rows: DataFrame, context: Context) -> DataFrame:
 def generate(node: Node, rows: DataFrame, context: Context) -> DataFrame:
     """A provider's response to a prompt, under settings of which later ones win (C14)."""
     ask, settings = context.provider(node.parameters["provider"]), with_settings(node.parameters.get("defaults", {}), node.parameters.get("settings"))
-    answer = F.pandas_udf(lambda prompts: prompts.map(lambda p: ask(p, **settings)), "string")
-    return rows.withColumn(node.out("response"), answer(template(node.parameters["prompt"])))
+    return rows.withColumn(node.out("response"), answers(ask, template(node.parameters["prompt"]), **settings))
 
 
 @component("merge/items")

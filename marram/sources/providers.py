@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], list[list[float]]]
+#: Prompts of one call of a batched provider.
+PROMPTS = 16
 _embedders: dict[str, Callable[[], Embedder]] = {}
 
 
@@ -54,6 +56,32 @@ def embed(text: Column, name: str = "hash", batch: int = 64, prefix: str = "") -
     return run(text)
 
 
+def batched(provider: Callable) -> Callable:
+    """Marks a provider that takes a list of prompts and gives a list of as many answers."""
+    provider.batched = True
+    return provider
+
+
+def asked(provider: Callable, prompts: list, most: int = PROMPTS, **settings) -> list:
+    """The provider's answers: of a batched one, at most ``most`` prompts a call; of another one, one by one."""
+    if not getattr(provider, "batched", False):
+        return [provider(p, **settings) for p in prompts]
+    out: list = []
+    for at in range(0, len(prompts), most):
+        part = prompts[at : at + most]
+        answers = list(provider(part, **settings))
+        if len(answers) != len(part):
+            raise ValueError(f"a provider gave {len(answers)} answers to {len(part)} prompts")
+        out += answers
+    return out
+
+
+def answers(provider: Callable, prompt: Column, **settings) -> Column:
+    """A provider's answers to a column of prompts."""
+    run = F.pandas_udf(lambda prompts: pd.Series(asked(provider, prompts.tolist(), **settings), dtype=object), "string")
+    return run(prompt)
+
+
 def overlap_scorer(pairs: list[tuple[str, str]]) -> list[float]:
     """Share of the query's words in the text: stands in for a cross-encoder."""
     out = []
