@@ -95,10 +95,15 @@ def listing(df: DataFrame, by: str, tie: str, newest_first: bool = True, skip: i
     return out if limit is None else out.limit(limit)
 
 
-def reading_order(title: Column, page: Column) -> list[Column]:
+def reading_order(title: Column, page: Column, locale: str | None = None) -> list[Column]:
     """Order of references in a reader (T10): orders of the hierarchy, level by level, a shorter path first; then
-    the page, missing ones last; then the title."""
-    return [F.transform("hierarchy", lambda h: h["order"]), F.coalesce(page.cast("long"), F.lit(2**62)), title]
+    the page, missing ones last; then the title, by the collation of a ``locale`` ("de", "sv", ...) or else by its bytes."""
+    return [F.transform("hierarchy", lambda h: h["order"]), F.coalesce(page.cast("long"), F.lit(2**62)), title if locale is None else locale_key(title, locale)]
+
+
+def locale_key(text: Column, locale: str) -> Column:
+    """``text`` with a collation: comparisons, sorts, groups and joins on it follow the locale."""
+    return F.collate(text, locale)
 
 
 def columns_of(df: DataFrame, keep: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
