@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from marram.functions import text as X
 from marram.operators import boxes, catalog, chunking, evaluation, keywords, rank, tables
 from marram.operators.search import rounded
 from marram.plans.registry import REFS, WORDS, query
-from marram.plans.scratch import scratch_path, shared_folder
+from marram.plans.scratch import scratch_path
 from marram.plans.search_queries import BM25
 from marram.plans.workflow import Context, Workflow
 from marram.sources import files
@@ -362,7 +361,7 @@ def chats_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, coalesce(text, '') AS text, lang FROM documents""")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with quotes and line ends through a CSV file and a stored snapshot that replaces an older one."""
-    base = f"{shared_folder(spark)}/marram-csv-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "csv")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang")
     rows.write.option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/csv")
     back = files.read_csv(spark, f"{base}/csv").select(F.col("doc_id").cast(LONG).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
@@ -524,29 +523,44 @@ def run_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT user_id AS id, count(*) FILTER (event_type <> '') > 0 AS has_retrieval, CASE WHEN user_id % 2 = 0 THEN 1.0 END AS exact_match, CASE WHEN user_id % 2 = 0 THEN 1.0 END AS sequence_ratio, 1.0 AS recall FROM events GROUP BY 1"
+    """WITH p AS (SELECT user_id AS id, min(event_type) AS t FROM events GROUP BY 1), w AS (SELECT id, t, id % 4 + 1 AS n FROM p)
+SELECT id, 1.0::DOUBLE AS precision, round(length(t) / (length(t) + n * 2.0), 6) AS recall, CASE WHEN id % 2 = 0 THEN 0.0::DOUBLE END AS exact_match,
+ CASE WHEN id % 2 = 0 THEN round(2.0 / (2 + n), 6) END AS token_f1, CASE WHEN id % 2 = 0 THEN 0.5::DOUBLE END AS jaccard, CASE WHEN id % 2 = 0 THEN round(2.0 * length(t) / (2 * length(t) + 3 * n), 6) END AS sequence_ratio FROM w"""
 )
 def sample_metric_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of samples of equal texts: retrieval for all, answers' metrics where an answer is expected."""
+    """Metrics of samples whose texts differ: an answer that lacks one to four repeats of a word behind its first, and found text that
+    lacks the same; retrieval for all, answers' metrics where an answer is expected."""
     per = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.min("event_type").alias("t"))
-    samples = per.select("id", F.when(F.col("id") % 2 == 0, F.col("t")).otherwise(" ").alias("expected_answer"), F.upper("t").alias("answer"), F.array("t").alias("expected"), F.array("t").alias("actual"))
+    longer = F.concat("t", F.expr("repeat(' qq', cast(id % 4 + 1 as int))"))
+    samples = per.select("id", F.when(F.col("id") % 2 == 0, longer).otherwise(" ").alias("expected_answer"), F.upper("t").alias("answer"), F.array(longer).alias("expected"), F.array("t").alias("actual"))
     found = evaluation.sample_metrics(samples)
-    return found.select("id", F.col("precision").isNotNull().alias("has_retrieval"), "exact_match", "sequence_ratio", "recall")
+    return found.select("id", "precision", "recall", "exact_match", "token_f1", "jaccard", "sequence_ratio")
 
 
-@query("SELECT 's' || conv_id AS session_id, count(*)::INT AS turns, arg_max(role, turn) AS last_role, sha256(arg_max(text, turn)) AS last_sha FROM conversations GROUP BY 1")
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, text, conv_id % 3 = 0 AND turn = 1 AND role = 'assistant' AS failed, turn * 60 + CASE WHEN conv_id % 5 = 0 AND turn >= 2 THEN 7200 ELSE 0 END AS said FROM conversations),
+w AS (SELECT *, lead(failed) OVER c AS next_failed, coalesce(said - lag(said) OVER c > 3600, false) AS cut FROM t WINDOW c AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, sum(cut::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS session FROM w),
+k AS (SELECT *, NOT failed AND NOT (role = 'user' AND coalesce(next_failed, false)) AS held FROM s), l AS (SELECT conv_id, max(session) AS session FROM k GROUP BY 1)
+SELECT 's' || l.conv_id AS session_id, coalesce(n, 0)::INT AS turns, last_role, sha256(last_text) AS last_sha, l.session::INT AS expired
+FROM l LEFT JOIN (SELECT conv_id, session, count(*) AS n, arg_max(role, turn) AS last_role, arg_max(text, turn) AS last_text FROM k WHERE held GROUP BY 1, 2) h ON h.conv_id = l.conv_id AND h.session = l.session"""
+)
 def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as a stream, each session's history as keyed state; the state after the last batch."""
+    """Turns as a stream in two runs over one checkpoint, each session's history as keyed state; the state after the last batch. In every third conversation the
+    first answer fails, which takes its question back; in every fifth the third turn comes after two hours, when the session has expired."""
     from marram.streaming import sessions
 
-    base = f"{shared_folder(spark)}/marram-sessions-{uuid.uuid4().hex}"
-    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("s"), F.col("conv_id")).alias("session_id"), F.col("turn").alias("seq"), "role", "text", F.lit(True).alias("ok"))
-    turns.write.parquet(f"{base}/in")
-    states = sessions.remember(spark.readStream.schema(turns.schema).parquet(f"{base}/in"))
-    writer = states.writeStream.outputMode("update").foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{base}/out"))
-    writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(f"{base}/out").groupBy("session_id").agg(F.max_by(F.struct("turns", "last_role", "last_text"), "batch").alias("s"))
-    return last.select("session_id", "s.turns", "s.last_role", F.sha2("s.last_text", 256).alias("last_sha"))
+    base = scratch_path(spark, "sessions")
+    turn, conv = F.col("turn"), F.col("conv_id")
+    failed = (conv % 3 == 0) & (turn == 1) & (F.col("role") == "assistant")
+    at = turn * 60 + F.when((conv % 5 == 0) & (turn >= 2), 7200).otherwise(0)
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("s"), conv).alias("session_id"), turn.alias("seq"), "role", "text", (~failed).alias("ok"), at.cast("double").alias("at"))
+    for part in (turns.where("seq < 2"), turns.where("seq >= 2")):
+        part.write.mode("append").parquet(f"{base}/in")
+        states = sessions.remember(spark.readStream.schema(turns.schema).parquet(f"{base}/in"), idle_s=3600)
+        sessions.started(states, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    last = spark.read.parquet(f"{base}/out").groupBy("session_id").agg(F.max_by(F.struct("turns", "last_role", "last_text", "expired"), "batch").alias("s"))
+    return last.select("session_id", "s.turns", "s.last_role", F.sha2("s.last_text", 256).alias("last_sha"), "s.expired")
 
 
 @query("SELECT doc_id AS query_id, CASE WHEN n_chars >= 500 THEN 'kept' ELSE 'none' END AS result FROM documents")

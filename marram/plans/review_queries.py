@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -268,10 +267,10 @@ def query_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def worker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open runs taken by the streaming worker from a folder of run rows, and what it wrote."""
-    from marram.plans.scratch import shared_folder
+    from marram.plans.scratch import scratch_path
     from marram.streaming import worker
 
-    base = f"{shared_folder(spark)}/marram-worker-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "worker")
     samples = _samples(spark, sf_dir)
     samples.write.parquet(f"{base}/in")
     taken = worker.start(spark, f"{base}/in", samples.schema, lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{base}/out"), f"{base}/checkpoint", every=None)

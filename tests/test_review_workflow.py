@@ -334,17 +334,58 @@ def test_embedder(spark):
     assert sum(x * x for x in a) == pytest.approx(1.0) and sum(map(abs, b)) == 0
 
 
-def test_worker_and_sessions(spark, tmp_path):
+def test_worker(spark, tmp_path):
     runs = spark.createDataFrame([(1, "queued"), (2, "completed"), (3, "running")], "run_id long, status string")
     runs.write.parquet(f"file://{tmp_path}/in")
     worker.start(spark, f"file://{tmp_path}/in", runs.schema, lambda df, n: df.write.mode("append").parquet(f"file://{tmp_path}/out"), f"file://{tmp_path}/ck", every=None).awaitTermination()
     assert {r.run_id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {1, 3}
-    turns = spark.createDataFrame([("s", 1, "user", "hi", True), ("s", 2, "assistant", "ho", True), ("s", 3, "user", "again", True), ("s", 4, "assistant", "", False)], "session_id string, seq int, role string, text string, ok boolean")
-    turns.write.parquet(f"file://{tmp_path}/turns")
-    stream = sessions.remember(spark.readStream.schema(turns.schema).parquet(f"file://{tmp_path}/turns"))
-    q = stream.writeStream.format("memory").queryName("sessions").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [(r.turns, r.last_text) for r in spark.sql("select * from sessions").collect()] == [(2, "ho")]
+
+
+TURNS = "session_id string, seq int, role string, text string, ok boolean, at double"
+
+
+def states_after(spark, base, parts, **options):
+    """The last state of each session after a run of the stream for each part, over one checkpoint."""
+    for part in parts:
+        spark.createDataFrame(part, TURNS).write.mode("append").parquet(f"{base}/in")
+        states = sessions.remember(spark.readStream.schema(TURNS).parquet(f"{base}/in"), **options)
+        sessions.started(states, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    last = spark.read.parquet(f"{base}/out").groupBy("session_id").agg(F.max_by(F.struct("turns", "last_text", "expired"), "batch").alias("s"))
+    return {r.session_id: tuple(r.s) for r in last.collect()}
+
+
+def test_a_failed_turn_is_rolled_back_and_an_idle_session_begins_anew(spark, tmp_path):
+    first = [("s", 1, "user", "hi", True, 0.0), ("s", 2, "assistant", "ho", True, 1.0), ("s", 3, "user", "again", True, 2.0), ("t", 1, "user", "only", True, 0.0)]
+    second = [("s", 4, "assistant", "", False, 3.0), ("t", 2, "assistant", "late", True, 100.0), ("u", 1, "assistant", "", False, 0.0)]
+    assert states_after(spark, f"file://{tmp_path}/a", [first, second], idle_s=50) == {"s": (2, "ho", 0), "t": (1, "late", 1), "u": (0, None, 0)}
+    assert states_after(spark, f"file://{tmp_path}/b", [first + second], idle_s=50, keep=1) == {"s": (2, "ho", 0), "t": (1, "late", 1), "u": (0, None, 0)}
+
+
+def test_sessions_leave_the_store_after_their_time(spark, tmp_path):
+    import time
+
+    def last_state(base, ttl_ms):
+        spark.createDataFrame([("s", 1, "user", "hi", True, 0.0)], TURNS).write.mode("append").parquet(f"{base}/in")
+        states = sessions.remember(spark.readStream.schema(TURNS).parquet(f"{base}/in"), ttl_ms=ttl_ms)
+        query = sessions.started(states, f"{base}/out", f"{base}/checkpoint", every="1 second")
+        try:
+            for turns in (1, 2):
+                if turns == 2:
+                    spark.createDataFrame([("s", 2, "user", "there", True, 1.0)], TURNS).write.mode("append").parquet(f"{base}/in")
+                until = time.time() + 60
+                while time.time() < until:
+                    time.sleep(2)
+                    done = sum(p["numInputRows"] for p in query.recentProgress)
+                    if done >= turns:
+                        break
+                time.sleep(3)
+        finally:
+            query.stop()
+        rows = spark.read.parquet(f"{base}/out").where("last_text = 'there'").collect()
+        return [(r.turns, r.last_text) for r in rows]
+
+    assert last_state(f"file://{tmp_path}/long", 3_600_000) == [(2, "there")]
+    assert last_state(f"file://{tmp_path}/short", 1) == [(1, "there")]
 
 
 def test_collections_and_classes(spark):
