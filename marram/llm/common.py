@@ -28,7 +28,7 @@ _GOLD = 0x9E3779B97F4A7C15
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir. Where none is named, a local master gets
-    one of this machine; a cluster has to name one that all its machines see."""
+    one of this machine, which becomes that setting; a cluster has to name one that all its machines see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -73,7 +73,7 @@ def release(df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the bytes of one Arrow batch to ARROW_BYTES where the session allows more. All operators ask for this
+    """Lower the bytes of one Arrow batch to ARROW_BYTES where the session allows more; this holds for the whole session from then on. All operators ask for this
     same value and none raises it, so a plan made earlier runs no worse for it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > ARROW_BYTES:
