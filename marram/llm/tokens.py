@@ -18,7 +18,7 @@ the library once per worker while the (bounded) memory of units lasts. A text th
 of an added token goes to the library whole.
 
 Defined cases: null and empty texts have the end id alone; a null id sorts first; rows that repeat
-an id are ordered by their text; long texts are whole, in one shard; columns other than the id and
+an id are ordered by a hash of their text; long texts are whole, in one shard; columns other than the id and
 the text are not read.
 """
 
