@@ -87,6 +87,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS, size: int
         step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    # The worker goes on with other tasks: what Arrow holds for nobody goes back.
+    pa.default_memory_pool().release_unused()
 
 
 # ---------------------------------------------------------------- hashing in numpy
@@ -109,8 +111,8 @@ _byte_hash = mix64((np.arange(256, dtype=_U) + _U(1)) * _U(_GOLD))
 _word_hash = np.where(_separator, _U(0), _byte_hash[_lower])
 _BASE = 0xD6E8FEB86659FD93
 _tables = {"up": np.ones(1, dtype=_U), "down": np.ones(1, dtype=_U)}
-#: Bytes hashed in one numpy step; one longer text makes a longer step.
-_STEP = 1 << 21
+#: Bytes hashed in one numpy step (eight bytes of hash for each); one longer text makes a longer step.
+_STEP = 1 << 19
 
 
 def _powers(which: str, n: int) -> np.ndarray:
