@@ -224,16 +224,23 @@ def found_places(texts: DataFrame, words: DataFrame, limits: Limits = LIMITS) ->
     return exact.select("text_id", "page", "rect").unionByName(gapped_places(stored(rest, "not-exact"), tokens_, limits)).distinct()
 
 
-def locate(texts: DataFrame, words: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """texts (guideline_id, text_id, text, first_page, last_page) -> text_id, page, x0, y0, x1, y1: the blocks that the places of a text
-    make on each page."""
-    pages = found_places(texts, words, limits).groupBy("text_id", F.col("page").cast("int").alias("page")).agg(F.collect_list("rect").alias("rects"))
+def blocks(rects: DataFrame, keys: list[str], limits: Limits = LIMITS) -> DataFrame:
+    """keys, x0, y0, x1, y1: the merged blocks of the rectangles (``rect``) of each page, where ``keys`` name a page (X12). A page is what one
+    task holds."""
 
     @F.pandas_udf("array<struct<x0:int,y0:int,x1:int,y1:int>>")
-    def blocks(rects: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("x0", "y0", "x1", "y1"), b, strict=True)) for b in merged([(r["x0"], r["y0"], r["x1"], r["y1"]) for r in some], limits)] for some in rects])
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("x0", "y0", "x1", "y1"), b, strict=True)) for b in merged([(r["x0"], r["y0"], r["x1"], r["y1"]) for r in some], limits)] for some in lists])
+
+    pages = rects.groupBy(*keys).agg(F.collect_list("rect").alias("rects"))
+    return pages.select(*keys, F.explode(run("rects")).alias("b")).select(*keys, "b.*")
 
-    return pages.select("text_id", "page", F.explode(blocks("rects")).alias("b")).select("text_id", "page", "b.*")
+
+def locate(texts: DataFrame, words: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """texts (guideline_id, text_id, text, first_page, last_page) -> text_id, page, x0, y0, x1, y1: the blocks that the places of a text
+    make on each page."""
+    found = found_places(texts, words, limits).select("text_id", F.col("page").cast("int").alias("page"), "rect")
+    return blocks(found, ["text_id", "page"], limits)
 
 
 def by_page(boxes: DataFrame, key: str) -> DataFrame:

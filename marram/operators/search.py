@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marram.functions.ranking import top_k
-from marram.functions.text import all_tokens, query_tokens, word_count
-from marram.operators.textindex import SHORTEST, part
+from marram.functions.text import query_tokens
+from marram.operators.textindex import SHORTEST, exploded, part, sized
 from marram.operators.vectorindex import QUERY_BYTES, pairwise
 from marram.plans.scratch import stored
 
@@ -26,10 +26,10 @@ def bm25(refs: DataFrame, queries: DataFrame, text: Column | None = None) -> Dat
     again ``textindex.TextIndex`` reads a part of this.
     """
     text = text if text is not None else F.col("text")
-    sized = refs.select("reference_id", text.alias("text"), word_count(text).alias("length"))
-    total, mean = sized.agg(F.count(F.lit(1)), F.avg("length")).first()
+    texts = sized(refs, text)
+    total, mean = texts.agg(F.count(F.lit(1)), F.avg("length")).first()
     wanted = queries.select("query_id", F.explode(query_tokens(F.col("text"), SHORTEST)).alias("term"))
-    words = sized.select("reference_id", "length", F.explode(all_tokens(F.col("text"), SHORTEST)).alias("term"))
+    words = exploded(texts)
     postings = words.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "reference_id", "length").agg(F.count(F.lit(1)).alias("tf"))
     postings = stored(postings, "postings")
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -45,6 +45,17 @@ def folder(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
 
 
+def sized(refs: DataFrame, text: Column) -> DataFrame:
+    """reference_id, text and its length in words."""
+    return refs.select("reference_id", text.alias("text"), word_count(text).cast("long").alias("length"))
+
+
+def exploded(sized_: DataFrame) -> DataFrame:
+    """The other columns and a row for each word that counts. The length is a column below the explode: in the same select it would be planned
+    above it, and the whole text be counted again for each of its words."""
+    return sized_.select(*[c for c in sized_.columns if c != "text"], F.explode(all_tokens(F.col("text"), SHORTEST)).alias("term"))
+
+
 class TextIndex:
     """The index in the folder ``path``, one that the driver and all executors see."""
 
@@ -54,9 +65,8 @@ class TextIndex:
     def append(self, refs: DataFrame, text: Column | None = None) -> TextIndex:
         """Add a segment of ``refs`` (reference_id, text). Its sizes are written last: a segment without them is not read."""
         text, segment = text if text is not None else F.col("text"), uuid.uuid4().hex
-        # The length is a column below the explode: above it, it would be counted again for each word.
-        laid = refs.where("reference_id is not null").select("reference_id", text.alias("text"), word_count(text).cast("long").alias("length"), F.shiftright(F.monotonically_increasing_id(), RANGE).alias("range"))
-        words = laid.select("reference_id", "length", "range", F.explode(all_tokens(F.col("text"), SHORTEST)).alias("term"))
+        laid = sized(refs.where("reference_id is not null"), text).withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE))
+        words = exploded(laid)
         counted = words.groupBy("term", "range", "reference_id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         one = F.struct("reference_id", "tf", "length")
         blocks = counted.groupBy("term", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.collect_list(one).alias("postings"))

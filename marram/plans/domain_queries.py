@@ -14,6 +14,7 @@ from marram.plans.scratch import scratch_path
 from marram.plans.search_queries import BM25
 from marram.plans.workflow import Context, Workflow
 from marram.sources import files
+from marram.sources.providers import batched
 from marram.sources.versions import VersionedTable
 from marram.sources.views import references, table, text_index, text_queries
 
@@ -595,3 +596,39 @@ def versioned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         stored_.upsert(mine.withColumn("claimed_by", F.lit(user)), when="old.status = 'O'")
     stored_.delete(orders.where("o_orderkey % 11 = 0").select("o_orderkey"))
     return stored_.read()
+
+
+@query(
+    """WITH b AS (SELECT l_orderkey, (l_linenumber % 2) * 100 + CASE WHEN l_quantity % 5 = 0 THEN 300 ELSE 0 END AS x, l_linenumber // 2 AS line FROM lineitem),
+u AS (SELECT DISTINCT l_orderkey, x, line FROM b), i AS (SELECT *, line - row_number() OVER (PARTITION BY l_orderkey, x ORDER BY line) AS island FROM u)
+SELECT l_orderkey, x::INT AS x0, (min(line) * 12)::INT AS y0, (x + 30)::INT AS x1, (max(line) * 12 + 10)::INT AS y1 FROM i GROUP BY l_orderkey, x, island"""
+)
+def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as boxes in two columns, some far to the right: lines under each other in one column are a block."""
+    x = (F.col("l_linenumber") % 2) * 100 + F.when(F.col("l_quantity") % 5 == 0, 300).otherwise(0)
+    y = F.expr("l_linenumber div 2") * 12
+    rect = F.struct(*[c.cast("double").alias(n) for c, n in ((x, "x0"), (y, "y0"), (x + 30, "x1"), (y + 10, "y1"))])
+    return boxes.blocks(table(spark, sf_dir, "lineitem").select("l_orderkey", rect.alias("rect")), ["l_orderkey"])
+
+
+GENERATING = {
+    "nodes": [
+        {"component_id": "s", "type": "start"},
+        {"component_id": "g", "type": "generate/provider", "parameters": {"provider": "model", "prompt": "q: {s.query}", "defaults": {"tail": "."}, "settings": {"tail": "!"}}},
+        {"component_id": "e", "type": "end", "parameters": {"response": "{g.response}"}},
+    ],
+    "edges": [{"source": "s", "target": "g"}, {"source": "g", "target": "e"}],
+}
+
+
+@batched
+def _shouting(prompts: list[str], tail: str = "") -> list[str]:
+    """Stands in for a generator: the first characters of each prompt in capitals."""
+    return [p[:12].upper() + tail for p in prompts]
+
+
+@query("SELECT conv_id * 1000 + turn AS query_id, upper(left('q: ' || trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 12)) || '!' AS response FROM conversations WHERE role = 'user'")
+def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workflow that ends in a generator with settings, of which later ones win; the provider is asked in batches."""
+    users = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return Workflow(GENERATING).run(users, Context(providers={"model": _shouting})).select("query_id", "response")

@@ -62,8 +62,9 @@ def batched(provider: Callable) -> Callable:
     return provider
 
 
-def asked(provider: Callable, prompts: list, most: int = PROMPTS, **settings) -> list:
+def asked(provider: Callable, prompts: list, settings: dict | None = None, most: int = PROMPTS) -> list:
     """The provider's answers: of a batched one, at most ``most`` prompts a call; of another one, one by one."""
+    settings = settings or {}
     if not getattr(provider, "batched", False):
         return [provider(p, **settings) for p in prompts]
     out: list = []
@@ -76,9 +77,9 @@ def asked(provider: Callable, prompts: list, most: int = PROMPTS, **settings) ->
     return out
 
 
-def answers(provider: Callable, prompt: Column, **settings) -> Column:
+def answers(provider: Callable, prompt: Column, /, **settings) -> Column:
     """A provider's answers to a column of prompts."""
-    run = F.pandas_udf(lambda prompts: pd.Series(asked(provider, prompts.tolist(), **settings), dtype=object), "string")
+    run = F.pandas_udf(lambda prompts: pd.Series(asked(provider, prompts.tolist(), settings), dtype=object), "string")
     return run(prompt)
 
 

@@ -27,7 +27,7 @@ def test_a_batched_provider_sees_lists():
         calls.append(len(prompts))
         return [p.upper() + tail for p in prompts]
 
-    assert asked(model, ["a", "b", "c"], most=2, tail="!") == ["A!", "B!", "C!"] and calls == [2, 1]
+    assert asked(model, ["a", "b", "c"], {"tail": "!"}, most=2) == ["A!", "B!", "C!"] and calls == [2, 1]
     assert asked(str.upper, ["a", "b"]) == ["A", "B"] and asked(model, []) == []
     with pytest.raises(ValueError, match="1 answers to 2"):
         asked(batched(lambda prompts: prompts[:1]), ["a", "b"])
