@@ -32,6 +32,8 @@ from marram.plans.scratch import stored
 K1, B = 1.2, 0.75
 #: Documents of a range, as a power of two; folders of blocks; characters of the shortest indexed word.
 RANGE, FOLDERS, SHORTEST = 10, 64, 3
+#: Up to so many ranges of documents a first look costs more than it saves: all are scored.
+PROBED = 64
 BLOCKS = "term string, segment string, range long, n long, most int, least long, postings array<struct<reference_id:long,tf:int,length:long>>, folder int"
 SIZES = "segment string, documents long, words long"
 
@@ -60,7 +62,7 @@ class TextIndex:
     """The index in the folder ``path``, one that the driver and all executors see."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.documents = spark, path.rstrip("/"), 0
 
     def append(self, refs: DataFrame, text: Column | None = None) -> TextIndex:
         """Add a segment of ``refs`` (reference_id, text). Its sizes are written last: a segment without them is not read."""
@@ -92,7 +94,7 @@ class TextIndex:
         """wanted (query_id, term), the blocks of these words with their bound (no postings), the mean length, the folders read."""
         wanted = stored(queries.select("query_id", F.explode(query_tokens(F.col("text"), SHORTEST)).alias("term")).distinct(), "wanted")
         documents, words = self._read("sizes", SIZES).agg(F.sum("documents"), F.sum("words")).first()
-        mean = (words or 0) / documents if documents else 0.0
+        mean, self.documents = (words or 0) / documents if documents else 0.0, documents or 0
         folders = sorted(r.folder for r in wanted.select(folder("term").alias("folder")).distinct().collect())  # at most FOLDERS numbers
         found = self.blocks(folders).select("term", "segment", "range", "n", "most", "least").join(wanted.select("term").distinct(), "term", "left_semi")
         found = stored(found, "block-heads")
@@ -113,6 +115,8 @@ class TextIndex:
     def chosen(self, wanted: DataFrame, heads: DataFrame, mean: float, folders: list[int], k: int) -> tuple[DataFrame, DataFrame]:
         """All ranges that hold a word of a query (query_id, segment, range, bound), and those that may hold one of its k best documents."""
         bounds = stored(wanted.join(heads, "term").groupBy("query_id", "segment", "range").agg(F.sum("bound").alias("bound")), "range-bounds")
+        if self.documents <= PROBED << RANGE:
+            return bounds, bounds.select("query_id", "segment", "range")
         first = bounds.groupBy("query_id").agg(F.max_by(F.struct("segment", "range"), F.struct("bound", "segment", "range")).alias("at")).select("query_id", "at.*")
         threshold = top_k(self._scores(wanted, heads, first, mean, folders), k, [F.desc("score"), F.col("reference_id")], ["query_id"]).where(F.col("rank") == k).select("query_id", F.col("score").alias("threshold"))
         # Scores are rounded to six places; a bound may be that much too low.
