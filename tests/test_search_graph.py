@@ -97,6 +97,64 @@ def test_a_keyword_of_a_third_of_the_references(spark, monkeypatch):
         assert {tuple(r) for r in graph.keyword_pairs(seeds, links, least, share).collect()} == want and want
 
 
+def test_shared_keywords_are_not_shuffled_by_pairs(spark):
+    """What the comparison shuffles are the references' sets; a bound on the first rows of a query leaves no more of them."""
+    rng = random.Random(6)
+    words = {i: {f"k{rng.randrange(30)}" for _ in range(8)} for i in range(600)}
+    links = spark.createDataFrame([(i, w) for i, own in words.items() for w in own], "reference_id long, keyword string")
+    seeds = spark.createDataFrame([(i % 2, i) for i in range(0, 600, 20)], "query_id long, reference_id long")
+    all_ = graph.keyword_pairs(seeds, links, 2, 0.8)
+    plan = all_._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionBy") + plan.count("Repartition ") <= 1 and "Aggregate" not in plan
+    rows = sorted((r.query_id, r.reference_id, r.seed_id) for r in all_.collect())
+    want = [x for q in (0, 1) for x in [r for r in rows if r[0] == q][:7]]
+    some = sorted((r.query_id, r.reference_id, r.seed_id) for r in graph.keyword_pairs(seeds, links, 2, 0.8, first=7).collect())
+    assert len(rows) > 5000 and len(some) <= 2 * 7 * 8 and set(want) <= set(some) <= set(rows)
+
+
+def test_asked_keyword_sets_go_out_in_portions(spark, monkeypatch):
+    words = {i: {f"k{i % 5}", f"k{i % 3 + 9}", f"k{i % 2 + 20}"} for i in range(90)}
+    links = spark.createDataFrame([(i, w) for i, own in words.items() for w in own], "reference_id long, keyword string")
+    seeds = spark.createDataFrame([("a" if i % 4 else None, i) for i in range(0, 90, 10)] + [("b", 500)], "query_id string, reference_id long")
+    want = {("a" if s % 4 else None, s, r, len(words[s] & words[r])) for s in range(0, 90, 10) for r in words if r != s and len(words[s] & words[r]) >= 2}
+    monkeypatch.setattr(graph, "PORTION", 100)
+    assert {(r.query_id, r.seed_id, r.reference_id, r.shared) for r in graph.keyword_pairs(seeds, links, 2, 0.8).collect()} == want
+
+
+def test_equally_far_rows_stay_few(spark):
+    """Rows that are all equally far are not handed on by the pair, whatever batches they come in."""
+    import numpy as np
+
+    from marram.operators.vectorindex import Nearest
+
+    base = spark.range(3000).select(((F.col("id") * 7919) % 3000).alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding")).repartition(3)
+    queries = spark.createDataFrame([(i, [2.0, -1.0 - i]) for i in range(40)], "query_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.distance) for r in search.vector_top(base, queries, 3, "hamming").orderBy("query_id", "rank").collect()]
+    assert got == [(q, v, 2.0) for q in range(40) for v in range(3)]
+    best, rng = Nearest(2, 3), np.random.default_rng(1)
+    x, ids = rng.integers(0, 3, (400, 2)).astype(float), rng.permutation(400)
+    for at in range(0, 400, 70):
+        best.look("manhattan", np.arange(2), x[:2], x[at : at + 70], ids[at : at + 70], ids[:2])
+    for i in range(2):
+        want = sorted((abs(x[j] - x[i]).sum(), ids[j]) for j in range(400) if j != i)[:3]
+        assert list(zip(best.distances[i], best.ids[i], strict=True)) == want
+    assert len(best.found(ids[:2])) == 6
+
+
+def test_edges_of_some_sources_are_rows_of_all_edges(spark, sf, monkeypatch):
+    from marram.sources.views import vectors
+
+    rows = vectors(spark, sf)
+    some = rows.where("vec_id % 7 = 0").select(F.col("vec_id").alias("reference_id"))
+    all_ = {tuple(r) for r in search.similarity_edges(rows, threshold=0.2, k=8).collect()}
+    assert {tuple(r) for r in search.edges_of(rows, some, threshold=0.2, k=8).collect()} == {e for e in all_ if e[0] % 7 == 0}
+    # Few blocks of many rows: a row is shuffled once for each block of its own side and the other.
+    monkeypatch.setattr(search, "SIDE", 2)
+    monkeypatch.setattr(search, "CELLS", 3000)
+    edges = search.similarity_edges(rows, threshold=0.2, k=8, block=16)
+    assert {tuple(r) for r in edges.collect()} == all_
+
+
 def test_fusion_without_scores_uses_ranks(spark):
     hits = spark.createDataFrame([(1, 1, 1.0, 7, 1, 0.8), (1, 2, 0.5, 7, 1, None), (1, 2, 0.5, 8, 3, None)], "query_id long, subquery int, weight double, reference_id long, rank int, score double")
     assert {r.reference_id: r.score for r in search.fuse(hits, 10).collect()} == {7: 1.3, 8: 0.4}
