@@ -155,6 +155,49 @@ def test_edges_of_some_sources_are_rows_of_all_edges(spark, sf, monkeypatch):
     assert {tuple(r) for r in edges.collect()} == all_
 
 
+def test_pages_are_merged_many_at_a_time(monkeypatch):
+    import numpy as np
+
+    from marram.operators import boxes
+
+    rng, pages = random.Random(1), []
+    for p in range(300):
+        places = [(rng.choice([0, 50, 100]) + rng.randrange(20), rng.randrange(30) * rng.choice([5, 12, 14.5])) for _ in range(rng.choice([0, 1, 2, 5, 12, 30]))]
+        pages.append([(x, y, x + rng.choice([3, 30, 31.5, 60]), y + rng.choice([4, 10, 11])) for x, y in places])
+    page, rects = np.array([i for i, b in enumerate(pages) for _ in b]), np.array([r for b in pages for r in b], dtype=float)
+    want = [(i, b) for i, some in enumerate(pages) for b in sorted(boxes.merged(some))]
+    calls, alone = [], boxes.merged
+    monkeypatch.setattr(boxes, "merged", lambda *a: calls.append(1) or alone(*a))
+    for crowded, most in ((64, 0), (20, 60)):
+        monkeypatch.setattr(boxes, "CROWDED", crowded)
+        found = boxes.merged_pages(page, rects)
+        assert sorted((p, tuple(b)) for p, b in zip(found[0].tolist(), found[1].tolist(), strict=True)) == want and len(calls) <= most
+    assert calls and len(boxes.merged_pages(page[:0], rects[:0])[0]) == 0
+
+
+def test_only_words_of_asked_guidelines_are_numbered(spark):
+    from marram.operators import boxes
+
+    words = spark.createDataFrame([(g, 0, float(i), 0.0, float(i), 0.0, f"w{i}") for g in range(20) for i in range(5)], "guideline_id long, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    asked = spark.createDataFrame([(7, 1), (7, 2), (99, 3)], "guideline_id long, text_id long")
+    some = sorted((r.guideline_id, r.pos, r.token) for r in boxes.word_tokens(words, asked).collect())
+    assert some == sorted((r.guideline_id, r.pos, r.token) for r in boxes.word_tokens(words).collect() if r.guideline_id == 7) and len(some) == 5
+
+
+def test_capitals_are_those_of_sql(spark, tmp_path):
+    import duckdb
+
+    from marram.plans import domain_queries
+    from marram.plans.registry import ORACLES
+
+    texts = ["straße", "ſ ŉ ǰ ΐ", "ﬁne ᾳ ǆ", "ÿ µ ı İ", "  a  b ", "x"]
+    turns = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    assert sorted(map(tuple, domain_queries.generated_answers(spark, f"file://{tmp_path}").collect())) == sorted(db.execute(ORACLES["generated_answers"]).fetchall())
+
+
 def test_fusion_without_scores_uses_ranks(spark):
     hits = spark.createDataFrame([(1, 1, 1.0, 7, 1, 0.8), (1, 2, 0.5, 7, 1, None), (1, 2, 0.5, 8, 3, None)], "query_id long, subquery int, weight double, reference_id long, rank int, score double")
     assert {r.reference_id: r.score for r in search.fuse(hits, 10).collect()} == {7: 1.3, 8: 0.4}
