@@ -141,3 +141,19 @@ def test_neighbour_graph_of_clusters_looks_into_few_balls(spark, tmp_path):
     want = {(i, j) for i in range(len(x)) for j in sorted(range(len(x)), key=lambda j: (-scores[i, j], j))[:8]}
     got = {(r.src, r.dst) for r in neighbour_graph(index, k=8, threshold=0.2, block=16).collect()}
     assert len(got & want) / len(want) >= 0.95 and len(got) <= 8 * len(x)
+
+
+def test_blocks_are_made_where_texts_are_read(monkeypatch):
+    """One row for each word of a run of documents, without a shuffle."""
+    import pyarrow as pa
+
+    from marram.operators import textindex
+
+    monkeypatch.setattr(textindex, "RANGE", 1)
+    batch = pa.RecordBatch.from_pydict({"reference_id": [5, 6, 7], "length": [3, 1, 2], "words": [["aa", "bb", "aa"], ["aa"], None], "at": [0, 1, 2]}, schema=pa.schema([("reference_id", pa.int64()), ("length", pa.int64()), ("words", pa.list_(pa.string())), ("at", pa.int64())]))
+    found = [r for b in textindex.blocks_of([batch]) for r in b.to_pylist()]
+    posting = lambda i, tf, length: {"reference_id": i, "tf": tf, "length": length}
+    assert found == [
+        {"term": "aa", "range": 0, "n": 2, "most": 2, "least": 1, "postings": [posting(5, 2, 3), posting(6, 1, 1)]},
+        {"term": "bb", "range": 0, "n": 1, "most": 1, "least": 3, "postings": [posting(5, 1, 3)]},
+    ]
