@@ -143,6 +143,34 @@ def test_neighbour_graph_of_clusters_looks_into_few_balls(spark, tmp_path):
     assert len(got & want) / len(want) >= 0.95 and len(got) <= 8 * len(x)
 
 
+def test_neighbour_graph_copies_a_vector_once_a_block(spark, tmp_path, monkeypatch):
+    """However many balls a vector looks into; and with all of them the edges are the exact ones, those of copies in one large ball too."""
+    from pyspark.sql.group import GroupedData
+
+    from marram.operators import vectorindex
+
+    x = np.vstack([np.random.default_rng(8).standard_normal((1200, 8)), np.ones((300, 8)), np.random.default_rng(9).standard_normal((100, 8)).astype(np.float32)])
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[7].tolist()), (None, x[0].tolist()), (9000, None), (9001, [0.0] * 8)], "vec_id long, embedding array<double>")
+    index = VectorIndex.build(base, f"file://{tmp_path}/copies", balls=48)
+    grouped, apply = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: grouped.append(self._df) or apply(self, f, schema))
+    monkeypatch.setattr(vectorindex, "planned_probes", lambda *_: (len(index.centres), 1.0))
+    got = neighbour_graph(index, k=5, threshold=0.2, block=200)
+    assert grouped[0].count() <= 2 * 9 * 1603
+    key = lambda df: sorted((r.src, r.dst, r.score) for r in df.collect())
+    found = key(got)
+    assert found == key(search.similarity_edges(base.where("vec_id is not null"), threshold=0.2, k=5)) and len(found) > 7000
+
+
+def test_vectors_are_packed_without_loss():
+    from marram.operators.vectorindex import packed, unpacked
+    import pandas as pd
+
+    x = np.array([[1.5, -2.0], [0.1, 1.0], [1e300, 0.0], [np.float64(np.float32(0.1)), 3.0]])
+    rows = packed(x)
+    assert [len(r) for r in rows] == [8, 16, 16, 8] and (unpacked(pd.Series(rows), 2) == x).all()
+
+
 def test_blocks_are_made_where_texts_are_read(monkeypatch):
     """One row for each word of a run of documents, without a shuffle."""
     import pyarrow as pa
