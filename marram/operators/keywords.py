@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +19,9 @@ from pyspark.sql import types as T
 from marram.functions.ranking import top_k
 from marram.functions.text import collapse, dash_key, json_array, strip, term_key
 from marram.operators.rank import distinct_strings
-from marram.plans.scratch import stored
 
+#: Texts whose words are counted at once.
+TEXTS = 256
 _WORD = re.compile(r"[^\W_]+(?:[-'][^\W_]+)*", re.UNICODE)
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t\n\r\f\v]+|\n+")
 
@@ -83,55 +88,44 @@ def statistics(text: str, n: int = 3, top: int = 20, similarity: float = 0.9, st
                 product *= weight[w]
                 total += weight[w]
         scored.append((product / (count * (1 + total)) if 1 + total > 0 else product / count, shown))
-    out: list[tuple[str, float]] = []
     return distinct(sorted(scored, key=lambda x: (round(x[0], 12), x[1])), top, similarity)
 
 
-def distinct(scored: list[tuple[float, str]], top: int, similarity: float) -> list[tuple[str, float]]:
+def distinct(scored: Iterable[tuple[float, str]], top: int, similarity: float) -> list[tuple[str, float]]:
     """The first ``top`` phrases (in the given order) that are no near repeats of an earlier one."""
     out: list[tuple[str, float]] = []
+    kept: list[SequenceMatcher] = []
     for score, phrase in scored:
-        if all(SequenceMatcher(None, phrase.lower(), kept.lower()).ratio() <= similarity for kept, _ in out):
+        low = phrase.lower()
+        # Two texts are at most as similar as their lengths allow.
+        if all(2.0 * min(len(low), len(m.b)) / (len(low) + len(m.b)) <= similarity or _ratio(m, low) <= similarity for m in kept):
             out.append((phrase, score))
             if len(out) == top:
                 break
+            kept.append(SequenceMatcher(None, "", low))
     return out
 
 
-def sentences(texts: DataFrame) -> DataFrame:
-    """texts (id, text) -> row, id, s, words: the s-th sentence with words of each text. Hyphens and apostrophes inside words are set apart first,
-    so that the pattern of a word is one class of characters, which needs no stack."""
+def _ratio(kept: SequenceMatcher, text: str) -> float:
+    kept.set_seq1(text)
+    return kept.ratio()
+
+
+def sentences(texts: DataFrame, stop: frozenset[str] = frozenset()) -> DataFrame:
+    """texts (id, text) -> id, sizes: words of each sentence; and of each word of a text: words, keys (lower case), upper, capital (its first letter), good
+    (usable), stop. Hyphens and apostrophes inside words are set apart first, so that the pattern of a word is one class of characters, which needs no stack."""
     letter = r"[\p{L}\p{N}]"
     text = F.translate(F.coalesce("text", F.lit("")), "\ue000\ue001", "  ")
     for mark, sign in (("-", "\ue000"), ("'", "\ue001")):
         text = F.regexp_replace(text, f"(?<={letter}){mark}(?={letter})", sign)
-    words = F.transform(F.split(text, r"(?<=[.!?])[ \t\n\r\f\x0B]+|\n+"), lambda p: F.transform(F.regexp_extract_all(p, F.lit("[\\p{L}\\p{N}\ue000\ue001]+"), F.lit(0)), lambda w: F.translate(w, "\ue000\ue001", "-'")))
-    each = texts.select("id", F.monotonically_increasing_id().alias("row"), F.filter(words, lambda w: F.size(w) > 0).alias("sentences"))
-    return each.select("row", "id", F.posexplode("sentences").alias("s", "words"))
-
-
-def word_weights(base: DataFrame, stop: frozenset[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(row, key, tf, weight) of every word of sentences (row, s, words), and the counts of neighbours (row, l, r, n). Casing, spread, frequency and left
-    and right co-occurrence are aggregates over (text, word), position is the median sentence."""
+    split = F.transform(F.split(text, r"(?<=[.!?])[ \t\n\r\f\x0B]+|\n+"), lambda p: F.transform(F.regexp_extract_all(p, F.lit("[\\p{L}\\p{N}\ue000\ue001]+"), F.lit(0)), lambda w: F.translate(w, "\ue000\ue001", "-'")))
+    each = texts.select("id", split.alias("sentences"))
+    each = each.select("id", F.transform("sentences", F.size).alias("sizes"), F.flatten("sentences").alias("words"))
+    each = each.select("*", F.transform("words", F.lower).alias("keys"))
     cased = lambda w: (F.upper(w) == w) & (F.lower(w) != w)
-    each = base.select("row", "s", F.posexplode("words").alias("j", "word")).withColumn("key", F.lower("word"))
-    upper, capital = cased(F.col("word")) & (F.length("word") > 1), (F.col("j") > 0) & cased(F.substring("word", 1, 1))
-    seen = stored(each.groupBy("row", "key").agg(F.count(F.lit(1)).alias("tf"), F.count_if(upper).alias("upper"), F.count_if(capital).alias("capital"), F.sort_array(F.collect_set("s")).alias("spots")), "word-counts")
-    beside = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda j: F.struct(F.lower(F.get("words", j - 1)).alias("l"), F.lower(F.get("words", j)).alias("r")))
-    pairs = stored(base.where("size(words) > 1").select("row", F.explode(beside).alias("p")).groupBy("row", F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.count(F.lit(1)).alias("n")), "neighbours")
-    side = lambda key, name: pairs.groupBy("row", F.col(key).alias("key")).agg((F.count(F.lit(1)) / F.sum("n")).alias(name))
-
-    known = F.when(usable(F.col("key"), stop), F.col("tf"))
-    mean, deviation = F.coalesce(F.avg(known), F.avg("tf")), F.coalesce(F.stddev_pop(known), F.stddev_pop("tf"))
-    whole = seen.groupBy("row").agg(F.max("tf").alias("most"), mean.alias("mean"), deviation.alias("deviation"))
-    whole = whole.join(base.groupBy("row").agg(F.count(F.lit(1)).alias("sentences")), "row")
-    rows = seen.join(side("r", "left"), ["row", "key"], "left").join(side("l", "right"), ["row", "key"], "left").join(whole, "row")
-    n = F.size("spots")
-    low, high = F.get("spots", F.expr("(size(spots) - 1) div 2").cast("int")), F.get("spots", F.expr("size(spots) div 2").cast("int"))
-    related = 1 + (F.coalesce("left", F.lit(0.0)) + F.coalesce("right", F.lit(0.0))) * F.col("tf") / F.col("most")
-    rows = rows.select("row", "key", "tf", "sentences", n.alias("spread"), F.log(F.log(3 + (low + high) / 2)).alias("place"), related.alias("related"), (F.greatest("upper", "capital") / (1 + F.log("tf"))).alias("case"), (F.col("tf") / (F.col("mean") + F.col("deviation"))).alias("frequency"))
-    value = F.col("place") * F.col("related") / (F.col("case") + F.col("frequency") / F.col("related") + F.col("spread") / F.col("sentences") / F.col("related"))
-    return rows.select("row", "key", "tf", value.alias("weight")), pairs, seen
+    upper, capital = F.transform("words", lambda w: cased(w) & (F.length(w) > 1)), F.transform("words", lambda w: cased(F.substring(w, 1, 1)))
+    held = F.transform("keys", lambda w: w.isin(*sorted(stop)) if stop else F.lit(False))
+    return each.select("*", upper.alias("upper"), capital.alias("capital"), F.transform("keys", lambda w: usable(w, stop)).alias("good"), held.alias("stop"))
 
 
 def usable(key: Column, stop: frozenset[str]) -> Column:
@@ -140,52 +134,109 @@ def usable(key: Column, stop: frozenset[str]) -> Column:
     return good & ~key.isin(*sorted(stop)) if stop else good
 
 
-def candidates(base: DataFrame, n: int, stop: frozenset[str]) -> DataFrame:
-    """row, phrase (lower case), shown (as it is first written), keys, count: runs of up to n words of sentences."""
-    word = lambda k: F.lower(F.get("words", k))
-
-    def of(size: int) -> Column:
-        one = lambda at: F.struct(at.alias("at"), F.slice("words", at + 1, size).alias("own"))
-        begins = F.filter(F.sequence(F.lit(0), F.size("words") - size), lambda at: usable(word(at), stop) & usable(word(at + size - 1), stop))
-        return F.when(F.size("words") >= size, F.transform(begins, one)).otherwise(F.array().cast("array<struct<at:int,own:array<string>>>"))
-
-    each = base.select("row", "s", F.explode(F.concat(*[of(size) for size in range(1, n + 1)])).alias("c"))
-    keys = F.transform("c.own", lambda w: F.lower(w))
-    each = each.select("row", F.array_join(keys, " ").alias("phrase"), keys.alias("keys"), F.array_join("c.own", " ").alias("shown"), F.struct("s", "c.at").alias("place"))
-    return each.groupBy("row", "phrase").agg(F.count(F.lit(1)).alias("count"), F.min_by("shown", "place").alias("shown"), F.first("keys").alias("keys"))
+class Words:
+    """The words of a batch of texts (rows of sentences()) and their aggregates over (text, word), for all texts at once: tf, weight, and ``pairs``, the count of each
+    word with the one before it in its sentence. Casing, spread, frequency and left and right co-occurrence are counts, position is the median sentence."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        flat = lambda name: batch.column(name).flatten().to_numpy(zero_copy_only=False)
+        ends = lambda name: np.cumsum(pc.list_value_length(batch.column(name)).to_numpy(zero_copy_only=False))
+        sizes, texts = flat("sizes"), batch.num_rows
+        text_of = np.searchsorted(ends("sizes"), np.arange(len(sizes)), side="right")
+        sizes, text_of = sizes[sizes > 0], text_of[sizes > 0]
+        sentence = np.repeat(np.arange(len(sizes)), sizes)
+        n = len(sentence)
+        #: Of each word: its text, its place in the sentence, the words that follow there with itself.
+        self.text, begins = text_of[sentence], np.cumsum(sizes) - sizes
+        self.place = np.arange(n) - begins[sentence]
+        self.left = sizes[sentence] - self.place
+        keys = batch.column("keys").flatten().dictionary_encode()
+        #: Of each word: the number of its (text, key).
+        cells, at, self.cell = np.unique(self.text * (len(keys.dictionary) + 1) + keys.indices.to_numpy(), return_index=True, return_inverse=True)
+        self.good, self.stop = flat("good").astype(bool), flat("stop").astype(bool)
+        owner, m = self.text[at], len(cells)
+        self.tf = np.bincount(self.cell, minlength=m)
+        upper = np.bincount(self.cell, flat("upper").astype(float), m)
+        capital = np.bincount(self.cell, flat("capital").astype(bool) & (self.place > 0), m)
+
+        count = np.bincount(text_of, minlength=texts)
+        # Sentences of each word, each once and in order; the median from the two in the middle.
+        spots = np.unique(self.cell * (len(sizes) + 1) + sentence)
+        spread = np.bincount(spots // (len(sizes) + 1), minlength=m)
+        spot = spots % (len(sizes) + 1) - (np.cumsum(count) - count)[owner[spots // (len(sizes) + 1)]]
+        first = np.cumsum(spread) - spread
+        middle = (spot[first + (spread - 1) // 2] + spot[first + spread // 2]) / 2
+
+        beside = np.flatnonzero(self.place > 0)
+        pairs, number, times = np.unique(self.cell[beside - 1] * (m + 1) + self.cell[beside], return_inverse=True, return_counts=True)
+        self.pairs = np.zeros(n, dtype=np.int64)
+        self.pairs[beside] = times[number]
+        side = lambda key: np.divide(np.bincount(key, minlength=m), np.bincount(key, times, m), out=np.zeros(m), where=np.bincount(key, minlength=m) > 0)
+        related = side(pairs % (m + 1)) + side(pairs // (m + 1))
+
+        known = self.good[at]
+        known = known | ~(np.bincount(owner, known, texts) > 0)[owner]
+        total = np.bincount(owner, known, texts)[owner]
+        mean = np.bincount(owner, known * self.tf, texts)[owner] / total
+        deviation = np.sqrt(np.bincount(owner, known * (self.tf - mean) ** 2, texts)[owner] / total)
+        most = np.zeros(texts)
+        np.maximum.at(most, owner, self.tf)
+        related = 1 + related * self.tf / most[owner]
+        case, frequency = np.maximum(upper, capital) / (1 + np.log(self.tf)), self.tf / (mean + deviation)
+        self.weight = np.log(np.log(3 + middle)) * related / (case + frequency / related + spread / count[owner] / related)
+
+    def scored(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """text, first word, words, score of each candidate, a run of up to ``n`` words of a sentence; by text and score, rounded to twelve places."""
+        found = []
+        for size in range(1, n + 1):
+            at = np.flatnonzero(self.good & (self.left >= size))
+            at = at[self.good[at + size - 1]]
+            phrase = self.cell[at]
+            for k in range(1, size):
+                phrase = np.unique(phrase * (len(self.tf) + 1) + self.cell[at + k], return_inverse=True)[1]
+            _, first, count = np.unique(phrase, return_index=True, return_counts=True)
+            at, product, total = at[first], 1.0, 1.0
+            for k in range(size):
+                weight = self.weight[self.cell[at + k]]
+                factor, term = weight, weight
+                if 0 < k < size - 1:  # a stop word inside counts by how often it joins its neighbours
+                    joint = self.pairs[at + k] / self.tf[self.cell[at + k - 1]] * (self.pairs[at + k + 1] / self.tf[self.cell[at + k]])
+                    factor, term = np.where(self.stop[at + k], 2 - joint, weight), np.where(self.stop[at + k], joint - 1, weight)
+                product, total = product * factor, total + term
+            found.append((self.text[at], at, np.full(len(at), size), product / (count * np.where(total > 0, total, 1.0))))
+        text, at, size, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((np.round(score, 12), text))
+        return text[order], at[order], size[order], score[order]
 
 
 def extract(texts: DataFrame, n: int = 3, least: int | None = None, most: int | None = None, similarity: float = 0.9, stop: frozenset[str] = frozenset()) -> DataFrame:
-    """texts (id, text) -> id, seq, phrase, score (X6): the statistics of statistics() as aggregates over words and phrases of all texts, a
-    candidate of up to ``n`` words. Only the near repeats are looked for text by text, among its scored phrases."""
+    """texts (id, text) -> id, seq, phrase, score (X6): the statistics of statistics(), a candidate of up to ``n`` words. Spark cuts texts into words; as the statistics of a
+    text need no other text, the aggregates over words and phrases are taken where it is read, for a batch of texts at once, and nothing is shuffled.
+    Only the near repeats are looked for text by text, among its best scored phrases."""
     top, kind = requested(least, most), dict(texts.dtypes)["id"]
-    base = stored(sentences(texts), "sentences")
-    weights, pairs, seen = word_weights(base, stop)
-    found = stored(candidates(base, n, stop), "phrases")
-    each = found.select("row", "phrase", F.posexplode("keys").alias("k", "key"), "keys").join(weights, ["row", "key"])
-    inner = F.lit(None).cast("double")
-    if stop:  # a stop word inside counts by how often it joins its neighbours
-        each = each.withColumn("l", F.get("keys", F.col("k") - 1)).withColumn("r", F.get("keys", F.col("k") + 1)).withColumn("is_stop", F.col("key").isin(*sorted(stop)))
-        one, two, first = pairs.select("row", "l", F.col("r").alias("key"), F.col("n").alias("n1")), pairs.select("row", F.col("l").alias("key"), "r", F.col("n").alias("n2")), seen.select("row", F.col("key").alias("l"), F.col("tf").alias("tf1"))
-        each = each.join(one, ["row", "l", "key"], "left").join(two, ["row", "key", "r"], "left").join(first, ["row", "l"], "left")
-        joint = F.coalesce("n1", F.lit(0)) / F.col("tf1") * (F.coalesce("n2", F.lit(0)) / F.col("tf"))
-        inner = F.when(F.col("is_stop"), joint)
-    parts = each.groupBy("row", "phrase").agg(F.sort_array(F.collect_list(F.struct("k", "weight", inner.alias("joint")))).alias("parts"))
-    factor = lambda x: F.when(x["joint"].isNull(), x["weight"]).otherwise(2 - x["joint"])
-    term = lambda x: F.when(x["joint"].isNull(), x["weight"]).otherwise(x["joint"] - 1)
-    product = F.aggregate("parts", F.lit(1.0), lambda acc, x: acc * factor(x))
-    total = 1 + F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + term(x))
-    scored = parts.join(found.select("row", "phrase", "shown", "count"), ["row", "phrase"])
-    scored = scored.select("row", "shown", F.when(total > 0, product / (F.col("count") * total)).otherwise(product / F.col("count")).alias("score"))
-    listed = scored.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.round("score", 12).alias("rounded"), "shown", "score"))).alias("scored"))
-    listed = base.select("row", "id").distinct().join(listed, "row")
 
     def run(batches):
-        for pdf in batches:
-            rows = [(i, k, p, s) for i, own in zip(pdf["id"], pdf["scored"], strict=True) for k, (p, s) in enumerate(distinct([(x["score"], x["shown"]) for x in own], top, similarity))]
-            yield pd.DataFrame(rows, columns=["id", "seq", "phrase", "score"])
-
-    return listed.select("id", "scored").mapInPandas(run, f"id {kind}, seq int, phrase string, score double")
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TEXTS):
+                own = batch.slice(begin, TEXTS)
+                words = own.column("words").flatten()
+                text, at, size, score = Words(own).scored(n)
+                shown = lambda i: " ".join(words.slice(int(at[i]), int(size[i])).to_pylist())  # noqa: B023, E731
+                ends = np.searchsorted(text, np.arange(own.num_rows + 1))
+                rows = [(i, k, p, s) for i in range(own.num_rows) for k, (p, s) in enumerate(distinct(in_order(score, ends[i], ends[i + 1], shown), top, similarity))]
+                which, seq, phrase, value = zip(*rows, strict=True) if rows else ([], [], [], [])
+                columns = [own.column("id").take(pa.array(which, pa.int64())), pa.array(seq, pa.int32()), pa.array(phrase, pa.string()), pa.array(value, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "seq", "phrase", "score"])
+
+    return sentences(texts, stop).mapInArrow(run, f"id {kind}, seq int, phrase string, score double")
+
+
+def in_order(score: np.ndarray, begin: int, end: int, shown: Callable[[int], str]) -> Iterator[tuple[float, str]]:
+    """(score, phrase) of the candidates ``begin`` to ``end``, which lie by rounded score; equal ones by their letters."""
+    rounded = np.round(score[begin:end], 12)
+    cuts = [0, *(np.flatnonzero(np.diff(rounded)) + 1).tolist(), len(rounded)]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        yield from ((float(score[i]), p) for p, i in sorted((shown(i), i) for i in range(begin + low, begin + high)))
 
 
 def ranked(candidates: DataFrame, noise: list[str] | None = None) -> DataFrame:

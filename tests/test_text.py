@@ -147,3 +147,15 @@ def test_extraction_over_the_documents(spark, sf):
 
     want = {(r.doc_id, k): (p, round(s, 8)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for k, (p, s) in enumerate(statistics(r.text or "", 3, 15))}
     assert {(r.id, r.seq): (r.phrase, round(r.score, 8)) for r in keyword_extraction(spark, sf).collect()} == want
+
+
+def test_extraction_shuffles_nothing(spark, monkeypatch):
+    """A text's statistics need no other text; and texts without words have no phrase."""
+    from marram.operators import keywords
+    from marram.operators.keywords import extract, statistics
+
+    texts = spark.createDataFrame([(i, None if i % 3 else "") for i in range(30)] + [(30, "Acute kidney. Chronic kidney, kidney")], "id long, text string").coalesce(1)
+    monkeypatch.setattr(keywords, "TEXTS", 4)
+    found = extract(texts)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.seq, r.phrase, round(r.score, 9)) for r in found.collect()) == [(30, k, p, round(s, 9)) for k, (p, s) in enumerate(statistics("Acute kidney. Chronic kidney, kidney", 3, 15))]
