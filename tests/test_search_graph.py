@@ -76,6 +76,16 @@ def test_keywords_have_six_characters(spark, sf):
     assert Counter((r.query_id, r.seed_id, r.reference_id, r.shared, r.ratio) for r in graph_queries.graph_expand_keyword(spark, sf).collect()) == want
 
 
+def test_keywords_are_counted_where_they_are_read(spark):
+    """A reference's links are no rows of a shuffle, but for those of references with several rows, which are counted once."""
+    lists = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (2, ["b", "c"]), (2, None), (None, ["a"]), (None, ["a", "d"]), (3, []), (4, None)], "reference_id long, keywords array<string>")
+    assert [df.first().n for df in graph.keyword_counts(lists)] == [4, 6]
+    once = lists.where("reference_id not in (2)")
+    words, links = graph.keyword_counts(once)
+    assert (words.first().n, links.first().n) == (2, 2) and "Generate" not in links._jdf.queryExecution().optimizedPlan().toString()
+    assert [df.first().n for df in graph.keyword_counts(lists.where("false"))] == [0, 0]
+
+
 def test_a_keyword_of_a_third_of_the_references(spark, monkeypatch):
     """It comes as a row for each block of references; pairs under the threshold are never rows."""
     rng = random.Random(4)
