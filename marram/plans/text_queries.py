@@ -188,8 +188,8 @@ def ingest_chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, phrase, frequency, row_number() OVER (PARTITION BY id ORDER BY frequency DESC, length(phrase) DESC, phrase) AS place FROM c"""
 )
 def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(X.all_tokens(F.col("text"), 6)).alias("phrase"))
-    return keywords.ranked(words).withColumn("place", F.col("place").cast(LONG))
+    texts = keywords.dealt(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return keywords.ranked(texts.select("id", F.explode(X.all_tokens(F.col("text"), 6)).alias("phrase"))).withColumn("place", F.col("place").cast(LONG))
 
 
 @query(

@@ -159,3 +159,18 @@ def test_extraction_shuffles_nothing(spark, monkeypatch):
     found = extract(texts)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.seq, r.phrase, round(r.score, 9)) for r in found.collect()) == [(30, k, p, round(s, 9)) for k, (p, s) in enumerate(statistics("Acute kidney. Chronic kidney, kidney", 3, 15))]
+
+
+def test_words_are_ranked_where_their_texts_are_dealt(spark, sf, monkeypatch):
+    """Texts are shuffled, by their id and as many as a task can count, and not their words; rows that repeat an id are one text."""
+    from marram.operators import keywords
+    from marram.plans.text_queries import keyword_rank
+
+    plan = keyword_rank(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "Exchange" not in plan[: plan.index("Generate")]
+    monkeypatch.setattr(keywords, "TEXT_BYTES", 3)
+    texts = spark.createDataFrame([(1, "a-b c c"), (1, "c d"), (2, None), (None, "x y y")], "id long, text string")
+    parts = keywords.dealt(texts)
+    assert parts.rdd.getNumPartitions() == 5
+    found = keywords.ranked(parts.select("id", F.explode(F.split("text", " ")).alias("phrase")))
+    assert sorted((r.id or 0, r.place, r.phrase, r.frequency) for r in found.collect()) == [(0, 1, "y", 2), (0, 2, "x", 1), (1, 1, "c", 3), (1, 2, "a b", 1), (1, 3, "d", 1)]
