@@ -31,6 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,8 @@ BLOCK_IDS = 4096
 SHARD_IDS = 1 << 20
 #: Units, and pieces of units, remembered by a worker; beyond that the memory starts anew.
 MEMORY = 700_000
+#: Texts encoded at once, whose units are looked up once each.
+ROWS = 2048
 
 
 # ---------------------------------------------------------------- bit packing
@@ -124,6 +127,8 @@ _LOOSE = re.compile(r" (?:\s|$)")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words that go to the tokenizer as one text.
 _TOGETHER = 256
+#: What ends a word so often that it isn't looked for by the pattern.
+_MARKS = frozenset(".,;:!?")
 
 
 class Encoder:
@@ -182,25 +187,25 @@ class Encoder:
             self._learn_each(self.units, list(new), " ")
             return
         units, pieces = self.units, self.pieces
-        words, marks, composed = [], set(), []
+        words, ended, composed = [], [], []
         for u in new:
             if u.isalpha():
                 words.append(u)
-            elif u[:-1].isalpha() and u[-1] in ".,;:!?":
-                composed.append((u, [u[:-1], u[-1]]))
+            elif u[-1:] in _MARKS and u[:-1].isalpha():
+                ended.append(u)
             else:
                 first, *rest = _PIECES.findall(f" {u}")
-                composed.append((u, [first[1:], *rest] if first[1:].isalpha() else ["", first, *rest]))
-        for _, (first, *rest) in composed:
-            if first and first not in units and first not in new:
-                words.append(first)
-            marks.update(rest)
-        self._learn_words(list(dict.fromkeys(words)))
+                composed.append((u, first[1:], rest) if first[1:].isalpha() else (u, "", [first, *rest]))
+        firsts = [u[:-1] for u in ended]
+        marks = {p for _, _, rest in composed for p in rest} | {u[-1] for u in ended}
+        words += {w for w in [*firsts, *(first for _, first, _ in composed)] if w and w not in units and w not in new}
+        self._learn_words(words)
         marks.difference_update(pieces)
         if marks:
             self._learn_each(pieces, list(marks), "")
-        for u, (first, *rest) in composed:
-            units[u] = b"".join([units[first] if first else b"", *[pieces[p] for p in rest]])
+        units.update(zip(ended, [units[w] + pieces[u[-1]] for w, u in zip(firsts, ended, strict=True)], strict=True))
+        for u, first, rest in composed:
+            units[u] = b"".join([units[first] if first else b"", *map(pieces.__getitem__, rest)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [k for k, text in enumerate(texts) if self.added.search(text)] if self.added else []
@@ -211,27 +216,45 @@ class Encoder:
         return self._encode(texts)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [_CUT.split(text) if _LOOSE.search(text) else text.split(" ") for text in texts]
-        heads = [e.ids for e in self.tokenizer.encode_batch_fast([units[0] for units in split], add_special_tokens=False)]
+        if not texts:
+            return []
+        # Texts that are cut at every space first; then those that aren't.
+        loose = np.array([_LOOSE.search(text) is not None for text in texts])
+        order = np.argsort(loose, kind="stable")
+        plain = pc.split_pattern(pa.array([texts[k] for k in order[: len(texts) - loose.sum()]], pa.string()), " ")
+        others = [_CUT.split(texts[k]) for k in order[len(plain) :]]
+        counts = np.concatenate([pc.list_value_length(plain).to_numpy(zero_copy_only=False), np.array([len(units) for units in others], dtype=np.int64)])
+        each = pa.concat_arrays([plain.flatten(), pa.array([u for units in others for u in units], pa.string())]).dictionary_encode()
+        # Each unit of these texts once; the first of a text has no space before it, and is a unit by itself.
+        units, code = each.dictionary.to_numpy(zero_copy_only=False).tolist(), each.indices.to_numpy().astype(np.int64)
+        first = np.cumsum(counts) - counts
+        heads = [units[c] for c in code[first]]
+        code[first] = len(units) + np.arange(len(texts))
+        inside = np.zeros(len(units) + len(texts), dtype=bool)
+        inside[code] = True
+
         if len(self.units) > MEMORY:
             self.units.clear()
         if len(self.pieces) > MEMORY:
             self.pieces.clear()
-        get, found, new = self.units.get, [], set()
-        for units in split:
-            units[0] = ""
-            got = list(map(get, units))
-            got[0] = b""
-            found.append(got)
-            if None in got:
-                new.update([u for u, g in zip(units, got, strict=True) if g is None])
+        got = [self.units.get(u) if use else b"" for u, use in zip(units, inside.tolist(), strict=False)]
+        new = [i for i, ids in enumerate(got) if ids is None]
         if new:
-            self._learn(new)
-        out = []
-        for head, units, got in zip(heads, split, found, strict=True):
-            if None in got:
-                got = [self.units[u] if g is None else g for u, g in zip(units, got, strict=True)]
-            out.append(self._bytes(head) + b"".join(got))
+            self._learn({units[i] for i in new})
+            for i in new:
+                got[i] = self.units[units[i]]
+        got += [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
+
+        # The ids of all units side by side, from which those of the texts are taken.
+        ids = np.frombuffer(b"".join(got), dtype=self.kind)
+        sizes = np.array(list(map(len, got)), dtype=np.int64) // ids.itemsize
+        at, n = (np.cumsum(sizes) - sizes)[code], sizes[code]
+        ends = np.cumsum(n)
+        taken = ids[np.repeat(at - ends + n, n) + np.arange(ends[-1])]
+        lasts = ends[first + counts - 1].tolist()
+        out: list[bytes] = [b""] * len(texts)
+        for k, begin, end in zip(order.tolist(), [0, *lasts], lasts, strict=False):
+            out[k] = taken[begin:end].tobytes()
         return out
 
 
@@ -250,7 +273,7 @@ def lengths(docs: DataFrame, tokenizer: str, ordinary: bool = False) -> DataFram
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS):
             known = encoder(tokenizer, ordinary)
             size = np.dtype(known.kind).itemsize
             counts = [len(ids) // size + 1 for ids in known.encode(batch.column(1).to_pylist())]
@@ -284,7 +307,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, ordinary:
             columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([total], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([write_shard(documents, bits)], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_ids", "doc_ids", "shard"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS):
             encoded = encoder(tokenizer, ordinary).encode(batch.column(1).to_pylist())
             for doc_id, data in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids.append(doc_id)

@@ -920,3 +920,24 @@ def test_an_id_of_a_third_of_the_rows_is_spread(spark, tmp_path):
     places = Counter((r.bucket, r.batch, r.slot) for r in packed)
     assert len(packed) == 3000 and max(places.values()) == 1
     assert all(r.slot == 0 or (r.bucket, r.batch, r.slot - 1) in places for r in packed)
+
+
+def test_a_unit_is_looked_up_once_a_batch():
+    """And ids of odd texts beside plain ones are those of the library."""
+    from marram.llm.queries import tokenizer_path
+    from marram.llm.tokens import Encoder
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    known = Encoder(tokenizer_path("byte_bpe_50k.json"))
+    known.units = Counted()
+    texts = ["the house of the house, the end.\nThe house", "", " ", "a  b", " the", "end ", "x\n\n y", "the.", "été 1,5 it's ... the", ".", "the " * 500 + "end"]
+    want = [e.ids for e in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, dtype=known.kind).tolist() for ids in known.encode(texts)] == want
+    assert Counted.asked < 40
+    assert [np.frombuffer(ids, dtype=known.kind).tolist() for ids in known.encode(texts[::-1])] == want[::-1] and known.encode([]) == []
