@@ -105,6 +105,19 @@ def test_balls_of_clustered_vectors_are_few(spark, kind, tmp_path):
     assert key(index.top(queries, 5, kind)) == key(search.vector_top(base, queries, 5, kind))
 
 
+def test_balls_hand_on_few_of_equally_far_rows(spark, tmp_path):
+    """No two rows share an entry, so all are equally far by hamming: a task hands on k rows of a query, whatever balls and batches it reads."""
+    base = spark.range(3000).select(((F.col("id") * 7919) % 3000).alias("vec_id"), F.array(F.col("id") + 1.0, F.col("id") + 0.5).alias("embedding"))
+    ids = np.arange(40)
+    q = np.array([[-1.0 - i, -0.25 - i] for i in ids])
+    index = VectorIndex.build(base, f"file://{tmp_path}/far", balls=6)
+    handed = index._look(ids, q, np.ones((len(q), len(index.centres)), dtype=bool), 3, "hamming")
+    assert handed.count() <= handed.rdd.getNumPartitions() * len(q) * 3 < 3000 * len(q) / 10
+    queries = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, q, strict=True)], "query_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r.distance, r.rank) for r in index.top(queries, 3, "hamming").orderBy("query_id", "rank").collect()]
+    assert got == [(i, v, 2.0, v + 1) for i in range(40) for v in range(3)]
+
+
 def test_balls_of_odd_rows(spark, tmp_path):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0]), (None, [0.0, 1.0]), (7, [])]
     base = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
