@@ -286,3 +286,50 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 
     df = spark.range(1000).withColumn("g", F.col("id") % 3)
     assert "WindowGroupLimit" in top_k(df, 2, [F.col("id")], ["g"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_reason_of_an_expansion_counts(spark, monkeypatch):
+    """Sections, shared keywords and similarities that come late by id or score are added up like the first, in however many portions they are asked for."""
+    from collections import defaultdict
+
+    rng = random.Random(8)
+    words = {i: {f"k{rng.randrange(8 if i >= 300 else 16)}" for _ in range(rng.choice([2, 3, 6]))} for i in range(400)}
+    refs = positions(refs_of(spark, [(i, "ab"[i % 2], f"2.{i % 3}", i) for i in words]), "guideline_id", ["ord"])
+    links = spark.createDataFrame([(i, w) for i, own in words.items() for w in own], "reference_id long, keyword string")
+    asked = [(i % 3, i) for i in range(0, 400, 10)]
+    edges = [(s, (s * 7 + 3 * j) % 400, round(0.4 + rng.random() / 2, 6)) for _, s in asked for j in range(1, 30)]
+    found = defaultdict(list)
+    for q in range(3):
+        own = [s for p, s in asked if p == q]
+        near = {(s + 2 * o, abs(o)) for s in own for o in (-2, -1, 1, 2) if 0 <= s + 2 * o < 400}
+        mates = {r for s in own for r in words if r != s and r % 6 == s % 6}
+        shared = [(r, len(words[s] & words[r]), min(len(words[s]), len(words[r]))) for s in own for r in words if r != s]
+        best = {d: max(x for s, e, x in edges if e == d and s in own and x >= 0.5) for d in {e for s, e, x in edges if s in own and x >= 0.5}}
+        for reasons in ([(s, 0, 1.0) for s in own], [(r, 1, 0.7 - 0.15 * h) for r, h in near], [(r, 2, 0.45) for r in mates]):
+            for r, kind, score in reasons:
+                found[q, r].append((kind, score))
+        for r, n, size in shared:
+            if n >= 2:
+                found[q, r].append((3, max(min(1.0, 0.25 * n), round(n / size, 6))))
+        for r, score in best.items():
+            found[q, r].append((4, score))
+    want = []
+    for q in range(3):
+        rows = [(-round(sum(x for _, x in v), 6), -any(k == 0 for k, _ in v), min(v)[0], r, ",".join(graph.KINDS[k] for k, _ in sorted(v))) for (p, r), v in found.items() if p == q]
+        want += [(q, r, -score, reasons, place) for place, (score, _, _, r, reasons) in enumerate(sorted(rows)[:12], 1)]
+    assert max(r for _, r, *_ in want) >= 300 and max(reasons.count("keyword") for *_, reasons, _ in want) > 5
+    seeds, similarity = spark.createDataFrame(asked, "query_id long, reference_id long"), spark.createDataFrame(edges, "src long, dst long, score double")
+    for portion in (graph.PORTION, 1500):
+        monkeypatch.setattr(graph, "PORTION", portion)
+        assert sorted(map(tuple, graph.expand(seeds, refs, links, similarity, depth=2).collect())) == sorted(want)
+    plan = graph.keyword_sums(seeds, links)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_millionths_are_those_of_the_sql():
+    import duckdb
+    import numpy as np
+
+    rows = duckdb.connect().execute("SELECT a.i, b.i, round(a.i / b.i::DOUBLE, 6) FROM range(1, 700) a(i) JOIN range(1, 700) b(i) ON a.i <= b.i").fetchnumpy()
+    a, b, want = rows.values()
+    assert np.array_equal(graph.micro(a, b) / graph.MICRO, want)
