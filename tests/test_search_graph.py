@@ -333,3 +333,21 @@ def test_millionths_are_those_of_the_sql():
     rows = duckdb.connect().execute("SELECT a.i, b.i, round(a.i / b.i::DOUBLE, 6) FROM range(1, 700) a(i) JOIN range(1, 700) b(i) ON a.i <= b.i").fetchnumpy()
     a, b, want = rows.values()
     assert np.array_equal(graph.micro(a, b) / graph.MICRO, want)
+
+
+def test_texts_are_cut_into_keywords_once(spark, sf):
+    """Spark puts a filter on empty lists below an explode, which would cut every text into words again."""
+    from marram.sources.views import keywords, references
+
+    refs = spark.createDataFrame([(1, "sixsix a"), (2, None), (3, "")], "reference_id long, text string")
+    assert [tuple(r) for r in keywords(refs).collect()] == [(1, "sixsix")]
+    assert keywords(references(spark, sf))._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_shares_are_rounded_as_in_sql(spark):
+    """41 / 640 lies just below the half in SQL's round, and at the half as a decimal."""
+    links = spark.createDataFrame([(1, f"k{i}") for i in range(640)] + [(2, f"k{i}") for i in range(599, 1240)], "reference_id long, keyword string")
+    seeds = spark.createDataFrame([(7, 1)], "query_id long, reference_id long")
+    assert [tuple(r) for r in graph.keyword_pairs(seeds, links, 4, 0.4).collect()] == [(7, 1, 2, 41, 0.064062)]
+    assert [tuple(r) for r in graph.keyword_pairs(seeds, links, 42, 0.0640625).collect()] == [(7, 1, 2, 41, 0.064062)]
+    assert not graph.keyword_pairs(seeds, links, 42, 0.06406251).collect()
