@@ -351,3 +351,15 @@ def test_shares_are_rounded_as_in_sql(spark):
     assert [tuple(r) for r in graph.keyword_pairs(seeds, links, 4, 0.4).collect()] == [(7, 1, 2, 41, 0.064062)]
     assert [tuple(r) for r in graph.keyword_pairs(seeds, links, 42, 0.0640625).collect()] == [(7, 1, 2, 41, 0.064062)]
     assert not graph.keyword_pairs(seeds, links, 42, 0.06406251).collect()
+
+
+def test_equal_shares_lie_side_by_side(spark, tmp_path):
+    """Rows of a seed come by shared and ratio, so that files hold a run and not a value for each row."""
+    rng = random.Random(3)
+    words = {i: {f"k{rng.randrange(60)}" for _ in range(rng.randrange(5, 40))} for i in range(2000)}
+    links = spark.createDataFrame([(i, w) for i, own in words.items() for w in own], "reference_id long, keyword string")
+    seeds = spark.createDataFrame([(i % 2, i) for i in range(0, 2000, 50)], "query_id long, reference_id long")
+    pairs = graph.keyword_pairs(seeds, links, 2, 0.8).withColumn("part", F.spark_partition_id()).collect()
+    values = [(r.part, r.seed_id, r.shared, r.ratio) for r in pairs]
+    assert len(values) > 50_000 and sum(a != b for a, b in zip(values, values[1:], strict=False)) < len(values) / 3
+    assert all(a[2] <= b[2] for a, b in zip(values, values[1:], strict=False) if a[:2] == b[:2])
